@@ -34,3 +34,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(text):
     """A-Z lower-cased and nothing else; the JVM's own lower() does for texts of one byte a character."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def map_rows(df: DataFrame, fn, fields: str, text: str = "text", rows: int = 256) -> DataFrame:
+    """fn over the texts of df, some rows at a time, in Python: (row, *fields).
+
+    row is df's row as a struct, so nothing clashes; fn gets a list of texts (None where null) and returns a
+    list of values for each field, in order.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    extra = _parse_datatype_string(fields)
+    kinds = [f.type for f in to_arrow_schema(extra)]
+    packed = df.select(F.struct("*").alias("row"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = fn(pc.struct_field(part.column(0), text).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], ["row", *extra.names])
+
+    return packed.mapInArrow(run, StructType([*packed.schema.fields, *extra.fields]))
