@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.llm.bpe import bpe_encode_decode
+from lexicarta.llm.jaccard_join import jaccard_components
 from lexicarta.llm.line_dedup import line_dedup
 from lexicarta.llm.shared import table
 
@@ -13,6 +14,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +34,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op10_bpe": op10_bpe,
 }
 

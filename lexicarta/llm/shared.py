@@ -59,3 +59,68 @@ def map_rows(df: DataFrame, fn, fields: str, text: str = "text", rows: int = 256
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], ["row", *extra.names])
 
     return packed.mapInArrow(run, StructType([*packed.schema.fields, *extra.fields]))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words as bytes, kept up to a number of words."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_words = WordHashes()
+
+
+def word_hashes(text: str | None):
+    """The hashes of the words of a text: lower-cased A-Z, cut at ASCII white space."""
+    import numpy as np
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def shingled(words, size: int):
+    """The 63-bit hash of the shingle that starts at each word; of fewer words than size, of all of them."""
+    import numpy as np
+
+    if not len(words):
+        return np.empty(0, np.int64)
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = words[:n] ^ np.uint64(size)
+    for j in range(1, size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[j : j + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return ((out ^ (out >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of the edges (a, b) reaches.
+
+    Alternates large and small stars; each round sends every neighbour to the smallest one of its centre, so
+    rounds grow with the logarithm of a component's size. Rounds are tables in the shared folder, and only
+    their counts and sums reach the driver.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    before = None
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u")
+        stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
+        pairs = written(stars.where("u <> v").distinct(), "stars")
+        n, total = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, total) == before:
+            break
+        before = (n, total)
+    roots = pairs.select("v").distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
