@@ -5,8 +5,12 @@ from pyspark.sql import functions as F
 
 from lexicarta.llm.bpe import bpe_encode_decode
 from lexicarta.llm.jaccard_join import jaccard_components
+from lexicarta.llm.knn_join import top_k
 from lexicarta.llm.line_dedup import line_dedup
+from lexicarta.llm.oracles import ORACLES as ORACLES
 from lexicarta.llm.shared import table
+from lexicarta.llm.token_counts import context_answers, length_histogram, token_lengths
+from lexicarta.llm.warc import derivatives, page_responses
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +23,22 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = derivatives(page_responses(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", "block")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("text")
+    return context_answers(length_histogram(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,27 +55,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_warc": op3_warc,
+    "op4_token_counts": op4_token_counts,
+    "op6_top_k": op6_top_k,
     "op10_bpe": op10_bpe,
 }
-
-ORACLES = {
-    "op1_line_dedup": """
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (
-  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d
-), k AS (
-  SELECT doc_id, pos, line,
-         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM l
-), f AS (
-  SELECT key, max(doc_id) AS first_doc FROM k WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
-), m AS (
-  SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND k.doc_id <> f.first_doc AS gone FROM k LEFT JOIN f ON k.key = f.key
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
-""",
-}
