@@ -3,11 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexicarta.llm import language_id, toxicity
 from lexicarta.llm.bpe import bpe_encode_decode
+from lexicarta.llm.decontaminate import decontaminate
 from lexicarta.llm.jaccard_join import jaccard_components
 from lexicarta.llm.knn_join import top_k
 from lexicarta.llm.line_dedup import line_dedup
 from lexicarta.llm.oracles import ORACLES as ORACLES
+from lexicarta.llm.secrets import joined_spans, scan_secrets
 from lexicarta.llm.shared import table
 from lexicarta.llm.token_counts import context_answers, length_histogram, token_lengths
 from lexicarta.llm.warc import derivatives, page_responses
@@ -35,10 +38,42 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_answers(length_histogram(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), lambda i: ~toxicity.held_out(i, 5, 0))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("row.doc_id", toxicity.held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i, 4, 2))
+    out = toxicity.toxicity(docs, model)
+    return out.select("row.doc_id", toxicity.held_out(F.col("row.doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return out.select(
+        "row.doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined_spans(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +92,10 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_top_k": op6_top_k,
+    "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
+    "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
