@@ -1,13 +1,15 @@
 """Toxicity: maximum-scoring segments over token log-odds, with extreme-value calibration.
 
-Words get log-odds between toxic and other labelled documents under a Dirichlet prior; those that stand out make the
-lexicon, and every other word lowers a segment by the same small step. One pass over a text finds all its maximal
+Words, and their first letters as stems, get log-odds between toxic and other labelled documents under a Dirichlet prior;
+those that more toxic documents hold than chance allows make the lexicon, and every other word lowers a segment by the
+same small step. One pass over a text finds all its maximal
 segments. Under the background's word rates, segments of such a score turn up at a known rate (the extreme-value law
 of maximal segments), which turns each into evidence; a logistic curve over a document's evidence is its score.
 """
 
 import math
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +20,12 @@ from lexicarta.llm.shared import map_rows, written
 
 #: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes.
 SAMPLE = 20_000
-#: Words of the lexicon at most; standard errors that its log-odds are above zero; documents a word is in at least.
-LEXICON, STANDS_OUT, LEAST_DOCS = 20_000, 3.5, 4
+#: Entries of the lexicon at most; documents an entry is in at least; lengths of stems.
+LEXICON, LEAST_DOCS, STEMS = 20_000, 4, (5, 6, 7)
+#: What an entry's likelihood ratio (G squared of documents) exceeds, beside twice the logarithm of the entries tried.
+MARGIN = 4.0
+#: Words after which a task's table of scores starts anew.
+MOST_WORDS = 400_000
 #: Weight of the Dirichlet prior, in words a class.
 PRIOR = 1000.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -27,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
-    """Scores of lexicon words, the step down of others, the law's two parameters, the curve's two, and a plain rate."""
+    """Scores of the lexicon's entries, the step down of other words, the law's two parameters, the curve's two, and a name."""
 
     scores: dict
     step: float
@@ -35,12 +41,42 @@ class Model:
     rate: float
     bias: float
     slope: float
+    key: str = ""
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def entries(word: str) -> list[str]:
+    """What the lexicon may hold of a word, the most specific first."""
+    return [word, *(word[:n] + "-" for n in reversed(STEMS) if len(word) > n)]
+
+
+class Scores(dict):
+    """The score of each word, 0 where the lexicon holds nothing of it."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[word] = next((self.lexicon[e] for e in entries(word) if e in self.lexicon), 0.0)
+        return found
+
+
+_scores: dict = {}
+
+
+def scores_of(model: "Model") -> Scores:
+    """The table of a worker process, kept for a model."""
+    if model.key not in _scores:
+        _scores.clear()
+        _scores[model.key] = Scores(model.scores)
+    return _scores[model.key]
+
+
 def maximal_segments(scores: list[float], gaps: list[float]) -> list[tuple[float, int, int]]:
     """(score, first, last) of all maximal scoring segments; scores are positive, gaps[i] is what lies before score i.
 
@@ -68,11 +104,12 @@ def maximal_segments(scores: list[float], gaps: list[float]) -> list[tuple[float
 
 def segments(words: list[str], model: Model) -> list[tuple[float, int, int]]:
     """(score, first word, last word) of the maximal segments of a text."""
-    at = [i for i, w in enumerate(words) if w in model.scores]
-    if not at:
+    found = [(i, x) for i, x in enumerate(map(scores_of(model).__getitem__, words)) if x]
+    if not found:
         return []
+    at = [i for i, _ in found]
     gaps = [0.0, *(model.step * (b - a - 1) for a, b in zip(at, at[1:], strict=False))]
-    return [(s, at[a], at[b]) for s, a, b in maximal_segments([model.scores[words[i]] for i in at], gaps)]
+    return [(s, at[a], at[b]) for s, a, b in maximal_segments([x for _, x in found], gaps)]
 
 
 def passages(words: list[str], model: Model) -> list[tuple[float, int, int]]:
@@ -107,35 +144,44 @@ def learn(docs: DataFrame, labels: DataFrame, learnt=lambda doc_id: F.lit(True))
         from collections import Counter
 
         for batch in batches:
-            tokens, held = [Counter(), Counter()], [Counter(), Counter()]
+            tokens, held, seen = [Counter(), Counter()], [{}, {}], []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                c = Counter(words_of(text))
-                tokens[toxic].update(c)
-                held[toxic].update(c.keys())
+                for word, n in Counter(words_of(text)).items():
+                    for entry in entries(word):
+                        tokens[toxic][entry] += n
+                        held[toxic].setdefault(entry, set()).add(len(seen))
+                seen.append(toxic)
             words = list(tokens[0].keys() | tokens[1].keys())
             yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(words, pa.string())} | {f"{name}{k}": pa.array([c[k][w] for w in words], pa.int64()) for name, c in (("t", tokens), ("d", held)) for k in (0, 1)}
+                {"word": pa.array(words, pa.string())}
+                | {f"t{k}": pa.array([tokens[k][w] for w in words], pa.int64()) for k in (0, 1)}
+                | {f"d{k}": pa.array([len(held[k].get(w, ())) for w in words], pa.int64()) for k in (0, 1)}
             )
 
     counted = texts.mapInArrow(count, "word string, t0 long, t1 long, d0 long, d1 long")
     counts = written(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "d0", "d1"))), "toxic-counts")
-    n0, n1 = (x or 0 for x in counts.agg(F.sum("t0"), F.sum("t1")).first())
-    blank = Model({}, 1.0, 1.0, 1.0, -4.0, 0.0)
-    if not n0 or not n1:
+    sizes = {r.toxic: r.n for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tried = counts.where(F.col("d0") + F.col("d1") >= LEAST_DOCS)
+    n0, n1, n_tried = (x or 0 for x in counts.agg(F.sum(F.expr("if(word like '%-', 0, t0)")), F.sum(F.expr("if(word like '%-', 0, t1)")), F.count_if(F.col("d0") + F.col("d1") >= LEAST_DOCS)).first())
+    blank = Model({}, 1.0, 1.0, 1.0, -4.0, 0.0, uuid.uuid4().hex)
+    if not n0 or not n1 or not n_tried:
         return blank
     prior = F.lit(PRIOR) * (F.col("t0") + F.col("t1")) / F.lit(float(n0 + n1))
     a1, a0 = F.col("t1") + prior, F.col("t0") + prior
-    odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
-    z = odds / F.sqrt(1 / a1 + 1 / a0)
-    stood = counts.where(F.col("d0") + F.col("d1") >= LEAST_DOCS).select("word", odds.alias("odds"), z.alias("z"), "t0", "t1").where(F.col("z") >= STANDS_OUT)
-    lexicon = stood.orderBy(F.col("z").desc(), "word").limit(LEXICON).collect()  # at most LEXICON rows
+    odds = F.log(a1 / F.greatest(n1 + PRIOR - a1, F.lit(0.5))) - F.log(a0 / F.greatest(n0 + PRIOR - a0, F.lit(0.5)))
+    part = lambda seen, expect: F.when(seen > 0, seen * F.log(seen / expect)).otherwise(0.0)
+    docs_with, m0, m1 = F.col("d0") + F.col("d1"), sizes.get(0, 0), sizes.get(1, 0)
+    share = docs_with / F.lit(float(m0 + m1))
+    ratio = 2 * (part(F.col("d1"), share * m1) + part(F.col("d0"), share * m0) + part(m1 - F.col("d1"), (1 - share) * m1) + part(m0 - F.col("d0"), (1 - share) * m0))
+    stood = tried.select("word", odds.alias("odds"), ratio.alias("ratio"), "t0", "t1").where((F.col("odds") > 0) & (F.col("ratio") >= 2 * math.log(n_tried) + MARGIN))
+    lexicon = stood.orderBy(F.col("ratio").desc(), "word").limit(LEXICON).collect()  # at most LEXICON rows
     if not lexicon:
         return blank
-    hit1, hit0 = sum(r.t1 for r in lexicon) / n1, sum(r.t0 for r in lexicon) / n0
-    step = max(1e-4, math.log((1 - hit0) / (1 - hit1)) if hit1 < 1 else 1.0)
+    hit1, hit0 = min(0.9, sum(r.t1 for r in lexicon) / n1), min(0.9, sum(r.t0 for r in lexicon) / n0)
+    step = max(1e-4, math.log((1 - hit0) / (1 - hit1)))
     scores = {r.word: float(r.odds) for r in lexicon}
     scale = decay([(float(r.odds), (r.t0 + 0.5) / (n0 + 1)) for r in lexicon], step)
-    model = Model(scores, step, scale, 1.0, 0.0, 0.0)
+    model = Model(scores, step, scale, 1.0, 0.0, 0.0, uuid.uuid4().hex)
     # the law's other parameter, by maximum likelihood over the other class: rate = documents / sum of words * exp(-scale * best)
     best = map_rows(texts, lambda ts: best_segments(ts, model), "n long, best double")
     law = best.where("row.toxic = 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-scale * F.col("best")))).first()
