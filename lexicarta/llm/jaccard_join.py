@@ -49,15 +49,14 @@ def digests(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_rows(docs, both, "n int, h1 long, h2 long, low array<long>")
 
 
-def overlap_needed(n: int, m: int, percent: int) -> int:
-    """The smallest intersection with 100 * intersection >= percent * union."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 class PrefixTree:
-    """Sets as rows of ranks in one order, sorted; a node is a span of rows that share their first ranks."""
+    """Sets as rows of ranks in one order, sorted; a node is a span of rows that share their first ranks.
+
+    Sets that share too few of their shingles with the others to link with any are left out.
+    """
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.percent = percent
         every = np.concatenate(sets) if sets else np.empty(0, np.int64)
         names, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
         order = np.lexsort((names, -counts))
@@ -65,11 +64,12 @@ class PrefixTree:
         rank[order] = np.arange(len(names))
         shared = counts[inverse] > 1  # what only one set holds adds to its size alone
         ends = np.cumsum([len(s) for s in sets])
-        rows = [np.sort(r[k]).astype(">u4") for r, k in zip(np.split(rank[inverse], ends[:-1]), np.split(shared, ends[:-1]), strict=True)]
-        self.at = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # place in the tree to set
-        self.rows = [rows[i].astype(np.int64) for i in self.at]
+        rows = [np.sort(r[k]) for r, k in zip(np.split(rank[inverse], ends[:-1]), np.split(shared, ends[:-1]), strict=True)]
+        kept = [i for i, r in enumerate(rows) if 100 * len(r) >= percent * sizes[i]]
+        self.at = sorted(kept, key=lambda i: rows[i].astype(">u4").tobytes())  # place in the tree to set
+        self.rows = [rows[i] for i in self.at]
         self.lengths = np.array([len(r) for r in self.rows], np.int64)
-        self.sizes = np.asarray(sizes)[self.at]
+        self.sizes = np.asarray(sizes, np.int64)[self.at]
         self.width = int((counts > 1).sum())
         self.common = np.array([self.prefix(a, b) for a, b in zip(self.rows, self.rows[1:], strict=False)], np.int64)
         self.nodes: dict = {}
@@ -80,15 +80,24 @@ class PrefixTree:
         differ = a[:n] != b[:n]
         return int(differ.argmax()) if differ.any() else n
 
-    def node(self, lo: int, hi: int, depth: int):
-        """End of the path that rows lo to hi share, least size, longest row, and the spans below."""
+    def node(self, lo: int, hi: int):
+        """Where the path that rows lo to hi share ends, and the spans below with their least sizes and longest rows."""
         if (lo, hi) not in self.nodes:
-            end = int(self.common[lo : hi - 1].min()) if hi - lo > 1 else int(self.lengths[lo])
-            cuts = [lo, *(np.flatnonzero(self.common[lo : hi - 1] == end) + lo + 1).tolist(), hi] if hi - lo > 1 else []
-            self.nodes[lo, hi] = end, int(self.sizes[lo:hi].min()), int(self.lengths[lo:hi].max()), list(zip(cuts, cuts[1:], strict=False))
+            if hi - lo == 1:
+                self.nodes[lo, hi] = int(self.lengths[lo]), None
+            else:
+                common = self.common[lo : hi - 1]
+                end = int(common.min())
+                starts = np.concatenate([[lo], np.flatnonzero(common == end) + lo + 1])
+                least, longest = np.minimum.reduceat(self.sizes[lo:hi], starts - lo), np.maximum.reduceat(self.lengths[lo:hi], starts - lo)
+                self.nodes[lo, hi] = end, (starts, np.append(starts[1:], hi), least, longest)
         return self.nodes[lo, hi]
 
-    def links(self, percent: int, apart: np.ndarray | None = None, every: bool = False):
+    def needed(self, n, m):
+        """The smallest intersection of sets of n and m with 100 * intersection >= percent * union."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def links(self, apart: np.ndarray | None = None, every: bool = False):
         """(i, j, intersection) of linked sets, i walking and j found; without every, links that span each component.
 
         apart: the block of each set; only sets of different blocks meet.
@@ -103,23 +112,22 @@ class PrefixTree:
             stack = [(0, n, 0, 0)]
             while stack:
                 lo, hi, depth, overlap = stack.pop()
-                if every:
-                    if hi <= i + 1:
-                        continue
-                elif (group[lo:hi] == group[i]).all():
+                if hi <= i + 1 if every else (group[lo:hi] == group[i]).all():
                     continue
-                end, least, longest, below = self.node(lo, hi, depth)
+                end, below = self.node(lo, hi)
                 path = self.rows[lo][depth:end]
                 overlap += int(np.count_nonzero(seen[path]))
-                ahead = len(row) - int(np.searchsorted(row, path[-1], "right")) if len(path) else len(row) - (int(np.searchsorted(row, self.rows[lo][depth - 1], "right")) if depth else 0)
-                if overlap + min(ahead, longest - end) < overlap_needed(size, least, percent):
+                if below is None:
+                    if lo != i and (block is None or block[lo] != block[i]) and overlap >= self.needed(size, int(self.sizes[lo])):
+                        yield self.at[i], self.at[lo], overlap
+                        if not every:
+                            group[group == group[lo]] = group[i]
                     continue
-                if below:
-                    stack.extend((a, b, end, overlap) for a, b in below)
-                elif lo != i and (lo > i or not every) and (block is None or block[lo] != block[i]) and overlap >= overlap_needed(size, least, percent):
-                    yield self.at[i], self.at[lo], overlap
-                    if not every:
-                        group[group == group[lo]] = group[i]
+                # what remains of either can't exceed this; spans that don't reach the overlap asked for are left
+                ahead = len(row) - int(np.searchsorted(row, self.rows[lo][end - 1], "right")) if end else len(row)
+                starts, stops, least, longest = below
+                worth = np.flatnonzero(overlap + np.minimum(ahead, longest - end) >= self.needed(size, least))
+                stack.extend((a, b, end, overlap) for a, b in zip(starts[worth].tolist(), stops[worth].tolist(), strict=True))
             seen[row] = False
 
 
@@ -133,7 +141,7 @@ def links_of(groups: DataFrame, percent: int, every: bool) -> DataFrame:
         ids, sizes = t["doc_id"].to_numpy(), t["n"].to_numpy()
         sets = [np.frombuffer(x, np.int64) for x in t["shingles"].to_pylist()]
         apart = None if t["i"][0].as_py() == t["j"][0].as_py() else t["side"].to_numpy()
-        found = list(PrefixTree(sets, sizes).links(percent, apart, every))
+        found = list(PrefixTree(sets, sizes, percent).links(apart, every))
         i, j, both = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
         return pa.table(dict(zip(names, (ids[i], ids[j], sizes[i].astype(np.int64), sizes[j].astype(np.int64), both), strict=True)))
 
@@ -145,7 +153,14 @@ def candidate_groups(sets: DataFrame, block: int) -> DataFrame:
     prefix = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
     leaders = prefix.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1")
     members = prefix.join(leaders, "shingle").select("leader", "doc_id", "n").distinct()
-    blocks = members.groupBy("leader").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # a group is left out whose members all meet in the group of one smaller leader
+    first = members.groupBy("doc_id").agg(F.min("leader").alias("first"))
+    blocks = (
+        members.join(first, "doc_id")
+        .groupBy("leader")
+        .agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"), F.min("first").alias("low"), F.max("first").alias("high"))
+        .where("size > 1 and (high = leader or low < high)")
+    )
     placed = members.join(blocks.select("leader", "blocks"), "leader").withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     met = placed.select("leader", "doc_id", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return met.select("leader", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id").join(
