@@ -257,8 +257,3 @@ def html_candidates(spark, d):
 @query("html_headings", "SELECT page_id, array_to_string(regexp_extract_all(html, '<h[1-3]>([^<]*)</h[1-3]>', 1), '|') AS headings FROM pages")
 def html_headings(spark, d):
     return b.table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("<h[1-3]>([^<]*)</h[1-3]>"), 1), "|").alias("headings"))
-
-
-@query("romanise", "WITH " + b.VOCABULARY + """ SELECT word, translate(native, '%s', '%s') AS roman FROM vocabulary""" % (b.NATIVE, b.LATIN))
-def romanise(spark, d):
-    return b.vocabulary(spark, d).select("word", F.translate("native", b.NATIVE, b.LATIN).alias("roman"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexicarta.functions import collation, text
+from lexicarta.functions import collation, legacy, text
 from lexicarta.operators import series
 from lexicarta.plans import bindings as b
 
@@ -259,3 +259,20 @@ def short_gloss(spark, d):
     meaning = F.when(F.col("pos") % 4 == 0, "??").when(F.col("pos") % 4 == 1, F.concat(w, F.lit("/alt"))).when(F.col("pos") % 4 == 2, F.concat(w, F.lit(", more"))).otherwise(w)
     rows = b.words(spark, d).where("pos < 6").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", meaning.alias("m")))).alias("ms"))
     return rows.select("doc_id", text.short_gloss(F.col("ms.m")).alias("gloss"))
+
+
+ALL2 = legacy.CONSONANTS + legacy.VOWELS + legacy.TONES + legacy.MEDIALS + legacy.PAIRS
+CASES = " ".join(f"WHEN '{t.replace(chr(39), chr(39) * 2)}' THEN '{r}'" for t, _, r in ALL2)
+
+
+@query("romanise", "WITH " + b.VOCABULARY + f""", r AS (SELECT word, array_to_string(list_transform(regexp_extract_all(word || CASE WHEN n % 2 = 0 THEN 'r~%SFg' ELSE '' END, '%S|r~|''~|.'), lambda t: CASE t {CASES} ELSE '' END), '') AS r FROM vocabulary)
+SELECT word, CASE WHEN r = '' THEN word ELSE r END AS roman FROM r""")
+def romanise(spark, d):
+    v = b.vocabulary(spark, d).select("word", F.concat("word", F.when(F.col("n") % 2 == 0, "r~%SFg").otherwise("")).alias("t"))
+    return v.select("word", legacy.romanise(F.col("t")).alias("roman"))
+
+
+@query("decode_legacy2")
+def decode_legacy2(spark, d):
+    v = b.vocabulary(spark, d).select("word", F.concat("word", F.when(F.col("n") % 2 == 0, "tFr~%SFg").otherwise("G")).alias("t"))
+    return v.select("word", legacy.decode_legacy2(F.col("t")).alias("native"))
