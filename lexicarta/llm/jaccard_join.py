@@ -22,8 +22,10 @@ from lexicarta.llm.shared import components, map_rows, shingled, word_hashes, wr
 
 #: Of the hash space, the part whose shingles are counted over all documents. More than 1 - similarity is needed.
 COUNTED = 1.35
-#: Shingles in a block of a large group.
-BLOCK = 1_000_000
+#: Shingles in a block of a large group: the bound on a task's sets.
+BLOCK = 3_000_000
+#: Ids that are broadcast at most (8 bytes each); more of them meet the texts in a sorted join.
+MOST_SENT = 1_000_000
 
 
 def allowance(n, percent: int):
@@ -194,7 +196,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, every: bool
         sets = [shingle_set(t, size) for t in texts]
         return [len(s) for s in sets], [s[: allowance(len(s), percent) + 1] for s in sets], [s.tobytes() for s in sets]
 
-    texts = docs.join(likely.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = written(likely.select(F.col("class_id").alias("doc_id")).distinct(), "likely-ids")
+    small = ids.count() <= MOST_SENT
+    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     sets = map_rows(texts, both, "n int, prefix array<long>, shingles binary").where("n > 0").select("row.doc_id", "n", "prefix", "shingles")
     sets = written(sets, "likely")
     found = links_of(candidate_groups(sets, block), percent, every)
