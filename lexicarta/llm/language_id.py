@@ -21,6 +21,8 @@ SAMPLE = 1500
 STEPS, LANGUAGES, LONGEST, PART = 3, 200, 12, 64
 #: Words after which a task's table starts anew, and a piece's count before any is seen.
 MOST_WORDS, PRIOR = 400_000, 0.05
+#: Documents whose words are counted at once in a task.
+STEP = 256
 FRONT, WORD = "▁", re.compile(r"[^\W\d_]+")
 
 
@@ -182,9 +184,9 @@ def learn(docs: DataFrame, path: str, learnt=lambda doc_id: F.lit(True)) -> Mode
 
         import pyarrow as pa
 
-        for batch in batches:
+        for part in (batch.slice(at, STEP) for batch in batches for at in range(0, batch.num_rows, STEP)):
             seen: Counter = Counter()
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 seen.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in seen], pa.string()), "word": pa.array([w for _, w in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 

@@ -24,6 +24,8 @@ SAMPLE = 20_000
 LEXICON, LEAST_DOCS, STEMS = 20_000, 4, (5, 6, 7)
 #: What an entry's likelihood ratio (G squared of documents) exceeds, beside twice the logarithm of the entries tried.
 MARGIN = 4.0
+#: Documents whose words are counted at once in a task.
+STEP = 256
 #: Words after which a task's table of scores starts anew.
 MOST_WORDS = 400_000
 #: Weight of the Dirichlet prior, in words a class.
@@ -143,20 +145,18 @@ def learn(docs: DataFrame, labels: DataFrame, learnt=lambda doc_id: F.lit(True))
         import pyarrow as pa
         from collections import Counter
 
-        for batch in batches:
-            tokens, held, seen = [Counter(), Counter()], [{}, {}], []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+        for part in (batch.slice(at, STEP) for batch in batches for at in range(0, batch.num_rows, STEP)):
+            tokens, held = [Counter(), Counter()], [Counter(), Counter()]
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                found: Counter = Counter()
                 for word, n in Counter(words_of(text)).items():
                     for entry in entries(word):
-                        tokens[toxic][entry] += n
-                        held[toxic].setdefault(entry, set()).add(len(seen))
-                seen.append(toxic)
+                        found[entry] += n
+                tokens[toxic].update(found)
+                held[toxic].update(found.keys())
             words = list(tokens[0].keys() | tokens[1].keys())
-            yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(words, pa.string())}
-                | {f"t{k}": pa.array([tokens[k][w] for w in words], pa.int64()) for k in (0, 1)}
-                | {f"d{k}": pa.array([len(held[k].get(w, ())) for w in words], pa.int64()) for k in (0, 1)}
-            )
+            columns = {f"{name}{k}": pa.array([c[k][w] for w in words], pa.int64()) for name, c in (("t", tokens), ("d", held)) for k in (0, 1)}
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string())} | columns)
 
     counted = texts.mapInArrow(count, "word string, t0 long, t1 long, d0 long, d1 long")
     counts = written(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "d0", "d1"))), "toxic-counts")
