@@ -123,7 +123,7 @@ def write_groups(df: DataFrame, path: str, group: str) -> None:
 
 
 def ingest_new(spark: SparkSession, folder: str, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines of the files of a folder that the ledger (file) doesn't have, and the ledger with all files, empty ones too."""
+    """Lines of the files of a folder that the ledger (file) doesn't have, and the ledger with those files; empty files are never listed."""
     listed = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"))
     fresh = listed.join(ledger, "file", "left_anti")
     lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("file"), "value").join(fresh, "file", "left_semi")
