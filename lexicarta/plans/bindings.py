@@ -77,7 +77,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = e.select(
         "event_id",
         F.col("user_id").alias("image"),
-        (i % 97).cast("int").alias("class_idx"),
+        (i % 2311).cast("int").alias("class_idx"),
         ((i * 7919) % 1000 / 1000.0).alias("conf"),
         ((i * 31) % 600).cast("int").alias("x1"),
         ((i * 17) % 440).cast("int").alias("y1"),
@@ -90,13 +90,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECTIONS = """detections AS (
   SELECT *, CAST(x1 + 20 + event_id % 13 AS INTEGER) AS x2, CAST(y1 + 24 + event_id % 7 AS INTEGER) AS y2 FROM (
-    SELECT event_id, user_id AS image, CAST(event_id % 97 AS INTEGER) AS class_idx, ((event_id * 7919) % 1000) / 1000.0::DOUBLE AS conf,
+    SELECT event_id, user_id AS image, CAST(event_id % 2311 AS INTEGER) AS class_idx, ((event_id * 7919) % 1000) / 1000.0::DOUBLE AS conf,
       CAST((event_id * 31) % 600 AS INTEGER) AS x1, CAST((event_id * 17) % 440 AS INTEGER) AS y1, event_type, ts, value FROM events))"""
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(class_idx, name): classes named after parts (base, optional medial, vowel or tone), 90 of the 97."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 90")
+    """(class_idx, name): classes named after parts (base, optional medial, vowel or tone); detections have others too."""
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     name = F.concat_ws("_", F.element_at(F.split("p_name", " "), 1), F.when(k % 3 == 0, F.lit("medya")), F.when(k % 4 != 0, F.element_at(F.split("p_name", " "), 2)), F.concat(F.lit("t"), (k % 6).cast("string")))
     return p.select(k.cast("int").alias("class_idx"), name.alias("name"))
@@ -104,7 +104,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLASSES = """classes AS (
   SELECT CAST(p_partkey AS INTEGER) AS class_idx, concat_ws('_', split_part(p_name, ' ', 1), CASE WHEN p_partkey % 3 = 0 THEN 'medya' END,
-    CASE WHEN p_partkey % 4 <> 0 THEN split_part(p_name, ' ', 2) END, 't' || CAST(p_partkey % 6 AS VARCHAR)) AS name FROM part WHERE p_partkey < 90)"""
+    CASE WHEN p_partkey % 4 <> 0 THEN split_part(p_name, ' ', 2) END, 't' || CAST(p_partkey % 6 AS VARCHAR)) AS name FROM part)"""
 
 
 def labels_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +112,12 @@ def labels_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     o = F.col("l_orderkey")
     split = F.when(o % 20 < 14, "train").when(o % 20 < 17, "valid").otherwise("test")
-    return li.select(split.alias("split"), o.alias("stem"), F.col("l_linenumber").cast("int").alias("line_no"), (F.col("l_partkey") % 97).cast("int").alias("class_idx"))
+    return li.select(split.alias("split"), o.alias("stem"), F.col("l_linenumber").cast("int").alias("line_no"), F.col("l_partkey").cast("int").alias("class_idx"))
 
 
 LABELS_TXT = """labels_txt AS (
   SELECT CASE WHEN l_orderkey % 20 < 14 THEN 'train' WHEN l_orderkey % 20 < 17 THEN 'valid' ELSE 'test' END AS split, l_orderkey AS stem,
-    CAST(l_linenumber AS INTEGER) AS line_no, CAST(l_partkey % 97 AS INTEGER) AS class_idx FROM lineitem)"""
+    CAST(l_linenumber AS INTEGER) AS line_no, CAST(l_partkey AS INTEGER) AS class_idx FROM lineitem)"""
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def class_list_check(spark, d):
     return ops.class_list_check(b.table(spark, d, "part").select(F.col("p_partkey").alias("class_idx"), F.col("p_name").alias("name")), 90, 42)
 
 
-@query("class_from_labels", "WITH " + b.IMAGES + ", " + b.LABELS_TXT + """, f AS (SELECT split, stem, arg_min(class_idx, line_no * 1000 + class_idx) AS class_idx FROM labels_txt GROUP BY split, stem)
+@query("class_from_labels", "WITH " + b.IMAGES + ", " + b.LABELS_TXT + """, f AS (SELECT split, stem, arg_min(class_idx, line_no * 10000000 + class_idx) AS class_idx FROM labels_txt GROUP BY split, stem)
 SELECT class_idx, arg_max(regexp_extract(file, '^(.*)_[A-Za-z0-9]{8}\\.', 1), file) AS name, count(*) AS files FROM f JOIN images i ON f.split = i.split AND f.stem = i.stem GROUP BY class_idx""")
 def class_from_labels(spark, d):
     return ops.class_from_labels(b.labels_txt(spark, d), b.images(spark, d))

@@ -57,24 +57,30 @@ def inject_labels(spark, d):
     return b.entries(spark, d).select("pos", ops.inject_labels(t, labels).alias("labelled"))
 
 
-def segments():
-    """The first words of a definition as segments, of one kind and another."""
-    ws = F.slice(F.array_distinct(F.split(F.col("definitions")[0], " ")), 1, 3)
+def terms_of(e):
+    """(pos, term): the words of all definitions."""
+    return e.select("pos", F.explode(F.split(F.array_join("definitions", " "), " ")).alias("term")).distinct()
+
+
+def segments(definition):
+    """The first words of a definition as its segments, of one kind and another."""
+    ws = F.slice(F.array_distinct(F.split(definition, " ")), 1, 3)
     return F.transform(ws, lambda w, i: F.struct(w.alias("text"), F.when(i % 2 == 0, "xref").otherwise("example").alias("kind")))
 
 
 @query("highlight_segments")
 def highlight_segments(spark, d):
-    return b.entries(spark, d).select("pos", ops.highlight_segments(F.col("definitions")[0], segments()).alias("html"))
+    rows = b.entries(spark, d).select("pos", F.posexplode("definitions").alias("line", "t"))
+    return rows.select("pos", "line", ops.highlight_segments(F.col("t"), segments(F.col("t"))).alias("html"))
 
 
 @query("view_entries")
 def view_entries(spark, d):
     e = b.entries(spark, d)
     labels = F.array(F.struct(F.lit("1").alias("number"), F.lit("noun").alias("label")))
-    shown = e.select("pos", "karen", ops.highlight_segments(ops.inject_labels(F.concat(F.lit("1. "), F.col("definitions")[0]), labels), segments()).alias("html"), F.array_distinct("definitions").alias("tabs"))
-    terms = e.select("pos", F.explode(F.slice(F.split(F.col("definitions")[0], " "), 1, 4)).alias("term")).distinct()
-    links = ops.link_headwords(e, terms).groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("term", "target"))).alias("links"))
+    html = F.transform("definitions", lambda t: ops.highlight_segments(ops.inject_labels(F.concat(F.lit("1. "), t), labels), segments(t)))
+    shown = e.select("pos", "karen", F.array_join(html, "\n").alias("html"), F.array_distinct("definitions").alias("tabs"))
+    links = ops.link_headwords(e, terms_of(e)).groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("term", "target"))).alias("links"))
     return shown.join(links, "pos", "left").select("pos", "karen", "html", F.size("tabs").alias("n_tabs"), F.to_json("links").alias("links"))
 
 
@@ -170,13 +176,12 @@ def skip_processed(spark, d):
     return e.join(e.where("pos % 2 = 0").select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("link_headwords", WITH + """, t AS (SELECT DISTINCT pos, unnest(list_slice(string_split(definitions[1], ' '), 1, 5)) AS term FROM entries),
+@query("link_headwords", WITH + """, t AS (SELECT DISTINCT pos, unnest(string_split(array_to_string(definitions, ' '), ' ')) AS term FROM entries),
 best AS (SELECT karen, min(pos) AS target FROM entries GROUP BY karen)
 SELECT t.pos, t.term, best.target FROM t JOIN best ON t.term = best.karen""")
 def link_headwords(spark, d):
     e = b.entries(spark, d)
-    terms = e.select("pos", F.explode(F.slice(F.split(F.col("definitions")[0], " "), 1, 5)).alias("term")).distinct()
-    return ops.link_headwords(e, terms)
+    return ops.link_headwords(e, terms_of(e))
 
 
 @query("first_headword", WITH + ", r AS (SELECT *, row_number() OVER (PARTITION BY karen ORDER BY flag DESC, pos) AS n FROM entries) SELECT karen, pos, flag FROM r WHERE n = 1")

@@ -63,14 +63,16 @@ def lookup_cascade(spark, d):
 
 
 def syllable_texts(spark, d):
-    """(doc_id, syllables): the first line of each document as native syllables."""
-    line = F.translate(F.lower(F.substring_index("text", "\n", 1)), b.LATIN, b.NATIVE)
-    return b.table(spark, d, "documents").select("doc_id", text.split_syllables(line).alias("syllables"))
+    """(doc_id, syllables): each document as native syllables."""
+    return b.table(spark, d, "documents").select("doc_id", text.split_syllables(F.translate(F.lower("text"), b.LATIN, b.NATIVE)).alias("syllables"))
 
 
 SYL_SQL = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace({t}, '[^က-႟]+', ' ', 'g'), '([" + text.CONSONANTS + "])', ' \\1', 'g')), ' '), lambda x: x <> ''), ' ')"
-SYLLABLES = f""", t0 AS (SELECT doc_id, translate(lower(split_part(text, chr(10), 1)), '{b.LATIN}', '{b.NATIVE}') AS t FROM documents),
-sy AS (SELECT doc_id, list_filter(string_split({SYL_SQL.format(t='t')}, ' '), lambda x: x <> '') AS s FROM t0)"""
+SYLLABLES = f""", t0 AS (SELECT doc_id, translate(lower(text), '{b.LATIN}', '{b.NATIVE}') AS t FROM documents),
+sl AS (SELECT doc_id, list_filter(string_split({SYL_SQL.format(t='t')}, ' '), lambda x: x <> '') AS s FROM t0),
+sy AS (SELECT doc_id, unnest(s) AS s1, unnest(range(len(s))) AS st FROM sl),
+g0 AS (SELECT doc_id, st, s1, lead(s1) OVER w AS s2, lead(s1, 2) OVER w AS s3 FROM sy WINDOW w AS (PARTITION BY doc_id ORDER BY st)),
+g AS (SELECT doc_id, st, 1 AS n, s1 AS chunk FROM g0 UNION ALL SELECT doc_id, st, 2, s1 || s2 FROM g0 WHERE s2 IS NOT NULL UNION ALL SELECT doc_id, st, 3, s1 || s2 || s3 FROM g0 WHERE s3 IS NOT NULL)"""
 
 
 def connectors(spark):
@@ -84,14 +86,13 @@ CONNECTORS = {"တံ": 1, "တ": 1, "ဒ": 1, "ကါ": 1, "ဒါတ": 2, "ပ
 CONN = "conn(connector, size) AS (VALUES ('တံ', 1), ('တ', 1), ('ဒ', 1), ('ကါ', 1), ('ဒါတ', 2), ('ပါတံ', 2))"
 
 
-@query("connector_spans", "WITH " + CONN + SYLLABLES + """, i AS (SELECT doc_id, s, unnest(range(len(s))) AS st FROM sy), g AS (SELECT doc_id, st, n, array_to_string(list_slice(s, st + 1, st + n), '') AS chunk FROM i, (VALUES (1), (2)) v(n) WHERE st + n <= len(s))
+@query("connector_spans", "WITH " + CONN + SYLLABLES + """
 SELECT doc_id, CAST(st AS INTEGER) AS start, CAST(st + n AS INTEGER) AS "end", connector FROM g JOIN conn ON chunk = connector AND n = size""")
 def connector_spans(spark, d):
     return ops.connector_spans(syllable_texts(spark, d), connectors(spark))
 
 
-@query("chunk_candidates", "WITH x AS (SELECT 1)" + SYLLABLES + """, i AS (SELECT doc_id, s, unnest(range(len(s))) AS st FROM sy), g AS (SELECT doc_id, st, st + n AS en, array_to_string(list_slice(s, st + 1, st + n), '') AS chunk FROM i, (VALUES (1), (2), (3)) v(n) WHERE st + n <= len(s))
-SELECT chunk, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY chunk""")
+@query("chunk_candidates", "WITH x AS (SELECT 1)" + SYLLABLES + " SELECT chunk, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY chunk")
 def chunk_candidates(spark, d):
     return ops.chunk_candidates(syllable_texts(spark, d), 3).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
@@ -120,8 +121,8 @@ def unresolved(spark, d):
 @query("translate_text")
 def translate_text(spark, d):
     """Lines by direction: native ones segmented, others composed from known terms."""
-    lines = b.lines(spark, d).where("line_no < 2").withColumn("t", F.when(F.col("line_no") == 1, F.translate(F.lower("raw"), b.LATIN, b.NATIVE)).otherwise(F.col("raw")))
-    lines = lines.withColumn("direction", text.detect_direction(F.col("t"))).withColumn("id", F.col("file") * 2 + F.col("line_no"))
+    lines = b.lines(spark, d).withColumn("t", F.when(F.col("line_no") % 2 == 1, F.translate(F.lower("raw"), b.LATIN, b.NATIVE)).otherwise(F.col("raw")))
+    lines = lines.withColumn("direction", text.detect_direction(F.col("t"))).withColumn("id", F.col("file") * 1_000_000 + F.col("line_no"))
     native = lines.where("direction = 'ksw-to-en'").select(F.col("id").alias("doc_id"), text.split_syllables(F.col("t")).alias("syllables"))
     parsed = ops.segment_greedy(native, lexicon(spark, d), 6).select(F.col("doc_id").alias("id"), text.short_gloss(F.col("parts.meaning")).alias("result"))
     asked = lines.where("direction = 'en-to-ksw'").select("id", text.normalise_english(F.col("t")).alias("normal"), text.split_tokens(F.col("t")).alias("tokens"))
@@ -146,11 +147,11 @@ def compose(spark, d):
     return ops.compose(q, phrases(spark, d), known(spark, d))
 
 
-@query("token_lookup", "WITH " + b.WORDS + ", " + KNOWN + f""", f AS (SELECT doc_id, word, min(pos) AS pos FROM words WHERE pos < 60 AND length(word) >= 2 AND word NOT IN ({listed(text.STOPWORDS)}) GROUP BY doc_id, word),
+@query("token_lookup", "WITH " + b.WORDS + ", " + KNOWN + f""", f AS (SELECT doc_id, word, min(pos) AS pos FROM words WHERE length(word) >= 2 AND word NOT IN ({listed(text.STOPWORDS)}) GROUP BY doc_id, word),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS place FROM f)
 SELECT doc_id AS id, word AS token, place, CASE WHEN token IS NOT NULL THEN 'known' WHEN length(word) > 12 THEN 'context only' ELSE 'look up' END AS decision FROM r LEFT JOIN known ON word = token WHERE place < 18""")
 def token_lookup(spark, d):
-    q = b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), 1, 60).alias("tokens"))
+    q = b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("tokens"))
     return ops.token_lookup(q, known(spark, d))
 
 

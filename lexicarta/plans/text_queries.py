@@ -252,12 +252,12 @@ def content_bounds(spark, d):
 SHORT = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
-@query("short_gloss", "WITH " + b.WORDS + """, m AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '??' WHEN 1 THEN word || '/alt' WHEN 2 THEN word || ', more' ELSE word END AS m FROM words WHERE pos < 6)
+@query("short_gloss", "WITH " + b.WORDS + """, m AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '??' WHEN 1 THEN word || '/alt' WHEN 2 THEN word || ', more' ELSE word END AS m FROM words)
 SELECT doc_id, coalesce(string_agg(trim(split_part(split_part(m, '/', 1), ',', 1)), ' ' ORDER BY pos) FILTER (WHERE m <> '??'), 'unresolved') AS gloss FROM m GROUP BY doc_id""")
 def short_gloss(spark, d):
     w = F.col("word")
     meaning = F.when(F.col("pos") % 4 == 0, "??").when(F.col("pos") % 4 == 1, F.concat(w, F.lit("/alt"))).when(F.col("pos") % 4 == 2, F.concat(w, F.lit(", more"))).otherwise(w)
-    rows = b.words(spark, d).where("pos < 6").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", meaning.alias("m")))).alias("ms"))
+    rows = b.words(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", meaning.alias("m")))).alias("ms"))
     return rows.select("doc_id", text.short_gloss(F.col("ms.m")).alias("gloss"))
 
 
