@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from lexicarta.llm.shared import map_rows
 
 #: Entries after which a task's dictionary of chunks starts anew.
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 250_000
 #: Cells of a block of trees.
 BLOCK = 1 << 20
 NONE = np.iinfo(np.int64).max

@@ -20,7 +20,7 @@ SAMPLE = 1500
 #: Steps of expectation-maximisation, languages at most, letters of a piece, letters of a word scored at once.
 STEPS, LANGUAGES, LONGEST, PART = 3, 200, 12, 64
 #: Words after which a task's table starts anew, and a piece's count before any is seen.
-MOST_WORDS, PRIOR = 400_000, 0.05
+MOST_WORDS, PRIOR = 200_000, 0.05
 #: Documents whose words are counted at once in a task.
 STEP = 256
 FRONT, WORD = "▁", re.compile(r"[^\W\d_]+")

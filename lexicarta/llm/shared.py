@@ -64,7 +64,7 @@ def map_rows(df: DataFrame, fn, fields: str, text: str = "text", rows: int = 256
 class WordHashes(dict):
     """64-bit hashes of words as bytes, kept up to a number of words."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -27,7 +27,7 @@ MARGIN = 4.0
 #: Documents whose words are counted at once in a task.
 STEP = 256
 #: Words after which a task's table of scores starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 #: Weight of the Dirichlet prior, in words a class.
 PRIOR = 1000.0
 WORD = re.compile(r"[^\W\d_]+")
