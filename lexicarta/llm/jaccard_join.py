@@ -3,7 +3,8 @@
 1. Each text becomes its set of shingle hashes. Texts of one set are one class.
 2. A set that links shares all but few of its shingles with some other set.
    Shingles in a fixed fifth of the hash space are counted over all documents;
-   classes with more shingles of their own than a link leaves are out.
+   classes with more shingles of their own than a link leaves are out. All
+   shingles of those that are left are then counted among them likewise.
 3. The others' prefixes (the lowest hashes, one of which each linked pair has
    in common) go to groups: that of the smallest document with that shingle in
    its prefix. Large groups are cut into blocks, and pairs of blocks meet.
@@ -136,12 +137,14 @@ class PrefixTree:
 def links_of(groups: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b, n_a, n_b, both) of linked documents among the rows (leader, i, j, side, doc_id, n, shingles) of each (leader, i, j)."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = ["a", "b", "n_a", "n_b", "both"]
 
     def solve(t: pa.Table) -> pa.Table:
         ids, sizes = t["doc_id"].to_numpy(), t["n"].to_numpy()
-        sets = [np.frombuffer(x, np.int64) for x in t["shingles"].to_pylist()]
+        lists = t["shingles"].combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
         apart = None if t["i"][0].as_py() == t["j"][0].as_py() else t["side"].to_numpy()
         found = list(PrefixTree(sets, sizes, percent).links(apart, every))
         i, j, both = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
@@ -150,6 +153,18 @@ def links_of(groups: DataFrame, percent: int, every: bool) -> DataFrame:
     return groups.groupBy("leader", "i", "j").applyInArrow(solve, "a long, b long, n_a long, n_b long, both long")
 
 
+def own_shingles(counted: DataFrame, key: str) -> DataFrame:
+    """(key, own): how many of the shingles (key, shingle) of each key no other key has. Copies under one key count once."""
+    alone = counted.groupBy("shingle").agg(F.min(key).alias(key), F.max(key).alias("other")).where(f"{key} = other")
+    return alone.groupBy(key).agg(F.count(F.lit(1)).alias("own"))
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with one of the ids (key), which are broadcast while they are few."""
+    ids = written(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, key, "left_semi")
+
+
 def candidate_groups(sets: DataFrame, block: int) -> DataFrame:
     """(leader, i, j, side, doc_id, n, shingles): each linked pair of sets meets in a group, blocks of which hold so many shingles."""
     prefix = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
@@ -187,20 +202,19 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, every: bool
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
     )
     counted = marked.where("doc_id is not null").select("h1", F.explode("low").alias("shingle"))
-    alone = counted.groupBy("shingle").agg(F.min("h1").alias("h1"), F.max("h1").alias("other")).where("h1 = other")
-    # a set with more shingles of its own than a link leaves is out; copies count their shingles once
-    own = alone.groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
-    likely = classes.join(own, "h1", "left").where(f"coalesce(own, 0) <= n * {100 - percent} div 100")
+    likely = classes.join(own_shingles(counted, "h1"), "h1", "left").where(f"coalesce(own, 0) <= n * {100 - percent} div 100")
+    texts = among(docs, likely.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id")
 
     def both(texts):
         sets = [shingle_set(t, size) for t in texts]
-        return [len(s) for s in sets], [s[: allowance(len(s), percent) + 1] for s in sets], [s.tobytes() for s in sets]
-
-    ids = written(likely.select(F.col("class_id").alias("doc_id")).distinct(), "likely-ids")
-    small = ids.count() <= MOST_SENT
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = map_rows(texts, both, "n int, prefix array<long>, shingles binary").where("n > 0").select("row.doc_id", "n", "prefix", "shingles")
-    sets = written(sets, "likely")
+        return [len(s) for s in sets], sets
+
+    sets = map_rows(texts, both, "n int, shingles array<long>").where("n > 0").select("row.doc_id", "n", "shingles")
+    sets = written(sets.withColumn("set_id", F.xxhash64("shingles")), "likely")
+    # the same again with all shingles of those that are left: most of them are near copies now
+    counted = sets.select("set_id", F.explode("shingles").alias("shingle"))
+    nearly = sets.select("set_id", "n").join(own_shingles(counted, "set_id"), "set_id", "left").where(f"coalesce(own, 0) <= n * {100 - percent} div 100")
+    sets = among(sets, nearly.select("set_id").distinct(), "set_id").withColumn("prefix", F.expr(f"slice(shingles, 1, n * {100 - percent} div 100 + 1)"))
     found = links_of(candidate_groups(sets, block), percent, every)
     if every:
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("n_a"), F.expr("if(a < b, n_b, n_a)").alias("n_b"), "both").distinct()
