@@ -4,7 +4,8 @@ Windows of each item's length in words slide over each document. Those whose shi
 asked for (they hold enough shingles of any item; a window without can't) get a SimHash. Fingerprints are cut into
 blocks: two that differ in RADIUS bits at most differ little in some block, so an index of the items' blocks, with
 all values that near, finds every item within the radius. The exact similarity of the shingles, weighted by how
-often each occurs, decides.
+often each occurs, decides. A document of fewer words than an item is one window, and meets by the exact similarity
+alone every such item that it shares enough shingles with.
 """
 
 from itertools import combinations
@@ -27,8 +28,8 @@ MATCHES = "array<struct<item_id:long,similarity:double,start_word:long,n_words:l
 NEAR = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BITS), n)]
 
 
-def enough(n: int, similarity: float) -> int:
-    """Shingles that windows of n shingles each must have in common."""
+def enough(n: float, similarity: float) -> int:
+    """Shingles that two windows must have in common which hold n shingles each, or on average."""
     return int(np.ceil(2 * n * similarity / (1 + similarity) - 1e-9))
 
 
@@ -59,7 +60,7 @@ class ItemIndex:
 
     def __init__(self, words: int, ids: list[int], hashes: list[np.ndarray], similarity: float):
         self.words, self.ids, self.size = words, ids, min(SHINGLE, words)
-        self.sets = [shingled(h, SHINGLE) for h in hashes]
+        self.sets = np.stack([shingled(h, SHINGLE) for h in hashes])
         self.width = words - self.size + 1
         self.need = enough(self.width, similarity)
         marks = np.concatenate([window_marks(s, self.width) for s in self.sets])
@@ -107,6 +108,10 @@ class Benchmark:
                 if index.size == size and len(words) >= index.words:
                     starts = np.flatnonzero(held[index.width :] - held[: -index.width] >= index.need)
                     self.verify(index, shingles, starts, best)
+                elif index.size == size:
+                    need = enough((len(shingles) + index.width) / 2, self.similarity)
+                    if held[-1] >= need:
+                        self.verify_whole(index, shingles, need, len(words), best)
         return [{"item_id": i, "similarity": s, "start_word": a, "n_words": n} for i, (s, a, n) in sorted(best.items())]
 
     def verify(self, index: ItemIndex, shingles: np.ndarray, starts: np.ndarray, best: dict) -> None:
@@ -120,11 +125,20 @@ class Benchmark:
                 if worth >= self.similarity and worth > best.get(item, (0,))[0]:
                     best[item] = (worth, at, index.words)
 
+    def verify_whole(self, index: ItemIndex, shingles: np.ndarray, need: int, n_words: int, best: dict) -> None:
+        """A document shorter than the items of index, as one window, against those with enough of its shingles."""
+        own = np.unique(shingles)
+        common = own[np.minimum(np.searchsorted(own, index.sets), len(own) - 1)] == index.sets
+        for i in np.flatnonzero(common.sum(1) >= need):
+            worth, item = weighted_similarity(shingles, index.sets[i]), index.ids[i]
+            if worth >= self.similarity and worth > best.get(item, (0,))[0]:
+                best[item] = (worth, 0, n_words)
+
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(row, matches) of each row of docs: matches is an array of (item_id, similarity, start_word, n_words), by item_id.
 
-    Of each item the most similar window comes, the first of equals. Words are lower-cased A-Z and cut at ASCII white space.
+    Of each item the most similar window comes, the first of equals; a text shorter than the item is one window. Words are lower-cased A-Z and cut at ASCII white space.
     Items without an id, text or words match nothing, and neither do null texts; items of fewer words than a shingle
     count as one. Of items that repeat an id each row counts. A benchmark of more than PASS_WORDS words takes more
     than one pass over the documents, each row meeting all items.

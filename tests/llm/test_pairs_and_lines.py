@@ -224,6 +224,36 @@ def test_decontaminate_by_hand(spark):
     assert decontaminate(docs_of(spark, rows), benchmark.limit(0)).where(F.size("matches") > 0).count() == 0
 
 
+def shorter_by_hand(rows, items, similarity=0.8):
+    """Similarity of each document, as one window, to the items of more words."""
+    out = {}
+    for i, text in rows:
+        for item, passage in items:
+            words, want = word_hashes(text), word_hashes(passage)
+            if 0 < len(words) < len(want):
+                s = weighted_similarity(shingled(words, 5), shingled(want, 5))
+                if s >= similarity:
+                    out[i, item] = s
+    return out
+
+
+def test_decontaminate_documents_shorter_than_items(spark):
+    rng = random.Random(12)
+    words = [f"c{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([3, 9, 20, 38, 60])))) for k in range(40)] + [(60, "z z z z z z z z z z")]
+    items += [(61, items[30][1] + " and one more")]
+    rows = [(1, ""), (2, None), (3, "z " * 9), (4, "z " * 6)]
+    for k, passage in items:
+        held = passage.split()
+        for cut in range(1, min(len(held), 14)):
+            rows += [(1000 * (k + 1) + 2 * cut, " ".join(held[cut:]).upper()), (1000 * (k + 1) + 2 * cut + 1, " ".join(held[:-cut]))]
+    out = decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.row.doc_id, m.item_id): m.similarity for r in out for m in r.matches}
+    short = shorter_by_hand(rows, items)
+    assert len(short) > 100 and got == pytest.approx(contaminated_by_hand(rows, items) | short)
+    assert {(m.start_word, m.n_words) for r in out for m in r.matches if r.row.doc_id == 3} == {(0, 9)}
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(2)
     hashes = [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(20)]
