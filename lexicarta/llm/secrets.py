@@ -6,6 +6,7 @@ identifiers as its dictionary; strings that hardly compress against those are re
 """
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Words that make a context sensitive, and what candidates look like.
 SENSITIVE = re.compile(r"(?ia)passw|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Identifiers that code and configuration repeat, for the dictionary.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key client_id client_secret authorization bearer "
@@ -28,7 +30,7 @@ IDENTIFIERS = (
     "public static void String Integer Exception class extends implements interface self.assertEqual __init__ "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxx "
 )
-#: Code points after a sensitive word in which candidates count, text around one in the dictionary, and novelty in bytes a character.
+#: Code points after a sensitive word in which candidates may start, text around one in the dictionary, and novelty in bytes a character.
 REACH, AROUND, NOVELTY = 64, 256, 0.55
 
 
@@ -54,19 +56,26 @@ def mixed(s: str) -> bool:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, novelty) of incompressible candidates that no base span covers."""
-    out, seen = [], set()
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.start(), min(len(text), m.end() + REACH + 4096)):
-            if c.start() > m.end() + REACH:
-                break
-            span = c.span()
-            if span in seen or not mixed(c[0]) or any(a < span[1] and span[0] < b for a, _, b in taken):
+    """(start, kind, end, novelty) of incompressible candidates that no base span covers.
+
+    A candidate is an unbroken string of any length that starts within reach of a sensitive word or holds one, at most
+    one span each; only if it isn't novel as a whole (or meets a base span) is it tried from the words inside it on.
+    """
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    starts, out = [a for a, _ in words], []
+    for c in CANDIDATE.finditer(text) if words else ():
+        first, end = c.span()
+        n = bisect_right(starts, first)
+        inside = starts[n : bisect_right(starts, end - SHORTEST)]
+        if not inside and not (n and first <= words[n - 1][1] + REACH):
+            continue
+        for at in (first, *inside):
+            if not mixed(text[at:end]) or any(a < end and at < b for a, _, b in taken):
                 continue
-            seen.add(span)
-            worth = novelty(c[0][:4096], text[max(0, span[0] - AROUND) : span[0]] + text[span[1] : span[1] + AROUND])
+            worth = novelty(text[at:end], text[max(0, at - AROUND) : at] + text[end : end + AROUND])
             if worth >= NOVELTY:
-                out.append((span[0], 3, span[1], worth))
+                out.append((at, 3, end, worth))
+                break
     return out
 
 

@@ -105,6 +105,15 @@ def test_novel_secrets(spark):
     assert got == {0: f"novel:{at}:{at + len(key)}", 1: "", 2: "", 3: ""}
 
 
+def test_novel_secrets_to_their_end(spark):
+    rng = random.Random(4)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(9000))
+    texts = [f"private key {key} stays", f"the credential and the private key are {key} here", f"private key of {'x ' * 20}{key}", f"{key[:700]}token{key[700:]} end", f"private key {'y ' * 60}{key}"]
+    got = {r.doc_id: r.s for r in scan_secrets(docs_of(spark, texts)).select("row.doc_id", joined_spans(F.col("spans")).alias("s")).collect()}
+    whole = {i: f"novel:{texts[i].index(key[:700])}:{texts[i].index(key[-700:]) + 700}" for i in range(4)}
+    assert got == whole | {4: ""}
+
+
 def test_maximal_segments_by_hand():
     rng = random.Random(5)
     for _ in range(200):
