@@ -1,6 +1,6 @@
 """Grids of labels and sampling plans."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,14 +32,21 @@ def syllable_grid(spark: SparkSession, bases: list[str], medials: list[str], vow
 def sample_paragraphs(ids: DataFrame, words: DataFrame, seed: int) -> DataFrame:
     """(id, text) of each id: 2 to 4 lines of 4 to 9 words drawn with replacement.
 
-    Words are numbered in a fixed order; each drawn number is a hash of the seed, the id, the line and the place.
+    All distinct words are numbered in a fixed order, by a hash's bucket and the word; each drawn number is a hash of
+    the seed, the id, the line and the place, modulo their count.
     """
     buckets = 4096
-    h = lambda *xs: F.pmod(F.xxhash64(F.lit(seed), *xs), F.lit(2**31))
+    full = lambda *xs: F.xxhash64(F.lit(seed), *xs)
+    h = lambda *xs: F.pmod(full(*xs), F.lit(2**31))
     lines = ids.select("id", F.explode(F.sequence(F.lit(1), (2 + h("id") % 3).cast("int"))).alias("line"))
     places = lines.select("id", "line", F.explode(F.sequence(F.lit(1), (4 + h("id", "line") % 6).cast("int"))).alias("place"))
-    drawn = places.withColumn("bucket", (h("id", "line", "place") % buckets).cast("int"))
-    pool = words.withColumn("bucket", (h("native") % buckets).cast("int")).groupBy("bucket").agg(F.min("native").alias("word"))
-    rows = drawn.join(pool, "bucket")
+    pool = words.where(F.col("native").isNotNull()).select(F.col("native").alias("word")).distinct().withColumn("bucket", (h("word") % buckets).cast("int"))
+    sizes = pool.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # at most a row for each bucket
+    below = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("below"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
+    numbered = pool.withColumn("at", place).join(F.broadcast(below), "bucket").select((F.col("below") + F.col("at") - 1).alias("number"), "word")
+    total = F.broadcast(sizes.agg(F.sum("n").alias("total")))
+    drawn = places.crossJoin(total).withColumn("number", F.pmod(full("id", "line", "place"), F.col("total")))
+    rows = drawn.join(numbered, "number")
     text = rows.groupBy("id", "line").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "word")))["word"], " ").alias("t"))
     return text.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line", "t")))["t"], "\n").alias("text"))

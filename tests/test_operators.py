@@ -162,6 +162,18 @@ def test_syllable_grid_sizes(spark):
     assert grid.where("class_id = 61").first().label == "b1_v0_t1"
 
 
+def test_sample_paragraphs_draw_from_all_words(spark):
+    ids = spark.range(4000)
+    for n, least in ((1, 1), (3, 3), (12000, 11900)):
+        words = spark.range(n).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("native"))
+        out = generate.sample_paragraphs(ids, words.unionByName(words).unionByName(spark.sql("select string(null) as native")), 7).collect()
+        lines = [line.split(" ") for r in out for line in r.text.split("\n")]
+        assert sorted(r.id for r in out) == list(range(4000))
+        assert {len(r.text.split("\n")) for r in out} == {2, 3, 4} and {len(x) for x in lines} == {4, 5, 6, 7, 8, 9}
+        drawn = {w for x in lines for w in x}
+        assert least <= len(drawn) and drawn <= {f"w{k}" for k in range(n)}
+
+
 # --- lexicon
 
 
