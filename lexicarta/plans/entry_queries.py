@@ -101,7 +101,7 @@ def safe_name(spark, d):
 @query("parse_model_output")
 def parse_model_output(spark, d):
     e = b.entries(spark, d)
-    item = F.to_json(F.array(F.struct("karen", F.slice("definitions", 1, 2).alias("definitions"))))
+    item = F.to_json(F.array(F.struct("karen", "definitions")))
     k = F.col("pos") % 5
     raw = F.when(k == 0, item).when(k == 1, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k == 2, F.concat(F.lit('{"entries": '), item, F.lit("}"))).when(k == 3, F.concat(F.lit("Here they are: "), item, F.lit(" as asked"))).otherwise("nothing found")
     return ops.parse_model_output(e.select(F.col("pos").alias("request_id"), raw.alias("raw")))

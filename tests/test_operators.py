@@ -60,6 +60,15 @@ def test_model_output(spark):
     assert [r.error is None for r in out] == [True] * 4 + [False] * 3
 
 
+def test_model_output_query_keeps_all_definitions(spark, tmp_path):
+    from lexicarta.plans.entry_queries import QUERIES
+
+    texts = [(i, "k\n" + "\n".join(f"line {j}" for j in range(i + 3)), "s") for i in range(4)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.request_id: "\n".join(r.definitions) for r in QUERIES["parse_model_output"](spark, str(tmp_path)).collect()}
+    assert got == {i: t for i, t, _ in texts}
+
+
 def test_relations(spark):
     rows = [(0, "k", ["from old; see here", "see there. from new", "see here"], 1, False, "s", "headword")]
     got = {r.field: r.found for r in entry_ops.relations(entry_rows(spark, rows)).collect()}
