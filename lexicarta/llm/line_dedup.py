@@ -1,10 +1,11 @@
 """Line dedup: repeated lines go from all documents but one, as keep bitmaps.
 
-Lines become 128-bit hashes, range-partitioned by (hash, document) and sorted
-by document, largest first, and position. Partitions stream one row for each
-hash and document, so a line that a third of all documents hold spreads over
-as many partitions as it needs; each sends on one (count, first document) row
-for each hash. Only built-in functions run; texts never leave their rows.
+Lines become 128-bit hashes, range-partitioned by (hash, document), so a line
+that a third of all documents hold spreads over as many partitions as it needs.
+A hash aggregation in those partitions, not a stream of sorted rows, leaves one
+row for each hash and document, and a second one (count, largest document) for
+each hash; the sort inside partitions has no part in the result, and Spark may
+drop it. Only built-in functions run; texts never leave their rows.
 """
 
 from pyspark.sql import DataFrame
