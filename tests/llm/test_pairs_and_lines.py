@@ -175,6 +175,20 @@ def test_top_k_by_hand(spark):
     assert got == top_by_hand([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5, 50)
 
 
+def test_top_k_of_several_pivots(spark, monkeypatch):
+    from lexicarta.llm import knn_join
+
+    monkeypatch.setattr(knn_join, "QUERIES_A_PIVOT", 4)
+    used, bounds = [], knn_join.group_bounds
+    monkeypatch.setattr(knn_join, "group_bounds", lambda *a: used.append((len(a[2]), bounds(*a))) or bounds(*a))
+    rng = random.Random(14)
+    centres = [[rng.uniform(-4, 4) for _ in range(4)] for _ in range(6)]
+    rows = [(i, [round(x + rng.uniform(-0.2, 0.2), 2) for x in rng.choice(centres)]) for i in range(240)]
+    got = {tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 5).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == top_by_hand([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5, 5)
+    assert used[0][0] > 3 and any(np.isfinite(x) for x in used[0][1].values())
+
+
 def test_top_k_small_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     assert top_k(spark.createDataFrame([], schema)).count() == 0
