@@ -187,11 +187,17 @@ def learn(docs: DataFrame, labels: DataFrame, learnt=lambda doc_id: F.lit(True))
     law = best.where("row.toxic = 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-scale * F.col("best")))).first()
     model.rate = law[0] / law[1] if law[1] else 1.0
     seen = map_rows(texts, lambda ts: [[evidence(t, model) for t in ts]], "evidence double")
-    bins = seen.groupBy(F.round("evidence", 1).alias("x"), F.col("row.toxic").alias("y")).agg(F.sum("row.weight").alias("w")).orderBy("x", "y").limit(10_000).collect()
-    model.bias, model.slope = logistic([(r.x, r.y, r.w) for r in bins])
+    model.bias, model.slope = logistic(evidence_bins(seen.select("evidence", "row.toxic", "row.weight")))
     return model
 
 
+def evidence_bins(seen: DataFrame) -> list[tuple[float, int, float]]:
+    """(evidence, toxic, weight) of all rows: sqrt(evidence) in steps of 0.01, bins with their mean, all beyond 100 in the last one."""
+    root = F.sqrt(F.greatest("evidence", F.lit(0.0)))
+    bins = seen.groupBy(F.least(F.round(root * 100), F.lit(10_000.0)).alias("bin"), "toxic").agg((F.sum(root * F.col("weight")) / F.sum("weight")).alias("x"), F.sum("weight").alias("w"))
+    return sorted((r.x**2, r.toxic, r.w) for r in bins.collect())  # at most 10,001 bins for each class
+
+
 def decay(scores: list[tuple[float, float]], step: float) -> float:
     """The scale at which background words' scores have an expected exponential of 1."""
     rest = 1 - sum(p for _, p in scores)

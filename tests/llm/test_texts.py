@@ -157,6 +157,15 @@ def test_toxicity_held_out(spark):
     assert [r.predicted for r in sorted(odd, key=lambda r: r.row.doc_id)] == [0, 0, 1]
 
 
+def test_toxicity_bins_keep_the_highest_evidence(spark):
+    seen = spark.range(30000).select((F.col("id") * F.col("id") / 2e4).alias("evidence"), (F.col("id") % 2).cast("int").alias("toxic"), (1 + F.col("id") % 3).cast("double").alias("weight"))
+    bins, rows = toxicity.evidence_bins(seen), seen.collect()
+    for y in (0, 1):
+        assert sum(w for _, t, w in bins if t == y) == sum(r.weight for r in rows if r.toxic == y)
+        assert sum(w * x**0.5 for x, t, w in bins if t == y) == pytest.approx(sum(r.weight * r.evidence**0.5 for r in rows if r.toxic == y))
+    assert len(bins) <= 20_002 and max(x for x, _, _ in bins) > 10_000
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["some text", None])
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
