@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is."""
+    """The folder in spark.checkpoint.dir. Where none is set, a session on one machine (as in tests) gets a temporary one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,11 +33,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that reads them is written itself."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sent(table: DataFrame, row_bytes, most: int) -> DataFrame:
+    """A written table, to be broadcast if the sum of row_bytes over its rows (what they take in memory) is most or less."""
+    return F.broadcast(table) if (table.agg(F.sum(row_bytes)).first()[0] or 0) <= most else table
+
+
 def ascii_lower(text):
     """A-Z lower-cased and nothing else; the JVM's own lower() does for texts of one byte a character."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Bytes of an Arrow batch of texts; only a single longer row exceeds it.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; one that is lower already stays.
+
+    Spark's own 64 MB stand several times in an executor, and in each Python worker, at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().getConfString(key).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, fn, fields: str, text: str = "text", rows: int = 256) -> DataFrame:
     """fn over the texts of df, some rows at a time, in Python: (row, *fields).
 
@@ -47,6 +78,7 @@ def map_rows(df: DataFrame, fn, fields: str, text: str = "text", rows: int = 256
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    small_batches(df.sparkSession)
     extra = _parse_datatype_string(fields)
     kinds = [f.type for f in to_arrow_schema(extra)]
     packed = df.select(F.struct("*").alias("row"))
@@ -61,21 +93,42 @@ def map_rows(df: DataFrame, fn, fields: str, text: str = "text", rows: int = 256
     return packed.mapInArrow(run, StructType([*packed.schema.fields, *extra.fields]))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words as bytes, kept up to a number of words."""
-
-    MOST = 150_000
+class Table(dict):
+    """make(key) of each key that is asked for, kept up to so many bytes (keys and about 120 for an entry); beyond them it starts anew."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self, make, most: int = 16 << 20):
+        self.make, self.most, self.held = make, most, 0
 
-        if len(self) >= self.MOST:
+    def __missing__(self, key):
+        found = self.make(key)
+        size = len(key) + 120
+        if self.held + size > self.most:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+            self.held = 0
+        if size <= self.most:
+            self.held += size
+            self[key] = found
         return found
 
 
-_words = WordHashes()
+_slot: dict = {}
+
+
+def worker_object(key, build):
+    """What a worker process keeps for the operator at work: one object, dropped when another operator asks for its own."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = build()
+    return _slot[key]
+
+
+def hash_word(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
+
+
+_words = Table(hash_word)
 
 
 def word_hashes(text: str | None):
@@ -117,7 +170,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
         stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
-        pairs = written(stars.where("u <> v").distinct(), "stars")
+        pairs, old = written(stars.where("u <> v").distinct(), "stars"), pairs
+        if before is not None:
+            forget(old)
         n, total = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, total) == before:
             break
