@@ -45,11 +45,18 @@ WITH r AS (
   SELECT page_id, refers_to, url, payload_digest, 'metadata', 'sourceStatus: HTTP/1.1 200 OK' || nl
     || 'sourceHeader: Content-Type: text/html; charset=utf-8' || nl || 'sourceHeader: Content-Length: ' || n || nl
     || 'sourceMediaType: text/html; charset=utf-8' || nl || 'sourceLength: ' || n || nl || 'sourceDigest: ' || payload_digest || nl FROM w
-), m AS (SELECT *, md5(record_type || chr(10) || refers_to) AS g FROM k)
-SELECT page_id, record_type, refers_to, target_uri, payload_digest, block, 'sha1:' || sha1(block) AS block_digest,
-  '<urn:uuid:' || concat_ws('-', substr(g,1,8), substr(g,9,4), substr(g,13,4), substr(g,17,4), substr(g,21,12)) || '>' AS record_id,
-  CAST(strlen(block) AS BIGINT) AS content_length
-FROM m
+), m AS (SELECT *, md5(record_type || chr(10) || refers_to) AS g FROM k), n AS (
+  SELECT page_id, record_type, refers_to, target_uri, payload_digest, block, 'sha1:' || sha1(block) AS block_digest,
+    '<urn:uuid:' || concat_ws('-', substr(g,1,8), substr(g,9,4), substr(g,13,4), substr(g,17,4), substr(g,21,12)) || '>' AS record_id,
+    CAST(strlen(block) AS BIGINT) AS content_length, chr(13) || chr(10) AS nl
+  FROM m
+)
+SELECT page_id, record_type, refers_to, target_uri, payload_digest, block, block_digest, record_id, content_length,
+  'WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || refers_to || nl
+  || 'WARC-Target-URI: ' || target_uri || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || 'WARC-Source-Payload-Digest: ' || payload_digest || nl
+  || 'WARC-Block-Digest: ' || block_digest || nl || 'Content-Type: ' || CASE record_type WHEN 'metadata' THEN 'application/warc-fields' ELSE 'text/plain' END
+  || nl || 'Content-Length: ' || CAST(content_length AS VARCHAR) || nl || nl || block || nl || nl AS record
+FROM n
 """
 
 TOP_K = """

@@ -28,7 +28,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = derivatives(page_responses(table(spark, sf_dir, "pages")))
-    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", "block")
+    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", "block", "record")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,11 @@ def uuid_of(*parts):
 
 
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Stored pages (page_id, url, html) as responses; a null html is an empty body, a null url an empty target."""
+    """Stored pages (page_id, url, html) as responses; a null html is an empty body, a null url an empty target.
+
+    The table holds neither headers nor a date, so the status line, media type and length are made from the body, and
+    the date is a parameter. derivatives() takes any headers.
+    """
     url, body = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF))
     return pages.select(
@@ -66,8 +70,9 @@ def derivatives(responses: DataFrame) -> DataFrame:
     digest. The conversion block is the visible text. record is the whole record, headers and block, as written in
     a WARC file. Repeated rows give repeated records; null bodies were made empty by page_responses.
     """
-    status = F.element_at(F.split("http_headers", CRLF), 1)
-    fields = F.array_join(F.transform(F.filter(F.slice(F.split("http_headers", CRLF), 2, 1000), lambda h: h != ""), lambda h: F.concat(F.lit("sourceHeader: "), h)), CRLF)
+    lines = F.split("http_headers", CRLF)
+    status = F.element_at(lines, 1)
+    fields = F.array_join(F.transform(F.filter(lines, lambda h, i: (i > 0) & (h != "")), lambda h: F.concat(F.lit("sourceHeader: "), h)), CRLF)
     media = F.nullif(F.regexp_extract("http_headers", r"(?i)\r\nContent-Type:\s*([^\r\n]*)", 1), F.lit(""))
     base = responses.select(
         "*",
@@ -120,6 +125,9 @@ def derivatives(responses: DataFrame) -> DataFrame:
     return rows.withColumn("record", F.concat(head, F.col("block"), F.lit(CRLF + CRLF))).drop("date", "type")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """The records as text files of Spark's own layout, gzip-compressed; each record ends as the format asks."""
-    records.select(F.expr(f"substr(record, 1, length(record) - {len(CRLF)})").alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
+    """The records as WARC files in Spark's own layout; each record ends as the format asks.
+
+    With compression="gzip" each file is one stream, not one for each record: readers go through it, but can't jump.
+    """
+    records.select(F.expr(f"substr(record, 1, length(record) - {len(CRLF)})").alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
