@@ -1,33 +1,52 @@
 """Token counts: the exact histogram of encoded lengths, and what its sums answer for every context limit."""
 
 import base64
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexicarta.llm.shared import map_rows
+from lexicarta.llm.shared import map_rows, worker_object
 
-_loaded: dict = {}
+#: White space from this length on is cut out before the tokenizer's splitter sees it, whose stack has a limit.
+LONG = 10_000
+RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")
 
 
 def encoder(path: str):
     """The byte-level BPE in a file of base64 tokens and ranks; a worker process reads it once."""
-    if path not in _loaded:
+    def read():
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return worker_object(("token counts", path), read)
+
+
+def token_length(encoding, text: str | None) -> int:
+    """Tokens of a whole text. The pattern never joins a blank to what stands before it, and takes all of a run of
+    blanks but the last as one piece (all of it at the end of the text), so long runs are such pieces by themselves."""
+    if not text:
+        return 0
+    if len(text) < LONG or not (runs := list(RUN.finditer(text))):
+        return len(encoding.encode_ordinary(text))
+    total = at = 0
+    for run in runs:
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : stop]))
+        at = stop
+    return total + len(encoding.encode_ordinary(text[at:]))
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(row, n_tokens) of each row: the whole text's tokens, a null or empty text having none; special strings are plain text."""
 
     def lengths(texts):
-        encode = encoder(path).encode_ordinary
-        return [[len(encode(t)) if t else 0 for t in texts]]
+        encoding = encoder(path)
+        return [[token_length(encoding, t) for t in texts]]
 
     return map_rows(docs, lengths, "n_tokens long", text)
 
