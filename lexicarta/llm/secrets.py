@@ -1,6 +1,6 @@
 """Secret scans: patterns, and dictionary-primed zstandard novelty.
 
-Beside the fixed patterns, each string of letters, digits and joining marks near a sensitive word is a candidate. Its
+Beside the fixed patterns, each string of letters, digits and joining marks near a sensitive word, before or after it, is a candidate. Its
 novelty is what it adds, in compressed bytes, to a frame that has the text around it and a dictionary of common
 identifiers as its dictionary; strings that hardly compress against those are reported as well.
 """
@@ -30,7 +30,7 @@ IDENTIFIERS = (
     "public static void String Integer Exception class extends implements interface self.assertEqual __init__ "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxx "
 )
-#: Code points after a sensitive word in which candidates may start, text around one in the dictionary, and novelty in bytes a character.
+#: Code points between a sensitive word and a candidate at most, text around one in the dictionary, and novelty in bytes a character.
 REACH, AROUND, NOVELTY = 64, 256, 0.55
 
 
@@ -58,7 +58,7 @@ def mixed(s: str) -> bool:
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, novelty) of incompressible candidates that no base span covers.
 
-    A candidate is an unbroken string of any length that starts within reach of a sensitive word or holds one, at most
+    A candidate is an unbroken string of any length with a sensitive word within reach of either end, or inside, at most
     one span each; only if it isn't novel as a whole (or meets a base span) is it tried from the words inside it on.
     """
     words = [m.span() for m in SENSITIVE.finditer(text)]
@@ -67,7 +67,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         first, end = c.span()
         n = bisect_right(starts, first)
         inside = starts[n : bisect_right(starts, end - SHORTEST)]
-        if not inside and not (n and first <= words[n - 1][1] + REACH):
+        after = bisect_right(starts, end - 1)
+        if not inside and not (n and first <= words[n - 1][1] + REACH) and not (after < len(starts) and starts[after] <= end + REACH):
             continue
         for at in (first, *inside):
             if not mixed(text[at:end]) or any(a < end and at < b for a, _, b in taken):
