@@ -2,30 +2,32 @@
 
 Windows of each item's length in words slide over each document. Those whose shingles could reach the similarity
 asked for (they hold enough shingles of any item; a window without can't) get a SimHash. Fingerprints are cut into
-blocks: two that differ in RADIUS bits at most differ little in some block, so an index of the items' blocks, with
-all values that near, finds every item within the radius. The exact similarity of the shingles, weighted by how
-often each occurs, decides. A document of fewer words than an item is one window, and meets by the exact similarity
+blocks: two that differ in RADIUS bits at most differ in NEAR_BITS at most in some block, so sorted tables of the
+items' blocks, asked for all values that near, give every item within the radius, and one random pair in 23. The exact
+similarity of the shingles, weighted by how often each occurs, decides. A document of fewer words than an item is one window, and meets by the exact similarity
 alone every such item that it shares enough shingles with.
 """
 
+import uuid
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.llm.shared import map_rows, shingled, word_hashes
+from lexicarta.llm.shared import map_rows, shingled, word_hashes, worker_object
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits by which fingerprints may differ, and the blocks of BITS that they are cut into. At the least similarity
-#: two fingerprints differ in about 10 of 64 bits, by a deviation of 3.
-RADIUS, BLOCKS, BITS = 20, 8, 8
+#: Fingerprints of 64 bits are cut into BLOCKS of BITS, which may differ in NEAR_BITS each; RADIUS is what that guarantees.
+#: At the least similarity two fingerprints differ in 9.7 bits, by a deviation of 2.9.
+BLOCKS, BITS, NEAR_BITS = 4, 16, 3
+RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
 #: Words of benchmark text in a pass over the documents: the bound on what a pass sends to the tasks.
 PASS_WORDS = 2_000_000
 #: Windows that get fingerprints at once.
-STEP = 4096
+STEP = 512
 MATCHES = "array<struct<item_id:long,similarity:double,start_word:long,n_words:long>>"
-NEAR = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BITS), n)]
+NEAR = np.array([sum(1 << b for b in bits) for n in range(NEAR_BITS + 1) for bits in combinations(range(BITS), n)], np.uint16)
 
 
 def enough(n: float, similarity: float) -> int:
@@ -43,9 +45,9 @@ def signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def window_marks(shingles: np.ndarray, width: int) -> np.ndarray:
-    """The SimHash of each run of width shingles, as 8 bytes."""
+    """The SimHash of each run of width shingles, as its BLOCKS."""
     sums = np.cumsum(np.concatenate([np.zeros((1, 64), np.int32), signs(shingles)]), axis=0)
-    return np.packbits(sums[width:] > sums[:-width], axis=1, bitorder="little")
+    return np.packbits(sums[width:] > sums[:-width], axis=1, bitorder="little").view(np.uint16)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -63,19 +65,25 @@ class ItemIndex:
         self.sets = np.stack([shingled(h, SHINGLE) for h in hashes])
         self.width = words - self.size + 1
         self.need = enough(self.width, similarity)
-        marks = np.concatenate([window_marks(s, self.width) for s in self.sets])
-        self.marks = marks
-        self.blocks = np.zeros((BLOCKS, 1 << BITS, len(ids)), bool)
-        for i, mark in enumerate(marks):
-            for b in range(BLOCKS):
-                self.blocks[b, np.array(NEAR) ^ int(mark[b]), i] = True
+        self.marks = np.concatenate([window_marks(s, self.width) for s in self.sets])
+        self.order = np.argsort(self.marks, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.marks, self.order, axis=0)
+
+    def candidates(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) with a block in which they differ in NEAR_BITS at most."""
+        pairs = []
+        for b in range(BLOCKS):
+            asked = marks[:, b, None] ^ NEAR
+            low, high = np.searchsorted(self.sorted[:, b], asked, "left"), np.searchsorted(self.sorted[:, b], asked, "right")
+            window, probe = np.nonzero(high > low)
+            first, held = low[window, probe], (high - low)[window, probe]
+            place = np.repeat(first - (np.cumsum(held) - held), held) + np.arange(held.sum())
+            pairs.append(np.repeat(window, held) * len(self.ids) + self.order[place, b])
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
 
     def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of fingerprints within the radius."""
-        some = np.zeros((len(marks), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            some |= self.blocks[b, marks[:, b]]
-        w, i = np.nonzero(some)
+        w, i = self.candidates(marks)
         apart = np.bitwise_count(marks[w] ^ self.marks[i]).sum(1)
         return w[apart <= RADIUS], i[apart <= RADIUS]
 
@@ -149,24 +157,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     matched = docs.select(F.struct("*").alias("row"), F.array().cast(MATCHES).alias("matches"))
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()  # about PASS_WORDS words
-        pairs = sorted((r.item_id, r.text) for r in part)
+        sent = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part))
 
-        def match(texts, pairs=pairs):
-            index = held(pairs, similarity)
+        def match(texts, sent=sent, key=uuid.uuid4().hex):
+            index = worker_object(key, lambda: Benchmark(sent.value, similarity))
             return [[index.matches(t) for t in texts]]
 
         again = matched.select("row", "matches", F.col(f"row.{text}").alias("text"))
         matched = map_rows(again, match, f"more {MATCHES}").select("row.row", F.concat("row.matches", "more").alias("matches"))
     return matched
-
-
-_held: dict = {}
-
-
-def held(pairs: list[tuple[int, str]], similarity: float) -> Benchmark:
-    """The index of a pass; a worker process builds it once."""
-    key = (similarity, hash(tuple(pairs)))
-    if key not in _held:
-        _held.clear()
-        _held[key] = Benchmark(pairs, similarity)
-    return _held[key]
