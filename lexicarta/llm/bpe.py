@@ -3,22 +3,26 @@
 Each piece of text is a row of symbols; the leaves of its tree hold the rank
 of the pair at each place (with the place, so that ties go left), and the root
 is the leftmost pair of the lowest rank. A merge changes three leaves, and
-their paths to the root, until the root holds no pair. Many pieces of one tree
-size go through these steps at once, as NumPy rows. Tasks keep what a chunk
-(text between white space) became in a dictionary of bounded size.
+their paths to the root, until the root holds no pair. Many short pieces of one
+tree size go through these steps at once, as NumPy rows; a long piece has a
+tree of its own in a plain array. Tasks keep what a chunk (text between white
+space) became in a table of bounded bytes.
 """
 
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lexicarta.llm.shared import map_rows
+from lexicarta.llm.shared import map_rows, worker_object
 
-#: Entries after which a task's dictionary of chunks starts anew.
-MOST_CHUNKS = 250_000
+#: Bytes after which a task's table of chunks starts anew; each counts with its letters, its ids and 150 more.
+MOST_BYTES = 48 << 20
+#: Bytes from which a piece has a tree of its own.
+LONG = 512
 #: Cells of a block of trees.
 BLOCK = 1 << 20
 NONE = np.iinfo(np.int64).max
@@ -64,7 +68,9 @@ class WordBpe:
         self.keys, self.ranks, self.made = keys[order], order, np.array([c for *_, c in pairs], np.int64)
         self.pattern, self.exotic = plain_pattern(), re.compile(rf"[^\x00-{chr(PLAIN - 1)}]|[\x1c-\x1f]")
         self.splitter = Tokenizer.from_file(path)
+        self.rank_of = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made[self.ranks], strict=True)}
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
 
     def leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         """rank * size + place of the pairs (a, b) that merge, NONE of the others; negative symbols are no symbols."""
@@ -110,6 +116,51 @@ class WordBpe:
             live = live[tree[live, 1] < NONE]
         return symbols
 
+    def long_piece(self, raw: bytes) -> list[int]:
+        """The ids of one long piece: the same tree in a plain array, rank * size + place in each leaf."""
+        n, rank_of = len(raw), self.rank_of
+        size = 1 << (n - 1).bit_length()
+        symbols = self.first[np.frombuffer(raw, np.uint8)].tolist()
+        symbols[-1] = int(self.last[raw[-1]])
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        first = self.leaves(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64), np.arange(n - 1), size)
+        levels = np.full(2 * size, NONE)
+        levels[size : size + n - 1] = first
+        low = size
+        while low > 1:
+            levels[low // 2 : low] = np.minimum(levels[low : 2 * low : 2], levels[low + 1 : 2 * low : 2])
+            low //= 2
+        tree, none = array("q", levels.tobytes()), int(NONE)
+        while tree[1] < none:
+            rank, place = divmod(tree[1], size)
+            gone = after[place]
+            then = after[gone]
+            symbols[place] = made = rank_of[symbols[place] << 16 | symbols[gone]][1]
+            symbols[gone] = -1
+            after[place] = then
+            leaf = none
+            if then < n:
+                before[then] = place
+                found = rank_of.get(made << 16 | symbols[then])
+                if found:
+                    leaf = found[0] * size + place
+            changes = [(gone + size, none), (place + size, leaf)]
+            prior = before[place]
+            if prior >= 0:
+                found = rank_of.get(symbols[prior] << 16 | made)
+                changes.append((prior + size, found[0] * size + prior if found else none))
+            for node, value in changes:
+                tree[node] = value
+                while node > 1:
+                    other = tree[node ^ 1]
+                    node >>= 1
+                    if other < value:
+                        value = other
+                    if tree[node] == value:
+                        break
+                    tree[node] = value
+        return [s for s in symbols if s >= 0]
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces (none empty), one after the other, and how many each has."""
         raw = [p.encode() for p in pieces]
@@ -117,8 +168,12 @@ class WordBpe:
         flat, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths
         widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         counts, parts = np.zeros(len(raw), np.int64), []
-        for width in np.unique(widths):
-            some = np.flatnonzero(widths == width)
+        for i in np.flatnonzero(lengths >= LONG):
+            found = np.array(self.long_piece(raw[i]), np.int64)
+            counts[i] = len(found)
+            parts.append((np.array([i]), found))
+        for width in np.unique(widths[lengths < LONG]):
+            some = np.flatnonzero((widths == width) & (lengths < LONG))
             step = max(1, BLOCK // int(width))
             for part in (some[i : i + step] for i in range(0, len(some), step)):
                 size, places = lengths[part], np.arange(width)
@@ -146,14 +201,16 @@ class WordBpe:
         return [bytes(back[c] for c in p).decode() for p, _ in self.splitter.pre_tokenizer.pre_tokenize_str(text)]
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > MOST_CHUNKS:
+        if self.held > MOST_BYTES:
             self.chunks.clear()
+            self.held = 0
         new = [c for c in chunks if c not in self.chunks]
         split = [self.split(c) for c in new]
         ids, counts = self.encode_pieces([p for ps in split for p in ps])
         ends = np.concatenate([[0], 4 * np.cumsum(counts)])[np.cumsum([len(ps) for ps in split])].tolist()
         raw = ids.tobytes()
         self.chunks.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        self.held += len(raw) + sum(map(len, new)) + 150 * len(new)
 
     def runs(self, text: str) -> list[list[str] | bytes]:
         """Chunks of the text between special tokens, and those tokens."""
@@ -180,14 +237,9 @@ class WordBpe:
         return ids, decoded
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
     """The tokenizer of a worker process; it is read once there."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    return worker_object(("bpe", path), lambda: WordBpe(path))
 
 
 def bpe_encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
