@@ -2,8 +2,7 @@
 
 Words, and their first letters as stems, get log-odds between toxic and other labelled documents under a Dirichlet prior;
 those that more toxic documents hold than chance allows make the lexicon, and every other word lowers a segment by the
-same small step. One pass over a text finds all its maximal
-segments. Under the background's word rates, segments of such a score turn up at a known rate (the extreme-value law
+same small step. One pass over a text, in linear time, finds all its maximal segments. Under the background's word rates, segments of such a score turn up at a known rate (the extreme-value law
 of maximal segments), which turns each into evidence; a logistic curve over a document's evidence is its score.
 """
 
@@ -13,21 +12,19 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexicarta.llm.shared import map_rows, written
+from lexicarta.llm.shared import Table, forget, map_rows, small_batches, worker_object, written
 
 #: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes.
 SAMPLE = 20_000
-#: Entries of the lexicon at most; documents an entry is in at least; lengths of stems.
-LEXICON, LEAST_DOCS, STEMS = 20_000, 4, (5, 6, 7)
+#: Documents an entry of the lexicon is in at least; lengths of stems. The sample bounds the lexicon.
+LEAST_DOCS, STEMS = 4, (5, 6, 7)
 #: What an entry's likelihood ratio (G squared of documents) exceeds, beside twice the logarithm of the entries tried.
 MARGIN = 4.0
 #: Documents whose words are counted at once in a task.
 STEP = 256
-#: Words after which a task's table of scores starts anew.
-MOST_WORDS = 100_000
 #: Weight of the Dirichlet prior, in words a class.
 PRIOR = 1000.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -55,37 +52,20 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in reversed(STEMS) if len(word) > n)]
 
 
-class Scores(dict):
-    """The score of each word, 0 where the lexicon holds nothing of it."""
-
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = self[word] = next((self.lexicon[e] for e in entries(word) if e in self.lexicon), 0.0)
-        return found
-
-
-_scores: dict = {}
-
-
-def scores_of(model: "Model") -> Scores:
-    """The table of a worker process, kept for a model."""
-    if model.key not in _scores:
-        _scores.clear()
-        _scores[model.key] = Scores(model.scores)
-    return _scores[model.key]
+def scores_of(model: "Model") -> Table:
+    """The score of each word, 0 where the lexicon holds nothing of it; a worker process keeps it for a model."""
+    lexicon = model.scores
+    return worker_object(("toxicity", model.key), lambda: Table(lambda word: next((lexicon[e] for e in entries(word) if e in lexicon), 0.0)))
 
 
 def maximal_segments(scores: list[float], gaps: list[float]) -> list[tuple[float, int, int]]:
     """(score, first, last) of all maximal scoring segments; scores are positive, gaps[i] is what lies before score i.
 
-    Each segment is kept with the sums to its left and right end; a new score joins with those before it that
-    make it higher, as in the linear-time search for all maximal scoring subsequences.
+    Each candidate is kept with the sums to its left and right end and the nearest candidate before it whose left sum is
+    lower. A new score follows those links, and joins with all from a candidate on whose right sum is lower than its
+    own: each candidate is passed by once, so the search is linear.
     """
-    stack: list[tuple[float, float, int, int]] = []
+    kept: list[tuple[float, float, int, int, int]] = []  # left, right, first, last, link
     total = 0.0
     for i, (score, gap) in enumerate(zip(scores, gaps, strict=True)):
         total -= gap
@@ -93,15 +73,15 @@ def maximal_segments(scores: list[float], gaps: list[float]) -> list[tuple[float
         total += score
         right = total
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= left:
-                j -= 1
-            if j < 0 or stack[j][1] >= right:
-                stack.append((left, right, first, i))
+            j = len(kept) - 1
+            while j >= 0 and kept[j][0] >= left:
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= right:
+                kept.append((left, right, first, i, j))
                 break
-            left, first = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(right - left, first, last) for left, right, first, last in stack]
+            left, first = kept[j][0], kept[j][2]
+            del kept[j:]
+    return [(right - left, first, last) for left, right, first, last, _ in kept]
 
 
 def segments(words: list[str], model: Model) -> list[tuple[float, int, int]]:
@@ -122,15 +102,23 @@ def passages(words: list[str], model: Model) -> list[tuple[float, int, int]]:
     return [x for x in out if x[0] > 0]
 
 
+def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Of rows (key, doc_id, n), n being the rows of each key, those of the smallest hashes of doc_id, most at most for each key.
+
+    Rows above a hash that about 1.5 * most rows of the key are below go before anything is sorted.
+    """
+    part = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    near = rows.where((F.col("n") <= 2 * most) | (part < 1.5 * most / F.col("n")))
+    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learnt) -> tuple[DataFrame, DataFrame]:
     """(doc_id, toxic, weight) of a bounded sample of labelled rows, and that joined with their texts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnt(F.col("doc_id"))).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     classes = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    picked = None
-    for toxic in (0, 1):
-        part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        picked = part if picked is None else picked.unionByName(part)
-    picked = written(picked.join(F.broadcast(classes), "toxic").select("doc_id", "toxic", (F.col("n") / F.least("n", F.lit(SAMPLE))).alias("weight")), "toxic-sample")
+    picked = smallest_hashes(known.join(F.broadcast(classes), "toxic"), "toxic", SAMPLE)
+    picked = written(picked.select("doc_id", "toxic", (F.col("n") / F.least("n", F.lit(SAMPLE))).alias("weight")), "toxic-sample")
     # at most 2 * SAMPLE rows of three numbers
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return picked, texts
@@ -140,6 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnt=lambda doc_id: F.lit(True))
     """The model from labelled rows that learnt allows; without rows of both classes it finds nothing toxic."""
     picked, texts = training_rows(docs, labels, learnt)
     texts = written(texts, "toxic-texts")
+    small_batches(docs.sparkSession)
 
     def count(batches):
         import pyarrow as pa
@@ -174,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnt=lambda doc_id: F.lit(True))
     share = docs_with / F.lit(float(m0 + m1))
     ratio = 2 * (part(F.col("d1"), share * m1) + part(F.col("d0"), share * m0) + part(m1 - F.col("d1"), (1 - share) * m1) + part(m0 - F.col("d0"), (1 - share) * m0))
     stood = tried.select("word", odds.alias("odds"), ratio.alias("ratio"), "t0", "t1").where((F.col("odds") > 0) & (F.col("ratio") >= 2 * math.log(n_tried) + MARGIN))
-    lexicon = stood.orderBy(F.col("ratio").desc(), "word").limit(LEXICON).collect()  # at most LEXICON rows
+    lexicon = sorted(stood.collect(), key=lambda r: r.word)  # words that many of the sampled documents hold
     if not lexicon:
         return blank
     hit1, hit0 = min(0.9, sum(r.t1 for r in lexicon) / n1), min(0.9, sum(r.t0 for r in lexicon) / n0)
@@ -182,12 +171,15 @@ def learn(docs: DataFrame, labels: DataFrame, learnt=lambda doc_id: F.lit(True))
     scores = {r.word: float(r.odds) for r in lexicon}
     scale = decay([(float(r.odds), (r.t0 + 0.5) / (n0 + 1)) for r in lexicon], step)
     model = Model(scores, step, scale, 1.0, 0.0, 0.0, uuid.uuid4().hex)
+    found = written(map_rows(texts, lambda ts: segment_scores(ts, model), "n long, scores array<double>").select("n", "scores", "row.toxic", "row.weight"), "toxic-segments")
     # the law's other parameter, by maximum likelihood over the other class: rate = documents / sum of words * exp(-scale * best)
-    best = map_rows(texts, lambda ts: best_segments(ts, model), "n long, best double")
-    law = best.where("row.toxic = 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-scale * F.col("best")))).first()
+    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    law = found.where("toxic = 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-scale * best))).first()
     model.rate = law[0] / law[1] if law[1] else 1.0
-    seen = map_rows(texts, lambda ts: [[evidence(t, model) for t in ts]], "evidence double")
-    model.bias, model.slope = logistic(evidence_bins(seen.select("evidence", "row.toxic", "row.weight")))
+    chance = F.log(F.greatest(model.rate * (F.col("n") - 1), F.lit(1e-9)))
+    evidence = F.aggregate("scores", F.lit(0.0), lambda total, s: total + F.greatest(scale * s - chance, F.lit(0.0)))
+    model.bias, model.slope = logistic(evidence_bins(found.select(evidence.alias("evidence"), "toxic", "weight")))
+    forget(picked, texts, counts, found)
     return model
 
 
@@ -228,13 +220,10 @@ def logistic(rows: list[tuple[float, int, float]]) -> tuple[float, float]:
     return float(beta[0]), max(0.0, float(beta[1]))
 
 
-def best_segments(texts: list[str | None], model: Model) -> tuple[list[int], list[float]]:
+def segment_scores(texts: list[str | None], model: Model) -> tuple[list[int], list[list[float]]]:
+    """The number of words plus one, and the scores of the maximal segments, of each text."""
     words = [words_of(t) for t in texts]
-    return [len(w) + 1 for w in words], [max((s for s, *_ in segments(w, model)), default=0.0) for w in words]
-
-
-def evidence(text: str | None, model: Model) -> float:
-    return sum(e for e, *_ in passages(words_of(text), model))
+    return [len(w) + 1 for w in words], [[s for s, *_ in segments(w, model)] for w in words]
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
