@@ -1,18 +1,20 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Pivots from a bounded sample cut queries and data into cells. Summaries of the
-cells (sizes, radii, norms) bound from below the k-th best score of each group
-of queries, and from above what a row can score there; rows go only to the
-groups that they may serve, where queries meet them in blocks. A block keeps k
-rows for each query, and a last grouping by query keeps the best of those.
+Pivots, as many as the square root of the rows up to a bound, come from the rows and cut queries and data into cells.
+Each query's k-th best score among the pivots is a floor for its answer, and so is what k rows of the cells nearby score
+at least; summaries of the cells (sizes, radii, the least floor) bound what a row can score for any query of a cell. Cells of queries that lie together form groups; a row goes
+only to the groups with a cell that it may serve, where queries meet rows in blocks. A block keeps k rows for each
+query, and a last grouping by query keeps the best of those.
 """
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that the pivots come from, queries a pivot stands for, queries in a group, rows in a block.
-MOST_PIVOTS, QUERIES_A_PIVOT, GROUP, BLOCK = 256, 512, 1024, 16384
+from lexicarta.llm.shared import forget, written
+
+#: Pivots at most (more rows make larger cells), queries in a group, rows in a block.
+MOST_PIVOTS, GROUP, BLOCK = 1024, 1024, 16384
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -62,75 +64,130 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))]
 
 
-def group_bounds(pivots: np.ndarray, cells: dict, queries: dict, k: int) -> dict[int, float]:
-    """For each cell of queries, a score that the k-th best of each of its queries reaches, from the summaries alone.
+def floors(x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, pivot_ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the k-th best score among the pivots (rows themselves) but its own; -inf where there are too few."""
+    if len(pivots) <= k:
+        return np.full(len(x), -np.inf)
+    scores = np.where(ids[:, None] == pivot_ids[None, :], -np.inf, x @ pivots.T)
+    return np.partition(scores, len(pivots) - k, axis=1)[:, len(pivots) - k]
+
 
-    A row of cell j, within R of its pivot p, scores at least q.p - |q| R with q; q is within S of its own pivot c.
+def raised(pivots: np.ndarray, cells: dict, queries: dict, k: int) -> dict:
+    """The summaries of the query cells, their floors raised to what the summaries of the data cells promise.
+
+    A row within R of p, for a query within S of c, scores at least c.p - S |p| - |c| R - S R; each cell promises that
+    for all its rows. One of k + 1 rows may be the query itself.
     """
-    found = {}
-    for g, (_, radius, _) in queries.items():
-        c, norm = pivots[g], np.linalg.norm(pivots[g]) + radius
-        low = sorted(((float(c @ pivots[j]) - radius * float(np.linalg.norm(pivots[j])) - norm * r, n) for j, (n, r, _) in cells.items()), reverse=True)
-        found[g], held = -np.inf, 0
-        for bound, n in low:
+    out, norm, dots = {}, np.linalg.norm(pivots, axis=1), pivots @ pivots.T
+    for g, (m, radius, floor) in queries.items():
+        held = 0
+        for low, n in sorted(((dots[g, j] - radius * norm[j] - (norm[g] + radius) * reach, n) for j, (n, reach, _) in cells.items()), reverse=True):
             held += n
-            if held >= k + 1:  # one of them may be the query itself
-                found[g] = bound
+            if held > k:
+                floor = max(floor, low)
                 break
-    return found
+        out[g] = (m, radius, floor)
+    return out
+
+
+def may_serve(pivots: np.ndarray, cells: dict, queries: dict) -> np.ndarray:
+    """[data cell, query cell]: whether any row of the one may reach the floor of the other, by the summaries alone.
+
+    A row within R of p, for a query within S of c, scores at most c.p + S |p| + |c| R + S R.
+    """
+    out = np.zeros((len(pivots), len(pivots)), bool)
+    norm, dots = np.linalg.norm(pivots, axis=1), pivots @ pivots.T
+    for g, (_, radius, floor) in queries.items():
+        for j, (_, reach, _) in cells.items():
+            most = dots[g, j] + radius * norm[j] + norm[g] * reach + radius * reach
+            out[j, g] = most >= floor - 1e-6 * (1 + abs(most))
+    return out
+
+
+def grouped(pivots: np.ndarray, queries: dict) -> dict[int, int]:
+    """The group of each cell of queries: cells go to the nearest of so many of their pivots, one for each GROUP queries."""
+    cells = sorted(queries)
+    n = max(1, -(-sum(m for m, *_ in queries.values()) // GROUP))
+    heads = pivots[cells[:: max(1, len(cells) // n)][:n]] if cells else pivots[:1]
+    return dict(zip(cells, nearest(pivots[cells], heads)[0].tolist(), strict=True)) if cells else {}
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest integer inner product for each query.
 
     Queries are the ids divisible by every; candidates all other rows. Ties go to the smaller id; where there are
-    fewer candidates than k, all come. Vectors of different lengths meet as if filled up with zeros.
+    fewer candidates than k, all come. Vectors of different lengths meet as if filled up with zeros. An empty table, or
+    one without queries, gives no rows.
     """
-    from lexicarta.llm.shared import written
+    return solved(*served_rows(vectors, k, every, scale), k)
+
 
+def served_rows(vectors: DataFrame, k: int, every: int, scale: int = 256) -> tuple[DataFrame, DataFrame, int]:
+    """(asking, served, width): queries and rows by (cell, part, block), cell being the group of queries."""
     data = written(quantized(vectors, scale), "vectors")
-    n, n_queries, width = data.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    n_pivots = min(MOST_PIVOTS, max(1, n_queries // QUERIES_A_PIVOT))
+    n, width = data.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n_pivots = min(MOST_PIVOTS, max(1, int(np.ceil(np.sqrt(n)))))
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()  # at most MOST_PIVOTS rows
     pivots = matrix([r.v for r in sample], width).astype(np.float64) if sample else np.zeros((1, width))
+    pivot_ids = np.array([r.vec_id for r in sample] or [0], np.int64)
+    sent = data.sparkSession.sparkContext.broadcast((pivots, pivot_ids))
 
     def assign(batches):
         import pyarrow as pa
 
+        pivots, pivot_ids = sent.value
         for batch in batches:
-            x = matrix(batch.column("v").to_pylist(), width)
+            x, ids = matrix(batch.column("v").to_pylist(), width), batch.column("vec_id").to_numpy()
             cell, radius = nearest(x, pivots)
+            asks, floor = np.flatnonzero(ids % every == 0), np.full(len(ids), np.inf)
+            floor[asks] = floors(x[asks].astype(np.float64), ids[asks], pivots, pivot_ids, k)
             norm = np.linalg.norm(x.astype(np.float64), axis=1)
             yield pa.RecordBatch.from_pydict(
-                {"vec_id": batch.column("vec_id"), "v": [r.tobytes() for r in x], "cell": pa.array(cell, pa.int32()), "radius": radius, "norm": norm}
+                {"vec_id": batch.column("vec_id"), "v": [r.tobytes() for r in x], "cell": pa.array(cell, pa.int32()), "radius": radius, "norm": norm, "floor": floor}
             )
 
-    placed = written(data.mapInArrow(assign, "vec_id long, v binary, cell int, radius double, norm double"), "cells")
-    summary = lambda rows: {r.cell: (r.n, r.radius, r.norm) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect()}
+    placed = written(data.mapInArrow(assign, "vec_id long, v binary, cell int, radius double, norm double, floor double"), "cells")
+    forget(data)
+    summary = lambda rows: {r.cell: (r.n, r.radius, r.floor) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"), F.min("floor").alias("floor")).collect()}
     asked = placed.where(F.col("vec_id") % every == 0)
-    cells, queries = summary(placed), summary(asked)  # a row for each pivot
-    floors = group_bounds(pivots, cells, queries, k)
+    cells = summary(placed)  # a row for each pivot, as of the queries
+    queries = raised(pivots, cells, summary(asked), k)
+    allowed, group = may_serve(pivots, cells, queries), grouped(pivots, queries)
+    sizes: dict[int, int] = {}
+    for g, (m, *_) in queries.items():
+        sizes[group[g]] = sizes.get(group[g], 0) + m
     blocks = max(1, -(-n // BLOCK))
 
     def serve(batches):
-        """Each row, once for each cell of queries where it may be among the best."""
+        """Each row, once for each group with a cell of queries where it may be among the best."""
         import pyarrow as pa
 
-        groups = np.array(sorted(queries), np.int64)
-        centre, radius = pivots[groups], np.array([queries[g][1] for g in groups.tolist()])
-        floor = np.array([floors[g] for g in groups.tolist()])
+        pivots = sent.value[0]
+        asked_cells = np.array(sorted(queries), np.int64)
+        centre, radius, floor = pivots[asked_cells], *(np.array([queries[g][i] for g in asked_cells.tolist()]) for i in (1, 2))
+        groups = np.array([group[g] for g in asked_cells.tolist()], np.int64)
         for batch in batches:
+            if not len(asked_cells):
+                break
             raw, norm = batch.column("v").to_pylist(), batch.column("norm").to_numpy()
             x = np.frombuffer(b"".join(raw), np.int64).reshape(len(raw), width).astype(np.float64)
             most = x @ centre.T + norm[:, None] * radius
-            row, group = np.nonzero(most >= floor - 1e-6 * (1 + np.abs(most)))
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(groups[group], pa.int32()), "vec_id": batch.column("vec_id").take(pa.array(row)), "v": batch.column("v").take(pa.array(row))})
-
-    parts = F.create_map(*[F.lit(x) for g, (m, *_) in queries.items() for x in (g, -(-m // GROUP))]) if queries else F.lit(None).cast("map<int,int>")
-    n_parts = parts[F.col("cell")]
-    served = placed.select("vec_id", "v", "norm").mapInArrow(serve, "cell int, vec_id long, v binary")
+            may = (most >= floor - 1e-6 * (1 + np.abs(most))) & allowed[batch.column("cell").to_numpy()][:, asked_cells]
+            row, cell = np.nonzero(may)
+            row, to = np.unique(np.stack([row, groups[cell]]), axis=1)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(to, pa.int32()), "vec_id": batch.column("vec_id").take(pa.array(row)), "v": batch.column("v").take(pa.array(row))})
+
+    in_map = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.lit(None).cast("map<int,int>")
+    n_parts = in_map({g: -(-m // GROUP) for g, m in sizes.items()})[F.col("cell")]
+    served = placed.select("vec_id", "v", "norm", "cell").mapInArrow(serve, "cell int, vec_id long, v binary")
     served = served.select("cell", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-    asking = asked.select("cell", F.pmod(F.xxhash64(F.lit(3), "vec_id"), n_parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    asking = asked.select(in_map(group)[F.col("cell")].alias("cell"), "vec_id", "v")
+    asking = asking.select("cell", F.pmod(F.xxhash64(F.lit(3), "vec_id"), n_parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    return asking, served, width
+
+
+def solved(asking: DataFrame, served: DataFrame, width: int, k: int) -> DataFrame:
+    """The best rows of each query, from the blocks where they meet."""
 
     def solve(q, x):
         import pyarrow as pa
