@@ -20,14 +20,23 @@ MARKERS = {
 SINGLE = ["etymology", "ditto_of"]
 
 
+def trimmed(t: Column) -> Column:
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
+
+
+def without_blank(definitions: Column) -> Column:
+    """The definitions that hold more than blanks, trimmed; null is none."""
+    kept = F.filter(F.coalesce(definitions, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"\s", "") != "")
+    return F.transform(kept, trimmed)
+
+
 def normalise_entries(df: DataFrame, source: str = "", page: int | None = None, now: str | None = None) -> DataFrame:
     """Keys trimmed, blank definitions dropped, unknown types made headwords, defaults filled in; null keys and lists become empty."""
-    kept = F.filter(F.coalesce("definitions", F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"\s", "") != "")
     kind = F.when(F.col("entry_type").isin(ENTRY_TYPES), F.col("entry_type")).otherwise("headword")
     return df.select(
         "pos",
-        F.regexp_replace(F.coalesce("karen", F.lit("")), r"^\s+|\s+$", "").alias("karen"),
-        F.transform(kept, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")).alias("definitions"),
+        trimmed(F.coalesce("karen", F.lit(""))).alias("karen"),
+        without_blank(F.col("definitions")).alias("definitions"),
         F.coalesce("page", F.lit(page)).cast("int").alias("page"),
         F.coalesce("flag", F.lit(False)).alias("flag"),
         F.coalesce(F.nullif("source", F.lit("")), F.lit(source)).alias("source"),
@@ -36,12 +45,49 @@ def normalise_entries(df: DataFrame, source: str = "", page: int | None = None,
     )
 
 
+#: The lists of an entry's analysis (fixed values).
+ANALYSIS = ["examples", "headword_terms", "related_items", "segments", "sense_labels"]
+
+
+def normalise_analysis(analysis: Column) -> Column:
+    """Analysis as JSON text becomes its five lists, each an array of items: objects as JSON text, strings as they are.
+
+    What is no list is an empty one, and so are all five of what is no object, or null.
+    """
+    known, empty = F.from_json(analysis, "map<string,string>"), F.array().cast("array<string>")
+    one = lambda v: F.coalesce(F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>")), empty)
+    return F.struct(*(one(F.try_element_at(known, F.lit(k))).alias(k) for k in ANALYSIS))
+
+
 def merge_lists(a: Column, b: Column) -> Column:
     """Both lists' items in order, each once."""
     empty = F.array().cast("array<string>")
     return F.array_distinct(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)))
 
 
+def merge_analysis(a: Column, b: Column) -> Column:
+    """Two normalised analyses, list by list."""
+    return F.struct(*(merge_lists(a[k], b[k]).alias(k) for k in ANALYSIS))
+
+
+def dedupe_items(items: Column) -> Column:
+    """A list's items in order, each once, as JSON objects; a bare string x becomes {"text": x}."""
+    return F.transform(F.array_distinct(items), lambda x: F.when(x.startswith("{"), x).otherwise(F.to_json(F.struct(x.alias("text")))))
+
+
+def item_field(item: Column, name: str) -> Column:
+    """A field of an item as text; of a bare string its text is the string."""
+    bare = item if name == "text" else F.lit(None).cast("string")
+    return F.btrim(F.coalesce(F.when(item.startswith("{"), F.get_json_object(item, f"$.{name}")).otherwise(bare), F.lit("")))
+
+
+def analysis_text(analysis: Column) -> Column:
+    """A normalised analysis as JSON text, with a blank after each comma and colon."""
+    item = lambda x: F.when(x.startswith("{"), x).otherwise(F.regexp_extract(F.to_json(F.struct(x.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1))
+    lists = [F.concat(F.lit(f'"{k}": ['), F.array_join(F.transform(analysis[k], item), ", "), F.lit("]")) for k in ANALYSIS]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *lists), F.lit("}"))
+
+
 def segment_kind(kind: Column) -> Column:
     """A segment's kind under its own name; blank is other."""
     k = F.btrim(F.lower(F.coalesce(kind, F.lit(""))))
@@ -62,22 +108,63 @@ def escape_html(t: Column) -> Column:
     return t
 
 
+def first_replaced(t: Column, word: Column, new: Column) -> Column:
+    """t with the first occurrence of a word replaced."""
+    at = F.instr(t, word)
+    return F.when((word != "") & (at > 0), F.concat(F.substring(t, F.lit(1), at - 1), new, F.substring(t, at + F.length(word), F.length(t)))).otherwise(t)
+
+
 def highlight_segments(definition: Column, segments: Column) -> Column:
-    """Escaped text with the first occurrence of each segment (text, kind) marked, longest first."""
+    """Escaped text with the first occurrence of each segment (text, kind) marked, longest first, and its lines broken."""
     order = F.array_sort(F.filter(segments, lambda s: s["text"] != ""), lambda a, b: F.length(b["text"]) - F.length(a["text"]))
 
     def mark(t, s):
         word = escape_html(s["text"])
-        at = F.instr(t, word)
-        wrapped = F.concat(F.lit('<span class="seg '), segment_kind(s["kind"]), F.lit('">'), word, F.lit("</span>"))
-        return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), wrapped, F.substring(t, at + F.length(word), F.length(t)))).otherwise(t)
+        return first_replaced(t, word, F.concat(F.lit('<span class="seg seg-'), segment_kind(s["kind"]), F.lit('">'), word, F.lit("</span>")))
+
+    return F.replace(F.aggregate(order, escape_html(F.coalesce(definition, F.lit(""))), mark), F.lit("\n"), F.lit("<br>"))
+
+
+def link_terms(html: Column, terms: Column) -> Column:
+    """The first occurrence of each term (text, target) in rendered text becomes a link to its entry."""
 
-    return F.aggregate(order, escape_html(F.coalesce(definition, F.lit(""))), mark)
+    def link(t, x):
+        word, target = escape_html(x["text"]), x["target"].cast("string")
+        new = F.concat(F.lit('<a href="#entry-'), target, F.lit('" class="hw-link karen" data-idx="'), target, F.lit('">'), word, F.lit("</a>"))
+        return first_replaced(t, word, new)
 
+    return F.aggregate(terms, html, link)
 
-def search_blob() -> Column:
-    """What a search looks in: key, definitions and source, lower-cased."""
-    return F.lower(F.concat_ws(" ", "karen", "definitions", "source"))
+
+def view_entries(df: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Entries (pos, karen, definitions, analysis: normalised) as they are shown.
+
+    (pos, karen, display_definitions, linked_definitions, tab_examples, tab_headwords, tab_related): labels of senses
+    put in, segments marked, terms of headwords linked to their entries (those of entries, else of df), three tabs of items.
+    """
+    terms = df.select("pos", F.posexplode(dedupe_items(F.col("analysis.headword_terms"))).alias("at", "item")).select("pos", "at", item_field(F.col("item"), "text").alias("term"))
+    linked = link_headwords(df if entries is None else entries, terms.where("term <> ''"), "at")
+    listed = linked.groupBy("pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col("term").alias("text"), "target"))), lambda x: F.struct(x["text"].alias("text"), x["target"].alias("target"))).alias("links"))
+    labels = F.transform("analysis.sense_labels", lambda x: F.struct(item_field(x, "number").alias("number"), item_field(x, "label").alias("label")))
+    segments = F.transform(F.filter("analysis.segments", lambda x: x.startswith("{")), lambda x: F.struct(item_field(x, "text").alias("text"), item_field(x, "kind").alias("kind")))
+    empty = F.array().cast("array<struct<text:string,target:bigint>>")
+    rows = df.withColumns({"labels": labels, "segs": segments}).join(listed, "pos", "left").withColumn("links", F.coalesce("links", empty))
+    shown = rows.withColumn("display_definitions", F.transform("definitions", lambda t: inject_labels(t, F.col("labels"))))
+    return shown.select(
+        "pos",
+        "karen",
+        "display_definitions",
+        F.transform("display_definitions", lambda t: link_terms(highlight_segments(t, F.col("segs")), F.col("links"))).alias("linked_definitions"),
+        dedupe_items(F.col("analysis.examples")).alias("tab_examples"),
+        dedupe_items(F.col("analysis.headword_terms")).alias("tab_headwords"),
+        dedupe_items(F.col("analysis.related_items")).alias("tab_related"),
+    )
+
+
+def search_blob(analysis: Column | None = None) -> Column:
+    """What a search looks in: key, definitions, source and analysis (normalised), lower-cased."""
+    parts = ["karen", "definitions", "source"]
+    return F.lower(F.concat_ws(" ", *parts) if analysis is None else F.concat_ws(" ", *parts, analysis_text(analysis)))
 
 
 def search_entries(df: DataFrame, q: str = "", page: str | None = None, flagged: bool = False, limit: int = 200) -> DataFrame:
@@ -85,7 +172,8 @@ def search_entries(df: DataFrame, q: str = "", page: str | None = None, flagged:
     if q.startswith("#") and q[1:].isdigit():
         found = df.where(F.col("pos") == int(q[1:]))
     else:
-        found = df.where(F.contains(search_blob(), F.lit(q.lower()))) if q else df
+        blob = search_blob(F.col("analysis") if "analysis" in df.columns else None)
+        found = df.where(F.contains(blob, F.lit(q.lower()))) if q else df
     found = found.where(F.col("page").cast("string") == page) if page else found
     found = found.where("flag") if flagged else found
     total = found.agg(F.count(F.lit(1)).alias("total"))
@@ -93,21 +181,38 @@ def search_entries(df: DataFrame, q: str = "", page: str | None = None, flagged:
 
 
 def edit_entries(df: DataFrame, edits: DataFrame, deleted: DataFrame, now: str) -> DataFrame:
-    """Edits (pos, karen, definitions, flag, promote) laid over entries, deletions taken out; places stay as they are."""
+    """Edits (pos, karen, definitions, flag, promote) laid over entries, deletions taken out; places stay as they are.
+
+    What is edited is normalised again (see normalise_entries); promoted entries are headwords.
+    """
     e = edits.select("pos", *(F.col(c).alias(f"new_{c}") for c in ("karen", "definitions", "flag", "promote")), F.lit(True).alias("edited"))
     joined = df.join(deleted.select("pos"), "pos", "left_anti").join(e, "pos", "left")
-    promote = F.coalesce("new_promote", F.lit(False))
+    promote, changed = F.coalesce("new_promote", F.lit(False)), F.col("edited").isNotNull()
     return joined.select(
         "pos",
-        F.coalesce("new_karen", "karen").alias("karen"),
-        F.coalesce("new_definitions", "definitions").alias("definitions"),
+        F.when(changed, trimmed(F.coalesce("new_karen", "karen", F.lit("")))).otherwise(F.col("karen")).alias("karen"),
+        F.when(changed, without_blank(F.coalesce("new_definitions", "definitions"))).otherwise(F.col("definitions")).alias("definitions"),
         F.coalesce("new_flag", "flag").alias("flag"),
         F.when(promote, "headword").otherwise(F.col("entry_type")).alias("entry_type"),
         promote.alias("promoted"),
-        F.when(F.col("edited"), F.lit(now)).alias("updated_at"),
+        F.when(changed, F.lit(now)).alias("updated_at"),
     )
 
 
+def reanalyse_entries(df: DataFrame, results: DataFrame, now: str) -> DataFrame:
+    """Entries (with entry_type and analysis, normalised) whose analysis a result (pos, entry_type, analysis: JSON text) replaces.
+
+    A type that isn't one keeps the old; definitions never change. An entry without a result stays as it is.
+    """
+    new = results.select("pos", F.col("entry_type").alias("new_type"), normalise_analysis(F.col("analysis")).alias("new_analysis"), F.lit(True).alias("done"))
+    columns = {
+        "entry_type": F.when(F.col("new_type").isin(ENTRY_TYPES), F.col("new_type")).otherwise(F.col("entry_type")),
+        "analysis": F.when(F.col("done"), F.col("new_analysis")).otherwise(F.col("analysis")),
+        "updated_at": F.when(F.col("done"), F.lit(now)),
+    }
+    return df.join(new, "pos", "left").select(*(columns.get(c, F.col(c)).alias(c) for c in dict.fromkeys([*df.columns, "updated_at"])))
+
+
 def classify_error(pred_key: Column, true_key: Column, pred_defs: Column, true_defs: Column) -> Column:
     """Which part of a prediction was wrong."""
     return F.when(~pred_key.eqNullSafe(true_key), "wrong_headword").when(~pred_defs.eqNullSafe(true_defs), "wrong_definition").otherwise("formatting_error")
@@ -124,21 +229,37 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def link_headwords(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """(pos, term, target): terms (pos, term) and the place of the entry with that key, promoted or headword ones first, then the lowest."""
+def link_headwords(df: DataFrame, terms: DataFrame, *more: str) -> DataFrame:
+    """(pos, term, target, *more): terms (pos, term, *more) and the place of the entry with that key, promoted or headword ones first, then the lowest."""
     best = df.groupBy("karen").agg(F.min(F.struct(F.when(F.col("entry_type") == "headword", 0).otherwise(1).alias("prio"), "pos")).alias("best"))
-    return terms.join(best.select(F.col("karen").alias("term"), F.col("best.pos").alias("target")), "term").select("pos", "term", "target")
+    return terms.join(best.select(F.col("karen").alias("term"), F.col("best.pos").alias("target")), "term").select("pos", "term", "target", *more)
+
+
+#: Fields that an entry may have tagged itself; those that no relation is named after are cross references (fixed values).
+TAGGED = ["etymology", "compound_entry", "cross_reference", "ditto_of", "analogous_terms", "part_of_speech", "interchangeable_with"]
 
 
 def relations(df: DataFrame) -> DataFrame:
-    """(karen, field, found): what the definitions' markers announce; distinct in order, of single fields the first."""
+    """(karen, field, found) of entries (pos, karen, definitions, tagged): what the definitions' markers announce and entries are tagged with.
+
+    tagged, if there, maps fields to lists of values, which come after the entry's definitions. Found values are distinct in
+    order, of single fields the first. The first grammar label of a key is its part of speech.
+    """
     lines = df.where("karen <> ''").select("pos", "karen", F.posexplode("definitions").alias("line", "definition"))
     rules = [(f, m) for f, ms in MARKERS.items() for m in ms]
-    hits = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(f).alias("field"), text.extract_after(F.col("definition"), m).alias("found")) for k, (f, m) in enumerate(rules)])
+    hits = F.array(
+        *[F.struct(F.lit(k).alias("rule"), F.lit(f).alias("field"), text.extract_after(F.col("definition"), m).alias("found")) for k, (f, m) in enumerate(rules)],
+        F.struct(F.lit(len(rules)).alias("rule"), F.lit("part_of_speech").alias("field"), text.part_of_speech(F.col("definition")).alias("found")),
+    )
     rows = lines.select("pos", "karen", "line", F.explode(F.filter(hits, lambda h: h["found"].isNotNull())).alias("h")).select("pos", "karen", "line", "h.*")
+    if "tagged" in df.columns:
+        tags = df.where("karen <> ''").select("pos", "karen", F.explode("tagged").alias("field", "values")).where(F.col("field").isin(TAGGED))
+        field = F.when(F.col("field").isin([*MARKERS, "part_of_speech"]), F.col("field")).otherwise("cross_reference")
+        place = F.array_position(F.array(*map(F.lit, TAGGED)), F.col("field")).cast("int") * 1_000_000
+        rows = rows.unionByName(tags.select("pos", "karen", F.lit(2**31 - 1).alias("line"), place.alias("place"), field.alias("field"), F.posexplode("values").alias("rule", "found")).select("pos", "karen", "line", (F.col("place") + F.col("rule")).alias("rule"), "field", "found"))
     first = rows.groupBy("karen", "field", "found").agg(F.min(F.struct("pos", "line", "rule")).alias("at"))
     listed = first.groupBy("karen", "field").agg(F.sort_array(F.collect_list(F.struct("at", "found"))).alias("all"))
-    return listed.select("karen", "field", F.when(F.col("field").isin(SINGLE), F.slice("all", 1, 1)).otherwise(F.col("all"))["found"].alias("found"))
+    return listed.select("karen", "field", F.when(F.col("field").isin([*SINGLE, "part_of_speech"]), F.slice("all", 1, 1)).otherwise(F.col("all"))["found"].alias("found"))
 
 
 def relation_hits(df: DataFrame) -> DataFrame:
@@ -152,16 +273,17 @@ def propagate_correction(df: DataFrame, fixes: DataFrame, key: str = "native") -
     """df with each fix (original, corrected, error_type) applied where the same context makes it safe: (pos, before, after, applied).
 
     A tone error spreads within consonant and vowel, a medial error within those and the tone, a consonant error within vowel,
-    tone and medials. Keys meet fixes on their first characters, so fixes are found by an equal join, not by pairs of all.
+    tone and medials. Keys meet fixes on their own substrings, of the lengths that fixes have, so each row of the join is an answer.
     """
-    size = 2
-    parts = collation.decompose(F.col(key))
-    cut = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - size + 1, F.lit(1))), lambda i: F.substring(F.col(key), i, F.lit(size)))))
-    rows = df.select("pos", F.col(key).alias("before"), parts.alias("p"), cut.alias("gram"))
-    f = fixes.select("original", "corrected", "error_type", collation.decompose(F.col("original")).alias("o"), F.substring("original", 1, size).alias("gram"))
+    lengths = F.broadcast(fixes.agg(F.sort_array(F.collect_set(F.length("original"))).alias("lengths")))  # one row of numbers
+    rows = df.where(F.length(key) > 0).select("pos", F.col(key).alias("before")).crossJoin(lengths)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("before") - n + 1), lambda i: F.substring(F.col("before"), i, n))
+    cuts = F.flatten(F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("before"))), cut))
+    rows = rows.select("pos", "before", collation.decompose(F.col("before")).alias("p"), F.explode(F.array_distinct(cuts)).alias("original"))
+    f = fixes.select("original", "corrected", "error_type", collation.decompose(F.col("original")).alias("o"))
     same = lambda *names: F.expr(" AND ".join(f"p.{n} = o.{n}" for n in names))
     safe = F.when(F.col("error_type") == "tone_error", same("consonant", "vowel")).when(F.col("error_type") == "medial_error", same("consonant", "vowel", "tone")).when(F.col("error_type") == "consonant_error", same("vowel", "tone", "medials")).otherwise(False)
-    met = rows.join(f, "gram").where(F.contains("before", F.col("original")))
+    met = rows.join(f, "original")
     return met.select("pos", "before", "original", "error_type", safe.alias("applied"), F.when(safe, F.replace("before", F.col("original"), F.col("corrected"))).otherwise(F.col("before")).alias("after"))
 
 
@@ -206,3 +328,13 @@ def data_quality(df: DataFrame) -> DataFrame:
     """Counts of entries, those without definitions and those without a key."""
     blank = F.size(F.filter("definitions", lambda x: x != "")) == 0
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(blank).alias("no_definitions"), F.count_if(F.col("karen") == "").alias("no_key"))
+
+
+def ledger_quality(ledger: DataFrame) -> DataFrame:
+    """Counts of a ledger's rows (file, value as JSON text) and of those whose value is no object."""
+    return ledger.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.coalesce(F.ltrim("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull(), F.lit(False))).alias("wrong_type"))
+
+
+def append_entries(df: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries with new ones behind them, repeats and all; columns that one side lacks are null there."""
+    return df.unionByName(new, allowMissingColumns=True)

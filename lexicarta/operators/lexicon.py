@@ -51,16 +51,11 @@ def lookup_cascade(queries: DataFrame, sources: list[tuple[str, DataFrame]]) ->
 
 def connector_spans(texts: DataFrame, connectors: DataFrame) -> DataFrame:
     """(doc_id, start, end, connector) of texts (doc_id, syllables): everywhere that a connector's syllables (connector, size) stand."""
-    sizes = [r.size for r in connectors.select("size").distinct().orderBy("size").limit(32).collect()]  # lengths of connectors
-
-    def grams(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size("syllables") - n), lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice("syllables", i + 1, n), "").alias("chunk")))
-
-    rows = [texts.where(F.size("syllables") >= n).select("doc_id", F.explode(grams(n)).alias("g")).select("doc_id", "g.*") for n in sizes]
-    found = rows[0]
-    for r in rows[1:]:
-        found = found.unionByName(r)
-    return found.join(connectors.select(F.col("connector").alias("chunk"), (F.col("size")).alias("size")), "chunk").where(F.col("end") - F.col("start") == F.col("size")).select("doc_id", "start", "end", F.col("chunk").alias("connector"))
+    sizes = F.broadcast(connectors.agg(F.sort_array(F.collect_set("size")).alias("sizes")))  # one row of numbers
+    starts = texts.where(F.size("syllables") > 0).crossJoin(sizes).select("doc_id", "syllables", F.explode("sizes").alias("n")).where(F.col("n").between(1, F.size("syllables")))
+    chunk = lambda i: F.struct(i.alias("start"), (i + F.col("n")).alias("end"), F.array_join(F.slice("syllables", i + 1, F.col("n")), "").alias("chunk"))
+    found = starts.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("syllables") - F.col("n")), chunk)).alias("g")).select("doc_id", "n", "g.*")
+    return found.join(connectors.select(F.col("connector").alias("chunk"), F.col("size").alias("n")), ["chunk", "n"]).select("doc_id", "start", "end", F.col("chunk").alias("connector"))
 
 
 def chunk_candidates(texts: DataFrame, longest: int) -> DataFrame:
@@ -71,40 +66,80 @@ def chunk_candidates(texts: DataFrame, longest: int) -> DataFrame:
 
 
 PARTS = "array<struct<chunk:string,meaning:string,reason:string>>"
+#: Bytes of a lexicon that is sent to the tasks; a larger one meets the texts in a join.
+MOST_SENT = 64 << 20
+
+
+def distinct_chunks(syllables: Column, longest: int) -> Column:
+    """The distinct runs of up to longest syllables of one text."""
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.size(syllables) - n), lambda i: F.array_join(F.slice(syllables, i + 1, n), ""))
+    every = [F.when(F.size(syllables) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
+    return F.array_distinct(F.concat(*every))
 
 
 def with_hits(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """texts (doc_id, syllables) with the runs of each that the lexicon (chunk, meaning) has, by a join: a lexicon of any size serves."""
-    hits = chunk_candidates(texts, longest).join(lexicon.select("chunk", "meaning"), "chunk").select("doc_id", F.struct("chunk", "meaning").alias("h")).distinct()
-    return texts.join(hits.groupBy("doc_id").agg(F.collect_list("h").alias("hits")), "doc_id", "left").select("doc_id", "syllables", "hits")
+    chunks = texts.select("doc_id", F.explode(distinct_chunks(F.col("syllables"), longest)).alias("chunk"))
+    hits = chunks.join(lexicon.select("chunk", "meaning"), "chunk").groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "meaning")).alias("hits"))
+    return texts.join(hits, "doc_id", "left").select("doc_id", "syllables", "hits")
 
 
-def in_texts(rows: DataFrame, parts_of) -> DataFrame:
-    """(doc_id, parts): parts_of(syllables, hits) of each text."""
+def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, parts_of, most_sent: int = MOST_SENT) -> DataFrame:
+    """(doc_id, parts) of texts (doc_id, syllables): parts_of(syllables, known) gives (chunk, meaning, reason) of each part.
 
-    def run(batches):
-        import pandas as pd
+    known holds the lexicon's entries, all of a small one and of a larger one those that the text has runs of. An entry
+    that comes twice counts with its first meaning by order.
+    """
+    import pyarrow as pa
+
+    entries = lexicon.where(F.col("chunk").isNotNull() & F.col("meaning").isNotNull()).groupBy("chunk").agg(F.min("meaning").alias("meaning"))
+    small = (entries.agg(F.sum(F.octet_length("chunk") + F.octet_length("meaning") + 100)).first()[0] or 0) <= most_sent
+    sent = texts.sparkSession.sparkContext.broadcast(dict(entries.toPandas().itertuples(index=False, name=None))) if small else None
+    rows = texts.select("doc_id", "syllables") if small else with_hits(texts, entries, longest)
 
+    def run(batches):
         for b in batches:
-            parts = [parts_of(list(s), {h["chunk"]: h["meaning"] for h in hs} if hs is not None else {}) for s, hs in zip(b["syllables"], b["hits"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "parts": parts})
+            columns: tuple[list, list, list] = ([], [], [])
+            ends = [0]
+            hits = [None] * b.num_rows if small else b.column("hits").to_pylist()
+            for syllables, found in zip(b.column("syllables").to_pylist(), hits, strict=True):
+                known = sent.value if small else {h["chunk"]: h["meaning"] for h in found or ()}
+                for part in parts_of(syllables or [], known):
+                    for column, value in zip(columns, part, strict=True):
+                        column.append(value)
+                ends.append(len(columns[0]))
+            flat = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["chunk", "meaning", "reason"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "parts"])
+
+    return rows.mapInArrow(run, f"doc_id long, parts {PARTS}")
+
 
-    return rows.mapInPandas(run, f"doc_id long, parts {PARTS}")
+def places(syllables: list[str]) -> tuple[str, list[int]]:
+    """The text, and where each syllable starts in it."""
+    at = [0]
+    for s in syllables:
+        at.append(at[-1] + len(s))
+    return "".join(syllables), at
 
 
 def segment_greedy(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(doc_id, parts): from the left, the longest run in the lexicon, of longest syllables at most, else one syllable with `??`."""
 
-    def parts_of(syllables: list[str], known: dict[str, str]) -> list[dict]:
-        out, at, n = [], 0, len(syllables)
+    def parts_of(syllables: list[str], known: dict[str, str]):
+        (whole, starts), at, n = places(syllables), 0, len(syllables)
         while at < n:
-            end = next((e for e in range(min(n, at + longest), at, -1) if "".join(syllables[at:e]) in known), 0)
-            chunk = "".join(syllables[at : end or at + 1])
-            out.append({"chunk": chunk, "meaning": known[chunk] if end else "??", "reason": "longest" if end else "stuck"})
-            at = end or at + 1
-        return out
+            first = starts[at]
+            for end in range(min(n, at + longest), at, -1):
+                chunk = whole[first : starts[end]]
+                if chunk in known:
+                    yield chunk, known[chunk], "longest"
+                    at = end
+                    break
+            else:
+                yield syllables[at], "??", "stuck"
+                at += 1
 
-    return in_texts(with_hits(texts, lexicon, longest), parts_of)
+    return segmented(texts, lexicon, longest, parts_of)
 
 
 def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], longest: int) -> DataFrame:
@@ -119,18 +154,18 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
 
     widest = max(connectors.values(), default=1)
 
-    def parts_of(syllables: list[str], known: dict[str, str]) -> list[dict]:
-        n = len(syllables)
+    def parts_of(syllables: list[str], known: dict[str, str]):
+        n, (whole, offset) = len(syllables), places(syllables)
 
         def run(a: int, z: int) -> str | None:
-            chunk = "".join(syllables[a:z]) if a < z <= a + longest else None
+            chunk = whole[offset[a] : offset[z]] if a < z <= a + longest else None
             return chunk if chunk in known else None
 
-        spans = [(i, i + k) for i in range(n) for k in range(widest, 0, -1) if i + k <= n and connectors.get("".join(syllables[i : i + k])) == k]
+        spans = [(i, i + k) for i in range(n) for k in range(min(widest, n - i), 0, -1) if connectors.get(whole[offset[i] : offset[i + k]]) == k]
         starts = [a for a, _ in spans]
         after = [starts[j] if (j := bisect_right(starts, z)) < len(starts) else n for _, z in spans]
         between = [k for k, ((_, z), stop) in enumerate(zip(spans, after, strict=True)) if run(z, stop)]
-        out, at = [], 0
+        at = 0
 
         def around():
             first = bisect_left(starts, at - widest)
@@ -152,11 +187,10 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
         while at < n:
             tries = [(at, n, "rest"), *around(), *((at, e, "longest") for e in range(min(n, at + longest), at, -1))]
             hit = next(((z, chunk, why) for a, z, why in tries if (chunk := run(a, z))), None)
-            out.append({"chunk": hit[1], "meaning": known[hit[1]], "reason": hit[2]} if hit else {"chunk": syllables[at], "meaning": "??", "reason": "stuck"})
+            yield (hit[1], known[hit[1]], hit[2]) if hit else (syllables[at], "??", "stuck")
             at = hit[0] if hit else at + 1
-        return out
 
-    return in_texts(with_hits(texts, lexicon, longest), parts_of)
+    return segmented(texts, lexicon, longest, parts_of)
 
 
 def unresolved(parts: DataFrame) -> DataFrame:

@@ -32,11 +32,59 @@ def normalise_entries(spark, d):
     return out.select("pos", "karen", F.array_join("definitions", "|").alias("definitions"), "page", "flag", "source", "entry_type")
 
 
-@query("merge_analysis", WITH + """, t AS (SELECT pos, list_concat(definitions, list_reverse(definitions)) AS x FROM entries),
-u AS (SELECT pos, unnest(x) AS v, unnest(range(len(x))) AS i FROM t), f AS (SELECT pos, v, min(i) AS i FROM u GROUP BY pos, v)
-SELECT pos, string_agg(v, '|' ORDER BY i) AS merged FROM f GROUP BY pos""")
+ANALYSED = WITH + """, an AS (SELECT *, list_transform(definitions, lambda x: regexp_extract(x, '[A-Za-z]+', 0)) AS ws FROM entries),
+items AS (SELECT *, list_transform(ws, lambda x: '{"text":"' || x || '"}') AS terms, list_transform(ws, lambda x: '{"text":"' || x || '","kind":"xref"}') AS segs, ['{"number":"1","label":"noun"}'] AS labels FROM an)"""
+
+
+def analysed(spark, d):
+    """Entries with their analysis as JSON text: the first word of each definition as example, term, segment; related items that are no list."""
+    ws = F.transform("definitions", lambda x: F.regexp_extract(x, "[A-Za-z]+", 0))
+    text, kind = (lambda x: x.alias("text")), F.lit("xref").alias("kind")
+    analysis = F.to_json(
+        F.struct(
+            F.col("ws").alias("examples"),
+            F.transform("ws", lambda x: F.struct(text(x))).alias("headword_terms"),
+            F.lit("none").alias("related_items"),
+            F.transform("ws", lambda x: F.struct(text(x), kind)).alias("segments"),
+            F.array(F.struct(F.lit("1").alias("number"), F.lit("noun").alias("label"))).alias("sense_labels"),
+        )
+    )
+    return b.entries(spark, d).withColumn("ws", ws).withColumn("analysis", F.when(F.col("pos") % 10 == 9, "[]").otherwise(analysis))
+
+
+@query("normalise_analysis", ANALYSED + """
+SELECT pos, CASE WHEN pos % 10 = 9 THEN '' ELSE array_to_string(ws, '|') END AS examples, CASE WHEN pos % 10 = 9 THEN '' ELSE array_to_string(terms, '|') END AS headword_terms,
+  CASE WHEN pos % 10 = 9 THEN '' ELSE array_to_string(segs, '|') END AS segments, CASE WHEN pos % 10 = 9 THEN '' ELSE labels[1] END AS sense_labels, 0 AS n_related FROM items""")
+def normalise_analysis(spark, d):
+    a = analysed(spark, d).select("pos", ops.normalise_analysis(F.col("analysis")).alias("a"))
+    lists = (F.array_join(f"a.{k}", "|").alias(k) for k in ("examples", "headword_terms", "segments", "sense_labels"))
+    return a.select("pos", *lists, F.size("a.related_items").alias("n_related"))
+
+
+@query("merge_analysis", ANALYSED + """, t AS (SELECT pos, list_concat(list_reverse(ws), ws) AS x, terms FROM items WHERE pos % 10 <> 9),
+u AS (SELECT pos, unnest(x) AS v, unnest(range(len(x))) AS i FROM t), f AS (SELECT pos, v, min(i) AS i FROM u GROUP BY pos, v), e AS (SELECT pos, string_agg(v, '|' ORDER BY i) AS examples FROM f GROUP BY pos),
+u2 AS (SELECT pos, unnest(terms) AS v, unnest(range(len(terms))) AS i FROM t), f2 AS (SELECT pos, v, min(i) AS i FROM u2 GROUP BY pos, v), e2 AS (SELECT pos, string_agg(v, '|' ORDER BY i) AS headword_terms FROM f2 GROUP BY pos)
+SELECT e.pos, examples, headword_terms, 0 AS n_related, 1 AS n_labels FROM e JOIN e2 USING (pos)""")
 def merge_analysis(spark, d):
-    return b.entries(spark, d).select("pos", F.array_join(ops.merge_lists(F.col("definitions"), F.reverse("definitions")), "|").alias("merged"))
+    a = analysed(spark, d).where("pos % 10 <> 9").select("pos", "ws", ops.normalise_analysis(F.col("analysis")).alias("a"))
+    first = a.select("pos", "a", ops.normalise_analysis(F.to_json(F.struct(F.reverse("ws").alias("examples")))).alias("b"))
+    m = first.select("pos", ops.merge_analysis(F.col("b"), F.col("a")).alias("m"))
+    return m.select("pos", F.array_join("m.examples", "|").alias("examples"), F.array_join("m.headword_terms", "|").alias("headword_terms"), F.size("m.related_items").alias("n_related"), F.size("m.sense_labels").alias("n_labels"))
+
+
+@query("dedupe_items", ANALYSED + """, u AS (SELECT pos, unnest(ws) AS v, unnest(range(len(ws))) AS i FROM items), f AS (SELECT pos, v, min(i) AS i FROM u GROUP BY pos, v)
+SELECT pos, string_agg('{"text":"' || v || '"}', '|' ORDER BY i) AS items FROM f GROUP BY pos""")
+def dedupe_items(spark, d):
+    return analysed(spark, d).select("pos", F.array_join(ops.dedupe_items(F.col("ws")), "|").alias("items"))
+
+
+@query("search_blob", ANALYSED + """
+SELECT pos, md5(lower(concat_ws(' ', karen, array_to_string(definitions, ' '), source, '{"examples": [' || CASE WHEN pos % 10 = 9 THEN '' ELSE array_to_string(list_transform(ws, lambda x: '"' || x || '"'), ', ') END
+  || '], "headword_terms": [' || CASE WHEN pos % 10 = 9 THEN '' ELSE array_to_string(terms, ', ') END || '], "related_items": [], "segments": [' || CASE WHEN pos % 10 = 9 THEN '' ELSE array_to_string(segs, ', ') END
+  || '], "sense_labels": [' || CASE WHEN pos % 10 = 9 THEN '' ELSE labels[1] END || ']}'))) AS blob FROM items""")
+def search_blob(spark, d):
+    e = analysed(spark, d).withColumn("analysis", ops.normalise_analysis(F.col("analysis")))
+    return e.select("pos", F.md5(ops.search_blob(F.col("analysis"))).alias("blob"))
 
 
 @query("segment_kind", """
@@ -68,20 +116,46 @@ def segments(definition):
     return F.transform(ws, lambda w, i: F.struct(w.alias("text"), F.when(i % 2 == 0, "xref").otherwise("example").alias("kind")))
 
 
-@query("highlight_segments")
+def sql_escape(t):
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        t = f"replace({t}, '{char}', '{name}')"
+    return t
+
+
+def sql_first(t, word, new):
+    return f"CASE WHEN {word} <> '' AND instr({t}, {word}) > 0 THEN substr({t}, 1, instr({t}, {word}) - 1) || {new} || substr({t}, instr({t}, {word}) + length({word})) ELSE {t} END"
+
+
+SPAN = """'<span class="seg seg-' || k || '">' || w || '</span>'"""
+LINKS = """'<a href="#entry-' || g || '" class="hw-link karen" data-idx="' || g || '">' || w || '</a>'"""
+
+
+@query("highlight_segments", WITH + f""", l AS (SELECT pos, CAST(unnest(range(len(definitions))) AS INTEGER) AS line, unnest(definitions) AS t FROM entries),
+p AS (SELECT pos, line, unnest(string_split(t, ' ')) AS w, unnest(range(len(string_split(t, ' ')))) AS i FROM l), f AS (SELECT pos, line, w, min(i) AS i FROM p GROUP BY pos, line, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos, line ORDER BY i) AS n FROM f), k AS (SELECT pos, line, {sql_escape('w')} AS w, length(w) AS size, n, CASE WHEN n % 2 = 1 THEN 'cross_reference' ELSE 'example' END AS k FROM r WHERE n <= 3 AND w <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY pos, line ORDER BY size DESC, n) AS place FROM k),
+j AS (SELECT l.pos, l.line, {sql_escape('t')} AS t, a.w AS w1, a.k AS k1, b.w AS w2, b.k AS k2, c.w AS w3, c.k AS k3 FROM l LEFT JOIN o a ON a.pos = l.pos AND a.line = l.line AND a.place = 1
+  LEFT JOIN o b ON b.pos = l.pos AND b.line = l.line AND b.place = 2 LEFT JOIN o c ON c.pos = l.pos AND c.line = l.line AND c.place = 3),
+s1 AS (SELECT *, {sql_first('t', 'w1', SPAN.replace(' k ', ' k1 ').replace(' w ', ' w1 '))} AS t1 FROM j), s2 AS (SELECT *, {sql_first('t1', 'w2', SPAN.replace(' k ', ' k2 ').replace(' w ', ' w2 '))} AS t2 FROM s1)
+SELECT pos, line, {sql_first('t2', 'w3', SPAN.replace(' k ', ' k3 ').replace(' w ', ' w3 '))} AS html FROM s2""")
 def highlight_segments(spark, d):
     rows = b.entries(spark, d).select("pos", F.posexplode("definitions").alias("line", "t"))
     return rows.select("pos", "line", ops.highlight_segments(F.col("t"), segments(F.col("t"))).alias("html"))
 
 
-@query("view_entries")
+@query("view_entries", WITH + f""", best AS (SELECT karen, min(pos) AS target FROM entries GROUP BY karen), e AS (SELECT pos, karen, regexp_extract(karen, '[a-z]+', 0) AS w, regexp_extract(coalesce(source, ''), '[a-z]+', 0) AS w2, definitions FROM entries),
+j AS (SELECT e.*, CAST(best.target AS VARCHAR) AS g FROM e LEFT JOIN best ON best.karen = e.w AND e.w <> ''), l AS (SELECT pos, karen, w, w2, g, unnest(range(len(definitions))) AS line, '1. ' || unnest(definitions) AS t0 FROM j),
+lb AS (SELECT *, regexp_replace(t0, '(^|[\\s(;])1\\.(\\s*)', '\\11. (noun)\\2', 'g') AS t FROM l), m AS (SELECT *, {sql_first(sql_escape('t'), 'w', SPAN.replace("' || k || '", 'cross_reference'))} AS m FROM lb),
+k AS (SELECT *, CASE WHEN g IS NULL THEN m ELSE {sql_first('m', 'w', LINKS)} END AS h FROM m)
+SELECT pos, karen, string_agg(t, '|' ORDER BY line) AS shown, string_agg(h, '|' ORDER BY line) AS html, '{{"text":"' || w || '"}}' || CASE WHEN w2 <> w THEN '|{{"text":"' || w2 || '"}}' ELSE '' END AS tab_examples, 1 AS n_headwords, 0 AS n_related FROM k GROUP BY pos, karen, w, w2""")
 def view_entries(spark, d):
-    e = b.entries(spark, d)
-    labels = F.array(F.struct(F.lit("1").alias("number"), F.lit("noun").alias("label")))
-    html = F.transform("definitions", lambda t: ops.highlight_segments(ops.inject_labels(F.concat(F.lit("1. "), t), labels), segments(t)))
-    shown = e.select("pos", "karen", F.array_join(html, "\n").alias("html"), F.array_distinct("definitions").alias("tabs"))
-    links = ops.link_headwords(e, terms_of(e)).groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("term", "target"))).alias("links"))
-    return shown.join(links, "pos", "left").select("pos", "karen", "html", F.size("tabs").alias("n_tabs"), F.to_json("links").alias("links"))
+    """Entries with an analysis of their key: the label of a sense, one segment, one term that may link, examples that repeat."""
+    w, w2 = F.regexp_extract("karen", "[a-z]+", 0), F.regexp_extract(F.coalesce("source", F.lit("")), "[a-z]+", 0)
+    item = F.struct(w.alias("text"), F.lit("xref").alias("kind"))
+    analysis = F.to_json(F.struct(F.array(w, w2, w).alias("examples"), F.array(F.struct(w.alias("text"))).alias("headword_terms"), F.array(item).alias("segments"), F.array(F.struct(F.lit("1").alias("number"), F.lit("noun").alias("label"))).alias("sense_labels")))
+    e = b.entries(spark, d).withColumn("definitions", F.transform("definitions", lambda t: F.concat(F.lit("1. "), t))).withColumn("analysis", ops.normalise_analysis(analysis))
+    v = ops.view_entries(e)
+    return v.select("pos", "karen", F.array_join("display_definitions", "|").alias("shown"), F.array_join("linked_definitions", "|").alias("html"), F.array_join("tab_examples", "|").alias("tab_examples"), F.size("tab_headwords").alias("n_headwords"), F.size("tab_related").alias("n_related"))
 
 
 @query("page_from_file", """
@@ -108,7 +182,7 @@ def parse_model_output(spark, d):
 
 
 @query("edit_entries", WITH + """
-SELECT pos, CASE WHEN pos % 10 = 3 THEN upper(karen) ELSE karen END AS karen, len(definitions) AS n_definitions, flag OR pos % 10 = 3 AS flag,
+SELECT pos, CASE WHEN pos % 10 = 3 THEN upper(karen) ELSE karen END AS karen, len(CASE WHEN pos % 10 = 3 THEN list_filter(definitions, lambda x: regexp_replace(x, '\\s', '', 'g') <> '') ELSE definitions END) AS n_definitions, flag OR pos % 10 = 3 AS flag,
   entry_type, pos % 20 = 13 AS promoted, CASE WHEN pos % 10 = 3 THEN '2024-01-01' END AS updated_at FROM entries WHERE pos % 10 <> 9""")
 def edit_entries(spark, d):
     e = b.entries(spark, d)
@@ -117,6 +191,30 @@ def edit_entries(spark, d):
     return out.select("pos", "karen", F.size("definitions").cast("long").alias("n_definitions"), "flag", "entry_type", "promoted", "updated_at")
 
 
+@query("reanalyse_entries", WITH + """
+SELECT pos, CASE WHEN pos % 6 = 0 THEN 'example' ELSE entry_type END AS entry_type, CASE WHEN pos % 3 = 0 THEN karen ELSE 'old' END AS examples, len(definitions) AS n_definitions, CASE WHEN pos % 3 = 0 THEN '2024-01-02' END AS updated_at FROM entries""")
+def reanalyse_entries(spark, d):
+    e = b.entries(spark, d).withColumn("analysis", ops.normalise_analysis(F.lit('{"examples": ["old"]}')))
+    results = e.where("pos % 3 = 0").select("pos", F.when(F.col("pos") % 6 == 0, "example").otherwise("odd").alias("entry_type"), F.to_json(F.struct(F.array("karen").alias("examples"))).alias("analysis"))
+    out = ops.reanalyse_entries(e, results, "2024-01-02")
+    return out.select("pos", "entry_type", F.array_join("analysis.examples", "|").alias("examples"), F.size("definitions").cast("long").alias("n_definitions"), "updated_at")
+
+
+@query("ledger_quality", "SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 4 <> 1) AS wrong_type FROM pages")
+def ledger_quality(spark, d):
+    p = b.table(spark, d, "pages")
+    k = F.col("page_id") % 4
+    value = F.when(k == 0, "[1]").when(k == 1, F.to_json(F.struct("url"))).when(k == 2, '"text"')
+    return ops.ledger_quality(p.select(F.col("url").alias("file"), value.alias("value")))
+
+
+@query("append_entries", WITH + "SELECT karen, count(*) + count(*) FILTER (WHERE pos % 3 = 0) AS n, count(*) FILTER (WHERE pos % 3 = 0) AS without_page FROM entries WHERE page IS NOT NULL GROUP BY karen")
+def append_entries(spark, d):
+    e = b.entries(spark, d)
+    both = ops.append_entries(e, e.where("pos % 3 = 0").drop("page"))
+    return both.groupBy("karen").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("page").isNull()).alias("without_page"))
+
+
 @query("classify_error", WITH + """
 SELECT pos, CASE WHEN pos % 3 = 0 THEN 'wrong_headword' WHEN pos % 3 = 1 THEN 'wrong_definition' ELSE 'formatting_error' END AS kind FROM entries""")
 def classify_error(spark, d):
@@ -206,21 +304,27 @@ def sql_extract(marker):
 
 RULES = [(f, m) for f, ms in ops.MARKERS.items() for m in ms]
 HITS = WITH + f""", l AS (SELECT pos, karen, CAST(unnest(range(len(definitions))) AS INTEGER) AS line, unnest(definitions) AS t0 FROM entries WHERE karen <> ''),
-m AS (SELECT pos, karen, line, CASE line % 3 WHEN 0 THEN 'see ' WHEN 1 THEN 'x from ' ELSE 'co. ' END || regexp_replace(t0, '[^\\x00-\\x7f]', '', 'g') AS t FROM l),
+m AS (SELECT pos, karen, line, CASE line % 3 WHEN 0 THEN 'see ' WHEN 1 THEN 'x from ' ELSE 'n.x co. ' END || regexp_replace(t0, '[^\\x00-\\x7f]', '', 'g') AS t FROM l),
 h AS ({' UNION ALL '.join(f"SELECT pos, karen, line, {k} AS rule, '{f}' AS field, {sql_extract(x)} AS found FROM m" for k, (f, x) in enumerate(RULES))}),
 hits AS (SELECT * FROM h WHERE found IS NOT NULL)"""
+TAGS = """, tags AS (SELECT pos, karen, 1000000 AS line, 0 AS rule, 'compound_entry' AS field, source AS found FROM entries WHERE karen <> '' AND pos % 2 = 0
+UNION ALL SELECT pos, karen, 1000000, 1, 'etymology', 'tag' || source FROM entries WHERE karen <> '' AND pos % 2 = 0 UNION ALL SELECT pos, karen, 1000000, 2, 'cross_reference', 'other' FROM entries WHERE karen <> '' AND pos % 2 = 0),
+grammar AS (SELECT pos, karen, line, 99 AS rule, 'part_of_speech' AS field, nullif(regexp_extract(t, '\\b(v\\.i\\.|v\\.t\\.|v\\.|n\\.|adj\\.|adv\\.|prep\\.|conj\\.|pron\\.|interj\\.|part\\.)\\b', 1), '') AS found FROM m),
+every AS (SELECT * FROM hits UNION ALL SELECT * FROM tags UNION ALL SELECT * FROM grammar WHERE found IS NOT NULL)"""
 
 
 def marked(spark, d):
     """Entries whose lines start with a marker."""
-    lead = lambda x, i: F.concat(F.when(i % 3 == 0, "see ").when(i % 3 == 1, "x from ").otherwise("co. "), F.regexp_replace(x, r"[^\x00-\x7f]", ""))
+    lead = lambda x, i: F.concat(F.when(i % 3 == 0, "see ").when(i % 3 == 1, "x from ").otherwise("n.x co. "), F.regexp_replace(x, r"[^\x00-\x7f]", ""))
     return b.entries(spark, d).withColumn("definitions", F.transform("definitions", lead))
 
 
-@query("relations", HITS + """, f AS (SELECT karen, field, found, min(pos * 1000000 + line * 100 + rule) AS seq FROM hits GROUP BY karen, field, found)
-SELECT karen, field, CASE WHEN field IN ('etymology', 'ditto_of') THEN arg_min(found, seq) ELSE string_agg(found, '|' ORDER BY seq) END AS found FROM f GROUP BY karen, field""")
+@query("relations", HITS + TAGS + """, f AS (SELECT karen, field, found, min(CAST(pos AS HUGEINT) * 1000000000 + line * 100 + rule) AS seq FROM every GROUP BY karen, field, found)
+SELECT karen, field, CASE WHEN field IN ('etymology', 'ditto_of', 'part_of_speech') THEN arg_min(found, seq) ELSE string_agg(found, '|' ORDER BY seq) END AS found FROM f GROUP BY karen, field""")
 def relations(spark, d):
-    return ops.relations(marked(spark, d)).select("karen", "field", F.array_join("found", "|").alias("found"))
+    even = F.col("pos") % 2 == 0
+    tags = F.create_map(F.lit("compound_entry"), F.array("source"), F.lit("etymology"), F.array(F.concat(F.lit("tag"), "source")), F.lit("interchangeable_with"), F.array(F.lit("other")), F.lit("unknown"), F.array(F.lit("x")))
+    return ops.relations(marked(spark, d).withColumn("tagged", F.when(even, tags))).select("karen", "field", F.array_join("found", "|").alias("found"))
 
 
 @query("relation_stats", HITS + "SELECT field, count(*) AS hits FROM hits GROUP BY field")
@@ -237,7 +341,7 @@ def sql_parts(col):
 
 
 @query("propagate_correction", "WITH " + b.VOCABULARY + f""", k AS (SELECT native, {sql_parts('native')} FROM vocabulary),
-f AS (SELECT native AS original, native || 'း' AS corrected, CASE n % 4 WHEN 0 THEN 'tone_error' WHEN 1 THEN 'medial_error' WHEN 2 THEN 'consonant_error' ELSE 'other' END AS error_type FROM vocabulary WHERE length(native) = 3),
+f AS (SELECT native AS original, native || 'း' AS corrected, CASE n % 4 WHEN 0 THEN 'tone_error' WHEN 1 THEN 'medial_error' WHEN 2 THEN 'consonant_error' ELSE 'other' END AS error_type FROM vocabulary),
 o AS (SELECT f.*, {sql_parts('original')} FROM f),
 m AS (SELECT k.native AS before, o.original, o.corrected, o.error_type, CASE error_type
   WHEN 'tone_error' THEN k.consonant = o.consonant AND k.vowel = o.vowel
@@ -249,7 +353,7 @@ def propagate_correction(spark, d):
     v = b.vocabulary(spark, d)
     k = F.col("n") % 4
     kind = F.when(k == 0, "tone_error").when(k == 1, "medial_error").when(k == 2, "consonant_error").otherwise("other")
-    fixes = v.where(F.length("native") == 3).select(F.col("native").alias("original"), F.concat("native", F.lit("း")).alias("corrected"), kind.alias("error_type"))
+    fixes = v.select(F.col("native").alias("original"), F.concat("native", F.lit("း")).alias("corrected"), kind.alias("error_type"))
     return ops.propagate_correction(v.select(F.lit(0).alias("pos"), "native"), fixes).drop("pos")
 
 
