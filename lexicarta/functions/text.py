@@ -19,18 +19,27 @@ BAD_MARKERS = ["no translation", "no exact", "sorry, no results", "fatal error",
 STOPWORDS = (
     "a an and are as at be by can for from has have how in into is it its of on or that the this to was what when where which who with you your"
 ).split()
-#: The first legacy encoding: a character for each, and those that are dropped (fixed values).
-LEGACY_FROM = "ucgCipqZPnmyrlwoheEbkxvjDstf&" + ">GHJXL'.,;<0RM[]zd" + "SVKABFNTWIOU" + "%+/=_"
-LEGACY_TO = (
-    "ကခဂဃငဘဆဇဈနမယရလဝသဟအအပဖထဉညညစကလအ"
-    "ိီွြာာ့်ံး္၀ျံေဲဿါ"
-    "ျာွိပလနကဝငၚဥ"
-    "းြ္ား"
-)
+#: The first legacy encoding: a character, and the native one that it stands for; and characters that are dropped (fixed values).
+LEGACY = [
+    ("u", "က"), ("c", "ခ"), ("g", "ဂ"), ("C", "ဃ"), ("i", "င"), ("p", "ဘ"), ("q", "ဆ"), ("Z", "ဇ"), ("P", "ဈ"), ("n", "န"), ("m", "မ"), ("y", "ယ"),
+    ("r", "ရ"), ("l", "လ"), ("w", "ဝ"), ("o", "သ"), ("h", "ဟ"), ("e", "အ"), ("E", "အ"), ("b", "ပ"), ("k", "ဖ"), ("x", "ထ"), ("v", "ဉ"), ("j", "ည"),
+    ("D", "ည"), ("s", "စ"), ("t", "က"), ("f", "လ"), ("&", "အ"), (">", "ိ"), ("G", "ီ"), ("H", "ွ"), ("J", "ြ"), ("X", "ာ"), ("L", "ာ"), ("'", "်"),
+    (".", "့"), (",", "ံ"), (";", "း"), ("<", "္"), ("0", "၀"), ("R", "ျ"), ("M", "ံ"), ("[", "ေ"), ("]", "ဲ"), ("z", "ဿ"), ("d", "ါ"), ("S", "ျ"),
+    ("V", "ာ"), ("K", "ွ"), ("A", "ိ"), ("B", "ပ"), ("F", "လ"), ("N", "န"), ("T", "က"), ("W", "ဝ"), ("I", "င"), ("O", "ၚ"), ("U", "ဥ"), ("%", "း"),
+    ("+", "ြ"), ("/", "္"), ("=", "ာ"), ("_", "း"),
+]
+LEGACY_FROM, LEGACY_TO = ("".join(x) for x in zip(*LEGACY, strict=True))
 LEGACY_DROPPED = " \t\n-{}*"
+#: Grammar labels (fixed values).
 GRAMMAR = r"\b(v\.i\.|v\.t\.|v\.|n\.|adj\.|adv\.|prep\.|conj\.|pron\.|interj\.|part\.)\b"
 
 
+def substrings(text: Column, lengths: Column) -> Column:
+    """The distinct substrings of a text, of the lengths given."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text))), cut)))
+
+
 def clean_visible_text(text: Column) -> Column:
     """White space squeezed and stripped."""
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -89,29 +98,40 @@ def dedupe_block(text: Column) -> Column:
     return out.otherwise(text)
 
 
+def shared_ahead(text: str, at: int) -> list[int]:
+    """For each distance, how far the text from there on equals the text from at on (the Z function of what is left)."""
+    n = len(text) - at
+    z, left, right = [0] * n, 0, 0
+    for i in range(1, n):
+        k = min(right - i, z[i - left]) if i < right else 0
+        while i + k < n and text[at + k] == text[at + i + k]:
+            k += 1
+        z[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return z
+
+
 def collapse_repeats(text: str) -> str:
     """From each place, the shortest stretch that is 4, 8 or 2 copies of two characters or more becomes one copy.
 
     The rest of the text as a whole is tried before stretches of it, and a whole text that repeats, of any length, first.
+    The work grows with the square of the text.
     """
     text = text.strip()
     for k in (8, 4, 2):
         if text and len(text) % k == 0 and text[: len(text) // k] * k == text:
             return text[: len(text) // k]
     out, at, n = [], 0, len(text)
+    while at < n:
+        ahead = shared_ahead(text, at)
 
-    def copies(end: int) -> int:
-        size = end - at
-        return next((size // k for k in (4, 8, 2) if size % k == 0 and size >= 2 * k and text[at : at + size // k] * k == text[at:end]), 0)
+        def copies(size: int, ahead: list[int] = ahead) -> int:
+            return next((size // k for k in (4, 8, 2) if size % k == 0 and size >= 2 * k and ahead[size // k] >= size - size // k), 0)
 
-    while at < n:
-        end = next((e for e in (n, *range(at + 4, n + 1, 2)) if copies(e)), 0)
-        if end:
-            out.append(text[at : at + copies(end)])
-            at = end
-        else:
-            out.append(text[at])
-            at += 1
+        size = next((e for e in (n - at, *range(4, n - at + 1, 2)) if copies(e)), 0)
+        out.append(text[at : at + (copies(size) if size else 1)])
+        at += size or 1
     return "".join(out)
 
 
@@ -136,6 +156,7 @@ def extract_after(text: Column, marker: str) -> Column:
     """What follows the first marker: the first native run after it, else English words directly after; null without."""
     at = F.instr(F.lower(text), F.lit(marker.lower()))
     rest = F.substring(text, at + len(marker), F.length(text))
+    # what counts as a target: a native run, or English words of so many letters (fixed patterns)
     native = F.btrim(F.regexp_extract(rest, r"[က-႟ꩠ-ꩿ][က-႟ꩠ-ꩿ\s]*", 0))
     english = F.btrim(F.regexp_extract(rest, r"^[A-Za-z][A-Za-z\s\-]{1,40}", 0))
     return F.when(at > 0, F.coalesce(F.nullif(native, F.lit("")), F.nullif(english, F.lit(""))))

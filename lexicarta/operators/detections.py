@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexicarta.functions.text import substrings
+
 
 def box_convert(df: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
     """Corner boxes also as clamped corners, pixel centres and normalised centres with four decimals."""
@@ -63,9 +65,12 @@ def label_integrity(images: DataFrame, labels: DataFrame, samples: int = 5) -> D
     """Of each split, how many images have no label, labels no image, and the first stems of both."""
     both = images.select("split", "stem", F.lit(True).alias("image")).distinct().join(labels.select("split", "stem", F.lit(True).alias("label")).distinct(), ["split", "stem"], "full_outer")
     state = both.select("split", "stem", F.when(F.col("label").isNull(), "no label").when(F.col("image").isNull(), "no image").otherwise("ok").alias("state"))
+    counts = state.groupBy("split", "state").agg(F.count(F.lit(1)).alias("rows"))
+    # only the first few stems of each task reach the window
     rank = F.row_number().over(Window.partitionBy("split", "state").orderBy("stem"))
-    some = F.array_join(F.sort_array(F.collect_list(F.when((F.col("n") <= samples) & (F.col("state") != "ok"), F.col("stem")))), ",")
-    return state.withColumn("n", rank).groupBy("split", "state").agg(F.count(F.lit(1)).alias("rows"), some.alias("first"))
+    first = state.where("state <> 'ok'").withColumn("n", rank).where(F.col("n") <= samples)
+    listed = first.groupBy("split", "state").agg(F.array_join(F.sort_array(F.collect_list("stem")), ",").alias("first"))
+    return counts.join(listed, ["split", "state"], "left").select("split", "state", "rows", F.coalesce("first", F.lit("")).alias("first"))
 
 
 def detection_counts(det: DataFrame, least: float = 0.25) -> DataFrame:
@@ -73,6 +78,14 @@ def detection_counts(det: DataFrame, least: float = 0.25) -> DataFrame:
     return det.where(F.col("conf") >= least).groupBy("class_idx").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image").alias("n_images"))
 
 
+def image_hits(det: DataFrame, images: DataFrame, least: float = 0.25) -> DataFrame:
+    """One row: images, those with a detection confident enough, and those without any."""
+    hit = det.where(F.col("conf") >= least).select("image", F.lit(1).alias("hit")).distinct()
+    return images.select("image").distinct().join(hit, "image", "left").agg(
+        F.count(F.lit(1)).alias("images"), F.count("hit").alias("with_hits"), (F.count(F.lit(1)) - F.count("hit")).alias("without_hits")
+    )
+
+
 def coverage_report(expected: DataFrame, detected: DataFrame) -> DataFrame:
     """Expected, detected and missed classes, and the part detected in percent."""
     e, d = expected.select("class_idx").distinct(), detected.select("class_idx", F.lit(1).alias("hit")).distinct()
@@ -107,14 +120,33 @@ def true_gaps(metrics: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     return rows.select("class_idx", F.coalesce("name", F.lit("?")).alias("name"), "map50", n.alias("instances"), F.when(n == 0, "no_val").otherwise(metric_status(F.col("map50"))).alias("status"))
 
 
+def holds_any(name: Column, keywords: list[str]) -> Column:
+    """Whether a name holds one of the keywords, in any case."""
+    found = F.lit(False)
+    for k in keywords:
+        found = found | F.contains(F.lower(name), F.lit(k.lower()))
+    return found
+
+
 def clean_classes(classes: DataFrame, labels: DataFrame, keywords: list[str]) -> tuple[DataFrame, DataFrame]:
     """Classes without those whose name holds a keyword, renumbered, and the labels that stay, with the new numbers."""
-    bad = F.lower("name").rlike("|".join(keywords))
-    kept = classes.where(~bad).withColumn("new_idx", F.row_number().over(Window.orderBy("class_idx")) - 1)
+    kept = classes.where(~holds_any(F.col("name"), keywords)).withColumn("new_idx", F.row_number().over(Window.orderBy("class_idx")) - 1)
     moved = labels.join(kept.select("class_idx", "new_idx"), "class_idx")
     return kept, moved
 
 
+def cleanup_report(classes: DataFrame, labels: DataFrame, keywords: list[str]) -> DataFrame:
+    """One row: classes before, removed and after, label lines removed, and label files that lose a line.
+
+    Lines of a class that isn't listed go as well.
+    """
+    kept = classes.where(~holds_any(F.col("name"), keywords)).select("class_idx")
+    gone = labels.join(kept, "class_idx", "left_anti").agg(F.count(F.lit(1)).alias("lines_removed"), F.countDistinct("split", "stem").alias("files_touched"))
+    bad = F.count_if(holds_any(F.col("name"), keywords))
+    totals = classes.agg(F.count(F.lit(1)).alias("original"), bad.alias("removed"), (F.count(F.lit(1)) - bad).alias("final"))
+    return totals.crossJoin(gone)  # one row each
+
+
 def class_list_check(classes: DataFrame, declared: int, probe: int) -> DataFrame:
     """Declared and actual numbers of classes, the last name, whether a number is there, names that aren't numbers."""
     return classes.agg(
@@ -133,10 +165,22 @@ def class_from_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
     return named.groupBy("class_idx").agg(F.max_by("name", "file").alias("name"), F.count(F.lit(1)).alias("files"))
 
 
-def reuse_examples(missed: DataFrame, images: DataFrame) -> DataFrame:
-    """(name, file, files): for each missed class the first file of its class, by exact class name."""
-    named = images.select("file", class_from_filename(F.col("file")).alias("name"))
-    return missed.join(named, "name").groupBy("name").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("files"))
+def reuse_examples(missed: DataFrame, images: DataFrame, inside: bool = False) -> DataFrame:
+    """(name, file, files): for each missed class the first file of its class, by exact class name; inside: whose name holds the class name.
+
+    Names inside of file names meet them on substrings of the lengths that missed names have.
+    """
+    if not inside:
+        named = images.select("file", class_from_filename(F.col("file")).alias("name"))
+    else:
+        lengths = F.broadcast(missed.agg(F.collect_set(F.length("name")).alias("lengths")))  # one row of numbers
+        named = images.crossJoin(lengths).select("file", F.explode(substrings(F.col("file"), F.col("lengths"))).alias("name"))
+    return missed.select("name").distinct().join(named, "name").groupBy("name").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("files"))
+
+
+def x_order(det: DataFrame) -> DataFrame:
+    """Detections with their place in their image from left to right alone."""
+    return det.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy("x1", "event_id")))
 
 
 def row_bucket_order(det: DataFrame, height: int = 60) -> DataFrame:
@@ -233,22 +277,44 @@ def tile_to_page(det: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def stratified_split(files: DataFrame, key: str, group: str, train: float = 0.7, valid: float = 0.15, seed: str = "s") -> DataFrame:
-    """Files with a split: of each group in a fixed random order, a part for training and for validation (one at least), the rest for tests."""
-    w = Window.partitionBy(group)
-    order = w.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(order)
-    a, c = F.greatest(F.lit(1), F.floor(n * train)), F.greatest(F.lit(1), F.floor(n * valid))
-    return files.select("*", n.alias("_n"), at.alias("_at"), a.alias("_a"), c.alias("_c")).withColumn("part", F.when(F.col("_at") <= F.col("_a"), "train").when(F.col("_at") <= F.col("_a") + F.col("_c"), "valid").otherwise("test")).drop("_n", "_at", "_a", "_c")
-
+    """Files with a split: of each group in a fixed random order, a part for training and for validation (one at least), the rest for tests.
 
-def oversample_plan(gaps: DataFrame, classes: DataFrame, prefix: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """n numbered samples of each class with a gap, and the gaps whose class isn't known."""
-    plan = gaps.join(classes, "class_idx").select("class_idx", "name", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    The order is that of a hash. Places are counted within ranges of it, 4,096 a group, so that no task holds a group.
+    """
+    ranged = files.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("_range", F.substring("_hash", 1, 3))
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_m"))
+    over = Window.partitionBy(group).orderBy("_range")  # 4,096 rows at most
+    below = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), (F.sum("_m").over(over) - F.col("_m")).alias("_below"), F.sum("_m").over(Window.partitionBy(group)).alias("_n"))
+    placed = ranged.join(below, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    at = F.col("_below") + F.row_number().over(Window.partitionBy(group, "_range").orderBy("_hash", key))
+    a, c = F.greatest(F.lit(1), F.floor(F.col("_n") * train)), F.greatest(F.lit(1), F.floor(F.col("_n") * valid))
+    placed = placed.select(*files.columns, at.alias("_at"), a.alias("_a"), c.alias("_c"))
+    return placed.select(*files.columns, F.when(F.col("_at") <= F.col("_a"), "train").when(F.col("_at") <= F.col("_a") + F.col("_c"), "valid").otherwise("test").alias("part"))
+
+
+def oversample_plan(gaps: DataFrame, classes: DataFrame, prefix: str, n_train: int, n_valid: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Numbered samples of each class with a gap, n_train for training and n_valid for validation, and the gaps whose class isn't known."""
+    known = gaps.join(classes, "class_idx")
+    parts = F.array(*[F.struct(F.lit(name).alias("split"), F.lit(n).alias("n")) for name, n in (("train", n_train), ("valid", n_valid)) if n > 0])
+    rows = known.select("class_idx", "name", F.explode(parts).alias("p")).select("class_idx", "name", "p.split", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("k"))
     name = F.concat(F.lit(prefix), F.lit("_"), "name", F.lit("_"), F.lpad(F.col("k").cast("string"), 4, "0"))
-    return plan.select("class_idx", "k", name.alias("sample")), gaps.join(classes, "class_idx", "left_anti")
+    return rows.select("class_idx", "split", "k", name.alias("sample")), gaps.join(classes, "class_idx", "left_anti")
+
+
+def oversample_totals(plan: DataFrame) -> DataFrame:
+    """(split, classes, samples) of a plan."""
+    return plan.groupBy("split").agg(F.countDistinct("class_idx").alias("classes"), F.count(F.lit(1)).alias("samples"))
 
 
 def curve_summary(curves: DataFrame, done: int = 50) -> DataFrame:
     """Of each run (run, epoch, map50, loss): epochs, whether it is done, its best epoch and metric; infinite values don't count."""
     good = curves.where(~F.isnan("map50") & (F.abs("map50") < float("inf")))
     return good.groupBy("run").agg(F.countDistinct("epoch").alias("epochs"), (F.countDistinct("epoch") >= done).alias("done"), F.max_by("epoch", F.struct("map50", -F.col("epoch"))).alias("best_epoch"), F.max("map50").alias("best"))
+
+
+def curve_deltas(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(before, after, best_before, best_after, change, percent) of pairs (before, after) of runs; percent is of the former best."""
+    of = lambda name: summaries.select(F.col("run").alias(name), F.col("best").alias(f"best_{name}"))
+    rows = pairs.select("before", "after").join(of("before"), "before").join(of("after"), "after")
+    change = F.col("best_after") - F.col("best_before")
+    return rows.select("before", "after", "best_before", "best_after", F.round(change, 6).alias("change"), F.round(100 * change / F.nullif("best_before", F.lit(0.0)), 2).alias("percent"))

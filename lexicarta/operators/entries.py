@@ -277,9 +277,7 @@ def propagate_correction(df: DataFrame, fixes: DataFrame, key: str = "native") -
     """
     lengths = F.broadcast(fixes.agg(F.sort_array(F.collect_set(F.length("original"))).alias("lengths")))  # one row of numbers
     rows = df.where(F.length(key) > 0).select("pos", F.col(key).alias("before")).crossJoin(lengths)
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("before") - n + 1), lambda i: F.substring(F.col("before"), i, n))
-    cuts = F.flatten(F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("before"))), cut))
-    rows = rows.select("pos", "before", collation.decompose(F.col("before")).alias("p"), F.explode(F.array_distinct(cuts)).alias("original"))
+    rows = rows.select("pos", "before", collation.decompose(F.col("before")).alias("p"), F.explode(text.substrings(F.col("before"), F.col("lengths"))).alias("original"))
     f = fixes.select("original", "corrected", "error_type", collation.decompose(F.col("original")).alias("o"))
     same = lambda *names: F.expr(" AND ".join(f"p.{n} = o.{n}" for n in names))
     safe = F.when(F.col("error_type") == "tone_error", same("consonant", "vowel")).when(F.col("error_type") == "medial_error", same("consonant", "vowel", "tone")).when(F.col("error_type") == "consonant_error", same("vowel", "tone", "medials")).otherwise(False)

@@ -14,19 +14,33 @@ def grid_label(class_id: Column, levels: list[tuple[str, int]]) -> Column:
     return F.concat_ws("_", *reversed(parts))
 
 
-def syllable_grid(spark: SparkSession, bases: list[str], medials: list[str], vowels: list[str], tones: list[str], plain: list[str]) -> DataFrame:
-    """(class_id, label): bases with vowels and tones, then those that take medials with each of them, then plain contractions.
+def syllable_grid(
+    spark: SparkSession, bases: list[str], medials: list[str], vowels: list[str], tones: list[str], plain: list[str] = (), contractions: list[str] = (), medial_vowels: int | None = None, medial_tones: int | None = None
+) -> DataFrame:
+    """(class_id, label): bases with vowels and tones, then those that take medials (all but the plain ones) with each of them, then contractions.
 
-    Numbers come from the ordinals by arithmetic, so they are the same in every run.
+    With medials only the first medial_vowels and medial_tones come, all without. Numbers come from the ordinals by
+    arithmetic, so they are the same in every run: 25 bases (two plain), 5 medials, 10 vowels and 6 tones give 1,500 and,
+    with 5 vowels and 3 tones, 1,725; without plain ones and all vowels and tones, 7,500.
     """
-    n_v, n_t, n_b, n_m = len(vowels), len(tones), len(bases), len(medials)
-    takes = [x for x in bases if x not in plain]
-    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
-    i = F.col("id")
-    base = spark.range(n_b * n_v * n_t).select(i.alias("class_id"), F.concat_ws("_", pick(bases, F.floor(i / (n_v * n_t))), pick(vowels, F.floor(i / n_t) % n_v), pick(tones, i % n_t)).alias("label"))
-    start, j = n_b * n_v * n_t, F.col("id")
-    med = spark.range(len(takes) * n_m * n_v * n_t).select((j + start).alias("class_id"), F.concat_ws("_", pick(takes, F.floor(j / (n_m * n_v * n_t))), pick(medials, F.floor(j / (n_v * n_t)) % n_m), pick(vowels, F.floor(j / n_t) % n_v), pick(tones, j % n_t)).alias("label"))
-    return base.unionByName(med)
+    takes, some_v, some_t = [x for x in bases if x not in plain], list(vowels[:medial_vowels]), list(tones[:medial_tones])
+
+    def product(start: int, *levels: list[str]) -> DataFrame:
+        size, below, parts = 1, 1, []
+        for level in levels:
+            size *= len(level)
+        for level in reversed(levels):
+            parts.insert(0, F.element_at(F.array(*map(F.lit, level)), (F.floor(F.col("id") / below) % len(level) + 1).cast("int")) if level else F.lit(""))
+            below *= max(1, len(level))
+        return spark.range(size).select((F.col("id") + start).alias("class_id"), F.concat_ws("_", *parts).alias("label"))
+
+    n_base = len(bases) * len(vowels) * len(tones)
+    return union_syllables(product(0, bases, vowels, tones), product(n_base, takes, medials, some_v, some_t), product(n_base + len(takes) * len(medials) * len(some_v) * len(some_t), list(contractions)))
+
+
+def union_syllables(base: DataFrame, medial: DataFrame, contraction: DataFrame) -> DataFrame:
+    """The three kinds of syllables, numbers running on; columns that one kind lacks are null there."""
+    return base.unionByName(medial, allowMissingColumns=True).unionByName(contraction, allowMissingColumns=True)
 
 
 def sample_paragraphs(ids: DataFrame, words: DataFrame, seed: int) -> DataFrame:

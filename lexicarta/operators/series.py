@@ -1,6 +1,6 @@
 """Operators over ordered rows: scores, indexes, runs, islands, paragraphs, collation order."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions import collation, text
@@ -26,10 +26,18 @@ def unmapped_chars(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 
 def inverted_index(df: DataFrame, key: str, column: str, n: int = 3, least: int = 3) -> DataFrame:
-    """(word, keys): the first n words of letters of each row, those of least letters or more, to the rows' keys in order."""
+    """(word, key): a row for each of the first n words of letters of each row, those of least letters or more.
+
+    A word of many rows stays many rows; in order of word and key they are the index.
+    """
     found = F.filter(F.split(F.regexp_replace(column, "[^A-Za-z]+", " "), " "), lambda w: w != "")
     rows = df.select(key, F.explode(F.slice(found, 1, n)).alias("word")).where(F.length("word") >= least)
-    return rows.groupBy(F.lower("word").alias("word")).agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return rows.select(F.lower("word").alias("word"), key)
+
+
+def parse_stats(rows: DataFrame, column: str) -> DataFrame:
+    """One row: lines, those whose column was parsed, and those skipped (null)."""
+    return rows.agg(F.count(F.lit(1)).alias("lines"), F.count(column).alias("parsed"), F.count_if(F.col(column).isNull()).alias("skipped"))
 
 
 def font_runs(chars: DataFrame) -> DataFrame:
@@ -96,3 +104,19 @@ def paragraphs(texts: DataFrame, least: int = 300, most: int = 50, mark: str = "
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "paragraph": range(1, len(out) + 1), "text": out})
 
     return clean.groupBy("doc_id").applyInPandas(join, "doc_id long, paragraph int, text string")
+
+
+def alphabet_reference(spark: SparkSession) -> DataFrame:
+    """(level, rank, symbol): the characters of each level in dictionary order; an absent tone comes first."""
+    levels = (("consonant", collation.CONSONANT, 0), ("tone", collation.TONE, 1), ("vowel", collation.VOWEL, 0), ("medial", collation.MEDIAL, 0))
+    rows = [("tone", 0, ""), *((name, first + i, c) for name, chars, first in levels for i, c in enumerate(chars))]
+    return spark.createDataFrame(rows, "level string, rank int, symbol string")
+
+
+def collation_levels(df: DataFrame, column: str) -> DataFrame:
+    """df with a row for each level of a column's syllable: level, symbol, rank, by join with the alphabet; what is absent or unknown has no rank."""
+    d = collation.decompose(F.col(column))
+    medial = F.coalesce(F.get(d["medials"], F.lit(0)), F.lit(""))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), v.alias("symbol")) for k, v in (("consonant", d["consonant"]), ("tone", d["tone"]), ("vowel", d["vowel"]), ("medial", medial))])
+    rows = df.select("*", F.explode(levels).alias("_l")).select(*df.columns, "_l.*")
+    return rows.join(F.broadcast(alphabet_reference(df.sparkSession)), ["level", "symbol"], "left")  # under 60 rows

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexicarta.operators import detections as ops
+from lexicarta.operators import generate
 from lexicarta.plans import bindings as b
 from lexicarta.sources import files
 
@@ -116,6 +117,13 @@ def detection_counts(spark, d):
     return ops.detection_counts(b.detections(spark, d))
 
 
+@query("image_hits", DET + """, i AS (SELECT DISTINCT user_id AS image FROM events), h AS (SELECT DISTINCT image FROM detections WHERE conf >= 0.25 AND image % 9 <> 0)
+SELECT count(*) AS images, count(h.image) AS with_hits, count(*) - count(h.image) AS without_hits FROM i LEFT JOIN h USING (image)""")
+def image_hits(spark, d):
+    det = b.detections(spark, d)
+    return ops.image_hits(det.where("image % 9 <> 0"), det)
+
+
 SEEN = DET + ", " + b.LABELS_TXT + ", seen AS (SELECT DISTINCT class_idx FROM detections WHERE conf >= 0.25 AND class_idx % 3 <> 1), want AS (SELECT DISTINCT class_idx FROM labels_txt)"
 
 
@@ -144,13 +152,20 @@ def missed_components(spark, d):
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "part"))).where("rank <= 15")
 
 
-@query("class_cleanup", "WITH " + b.CLASSES + ", " + b.LABELS_TXT + """, k AS (SELECT class_idx, row_number() OVER (ORDER BY class_idx) - 1 AS new_idx FROM classes WHERE NOT regexp_matches(lower(name), 'red|widget'))
+@query("class_cleanup", "WITH " + b.CLASSES + ", " + b.LABELS_TXT + """, k AS (SELECT class_idx, row_number() OVER (ORDER BY class_idx) - 1 AS new_idx FROM classes WHERE NOT (contains(lower(name), 'red') OR contains(lower(name), 'widget') OR contains(lower(name), 'l.e')))
 SELECT split, CAST(new_idx AS INTEGER) AS new_idx, count(*) AS lines FROM labels_txt JOIN k USING (class_idx) GROUP BY split, new_idx""")
 def class_cleanup(spark, d):
-    _, moved = ops.clean_classes(b.classes(spark, d), b.labels_txt(spark, d), ["red", "widget"])
+    _, moved = ops.clean_classes(b.classes(spark, d), b.labels_txt(spark, d), ["red", "widget", "l.e"])
     return moved.groupBy("split", "new_idx").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("cleanup_report", "WITH " + b.CLASSES + ", " + b.LABELS_TXT + """, k AS (SELECT class_idx FROM classes WHERE NOT contains(lower(name), 'red') AND NOT contains(lower(name), 'widget')), g AS (SELECT * FROM labels_txt WHERE class_idx NOT IN (SELECT class_idx FROM k))
+SELECT (SELECT count(*) FROM classes) AS original, (SELECT count(*) FROM classes) - (SELECT count(*) FROM k) AS removed, (SELECT count(*) FROM k) AS final,
+  count(*) AS lines_removed, count(DISTINCT split || '/' || CAST(stem AS VARCHAR)) AS files_touched FROM g""")
+def cleanup_report(spark, d):
+    return ops.cleanup_report(b.classes(spark, d), b.labels_txt(spark, d), ["Red", "widget"])
+
+
 @query("class_list_check", """
 SELECT 90 AS declared, count(*) AS actual, arg_max(p_name, p_partkey) AS last_name, count(*) FILTER (WHERE p_partkey = 42) > 0 AS has_probe, count(*) FILTER (WHERE NOT regexp_matches(p_name, '^[0-9]+$')) AS not_numbers FROM part""")
 def class_list_check(spark, d):
@@ -163,11 +178,23 @@ def class_from_labels(spark, d):
     return ops.class_from_labels(b.labels_txt(spark, d), b.images(spark, d))
 
 
-@query("reuse_examples", "WITH " + b.IMAGES + """, m AS (SELECT 'guh_a_t' || CAST(i AS VARCHAR) AS name FROM range(0, 9, 2) t(i))
+MISSED = ", m AS (SELECT DISTINCT 'guh_a_t' || CAST(c_nationkey AS VARCHAR) AS name FROM customer WHERE c_nationkey % 2 = 0)"
+
+
+def missed_names(spark, d):
+    """Class names that customers stand for, some of which no image has."""
+    return b.table(spark, d, "customer").where("c_nationkey % 2 = 0").select(F.concat(F.lit("guh_a_t"), F.col("c_nationkey").cast("string")).alias("name"))
+
+
+@query("reuse_examples", "WITH " + b.IMAGES + MISSED + """
 SELECT name, min(file) AS file, count(*) AS files FROM m JOIN images ON regexp_extract(file, '^(.*)_[A-Za-z0-9]{8}\\.', 1) = name GROUP BY name""")
 def reuse_examples(spark, d):
-    missed = spark.range(0, 9, 2).select(F.concat(F.lit("guh_a_t"), F.col("id").cast("string")).alias("name"))
-    return ops.reuse_examples(missed, b.images(spark, d))
+    return ops.reuse_examples(missed_names(spark, d), b.images(spark, d))
+
+
+@query("reuse_examples_inside", "WITH " + b.IMAGES + MISSED + " SELECT name, min(file) AS file, count(*) AS files FROM m JOIN images ON contains(file, name) GROUP BY name")
+def reuse_examples_inside(spark, d):
+    return ops.reuse_examples(missed_names(spark, d), b.images(spark, d), inside=True)
 
 
 @query("split_counts", "WITH " + b.IMAGES + " SELECT split, count(*) AS n FROM images GROUP BY split")
@@ -188,6 +215,11 @@ def row_bucket_order(spark, d):
     return ops.row_bucket_order(b.detections(spark, d)).select("image", "event_id", "line", "place")
 
 
+@query("x_order", DET + " SELECT image, event_id, CAST(row_number() OVER (PARTITION BY image ORDER BY x1, event_id) AS INTEGER) AS place FROM detections")
+def x_order(spark, d):
+    return ops.x_order(b.detections(spark, d)).select("image", "event_id", "place")
+
+
 @query("reading_order")
 def reading_order(spark, d):
     return ops.reading_order(b.detections(spark, d))
@@ -252,14 +284,32 @@ def bernoulli_split(spark, d):
     return b.table(spark, d, "events").select("event_id", F.when(F.md5(F.col("event_id").cast("string")) < "cccccccc", "train").otherwise("valid").alias("part"))
 
 
-@query("oversample_plan", "WITH " + b.CLASS_METRICS + ", " + b.CLASSES + """, g AS (SELECT class_idx, n FROM class_metrics WHERE map50 < 0.8)
-SELECT class_idx, CAST(k AS INTEGER) AS k, 'boost_' || name || '_' || lpad(CAST(k AS VARCHAR), 4, '0') AS sample FROM g JOIN classes USING (class_idx), range(0, 300) t(k)""")
+GAPS = "WITH " + b.CLASS_METRICS + ", " + b.CLASSES + """, g AS (SELECT class_idx, n FROM class_metrics WHERE map50 < 0.8),
+p AS (SELECT class_idx, name, 'train' AS split, k FROM g JOIN classes USING (class_idx), range(0, 300) t(k) UNION ALL SELECT class_idx, name, 'valid', k FROM g JOIN classes USING (class_idx), range(0, 30) t(k))"""
+
+
+def gaps(spark, d):
+    return b.class_metrics(spark, d).where("map50 < 0.8").select("class_idx")
+
+
+@query("oversample_plan", GAPS + " SELECT class_idx, split, CAST(k AS INTEGER) AS k, 'boost_' || name || '_' || lpad(CAST(k AS VARCHAR), 4, '0') AS sample FROM p")
 def oversample_plan(spark, d):
-    gaps = b.class_metrics(spark, d).where("map50 < 0.8").select("class_idx")
-    plan, _ = ops.oversample_plan(gaps, b.classes(spark, d), "boost", 300)
+    plan, _ = ops.oversample_plan(gaps(spark, d), b.classes(spark, d), "boost", 300, 30)
     return plan
 
 
+@query("oversample_totals", GAPS + " SELECT split, count(DISTINCT class_idx) AS classes, count(*) AS samples FROM p GROUP BY split")
+def oversample_totals(spark, d):
+    plan, _ = ops.oversample_plan(gaps(spark, d), b.classes(spark, d), "boost", 300, 30)
+    return ops.oversample_totals(plan)
+
+
+@query("oversample_skipped", GAPS + " SELECT class_idx FROM g WHERE class_idx NOT IN (SELECT class_idx FROM classes)")
+def oversample_skipped(spark, d):
+    _, skipped = ops.oversample_plan(gaps(spark, d), b.classes(spark, d), "boost", 300, 30)
+    return skipped
+
+
 @query("bootstrap_dict", "SELECT p_partkey AS class_idx, p_name AS syllable, 'no translation yet' AS english, false AS verified FROM part")
 def bootstrap_dict(spark, d):
     return b.table(spark, d, "part").select(F.col("p_partkey").alias("class_idx"), F.col("p_name").alias("syllable"), F.lit("no translation yet").alias("english"), F.lit(False).alias("verified"))
@@ -267,36 +317,71 @@ def bootstrap_dict(spark, d):
 
 
 
-@query("syllable_grid", """
+@query("grid_label", """
 WITH i AS (SELECT event_id, CAST(event_id % 9000 AS INTEGER) AS class_id FROM events)
 SELECT event_id, class_id, 'c' || CAST(class_id // 360 AS VARCHAR) || '_m' || CAST(class_id // 60 % 6 AS VARCHAR) || '_v' || CAST(class_id // 6 % 10 AS VARCHAR) || '_t' || CAST(class_id % 6 AS VARCHAR) AS label FROM i""")
-def syllable_grid(spark, d):
+def grid_label(spark, d):
     """The label of each event's class number, by arithmetic on the grid's ordinals."""
-    from lexicarta.operators.generate import grid_label
-
     rows = b.table(spark, d, "events").select("event_id", (F.col("event_id") % 9000).cast("int").alias("class_id"))
-    return rows.withColumn("label", grid_label(F.col("class_id"), [("c", 25), ("m", 6), ("v", 10), ("t", 6)]))
+    return rows.withColumn("label", generate.grid_label(F.col("class_id"), [("c", 25), ("m", 6), ("v", 10), ("t", 6)]))
+
+
+#: The published syllables: 25 bases of which two take no medial, five medials, ten vowels, six tones, two contractions (fixed values).
+BASES = "guh hkuh ghuh hcah nguh suh_chuh hsuh_shuh shuh2 nyuh tuh htuh duh nuh pbuh hpuh buh muh yuh ruh luh wuh thuh huh uh uh2".split()
+MEDIALS = "med_ya med_ra med_wa med_la med_gha".split()
+VOWELS = "a ah ee er ay aw oh eh oo u".split()
+TONES = "tone1_rise tone2_er_thee tone3_ah_thee tone4_pler_chee tone5_hah_thee tone6_geh_poh".split()
+CONTRACTIONS = "muh_asat_maw duh_asat_dee".split()
+
+
+def listed(name, xs):
+    return f"{name}(i, x) AS (VALUES {', '.join(f'({i}, {chr(39)}{x}{chr(39)})' for i, x in enumerate(xs))})"
+
+
+def grid_sql(takes, n_vowels, n_tones, contractions):
+    n_base, n_medial = 1500, takes * 5 * n_vowels * n_tones
+    more = f" UNION ALL SELECT {n_base + n_medial} + c.i, c.x FROM c" if contractions else ""
+    return f"""WITH {listed('o', BASES)}, {listed('m', MEDIALS)}, {listed('v', VOWELS)}, {listed('t', TONES)}, {listed('c', CONTRACTIONS)},
+grid AS (SELECT o.i * 60 + v.i * 6 + t.i AS class_id, o.x || '_' || v.x || '_' || t.x AS label FROM o, v, t
+  UNION ALL SELECT {n_base} + ((o.i * 5 + m.i) * {n_vowels} + v.i) * {n_tones} + t.i, o.x || '_' || m.x || '_' || v.x || '_' || t.x FROM o, m, v, t WHERE o.i < {takes} AND v.i < {n_vowels} AND t.i < {n_tones}{more})
+SELECT event_id, grid.class_id, label FROM events JOIN grid ON grid.class_id = event_id % {n_base + n_medial + 2}"""
+
+
+@query("syllables", grid_sql(23, 5, 3, True))
+def syllables(spark, d):
+    """Each event's syllable in the published set of 3,227."""
+    grid = generate.syllable_grid(spark, BASES, MEDIALS, VOWELS, TONES, plain=["uh", "uh2"], contractions=CONTRACTIONS, medial_vowels=5, medial_tones=3)
+    rows = b.table(spark, d, "events").select("event_id", (F.col("event_id") % 3227).alias("class_id"))
+    return rows.join(F.broadcast(grid), "class_id").select("event_id", "class_id", "label")  # a row for each syllable
+
+
+@query("syllable_grid_9002", grid_sql(25, 10, 6, True))
+def syllable_grid_9002(spark, d):
+    """Each event's syllable in the larger published set, in which all bases take medials with all vowels and tones."""
+    grid = generate.syllable_grid(spark, BASES, MEDIALS, VOWELS, TONES, contractions=CONTRACTIONS)
+    rows = b.table(spark, d, "events").select("event_id", (F.col("event_id") % 9002).alias("class_id"))
+    return rows.join(F.broadcast(grid), "class_id").select("event_id", "class_id", "label")  # a row for each syllable
 
 
 @query("sample_paragraphs")
 def sample_paragraphs(spark, d):
-    from lexicarta.operators.generate import sample_paragraphs as sample
-
     words = b.vocabulary(spark, d).select("native").distinct()
-    return sample(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), words, seed=7)
+    return generate.sample_paragraphs(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), words, seed=7)
 
 
 # --- files written from the tables and read again
 
 
-@query("scan_entries")
+@query("scan_entries", "WITH " + b.ENTRIES + " SELECT karen, array_to_string(definitions, '|') AS definitions, page, flag, source, entry_type, array_length(definitions) % 2 = 0 AS promoted, CASE WHEN page % 3 = 0 THEN '{\"examples\":[\"x\"]}' END AS analysis FROM entries")
 def scan_entries(spark, d):
     path = files.scratch(spark, "entries")
-    files.write_entries(b.entries(spark, d), path)
-    return files.read_entries(spark, path, whole=False).drop("file", "pos")
+    analysis = F.when(F.col("page") % 3 == 0, '{"examples":["x"]}')
+    files.write_entries(b.entries(spark, d).withColumn("promoted", F.size("definitions") % 2 == 0).withColumn("analysis", analysis), path)
+    back = files.read_entries(spark, path, whole=False)
+    return back.select("karen", F.array_join("definitions", "|").alias("definitions"), "page", "flag", "source", "entry_type", "promoted", "analysis")
 
 
-@query("scan_labels")
+@query("scan_labels", "WITH " + b.LABELS_TXT + " SELECT split, CAST(stem AS VARCHAR) AS stem, class_idx, 0.5::DOUBLE AS cx, 0.25::DOUBLE AS cy, 0.1::DOUBLE AS w, 0.2::DOUBLE AS h FROM labels_txt")
 def scan_labels(spark, d):
     path = files.scratch(spark, "labels")
     boxes = b.labels_txt(spark, d).select("split", "stem", "class_idx", *(F.lit(x).alias(c) for c, x in (("cx", 0.5), ("cy", 0.25), ("w", 0.1), ("h", 0.2))))
@@ -304,14 +389,20 @@ def scan_labels(spark, d):
     return files.read_labels(spark, path)
 
 
-@query("class_index_map")
+@query("class_index_map", "SELECT replace(p_name, ' ', '_') AS name, count(*) AS n, min(p_partkey % 50) AS dataset FROM part GROUP BY 1")
 def class_index_map(spark, d):
+    """Dataset files of class lists, written from parts and read again; a class's number is its place in its file."""
     path = files.scratch(spark, "classes")
-    b.table(spark, d, "part").select(F.concat(F.lit("  - "), F.translate("p_name", " ", "_")).alias("value")).write.text(path)
-    return files.read_classes(spark, path)
+    p = b.table(spark, d, "part").select(F.translate("p_name", " ", "_").alias("name"), (F.col("p_partkey") % 50).alias("dataset"))
+    listed = p.groupBy("name").agg(F.min("dataset").alias("dataset"), F.count(F.lit(1)).alias("n"))
+    listed.select(F.concat(F.lit("  - "), "name").alias("value")).write.text(path)
+    read = files.read_classes(spark, path).where("class_idx >= 0").select("name").distinct()
+    return read.join(listed, "name").select("name", "n", "dataset")
 
 
-@query("scan_detections")
+@query("scan_detections", DET + """
+SELECT CAST(image AS VARCHAR) AS image, class_idx AS cls_idx, event_type AS syllable, '?' AS english, round(conf, 4) AS confidence, round((x1 + least(x2, 640)) / 2 / 640, 4) AS x_center, round((y1 + least(y2, 480)) / 2 / 480, 4) AS y_center,
+  round((least(x2, 640) - x1) / 640, 4) AS width, round((least(y2, 480) - y1) / 480, 4) AS height FROM detections""")
 def scan_detections(spark, d):
     path = files.scratch(spark, "detections")
     det = ops.box_convert(b.detections(spark, d)).select(F.col("image").cast("string").alias("image"), F.col("class_idx").alias("cls_idx"), F.col("event_type").alias("syllable"), F.lit("?").alias("english"), F.col("conf").alias("confidence"), F.col("nx").alias("x_center"), F.col("ny").alias("y_center"), F.col("nw").alias("width"), F.col("nh").alias("height"))
@@ -319,25 +410,38 @@ def scan_detections(spark, d):
     return files.read_detections(spark, path)
 
 
+CURVES = "WITH g AS (SELECT user_id AS run, day(ts) AS epoch, max(value) / 100 AS v FROM events GROUP BY 1, 2), c AS (SELECT run, CAST(epoch AS INTEGER) AS epoch, CASE WHEN epoch % 9 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(v, 5) END AS map50, round(v, 5) AS loss FROM g)"
+
+
 def curves(spark, d):
     """A run for each user, an epoch for each day, the metric infinite at times; through a CSV file."""
     path = files.scratch(spark, "curves")
-    e = b.table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("epoch")).agg(F.round(F.avg("value") / 100, 5).alias("v"))
+    e = b.table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("epoch")).agg(F.round(F.max("value") / 100, 5).alias("v"))
     e.select(F.col("user_id").alias("run"), "epoch", F.when(F.col("epoch") % 9 == 0, "inf").otherwise(F.col("v").cast("string")).alias("map50"), F.col("v").alias("loss")).write.option("header", True).csv(path)
     return files.read_curve(spark, path, "run long, epoch int, map50 double, loss double")
 
 
-@query("curve_scan")
+@query("curve_scan", CURVES + " SELECT run, epoch, map50, loss FROM c")
 def curve_scan(spark, d):
     return curves(spark, d)
 
 
-@query("curve_summary")
+BEST = CURVES + ", f AS (SELECT * FROM c WHERE NOT isinf(map50)), s AS (SELECT run, count(DISTINCT epoch) AS epochs, count(DISTINCT epoch) >= 20 AS done, max(map50) AS best FROM f GROUP BY run)"
+
+
+@query("curve_summary", BEST + ", x AS (SELECT run, epoch, row_number() OVER (PARTITION BY run ORDER BY map50 DESC, epoch) AS n FROM f) SELECT s.run, epochs, done, x.epoch AS best_epoch, best FROM s JOIN x ON s.run = x.run AND x.n = 1")
 def curve_summary(spark, d):
     return ops.curve_summary(curves(spark, d), 20)
 
 
-@query("class_metrics_scan")
+@query("curve_deltas", BEST + """
+SELECT a.run AS before, b.run AS after, a.best AS best_before, b.best AS best_after, round(b.best - a.best, 6) AS change, round(100 * (b.best - a.best) / nullif(a.best, 0), 2) AS percent FROM s a JOIN s b ON b.run = a.run + 1""")
+def curve_deltas(spark, d):
+    s = ops.curve_summary(curves(spark, d), 20)
+    return ops.curve_deltas(s, s.select(F.col("run").alias("before"), (F.col("run") + 1).alias("after")))
+
+
+@query("class_metrics_scan", "WITH " + b.CLASS_METRICS + " SELECT CAST(class_idx % 4 AS VARCHAR) AS model, class_idx, map50 FROM class_metrics")
 def class_metrics_scan(spark, d):
     path = files.scratch(spark, "metrics")
     m = ops.detection_counts(b.detections(spark, d), 0.0).join(b.class_metrics(spark, d).select("class_idx", "map50"), "class_idx")
@@ -348,24 +452,36 @@ def class_metrics_scan(spark, d):
 @query("seed_plan_rows", """
 SELECT c_mktsegment AS plan, CAST(c_nationkey AS VARCHAR) AS band, c_name AS example, CAST(100 AS INTEGER) AS target, round(count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) / 100.0, 4)::DOUBLE AS share FROM customer""")
 def seed_plan_rows(spark, d):
+    """Plans as files hold them, ten examples a band at most; the next ones come in another plan of the same name."""
     c = b.table(spark, d, "customer")
-    bands = c.groupBy("c_mktsegment", F.col("c_nationkey").cast("string").alias("name")).agg(F.lit(100).alias("target_count"), F.collect_list("c_name").alias("examples"))
-    plans = bands.groupBy(F.col("c_mktsegment").alias("plan")).agg(F.collect_list(F.struct("name", "target_count", "examples")).alias("bands"))
-    return files.seed_plan(plans)
+    part = F.floor(F.col("c_custkey") / 200)
+    bands = c.groupBy("c_mktsegment", F.col("c_nationkey").cast("string").alias("name"), part.alias("part")).agg(F.collect_list("c_name").alias("examples"))
+    total = c.groupBy("c_mktsegment", F.col("c_nationkey").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    plans = bands.join(total, ["c_mktsegment", "name"]).groupBy(F.col("c_mktsegment").alias("plan"), "part").agg(F.collect_list(F.struct("name", F.lit(100).alias("target_count"), "examples", "n")).alias("bands"))
+    rows = files.seed_plan(plans)
+    share = rows.groupBy("plan", "band").agg(F.round(F.count(F.lit(1)) / 100, 4).alias("share"))
+    return rows.drop("share").join(share, ["plan", "band"])
 
 
-@query("image_inventory")
+@query("image_inventory", "WITH " + b.IMAGES + " SELECT split, regexp_replace(file, '\\.[^.]*$', '') AS stem, 'jpg' AS ext FROM images WHERE stem % 5 <> 0")
 def image_inventory(spark, d):
-    """Files of a folder by name: written from the tables, listed without reading them."""
-    path = files.scratch(spark, "images")
-    b.images(spark, d).select("split", F.col("file").alias("value")).write.partitionBy("split").text(path)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return found.select("split", F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("stem"), F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext"))
+    """The images in a listing of files, which also holds label files."""
+    rows = b.images(spark, d)
+    name = F.when(F.col("stem") % 5 == 0, F.regexp_replace("file", "jpg$", "txt")).otherwise(F.col("file"))
+    return files.image_inventory(rows.select(F.concat_ws("/", F.lit("/data"), "split", F.lit("images"), name).alias("path")))
+
+
+RESOLVE = """CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN x WHEN x LIKE '//%' THEN regexp_extract(url, '^([a-z]+:)', 1) || x WHEN x LIKE '/%' THEN host || x ELSE regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^(.*/)[^/]*$', 1) || x END"""
 
 
-@query("page_sample", """
-WITH h AS (SELECT page_id, html, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host FROM pages), u AS (SELECT page_id, host, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')), 1, 2000) AS text,
-  list_slice(regexp_extract_all(html, '<(?:img|a)[^>]*?(?:src|href)="([^"]*)"', 1), 1, 20) AS found FROM h)
-SELECT page_id, text, array_to_string(list_transform(found, lambda x: CASE WHEN regexp_matches(x, '^[a-z]+://') THEN x WHEN x LIKE '/%' THEN host || x ELSE host || '/' || x END), ' ') AS images FROM u""")
+@query("page_sample", f"""
+WITH h AS (SELECT page_id, replace(html, '<a href="/', CASE WHEN page_id % 2 = 0 THEN '<img src="' ELSE '<IMG alt="" SRC="/' END) AS html, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script\\b[^>]*>.*?</script\\s*>', '', 'gsi'), '<style\\b[^>]*>.*?</style\\s*>', '', 'gsi') AS bare FROM h),
+t AS (SELECT *, list_filter(list_transform(string_split_regex(bare, '<[^>]*>'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM c)
+SELECT page_id, substr(array_to_string(parts, chr(10)), 1, 2000) AS text,
+  array_to_string(list_transform(list_slice(list_filter(regexp_extract_all(html, '(?i)<img\\b[^>]*?\\ssrc="([^"]*)"', 1), lambda x: x <> ''), 1, 20), lambda x: {RESOLVE}), ' ') AS images FROM t""")
 def page_sample(spark, d):
-    return files.page_sample(b.table(spark, d, "pages")).withColumn("images", F.array_join("images", " "))
+    """Pages whose links are images, some with relative addresses."""
+    p = b.table(spark, d, "pages")
+    html = F.replace("html", F.lit('<a href="/'), F.when(F.col("page_id") % 2 == 0, '<img src="').otherwise('<IMG alt="" SRC="/'))
+    return files.page_sample(p.withColumn("html", html)).withColumn("images", F.array_join("images", " "))

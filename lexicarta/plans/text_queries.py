@@ -175,6 +175,15 @@ def collation_sort(spark, d):
     return series.collation_sort(marked(spark, d), "native", "word").select("word", "consonant", "tone", "vowel", "medial")
 
 
+LEVELS = {"consonant": ("ကခဂဃငစဆၡညတထဒနပဖဘမယရလဝသဟအဧ", 0), "tone": ("ါၒၓးၔၕ", 1), "vowel": ("ံၢုူ့ဲိီ", 0)}
+
+
+@query("collation_levels", "WITH " + b.VOCABULARY + BARE + PARTS + " " + " UNION ALL ".join(f"""SELECT word, '{k}' AS level, {k} AS symbol, CAST(CASE WHEN {k} = '' THEN {0 if k == 'tone' else 'NULL'} WHEN length({k}) > 1 THEN NULL ELSE instr('{cs}', {k}) - 1 + {first} END AS INTEGER) AS rank FROM p""" for k, (cs, first) in LEVELS.items()))
+def collation_levels(spark, d):
+    """Each word's symbols with their places in the alphabet's table."""
+    return series.collation_levels(marked(spark, d), "native").where("level <> 'medial'").select("word", "level", "symbol", "rank")
+
+
 @query("part_of_speech", "WITH " + b.LINES + """
 SELECT file, line_no, regexp_extract(t, '\\b(v\\.i\\.|v\\.t\\.|v\\.|n\\.|adj\\.|adv\\.|prep\\.|conj\\.|pron\\.|interj\\.|part\\.)\\b', 1) AS pos
 FROM (SELECT file, line_no, CASE line_no % 4 WHEN 0 THEN 'n.' WHEN 1 THEN 'v.t.' WHEN 2 THEN 'adj. ' ELSE '' END || regexp_replace(raw, '[^\\x00-\\x7f]', '', 'g') AS t FROM lines)
@@ -193,6 +202,12 @@ def split_columns(spark, d):
     return b.lines(spark, d).select("file", "line_no", text.split_columns(raw).alias("p")).where("p is not null").select("file", "line_no", "p.left", "p.right")
 
 
+@query("parse_stats", "WITH " + b.LINES + """, t AS (SELECT regexp_extract(raw2, '^(.*?)\\s{2,}((?s:.*))$', ['a', 'b']) AS p, regexp_matches(raw2, '\\s{2,}') AS two FROM (SELECT *, regexp_replace(raw, ' ([^ ]+)$', '   \\1') AS raw2 FROM lines))
+SELECT count(*) AS lines, count(*) FILTER (WHERE two AND p.a <> '' AND p.b <> '') AS parsed, count(*) FILTER (WHERE NOT (two AND p.a <> '' AND p.b <> '')) AS skipped FROM t""")
+def parse_stats(spark, d):
+    return series.parse_stats(b.lines(spark, d).select(text.split_columns(F.regexp_replace("raw", " ([^ ]+)$", "   $1")).alias("parsed")), "parsed")
+
+
 @query("page_lines", "WITH " + b.LINES + """
 SELECT file, line_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM lines WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> ''""")
 def page_lines(spark, d):
@@ -205,7 +220,7 @@ SELECT lower(word) AS word, count(*) AS n, min(file * 100000 + line_no) AS first
 def inverted_index(spark, d):
     keyed = b.lines(spark, d).select((F.col("file") * 100000 + F.col("line_no")).alias("key"), "raw")
     index = series.inverted_index(keyed, "key", "raw")
-    return index.select("word", F.size("keys").cast("long").alias("n"), F.col("keys")[0].alias("first_key"), F.element_at("keys", -1).alias("last_key"))
+    return index.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
 @query("font_runs", "WITH " + b.NATIVE_WORDS + """, g AS (SELECT doc_id, pos, word, length(word) % 2 = 0 AS own FROM words),
@@ -272,7 +287,13 @@ def romanise(spark, d):
     return v.select("word", legacy.romanise(F.col("t")).alias("roman"))
 
 
-@query("decode_legacy2")
+#: Golden values, written out: a letter of the second legacy encoding and its native character.
+GOLDEN2 = dict(zip("ucCipqnwxeyzbrv&otgRXmLHJlk", "ကခဂငစဆညတထနပဖဘမလရသအါံၢ့ီိဲူု", strict=True))
+
+
+@query("decode_legacy2", "WITH " + b.VOCABULARY + f""", t AS (SELECT word, translate(word, '{''.join(GOLDEN2)}', '{''.join(GOLDEN2.values())}') AS t, n % 2 = 0 AS even FROM vocabulary)
+SELECT word, t || 'အFမ်ၡျါ' AS native FROM t WHERE even AND NOT contains(word, 's')""")
 def decode_legacy2(spark, d):
-    v = b.vocabulary(spark, d).select("word", F.concat("word", F.when(F.col("n") % 2 == 0, "tFr~%SFg").otherwise("G")).alias("t"))
-    return v.select("word", legacy.decode_legacy2(F.col("t")).alias("native"))
+    """Words without an s, which stands for a medial, each with marks behind it."""
+    v = b.vocabulary(spark, d).where("n % 2 = 0 and not contains(word, 's')")
+    return v.select("word", legacy.decode_legacy2(F.concat("word", F.lit("tFr~%SFg"))).alias("native"))

@@ -2,19 +2,25 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "struct<karen:string,definitions:array<string>,page:int,flag:boolean,source:string,entry_type:string>"
+#: Entries as files hold them; the analysis stays JSON text.
+FIELDS = ["karen", "definitions", "page", "flag", "source", "entry_type", "promoted", "updated_at", "analysis"]
+ENTRY = "struct<karen:string,definitions:array<string>,page:int,flag:boolean,source:string,entry_type:string,promoted:boolean,updated_at:string,analysis:string>"
+#: Extensions of images (fixed values).
+IMAGES = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff"]
 DETECTION = "image string, cls_idx int, syllable string, english string, confidence double, x_center double, y_center double, width double, height double"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in spark.checkpoint.dir; a temporary one is set only where none is."""
+    """A fresh folder in spark.checkpoint.dir. Where none is set, a session on one machine (as in tests) gets a temporary one; a cluster must name one."""
     import tempfile
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
@@ -28,9 +34,19 @@ def read_entries(spark: SparkSession, path: str, whole: bool = True) -> DataFram
 
 
 def write_entries(df: DataFrame, path: str) -> None:
-    """Entries as one JSON array for each page, one in a line: arrays stay as small as a page."""
-    e = F.struct("karen", "definitions", "page", "flag", "source", "entry_type")
-    df.groupBy("page").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", e.alias("e")))), lambda x: x["e"])).alias("value")).select("value").write.text(path)
+    """Entries as one JSON array for each page, one in a line: arrays stay as small as a page. Fields that df lacks are left out."""
+    item = F.to_json(F.struct(*(c for c in FIELDS if c in df.columns and c != "analysis")))
+    if "analysis" in df.columns:  # is JSON already
+        item = F.when(F.col("analysis").isNull(), item).otherwise(F.concat(F.regexp_replace(item, r"\}$", ""), F.lit(',"analysis":'), "analysis", F.lit("}")))
+    listed = df.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("e")))).alias("l"))
+    listed.select(F.concat(F.lit("["), F.array_join(F.col("l.e"), ","), F.lit("]")).alias("value")).write.text(path)
+
+
+def image_inventory(listing: DataFrame) -> DataFrame:
+    """(split, stem, ext) of the images in a listing of files (path), as `.../split/images/name.ext`; other files are left out."""
+    parts = F.regexp_extract("path", r"([^/]+)/images/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    rows = listing.select(*(c.alias(name) for c, name in zip(parts, ("split", "stem", "ext"), strict=True)))
+    return rows.where(F.col("ext").isin(IMAGES))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +70,17 @@ def read_classes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode(names).alias("class_idx", "name"))
 
 
+def write_class_list(df: DataFrame, path: str) -> None:
+    """Labels of (class_id, label), one in a line, in order of number over the files' names."""
+    df.repartitionByRange("class_id").sortWithinPartitions("class_id").select(F.col("label").alias("value")).write.text(path)
+
+
+def write_kv_result(rows: DataFrame, path: str) -> None:
+    """Lines (file, section, line_no, text) as text, a folder for each file, in order over the files' names in it."""
+    ordered = rows.repartitionByRange("file", "section", "line_no").sortWithinPartitions("file", "section", "line_no")
+    ordered.select("file", F.col("text").alias("value")).write.partitionBy("file").text(path)
+
+
 def read_key_values(lines: DataFrame) -> DataFrame:
     """(file, line_no, key, value) of lines (file, line_no, raw) `key = value`; comments and lines without the sign are skipped."""
     parts = F.split("raw", "=", 2)
@@ -88,27 +115,48 @@ def seed_plan(plans: DataFrame) -> DataFrame:
     return bands.select("plan", F.col("b.name").alias("band"), F.explode("b.examples").alias("example"), F.col("b.target_count").alias("target"), F.round(F.size("b.examples") / F.col("b.target_count"), 4).alias("share"))
 
 
+def resolved(address: Column, base: Column) -> Column:
+    """An address made absolute by that of its page: the scheme, the host or the folder is taken from there, `.` and `..` are followed."""
+    host, path = F.regexp_extract(base, r"^([a-z]+://[^/?#]*)", 1), F.regexp_extract(base, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(host, F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/")))
+    whole = F.when(address.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), address).when(address.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), address)).when(address.startswith("/"), F.concat(host, address)).otherwise(F.concat(folder, address))
+    top, rest, tail = F.regexp_extract(whole, r"^([a-z]+://[^/?#]*)", 1), F.regexp_extract(whole, r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract(whole, r"([?#].*)$", 1)
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    ends = F.when(rest.rlike(r"/\.\.?$"), "/").otherwise("")
+    followed = F.concat(top, F.array_join(F.aggregate(F.split(rest, "/"), F.array().cast("array<string>"), step), "/"), ends, tail)
+    return F.when(rest.rlike(r"(^|/)\.\.?(/|$)") & (top != ""), followed).otherwise(whole)
+
+
 def page_sample(pages: DataFrame, chars: int = 2000, images: int = 20) -> DataFrame:
-    """(page_id, text, images): the first characters of a page's text without tags and its first image addresses, made absolute."""
-    text = F.btrim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\r\n]+", " "))
-    host = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
-    found = F.regexp_extract_all("html", F.lit(r"""<(?:img|a)[^>]*?(?:src|href)="([^"]*)\""""), 1)
-    full = F.transform(F.slice(found, 1, images), lambda u: F.when(u.rlike("^[a-z]+://"), u).when(u.startswith("/"), F.concat(host, u)).otherwise(F.concat(host, F.lit("/"), u)))
-    return pages.select("page_id", F.substring(text, 1, chars).alias("text"), full.alias("images"))
+    """(page_id, text, images): the first characters of a page's visible text, a line for each piece, and its first image addresses, made absolute."""
+    bare = F.col("html")
+    for hidden in (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>"):
+        bare = F.regexp_replace(bare, hidden, "")
+    pieces = F.filter(F.transform(F.split(bare, "<[^>]*>"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+    found = F.filter(F.regexp_extract_all("html", F.lit(r"""(?i)<img\b[^>]*?\ssrc\s*=\s*["']([^"']*)["']"""), 1), lambda u: u != "")
+    full = F.transform(F.slice(found, 1, images), lambda u: resolved(u, F.col("url")))
+    return pages.select("page_id", F.substring(F.array_join(pieces, "\n"), 1, chars).alias("text"), full.alias("images"))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """df under a temporary name first, then in place of what is there: readers see the old or the new, whole."""
+    """df as the latest version under a folder, which read_snapshot finds: a pointer is put in place of the last one, in one step, once the version is whole."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    df.write.parquet(fresh.toString())
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+    hadoop, name = spark.sparkContext._jvm.org.apache.hadoop.fs, uuid.uuid4().hex
+    df.write.parquet(f"{path}/{name}")
+    context = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fresh, pointer = hadoop.Path(f"{path}/_pointer-{name}"), hadoop.Path(f"{path}/_latest")
+    out = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    context.rename(fresh, pointer, how)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names; older ones stay until they are deleted."""
+    name = spark.read.text(f"{path}/_latest").first()[0]
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -123,8 +171,12 @@ def write_groups(df: DataFrame, path: str, group: str) -> None:
 
 
 def ingest_new(spark: SparkSession, folder: str, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines of the files of a folder that the ledger (file) doesn't have, and the ledger with those files; empty files are never listed."""
-    listed = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"))
+    """(file, value) lines of the files of a folder that the ledger (file) doesn't have, and the ledger with those files.
+
+    Only those files are read; their names are listed on the driver, as for any table. Empty files are never listed.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("file"))
     fresh = listed.join(ledger, "file", "left_anti")
-    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("file"), "value").join(fresh, "file", "left_semi")
-    return lines, ledger.unionByName(fresh)
+    names = [r.file for r in fresh.toLocalIterator()]
+    rows = spark.read.text(names) if names else spark.createDataFrame([], "value string").select("value", F.struct(F.lit("").alias("file_path")).alias("_metadata"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), "value"), ledger.select("file").unionByName(spark.createDataFrame([(n,) for n in names], "file string"))
