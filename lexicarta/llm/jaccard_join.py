@@ -1,17 +1,15 @@
 """N-gram Jaccard join: which documents share nearly all their shingles, by prefix trees.
 
 1. Each text becomes its set of shingle hashes. Texts of one set are one class.
-2. A set that links shares all but few of its shingles with some other set.
-   Shingles in a fixed fifth of the hash space are counted over all documents;
-   classes with more shingles of their own than a link leaves are out. All
-   shingles of those that are left are then counted among them likewise.
-3. The others' prefixes (the lowest hashes, one of which each linked pair has
-   in common) go to groups: that of the smallest document with that shingle in
-   its prefix. Large groups are cut into blocks, and pairs of blocks meet.
-4. In a task, sets in one order (most frequent shingle first) form a prefix
-   tree. Each set walks it, sharing overlaps along common paths; a subtree is
-   left when the shingles that remain can't reach the overlap asked for, or
-   all that it holds is already in the set's component.
+2. A set that links shares all but few of its shingles with some other set. Shingles in a fixed part of the hash space are
+   counted over all documents; classes with more shingles of their own than a link leaves are out. All shingles of
+   those that are left are then counted among them likewise.
+3. Shingles get one global order, by how many of the sets left hold them, and sets keep those that others hold too.
+   Their prefixes (the rarest shingles, one of which each linked pair has in common) go to groups: that of the
+   smallest document with that shingle in its prefix. Large groups are cut into blocks, and pairs of blocks meet.
+4. In a task, sets in the global order (most frequent shingle first) form a prefix tree. Each set walks it, sharing
+   overlaps along common paths; a subtree is left when the shingles that remain can't reach the overlap asked for,
+   or all that it holds is already in the set's component.
 5. The links found span each component; stars give the components.
 """
 
@@ -19,12 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.llm.shared import components, map_rows, shingled, word_hashes, written
+from lexicarta.llm.shared import components, forget, map_rows, shingled, word_hashes, written
 
 #: Of the hash space, the part whose shingles are counted over all documents. More than 1 - similarity is needed.
 COUNTED = 1.35
 #: Shingles in a block of a large group: the bound on a task's sets.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
+#: Bits of a shingle's hash below those of its frequency, in a number whose order is the global one.
+HASH_BITS = 57
 #: Ids that are broadcast at most (8 bytes each); more of them meet the texts in a sorted join.
 MOST_SENT = 1_000_000
 
@@ -53,27 +53,29 @@ def digests(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 class PrefixTree:
-    """Sets as rows of ranks in one order, sorted; a node is a span of rows that share their first ranks.
+    """Sets as rows of places in the global order, the most frequent first; a node is a span of rows that share their first places.
 
+    sets hold the numbers of shingles in the global order (rarest lowest), sizes how many shingles each set has in all.
     Sets that share too few of their shingles with the others to link with any are left out.
     """
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
         self.percent = percent
         every = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        ends = np.cumsum([len(s) for s in sets])
         names, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        order = np.lexsort((names, -counts))
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
+        del every
         shared = counts[inverse] > 1  # what only one set holds adds to its size alone
-        ends = np.cumsum([len(s) for s in sets])
-        rows = [np.sort(r[k]) for r, k in zip(np.split(rank[inverse], ends[:-1]), np.split(shared, ends[:-1]), strict=True)]
+        place = (len(names) - 1 - inverse).astype(np.int32)
+        del inverse
+        rows = [np.sort(r[k]) for r, k in zip(np.split(place, ends[:-1]), np.split(shared, ends[:-1]), strict=True)]
+        del place, shared
         kept = [i for i, r in enumerate(rows) if 100 * len(r) >= percent * sizes[i]]
         self.at = sorted(kept, key=lambda i: rows[i].astype(">u4").tobytes())  # place in the tree to set
         self.rows = [rows[i] for i in self.at]
         self.lengths = np.array([len(r) for r in self.rows], np.int64)
         self.sizes = np.asarray(sizes, np.int64)[self.at]
-        self.width = int((counts > 1).sum())
+        self.width = len(names)
         self.common = np.array([self.prefix(a, b) for a, b in zip(self.rows, self.rows[1:], strict=False)], np.int64)
         self.nodes: dict = {}
 
@@ -165,11 +167,28 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, key, "left_semi")
 
 
+def in_global_order(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets (set_id, doc_id, n, shingles) with their shared shingles as numbers in the global order, and the prefix of those.
+
+    A shingle's number has the half-octave of how many sets hold it above the bits of its hash. Shingles of one set alone
+    are left out; sets with more of them than a link leaves are as well.
+    """
+    rows = sets.select("set_id", F.explode("shingles").alias("shingle"))
+    held = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+    number = F.shiftleft(F.least(F.floor(2 * F.log2("held")), F.lit(63)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned("shingle", 63 - HASH_BITS))
+    ordered = rows.join(held, "shingle").groupBy("set_id").agg(F.sort_array(F.collect_list(number)).alias("shingles"))
+    joined = sets.select("set_id", "doc_id", "n").join(ordered, "set_id")
+    spare = F.expr(f"n * {100 - percent} div 100") - (F.col("n") - F.size("shingles"))
+    out = written(joined.withColumn("spare", spare.cast("int")).where("spare >= 0").select("doc_id", "n", "shingles", F.slice("shingles", 1, F.col("spare") + 1).alias("prefix")), "ordered")
+    forget(held)
+    return out
+
+
 def candidate_groups(sets: DataFrame, block: int) -> DataFrame:
     """(leader, i, j, side, doc_id, n, shingles): each linked pair of sets meets in a group, blocks of which hold so many shingles."""
-    prefix = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
-    leaders = prefix.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = prefix.join(leaders, "shingle").select("leader", "doc_id", "n").distinct()
+    prefix = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("prefix").alias("shingle"))
+    leaders = written(prefix.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").select("shingle", "leader"), "leaders")
+    members = written(prefix.join(leaders, "shingle").select("leader", "doc_id", "n").distinct(), "members")
     # a group is left out whose members all meet in the group of one smaller leader
     first = members.groupBy("doc_id").agg(F.min("leader").alias("first"))
     blocks = (
@@ -178,7 +197,8 @@ def candidate_groups(sets: DataFrame, block: int) -> DataFrame:
         .agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"), F.min("first").alias("low"), F.max("first").alias("high"))
         .where("size > 1 and (high = leader or low < high)")
     )
-    placed = members.join(blocks.select("leader", "blocks"), "leader").withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    blocks = written(blocks.select("leader", "blocks"), "blocks")
+    placed = members.join(blocks, "leader").withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     met = placed.select("leader", "doc_id", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return met.select("leader", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id").join(
         sets.select("doc_id", "n", "shingles"), "doc_id"
@@ -214,7 +234,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, every: bool
     # the same again with all shingles of those that are left: most of them are near copies now
     counted = sets.select("set_id", F.explode("shingles").alias("shingle"))
     nearly = sets.select("set_id", "n").join(own_shingles(counted, "set_id"), "set_id", "left").where(f"coalesce(own, 0) <= n * {100 - percent} div 100")
-    sets = among(sets, nearly.select("set_id").distinct(), "set_id").withColumn("prefix", F.expr(f"slice(shingles, 1, n * {100 - percent} div 100 + 1)"))
+    sets = in_global_order(among(sets, nearly.select("set_id").distinct(), "set_id"), percent)
     found = links_of(candidate_groups(sets, block), percent, every)
     if every:
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("n_a"), F.expr("if(a < b, n_b, n_a)").alias("n_b"), "both").distinct()
