@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexicarta.llm.decontaminate import ItemIndex, decontaminate, weighted_similarity, window_marks
+from lexicarta.llm.decontaminate import RADIUS, ItemIndex, decontaminate, weighted_similarity, window_marks
 from lexicarta.llm.jaccard_join import PrefixTree, jaccard_components, jaccard_join
 from lexicarta.llm.knn_join import top_k
 from lexicarta.llm.line_dedup import line_dedup
@@ -175,18 +175,34 @@ def test_top_k_by_hand(spark):
     assert got == top_by_hand([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5, 50)
 
 
-def test_top_k_of_several_pivots(spark, monkeypatch):
+def test_top_k_of_several_groups(spark, monkeypatch):
     from lexicarta.llm import knn_join
 
-    monkeypatch.setattr(knn_join, "QUERIES_A_PIVOT", 4)
-    used, bounds = [], knn_join.group_bounds
-    monkeypatch.setattr(knn_join, "group_bounds", lambda *a: used.append((len(a[2]), bounds(*a))) or bounds(*a))
+    monkeypatch.setattr(knn_join, "GROUP", 8)
     rng = random.Random(14)
     centres = [[rng.uniform(-4, 4) for _ in range(4)] for _ in range(6)]
     rows = [(i, [round(x + rng.uniform(-0.2, 0.2), 2) for x in rng.choice(centres)]) for i in range(240)]
-    got = {tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 5).select("query_id", "rank", "vec_id", "score").collect()}
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in top_k(data, 5, 5).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == top_by_hand([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5, 5)
-    assert used[0][0] > 3 and any(np.isfinite(x) for x in used[0][1].values())
+    asking, served, _ = knn_join.served_rows(data, 5, 5)
+    assert asking.select("cell").distinct().count() > 2 and served.count() > 0
+
+
+def test_top_k_replicates_little_among_clusters(spark, monkeypatch):
+    from lexicarta.llm import knn_join
+
+    monkeypatch.setattr(knn_join, "GROUP", 12)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[np.arange(3000) % 12] + 0.004 * rng.normal(size=(3000, 24))
+    data = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell int")
+    asking, served, _ = knn_join.served_rows(data, 5, 25)
+    groups = asking.select("cell", "part").distinct().count()
+    assert groups >= 10 and served.count() < 0.5 * groups * 3000
+    got = {tuple(r) for r in top_k(data, 5, 25).collect()}
+    assert got == top_by_hand([(i, v.tolist()) for i, v in enumerate(x)], 5, 25)
 
 
 def test_top_k_small_and_empty(spark):
@@ -273,14 +289,39 @@ def test_hamming_blocks_find_all_within_radius():
     hashes = [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(20)]
     index = ItemIndex(30, list(range(20)), hashes, 0.8)
     for item in range(20):
-        for flips in (0, 7, 14, 20):
-            bits = np.unpackbits(index.marks[item])
+        for flips in (0, 7, 11, RADIUS):
+            bits = np.unpackbits(index.marks[item].view(np.uint8))
             bits[rng.permutation(64)[:flips]] ^= 1
-            w, i = index.near(np.packbits(bits)[None, :])
+            w, i = index.near(np.packbits(bits).view(np.uint16)[None, :])
             assert item in i.tolist()
     assert len(window_marks(shingled(hashes[0], 5), 26)) == 1
 
 
+def test_hamming_blocks_leave_random_fingerprints():
+    rng = np.random.default_rng(3)
+    index = ItemIndex(30, list(range(200)), [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(200)], 0.8)
+    w, i = index.candidates(rng.integers(0, 1 << 16, (100, 4)).astype(np.uint16))
+    assert 0 < len(w) < 0.05 * 100 * 200
+
+
+def test_simhash_recall_near_the_threshold():
+    """Of windows whose similarity to an item is 0.8 to 0.85, what the index finds."""
+    rng = np.random.default_rng(5)
+    tried = found = 0
+    for n in (25, 40, 80, 200):
+        items = [rng.integers(0, 1 << 62, n).astype(np.uint64) for _ in range(20)]
+        index = ItemIndex(n, list(range(20)), items, 0.8)
+        for item, words in enumerate(items):
+            for _ in range(60):
+                near = words.copy()
+                for at in rng.integers(0, n, rng.integers(1, max(2, n // 30) + 1)):
+                    near[at] = rng.integers(0, 1 << 62)
+                if 0.8 <= weighted_similarity(shingled(near, 5), index.sets[item]) <= 0.85:
+                    tried += 1
+                    found += item in index.near(window_marks(shingled(near, 5), index.width))[1].tolist()
+    assert tried > 200 and found / tried >= 0.9
+
+
 def test_digest_columns(spark, tmp_path):
     from lexicarta.llm.registry import op1_line_dedup
 

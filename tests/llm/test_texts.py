@@ -69,7 +69,7 @@ def test_warc_records(spark, tmp_path):
     assert len({r.refers_to for r in rows}) == 3
     meta = [r.block for r in rows if r.record_type == "metadata"]
     assert all("sourceDigest: sha1:" in m and "sourceHeader: Content-Type: text/html" in m for m in meta)
-    write_warc(out, f"{tmp_path}/w")
+    write_warc(out, f"{tmp_path}/w", "gzip")
     raw = "".join(gzip.open(p, "rt", newline="").read() for p in sorted((tmp_path / "w").glob("*.gz")))
     assert raw.count("WARC/1.1\r\n") == 8 and raw.endswith("\r\n\r\n")
 
@@ -181,11 +181,14 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not s else sum(by_hand(s[len(x) :]) * p[i, 0] for i, x in enumerate(pieces) if s.startswith(x)) + (by_hand(s[1:]) * 1e-7 if s[0] not in pieces else 0)
 
     words = ["a", "ab", "aab", "abab", "bba", "xab", "abababab"]
-    found, lengths = table.matches(words)
-    alpha = language_id.forward(found, lengths, p)[np.arange(len(words)), lengths, 0]
-    assert alpha == pytest.approx([by_hand("▁" + w) for w in words])
-    counts = language_id.expected(found, lengths, p, np.ones(len(words)))
-    assert (counts[: len(pieces)] @ np.array([len(x) for x in pieces])) + counts[-1] == pytest.approx(sum(len(w) + 1 for w in words))
+    assert np.exp(language_id.forward(table, words, p)[:, 0]) == pytest.approx([by_hand("▁" + w) for w in words])
+    longer = ["ab" * 900 + "x", "ba" * 40, *words]
+    counts = language_id.expected(table, longer, np.zeros(len(longer), np.int64), np.ones(len(longer)), p)
+    letters = sum(n * (len(pieces[k]) if k < len(pieces) else 1) for k, n in counts.items())
+    assert letters == pytest.approx(sum(len(w) + 1 for w in longer))
+    whole = "ab" * 900
+    parts = language_id.forward(table, [whole], p)[0, 0]
+    assert np.isfinite(parts) and parts == pytest.approx(language_id.forward(table, [whole, "a"], p)[0, 0])
 
 
 def test_language_held_out(spark):
