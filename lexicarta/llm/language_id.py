@@ -50,8 +50,14 @@ def word_pattern() -> re.Pattern:
     return re.compile(f"[{letters}][{letters}{marks}]*")
 
 
+#: Letters as Python's own classes see them, and what they see otherwise (numbers that are no digits, marks) or may: texts without
+#: any of the latter have the same words by the quicker pattern.
+PLAIN, ODD = re.compile(r"[^\W\d_]+"), re.compile("[¹²³¼½¾\u0300-\u036f\u0483-\u0489\u0559-\u1fff\u2070-\U0010ffff]")
+
+
 def words_of(text: str | None) -> list[str]:
-    return word_pattern().findall((text or "").lower())
+    text = (text or "").lower()
+    return (word_pattern() if not text.isascii() and ODD.search(text) else PLAIN).findall(text)
 
 
 def vocabulary(path: str) -> list[str]:
@@ -117,13 +123,14 @@ class Pieces:
             points = np.frombuffer(raw, "<u4").reshape(len(words), -1).astype(np.uint64)
             found = np.full((len(words), stop - first, self.longest), self.n, np.int32)
             h, left = np.zeros((len(words), stop - first), np.uint64), lengths[:, None] - np.arange(first, stop)[None, :]
-            for size in range(1, self.longest + 1):
-                h = h * self.BASE + points[:, size - 1 : size - 1 + stop - first] + np.uint64(1)
+            for size in range(1, min(self.longest, width - first) + 1):
+                there = min(stop - first, width - first - size + 1)  # places where the longest word has so many letters left
+                h, left = h[:, :there] * self.BASE + points[:, size - 1 : size - 1 + there] + np.uint64(1), left[:, :there]
                 at = self.find(h)
                 at[left < size] = self.n
                 if size == 1:
                     at[(at == self.n) & (left >= 1)] = self.n + 1
-                found[:, :, size - 1] = at
+                found[:, :there, size - 1] = at
             yield first, found
 
     def blocks(self, words: list[str], columns: int) -> list[list[int]]:
