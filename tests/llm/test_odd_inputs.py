@@ -150,3 +150,14 @@ def test_secrets_and_benchmark_of_odd_rows(spark):
     assert sorted((str(r.doc_id), r.n) for r in got) == [("1", 1), ("2", 1), ("2", 1), ("3", 0), ("None", 1)]
     assert next(r.matches[0].start_word for r in got if r.doc_id == 1) == 60_000
     assert decontaminate(docs_of(spark, rows).limit(0), benchmark).count() == 0
+
+
+def test_words_are_the_same_by_both_patterns():
+    rng = random.Random(2)
+    points = [c for c in range(0x2100) if not 0xD800 <= c < 0xE000]
+    for c in points:
+        text = f"a{chr(c)}b {chr(c)}"
+        assert language_id.words_of(text) == language_id.word_pattern().findall(text.lower()), hex(c)
+    for _ in range(200):
+        text = "".join(chr(rng.choice(points)) for _ in range(60))
+        assert language_id.words_of(text) == language_id.word_pattern().findall(text.lower())
