@@ -49,6 +49,32 @@ def lookup_cascade(queries: DataFrame, sources: list[tuple[str, DataFrame]]) ->
     return queries.join(found.select("query", got.alias("g")), "query", "left").select("id", "query", "g.result", F.coalesce("g.source", F.lit("none")).alias("source"))
 
 
+def lookup_sources(queries: DataFrame, seeds: DataFrame, connectors: DataFrame, cache: DataFrame, web: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(id, direction, query, result, source, asked) of queries (id, direction, query): where each is found first.
+
+    Seeds (query, result) serve English queries, connectors (query, result) native ones, the cache (cache_key, result) both: its
+    keys are `direction::query`, and for native queries the bare query too. Without those, the first two of web (name, table of
+    direction, query, result) are both asked, the third only if the second has nothing, and the first with a result counts.
+    asked lists whom a query was put to. Each distinct query is looked up once; of several results the smallest counts.
+    """
+    some = lambda df, *keys: df.where("result <> ''").groupBy(*keys).agg(F.min("result").alias("result"))
+    to_native, found = F.col("direction") == "en-to-ksw", queries.select("direction", "query").distinct()
+    keyed = found.withColumns({"_key": F.concat_ws("::", "direction", F.btrim("query")), "_seed": F.when(to_native, F.col("query")), "_conn": F.when(~to_native, F.col("query"))})
+    named = {"seed": ("_seed", some(seeds, "query")), "connector": ("_conn", some(connectors, "query")), "cache": ("_key", some(cache.withColumnRenamed("cache_key", "query"), "query")), "legacy": ("_conn", some(cache.withColumnRenamed("cache_key", "query"), "query"))}
+    for name, (key, df) in named.items():
+        keyed = keyed.join(df.select(F.col("query").alias(key), F.col("result").alias(f"r_{name}")), key, "left")
+    for k, (_, df) in enumerate(web):
+        keyed = keyed.join(some(df, "direction", "query").withColumnRenamed("result", f"r_{k}"), ["direction", "query"], "left")
+    hit = lambda column, source: F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("result"), F.lit(source).alias("source")))
+    local = F.coalesce(*(hit(f"r_{n}", "cache" if n == "legacy" else n) for n in named))
+    third = F.when(F.col("r_1").isNull(), hit("r_2", web[2][0]))
+    got = F.coalesce(local, hit("r_0", web[0][0]), hit("r_1", web[1][0]), third)
+    names = [n for n, _ in web]
+    asked = F.when(local.isNotNull(), F.array().cast("array<string>")).when(F.col("r_1").isNull(), F.array(*map(F.lit, names))).otherwise(F.array(*map(F.lit, names[:2])))
+    answers = keyed.select("direction", "query", got.alias("g"), asked.alias("asked"))
+    return queries.join(answers, ["direction", "query"]).select("id", "direction", "query", "g.result", F.coalesce("g.source", F.lit("none")).alias("source"), "asked")
+
+
 def connector_spans(texts: DataFrame, connectors: DataFrame) -> DataFrame:
     """(doc_id, start, end, connector) of texts (doc_id, syllables): everywhere that a connector's syllables (connector, size) stand."""
     sizes = F.broadcast(connectors.agg(F.sort_array(F.collect_set("size")).alias("sizes")))  # one row of numbers
@@ -198,17 +224,49 @@ def unresolved(parts: DataFrame) -> DataFrame:
     return parts.select(F.explode("parts").alias("p")).where("p.meaning = '??'").groupBy("p.chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
-def compose(queries: DataFrame, phrases: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, result, missing, how) of queries (id, normal, tokens): the phrase's own entry, else the known terms in order and what is missing."""
+def compose(queries: DataFrame, phrases: DataFrame, terms: DataFrame, special: list[tuple[list[str], list[str], str]] = ()) -> DataFrame:
+    """(id, result, missing, how) of queries (id, normal, tokens): the phrase's own entry, else a special phrase, else the known terms in order and what is missing.
+
+    special holds (words that must all be there, words of which one must be, native phrase); the first that fits counts.
+    """
     words = queries.select("id", F.posexplode("tokens").alias("pos", "token")).join(terms.select("token", "native"), "token", "left")
     joined = words.groupBy("id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("native").isNotNull(), F.struct("pos", "native")))), lambda x: x["native"]), "").alias("terms"),
         F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("native").isNull(), F.struct("pos", "token")))), lambda x: x["token"])), " ").alias("missing"),
     )
     rows = queries.join(phrases.select("normal", F.col("native").alias("phrase")), "normal", "left").join(joined, "id", "left")
-    got = F.coalesce("phrase", F.nullif("terms", F.lit("")), F.lit("unresolved"))
-    how = F.when(F.col("phrase").isNotNull(), "phrase").when(F.coalesce("terms", F.lit("")) != "", "terms").otherwise("none")
-    return rows.select("id", got.alias("result"), F.when(F.col("phrase").isNull(), F.coalesce("missing", F.lit(""))).otherwise("").alias("missing"), how.alias("how"))
+    inferred = F.lit(None).cast("string")
+    for every, some, native in reversed(special):
+        fits = F.size(F.array_intersect("tokens", F.array(*map(F.lit, every)))) == len(set(every))
+        inferred = F.when(fits & F.arrays_overlap("tokens", F.array(*map(F.lit, some))) if some else fits, native).otherwise(inferred)
+    whole = F.coalesce(F.col("phrase"), inferred)
+    got = F.coalesce(whole, F.nullif("terms", F.lit("")), F.lit("unresolved"))
+    how = F.when(F.col("phrase").isNotNull(), "phrase").when(inferred.isNotNull(), "special").when(F.coalesce("terms", F.lit("")) != "", "terms").otherwise("none")
+    return rows.select("id", got.alias("result"), F.when(whole.isNull(), F.coalesce("missing", F.lit(""))).otherwise("").alias("missing"), how.alias("how"))
+
+
+def compose_from_tokens(rows: DataFrame, fallback: str) -> DataFrame:
+    """(id, result, used) of rows (id, place, word, known, found): what is known or found of each word, if native, in order; else the fallback."""
+    native = F.coalesce(F.nullif("known", F.lit("")), F.col("found"))
+    good = F.when(native.rlike(text.NATIVE_LETTER), F.struct("place", "word", native.alias("native")))
+    parts = rows.groupBy("id").agg(F.sort_array(F.collect_list(good)).alias("p"))
+    return parts.select("id", F.when(F.size("p") > 0, F.array_join("p.native", "")).otherwise(fallback).alias("result"), F.array_join("p.word", " ").alias("used"))
+
+
+def token_analysis(queries: DataFrame, known: DataFrame, most: int = 12, pair: tuple[str, str] = ("new", "song")) -> DataFrame:
+    """(id, place, word, source, roles, particle, known, goal) of queries (id, tokens, keywords): a row for each token, then for most keywords that are no tokens.
+
+    goal is the tokens as one line; if both words of the pair are among the words, the second comes with the first behind it.
+    """
+    more = F.slice(F.array_except(F.coalesce("keywords", F.array().cast("array<string>")), F.col("tokens")), 1, most)
+    rows = queries.withColumn("words", F.concat("tokens", more))
+    first, second = pair
+    both = F.array_contains("words", first) & F.array_contains("words", second)
+    goal = F.array_join(F.when(both, F.transform("tokens", lambda t: F.when(t == second, f"{second} {first}").otherwise(t))).otherwise(F.col("tokens")), " ")
+    out = rows.select("id", "tokens", goal.alias("goal"), F.posexplode("words").alias("place", "word")).join(known.select(F.col("token").alias("word"), F.col("native").alias("known")), "word", "left")
+    out = out.withColumn("roles", token_roles(F.col("word"), F.col("known").isNotNull()))
+    source = F.when(F.col("place") < F.size("tokens"), "input").otherwise("context")
+    return out.select("id", "place", "word", source.alias("source"), "roles", suggest_particle(F.col("word"), F.col("roles"))["particle"].alias("particle"), F.coalesce("known", F.lit("")).alias("known"), "goal")
 
 
 def token_lookup(queries: DataFrame, known: DataFrame, most: int = 18) -> DataFrame:

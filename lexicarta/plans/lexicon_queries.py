@@ -62,6 +62,23 @@ def lookup_cascade(spark, d):
     return ops.lookup_cascade(w.select(F.col("doc_id").alias("id"), F.col("word").alias("query")).distinct(), [("seed", seed), ("cache", cache), ("web", web)])
 
 
+@query("lookup_sources", "WITH " + b.WORDS + ", " + KNOWN + """, q AS (SELECT DISTINCT doc_id, CASE WHEN pos % 2 = 0 THEN 'en-to-ksw' ELSE 'ksw-to-en' END AS direction, word FROM words), c AS (SELECT word, count(*) AS n, length(word) AS size FROM words GROUP BY word),
+l AS (SELECT q.*, CASE WHEN direction = 'en-to-ksw' AND k.token IS NOT NULL THEN 'seed' WHEN direction = 'ksw-to-en' AND n % 7 = 0 THEN 'connector' WHEN n % 3 = 0 OR direction = 'ksw-to-en' AND n % 3 = 1 AND n % 2 = 0 THEN 'cache' ELSE '' END AS local, n, size FROM q JOIN c USING (word) LEFT JOIN known k ON k.token = q.word),
+w AS (SELECT *, CASE WHEN local <> '' THEN local WHEN size < 4 THEN 'one' WHEN size < 7 THEN 'two' WHEN size < 9 THEN 'three' ELSE 'none' END AS source FROM l)
+SELECT doc_id AS id, direction, word AS query, CASE source WHEN 'none' THEN NULL ELSE source || '-' || word END AS result, source, CASE WHEN local <> '' THEN '' WHEN size < 7 THEN 'one,two' ELSE 'one,two,three' END AS asked FROM w""")
+def lookup_sources(spark, d):
+    w = b.words(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("pos") % 2 == 0, "en-to-ksw").otherwise("ksw-to-en").alias("direction"), F.col("word").alias("query"))
+    counts = w.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    says = lambda name: F.concat(F.lit(f"{name}-"), "query").alias("result")
+    seeds = known(spark, d).select(F.col("token").alias("query")).select("query", says("seed"))
+    keyed = counts.where("n % 3 = 0").crossJoin(F.broadcast(spark.createDataFrame([("en-to-ksw",), ("ksw-to-en",)], "direction string")))  # two rows
+    cache = keyed.select(F.concat_ws("::", "direction", "query").alias("cache_key"), says("cache")).unionByName(counts.where("n % 3 = 1 and n % 2 = 0").select(F.col("query").alias("cache_key"), says("cache")))
+    both = F.explode(F.array(F.lit("en-to-ksw"), F.lit("ksw-to-en"))).alias("direction")
+    size = F.length("query")
+    web = [("one", size < 4), ("two", (size < 7)), ("three", size < 9)]
+    return ops.lookup_sources(w.distinct(), seeds, counts.where("n % 7 = 0").select("query", says("connector")), cache, [(n, counts.where(c).select(both, "query", says(n))) for n, c in web]).withColumn("asked", F.array_join("asked", ","))
+
+
 def syllable_texts(spark, d):
     """(doc_id, syllables): each document as native syllables."""
     return b.table(spark, d, "documents").select("doc_id", text.split_syllables(F.translate(F.lower("text"), b.LATIN, b.NATIVE)).alias("syllables"))
@@ -122,12 +139,12 @@ def unresolved(spark, d):
 def translate_text(spark, d):
     """Lines by direction: native ones segmented, others composed from known terms."""
     lines = b.lines(spark, d).withColumn("t", F.when(F.col("line_no") % 2 == 1, F.translate(F.lower("raw"), b.LATIN, b.NATIVE)).otherwise(F.col("raw")))
-    lines = lines.withColumn("direction", text.detect_direction(F.col("t"))).withColumn("id", F.col("file") * 1_000_000 + F.col("line_no"))
+    lines = lines.withColumn("direction", text.detect_direction(F.col("t"))).withColumn("id", F.xxhash64("file", "line_no"))
     native = lines.where("direction = 'ksw-to-en'").select(F.col("id").alias("doc_id"), text.split_syllables(F.col("t")).alias("syllables"))
     parsed = ops.segment_greedy(native, lexicon(spark, d), 6).select(F.col("doc_id").alias("id"), text.short_gloss(F.col("parts.meaning")).alias("result"))
     asked = lines.where("direction = 'en-to-ksw'").select("id", text.normalise_english(F.col("t")).alias("normal"), text.split_tokens(F.col("t")).alias("tokens"))
     composed = ops.compose(asked, phrases(spark, d), known(spark, d)).select("id", "result")
-    return parsed.unionByName(composed)
+    return lines.select("file", "line_no", "id").join(parsed.unionByName(composed), "id").select("file", "line_no", "result")
 
 
 def phrases(spark, d):
@@ -135,16 +152,50 @@ def phrases(spark, d):
     return b.table(spark, d, "part").select(n.alias("normal")).distinct().select("normal", F.concat(F.lit("!"), F.translate("normal", b.LATIN + " ", b.NATIVE)).alias("native"))
 
 
+SPECIAL = [(["more", "and"], ["red", "small"], "special"), (["never"], [], "other")]
+
+
 @query("compose", "WITH " + KNOWN + f""", ph AS (SELECT DISTINCT lower(p_name) AS normal FROM part), q AS (SELECT p_partkey AS id, lower(p_name) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || lower(p_type) || ' and more' END AS normal FROM part),
 w AS (SELECT id, unnest(string_split(normal, ' ')) AS token, unnest(range(len(string_split(normal, ' ')))) AS pos FROM q),
+sp AS (SELECT id FROM w GROUP BY id HAVING count(*) FILTER (WHERE token = 'more') > 0 AND count(*) FILTER (WHERE token = 'and') > 0 AND count(*) FILTER (WHERE token IN ('red', 'small')) > 0),
 j AS (SELECT id, string_agg(translate(known.token, '{b.LATIN}', '{b.NATIVE}'), '' ORDER BY pos) AS terms, string_agg(w.token, ' ' ORDER BY pos) FILTER (WHERE known.token IS NULL) AS missing FROM w LEFT JOIN known ON w.token = known.token GROUP BY id)
-SELECT q.id, coalesce('!' || translate(ph.normal, '{b.LATIN} ', '{b.NATIVE}'), terms, 'unresolved') AS result, CASE WHEN ph.normal IS NULL THEN coalesce(missing, '') ELSE '' END AS missing,
-  CASE WHEN ph.normal IS NOT NULL THEN 'phrase' WHEN terms IS NOT NULL THEN 'terms' ELSE 'none' END AS how FROM q LEFT JOIN ph USING (normal) LEFT JOIN j ON q.id = j.id""")
+SELECT q.id, coalesce('!' || translate(ph.normal, '{b.LATIN} ', '{b.NATIVE}'), CASE WHEN sp.id IS NOT NULL THEN 'special' END, terms, 'unresolved') AS result, CASE WHEN ph.normal IS NULL AND sp.id IS NULL THEN coalesce(missing, '') ELSE '' END AS missing,
+  CASE WHEN ph.normal IS NOT NULL THEN 'phrase' WHEN sp.id IS NOT NULL THEN 'special' WHEN terms IS NOT NULL THEN 'terms' ELSE 'none' END AS how FROM q LEFT JOIN ph USING (normal) LEFT JOIN j ON q.id = j.id LEFT JOIN sp ON q.id = sp.id""")
 def compose(spark, d):
     p = b.table(spark, d, "part")
     asked = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "p_type", F.lit(" and more"))))
     q = p.select(F.col("p_partkey").alias("id"), text.normalise_english(asked).alias("normal"), text.split_tokens(asked).alias("tokens"))
-    return ops.compose(q, phrases(spark, d), known(spark, d))
+    return ops.compose(q, phrases(spark, d), known(spark, d), SPECIAL)
+
+
+TOKENS = f"""q AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS tokens, list_concat(list_concat(string_split(lower(p_type), ' '), CASE WHEN p_partkey % 4 = 0 THEN ['song', 'new'] ELSE [] END), list_transform(range(1, 13), lambda i: 'w' || CAST(i AS VARCHAR))) AS keywords FROM part),
+m AS (SELECT id, tokens, list_slice(list_filter(list_transform(range(1, len(keywords) + 1), lambda i: CASE WHEN list_position(keywords, keywords[i]) = i AND NOT list_contains(tokens, keywords[i]) THEN keywords[i] END), lambda x: x IS NOT NULL), 1, 12) AS more FROM q),
+t AS (SELECT id, unnest(list_concat(tokens, more)) AS token, unnest(range(len(tokens) + len(more))) AS place, len(tokens) AS n, array_to_string(tokens, ' ') AS goal FROM m)"""
+
+
+def asked_tokens(spark, d):
+    """Part names as queries, with types and more as keywords of their context."""
+    p = b.table(spark, d, "part")
+    more = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("song"), F.lit("new"))).otherwise(F.array().cast("array<string>"))
+    keywords = F.concat(F.split(F.lower("p_type"), " "), more, F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit("w"), i.cast("string"))))
+    return p.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"), keywords.alias("keywords"))
+
+
+@query("token_analysis", "WITH " + KNOWN + ", " + TOKENS + f""", j AS (SELECT t.*, known.token IS NOT NULL AS k FROM t LEFT JOIN known USING (token)), r AS (SELECT *, {ROLE_SQL} AS rs FROM j)
+SELECT id, CAST(place AS INTEGER) AS place, token AS word, CASE WHEN place < n THEN 'input' ELSE 'context' END AS source, CASE WHEN len(rs) > 0 THEN array_to_string(rs, ',') WHEN token IN ({listed(text.STOPWORDS)}) THEN 'function-word' ELSE 'content-word' END AS roles,
+  CASE {' '.join(f"WHEN token = '{k}' THEN '{v}'" for k, v in ops.CONNECTORS.items())} {' '.join(f"WHEN list_contains(rs, '{k}') THEN '{v}'" for k, v in ops.PARTICLE_OF_ROLE.items())} ELSE '' END AS particle, CASE WHEN k THEN translate(token, '{b.LATIN}', '{b.NATIVE}') ELSE '' END AS known, goal FROM r""")
+def token_analysis(spark, d):
+    rows = ops.token_analysis(asked_tokens(spark, d), known(spark, d))
+    return rows.withColumn("roles", F.array_join("roles", ","))
+
+
+@query("compose_from_tokens", "WITH " + KNOWN + ", " + TOKENS + f""", j AS (SELECT t.*, CASE WHEN known.token IS NOT NULL AND id % 3 = 0 THEN translate(t.token, '{b.LATIN}', '{b.NATIVE}') WHEN length(t.token) = 2 THEN translate(t.token, '{b.LATIN}', '{b.NATIVE}') END AS x FROM t LEFT JOIN known USING (token))
+SELECT id, coalesce(string_agg(x, '' ORDER BY place) FILTER (WHERE regexp_matches(x, '[က-႟]')), 'generic') AS result, coalesce(string_agg(token, ' ' ORDER BY place) FILTER (WHERE regexp_matches(x, '[က-႟]')), '') AS used FROM j GROUP BY id""")
+def compose_from_tokens(spark, d):
+    """Tokens of which some are known, some found elsewhere and some found as something that isn't native."""
+    rows = ops.token_analysis(asked_tokens(spark, d), known(spark, d))
+    found = F.when(F.length("word") == 2, F.translate("word", b.LATIN, b.NATIVE)).when(F.length("word") == 3, F.col("word"))
+    return ops.compose_from_tokens(rows.select("id", "place", "word", F.when(F.col("id") % 3 == 0, F.col("known")).otherwise("").alias("known"), found.alias("found")), "generic")
 
 
 @query("token_lookup", "WITH " + b.WORDS + ", " + KNOWN + f""", f AS (SELECT doc_id, word, min(pos) AS pos FROM words WHERE length(word) >= 2 AND word NOT IN ({listed(text.STOPWORDS)}) GROUP BY doc_id, word),

@@ -74,6 +74,15 @@ def live_counters(spark, d):
     return flows.latest_snapshot(spark, out)
 
 
+@query("live_last_rows", "WITH " + b.LINES + " SELECT file, line_no, md5(raw) AS raw FROM lines ORDER BY file DESC, line_no DESC LIMIT 300")
+def live_last_rows(spark, d):
+    """The last 300 lines of all, as a live view shows them."""
+    out = files.scratch(spark, "last")
+    lines = documents(spark, d).select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+    flows.last_rows(lines, ["file", "line_no"], out).awaitTermination()
+    return flows.latest_snapshot(spark, out).withColumn("raw", F.md5("raw"))
+
+
 @query("attempt_counts_stream", "SELECT event_type AS stage, CASE WHEN event_id % 3 = 0 THEN 'miss' ELSE 'match' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
 def attempt_counts_stream(spark, d):
     out = files.scratch(spark, "attempts")

@@ -22,20 +22,42 @@ def append_to(stream: DataFrame, out: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
 
 
+def batches_of(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches whose results are there, from the folder's names alone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def keep_snapshot(df: DataFrame, out: str, batch: int) -> None:
+    """A batch's result under its number; those before the last two go."""
+    df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    for old in batches_of(df.sparkSession, out):
+        if old < batch - 1:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={old}")
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def snapshots_to(stream: DataFrame, out: str, mode: str = "complete") -> StreamingQuery:
     """The whole result after each batch, under the batch's number."""
+    return stream.writeStream.foreachBatch(lambda df, batch: keep_snapshot(df, out, batch)).option("checkpointLocation", f"{out}.checkpoint").outputMode(mode).trigger(availableNow=True).start()
 
-    def keep(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}.checkpoint").outputMode(mode).trigger(availableNow=True).start()
+def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
+    """The result after the last batch; no other is read."""
+    return spark.read.parquet(f"{out}/batch={batches_of(spark, out)[-1]}")
 
 
-def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    """The result after the last batch."""
-    rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch").drop("batch")  # one row
+def last_rows(stream: DataFrame, order: list[str], out: str, n: int = 300) -> StreamingQuery:
+    """The last n rows in an order, after each batch: those of the batch and of the batch before."""
+
+    def keep(df: DataFrame, batch: int) -> None:
+        before = [k for k in batches_of(df.sparkSession, out) if k < batch]
+        rows = df.unionByName(df.sparkSession.read.schema(df.schema).parquet(f"{out}/batch={before[-1]}")) if before else df
+        keep_snapshot(rows.orderBy(*(F.col(c).desc() for c in order)).limit(n), out, batch)
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}.checkpoint").trigger(availableNow=True).start()
 
 
 def ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], out: str) -> StreamingQuery:
