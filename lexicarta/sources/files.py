@@ -144,7 +144,7 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     hadoop, name = spark.sparkContext._jvm.org.apache.hadoop.fs, uuid.uuid4().hex
     df.write.parquet(f"{path}/{name}")
     context = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    fresh, pointer = hadoop.Path(f"{path}/_pointer-{name}"), hadoop.Path(f"{path}/_latest")
+    fresh, pointer = hadoop.Path(f"{path}/pointer-{name}"), hadoop.Path(f"{path}/latest")
     out = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fresh, True)
     out.write(bytearray(name.encode()))
     out.close()
@@ -155,7 +155,7 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The version that the pointer names; older ones stay until they are deleted."""
-    name = spark.read.text(f"{path}/_latest").first()[0]
+    name = spark.read.text(f"{path}/latest").first()[0]
     return spark.read.parquet(f"{path}/{name}")
 
 

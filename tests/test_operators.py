@@ -34,7 +34,7 @@ def test_labels_and_segments(spark):
         entry_ops.merge_lists(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("z"))).alias("d"),
     ).first()
     assert got.a == "1. (noun) a (1. (noun) b) 21. c 2. d x1. e"
-    assert got.b == '<span class="seg other">a&lt;<span class="seg cross_reference">b</span></span> ab a&lt;b'.replace("a&lt;<span", "a&lt;<span")
+    assert got.b == '<span class="seg seg-other">a&lt;<span class="seg seg-cross_reference">b</span></span> ab a&lt;b'.replace("a&lt;<span", "a&lt;<span")
     assert got.c == "cross_reference" and got.d == ["x", "y", "z"]
 
 
@@ -263,7 +263,7 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.map50 for r in files.read_curve(spark, f"{tmp_path}/c.csv", "epoch int, map50 double").orderBy("epoch").collect()] == [0.5, float("inf")]
     files.write_snapshot(e, f"{tmp_path}/snap")
     files.write_snapshot(e.where("pos < 2"), f"{tmp_path}/snap")
-    assert spark.read.parquet(f"{tmp_path}/snap").count() == 2
+    assert files.read_snapshot(spark, f"{tmp_path}/snap").count() == 2
     files.write_groups(e.select("pos", "karen", "page"), f"{tmp_path}/g", "page")
     assert spark.read.option("header", True).csv(f"{tmp_path}/g/csv").count() == spark.read.json(f"{tmp_path}/g/json").count() == 5
 
