@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.shared import forget, map_rows, small_batches, worker_object, written
-from lexicarta.llm.toxicity import smallest_hashes
+from lexicarta.llm.toxicity import sampled
 
-#: Documents of each language that the probabilities are fitted on, at most: those of the smallest hashes.
+#: Documents of each language that the probabilities are fitted on, by hash: all of fewer, else about so many.
 SAMPLE = 1500
 #: Steps of expectation-maximisation, and a piece's count before any is seen.
 STEPS, PRIOR = 3, 0.05
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, path: str, learnt=lambda doc_id: F.lit(True)) -> Mode
         return Model([], np.zeros(0), pieces, np.zeros((size + 2, 0)))
     share = np.log(np.array([n[x] for x in languages], float) / sum(n.values()))
     ids = known.select("lang", "doc_id").join(F.broadcast(counts), "lang")
-    ids = written(smallest_hashes(ids, "lang", SAMPLE).select("lang", "doc_id").distinct(), "language-sample")  # at most SAMPLE rows a language
+    ids = written(sampled(ids, SAMPLE).select("lang", "doc_id").distinct(), "language-sample")  # about SAMPLE rows a language at most
     texts = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
     small_batches(spark)
 

@@ -12,12 +12,12 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.shared import Table, forget, map_rows, small_batches, worker_object, written
 
-#: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes.
+#: Labelled rows of each class that the model is fitted on, by hash: all of fewer, else about so many.
 SAMPLE = 20_000
 #: Documents an entry of the lexicon is in at least; lengths of stems. The sample bounds the lexicon.
 LEAST_DOCS, STEMS = 4, (5, 6, 7)
@@ -102,24 +102,19 @@ def passages(words: list[str], model: Model) -> list[tuple[float, int, int]]:
     return [x for x in out if x[0] > 0]
 
 
-def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Of rows (key, doc_id, n), n being the rows of each key, those of the smallest hashes of doc_id, most at most for each key.
-
-    Rows above a hash that about 1.5 * most rows of the key are below go before anything is sorted.
-    """
-    part = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
-    near = rows.where((F.col("n") <= 2 * most) | (part < 1.5 * most / F.col("n")))
-    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """Of rows (doc_id, n), n being the rows of a class, those whose id's hash falls into a share of most / n: all of n up to most, else about most."""
+    share = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    return rows.where(share * F.col("n") <= most)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learnt) -> tuple[DataFrame, DataFrame]:
     """(doc_id, toxic, weight) of a bounded sample of labelled rows, and that joined with their texts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnt(F.col("doc_id"))).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     classes = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    picked = smallest_hashes(known.join(F.broadcast(classes), "toxic"), "toxic", SAMPLE)
+    picked = sampled(known.join(F.broadcast(classes), "toxic"), SAMPLE)
     picked = written(picked.select("doc_id", "toxic", (F.col("n") / F.least("n", F.lit(SAMPLE))).alias("weight")), "toxic-sample")
-    # at most 2 * SAMPLE rows of three numbers
+    # about 2 * SAMPLE rows of three numbers at most
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return picked, texts
 
