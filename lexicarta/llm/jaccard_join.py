@@ -184,8 +184,8 @@ def in_global_order(sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def candidate_groups(sets: DataFrame, block: int) -> DataFrame:
-    """(leader, i, j, side, doc_id, n, shingles): each linked pair of sets meets in a group, blocks of which hold so many shingles."""
+def candidate_groups(sets: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(leader, i, j, side, doc_id, n, shingles), and the tables that it reads: each linked pair of sets meets in a group, blocks of which hold so many shingles."""
     prefix = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("prefix").alias("shingle"))
     leaders = written(prefix.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").select("shingle", "leader"), "leaders")
     members = written(prefix.join(leaders, "shingle").select("leader", "doc_id", "n").distinct(), "members")
@@ -200,9 +200,8 @@ def candidate_groups(sets: DataFrame, block: int) -> DataFrame:
     blocks = written(blocks.select("leader", "blocks"), "blocks")
     placed = members.join(blocks, "leader").withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     met = placed.select("leader", "doc_id", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return met.select("leader", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id").join(
-        sets.select("doc_id", "n", "shingles"), "doc_id"
-    )
+    groups = met.select("leader", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id")
+    return groups.join(sets.select("doc_id", "n", "shingles"), "doc_id"), [leaders, members, blocks]
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, every: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -234,11 +233,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, every: bool
     # the same again with all shingles of those that are left: most of them are near copies now
     counted = sets.select("set_id", F.explode("shingles").alias("shingle"))
     nearly = sets.select("set_id", "n").join(own_shingles(counted, "set_id"), "set_id", "left").where(f"coalesce(own, 0) <= n * {100 - percent} div 100")
-    sets = in_global_order(among(sets, nearly.select("set_id").distinct(), "set_id"), percent)
-    found = links_of(candidate_groups(sets, block), percent, every)
+    ordered = in_global_order(among(sets, nearly.select("set_id").distinct(), "set_id"), percent)
+    groups, read = candidate_groups(ordered, block)
+    found = links_of(groups, percent, every)
     if every:
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("n_a"), F.expr("if(a < b, n_b, n_a)").alias("n_b"), "both").distinct()
-    return members, written(found.where("a <> b"), "links")
+    links = written(found.where("a <> b"), "links")
+    forget(sets, ordered, *read)
+    return members, links
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
