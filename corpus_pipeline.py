@@ -4,7 +4,6 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of documents. SQL can't express them together: tests hold the run against plain Python.
 """
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from lexicarta.llm.bpe import bpe_encode_decode
 from lexicarta.llm.decontaminate import decontaminate
 from lexicarta.llm.jaccard_join import jaccard_components
 from lexicarta.llm.line_dedup import line_dedup
-from lexicarta.llm.shared import table, written
+from lexicarta.llm.shared import forget, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (little-endian unsigned 32-bit integers), their number, and the decoded text."""
+    import public_tokenizers
+
     out = bpe_encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("row.*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
@@ -60,6 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's result a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, last = written(stage(spark, docs, sf_dir), name.replace(" ", "-")), before
+        if last is not None:
+            forget(last)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

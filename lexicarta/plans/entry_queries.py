@@ -172,13 +172,15 @@ def safe_name(spark, d):
     return b.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[^A-Za-z0-9._-]+", "_").alias("name"), F.coalesce(F.try_element_at(kinds, ext), F.lit("application/octet-stream")).alias("mime"))
 
 
-@query("parse_model_output")
+@query("parse_model_output", WITH + """
+SELECT pos AS request_id, CASE WHEN pos % 5 < 4 THEN 0 END AS item, CASE WHEN pos % 5 < 4 THEN karen END AS karen, CASE WHEN pos % 5 < 4 THEN array_to_string(definitions, chr(10)) END AS definitions,
+  CASE WHEN pos % 5 = 4 THEN 'no entries in the reply' END AS error FROM entries""")
 def parse_model_output(spark, d):
     e = b.entries(spark, d)
     item = F.to_json(F.array(F.struct("karen", "definitions")))
     k = F.col("pos") % 5
     raw = F.when(k == 0, item).when(k == 1, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k == 2, F.concat(F.lit('{"entries": '), item, F.lit("}"))).when(k == 3, F.concat(F.lit("Here they are: "), item, F.lit(" as asked"))).otherwise("nothing found")
-    return ops.parse_model_output(e.select(F.col("pos").alias("request_id"), raw.alias("raw")))
+    return ops.parse_model_output(e.select(F.col("pos").alias("request_id"), raw.alias("raw"))).withColumn("definitions", F.array_join("definitions", "\n"))
 
 
 @query("edit_entries", WITH + """

@@ -291,14 +291,14 @@ def cache_latest(spark, d):
     return ops.cache_latest(e)
 
 
-@query("attempts_append")
+@query("attempts_append", "SELECT event_id AS id, event_type AS stage, CAST(trunc(value) AS INTEGER) AS elapsed_ms, len(json_keys(props)) AS n_metadata FROM events")
 def attempts_append(spark, d):
     """Attempts added to a log in two goes, and the log read again."""
     path = files.scratch(spark, "attempts")
     e = b.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("value").cast("int").alias("elapsed_ms"), F.from_json("props", "map<string,string>").alias("metadata"))
     files.append_log(e.where("id % 2 = 0"), path)
     files.append_log(e.where("id % 2 = 1"), path)
-    return spark.read.parquet(path).withColumn("metadata", F.to_json("metadata"))
+    return spark.read.parquet(path).select("id", "stage", "elapsed_ms", F.size("metadata").cast("long").alias("n_metadata"))
 
 
 @query("html_candidates")

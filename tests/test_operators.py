@@ -65,7 +65,7 @@ def test_model_output_query_keeps_all_definitions(spark, tmp_path):
 
     texts = [(i, "k\n" + "\n".join(f"line {j}" for j in range(i + 3)), "s") for i in range(4)]
     spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.request_id: "\n".join(r.definitions) for r in QUERIES["parse_model_output"](spark, str(tmp_path)).collect()}
+    got = {r.request_id: r.definitions for r in QUERIES["parse_model_output"](spark, str(tmp_path)).collect()}
     assert got == {i: t for i, t, _ in texts}
 
 
