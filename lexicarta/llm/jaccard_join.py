@@ -216,7 +216,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, every: bool
     docs = docs.select("doc_id", "text")
     marked = digests(docs, size, percent).select("row.doc_id", "n", "h1", "h2", "low")
     marked = written(marked, "sets")
-    classes = marked.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
+    classes = written(marked.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes")
     members = marked.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select(
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
     )
