@@ -111,28 +111,31 @@ def with_hits(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
 
 
 def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, parts_of, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, parts) of texts (doc_id, syllables): parts_of(syllables, known) gives (chunk, meaning, reason) of each part.
+    """(doc_id, parts) of texts (doc_id, syllables): parts_of(syllables, known, lengths) gives the chunks, meanings and reasons of the parts.
 
-    known holds the lexicon's entries, all of a small one and of a larger one those that the text has runs of. An entry
+    lengths has, for the first two characters of entries, how long such entries are. known holds the lexicon's entries, all of a small one and of a larger one those that the text has runs of. An entry
     that comes twice counts with its first meaning by order.
     """
     import pyarrow as pa
 
     entries = lexicon.where(F.col("chunk").isNotNull() & F.col("meaning").isNotNull()).groupBy("chunk").agg(F.min("meaning").alias("meaning"))
     small = (entries.agg(F.sum(F.octet_length("chunk") + F.octet_length("meaning") + 100)).first()[0] or 0) <= most_sent
-    sent = texts.sparkSession.sparkContext.broadcast(dict(entries.toPandas().itertuples(index=False, name=None))) if small else None
+    found = dict(entries.toPandas().itertuples(index=False, name=None)) if small else {}
+    sent = texts.sparkSession.sparkContext.broadcast((found, lengths_of(found)))
     rows = texts.select("doc_id", "syllables") if small else with_hits(texts, entries, longest)
 
     def run(batches):
         for b in batches:
             columns: tuple[list, list, list] = ([], [], [])
             ends = [0]
+            known, lengths = sent.value
             hits = [None] * b.num_rows if small else b.column("hits").to_pylist()
             for syllables, found in zip(b.column("syllables").to_pylist(), hits, strict=True):
-                known = sent.value if small else {h["chunk"]: h["meaning"] for h in found or ()}
-                for part in parts_of(syllables or [], known):
-                    for column, value in zip(columns, part, strict=True):
-                        column.append(value)
+                if not small:
+                    known = {h["chunk"]: h["meaning"] for h in found or ()}
+                    lengths = lengths_of(known)
+                for column, values in zip(columns, parts_of(syllables or [], known, lengths), strict=True):
+                    column.extend(values)
                 ends.append(len(columns[0]))
             flat = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["chunk", "meaning", "reason"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "parts"])
@@ -140,6 +143,13 @@ def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, parts_of, most
     return rows.mapInArrow(run, f"doc_id long, parts {PARTS}")
 
 
+def lengths_of(known: dict[str, str]) -> dict[str, set[int]]:
+    out: dict[str, set[int]] = {}
+    for chunk in known:
+        out.setdefault(chunk[:2], set()).add(len(chunk))
+    return out
+
+
 def places(syllables: list[str]) -> tuple[str, list[int]]:
     """The text, and where each syllable starts in it."""
     at = [0]
@@ -151,19 +161,24 @@ def places(syllables: list[str]) -> tuple[str, list[int]]:
 def segment_greedy(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(doc_id, parts): from the left, the longest run in the lexicon, of longest syllables at most, else one syllable with `??`."""
 
-    def parts_of(syllables: list[str], known: dict[str, str]):
-        (whole, starts), at, n = places(syllables), 0, len(syllables)
+    def parts_of(syllables: list[str], known: dict[str, str], lengths: dict[str, set[int]]):
+        (whole, starts), at, n, none = places(syllables), 0, len(syllables), frozenset()
+        chunks, meanings, reasons = [], [], []
         while at < n:
-            first = starts[at]
-            for end in range(min(n, at + longest), at, -1):
-                chunk = whole[first : starts[end]]
-                if chunk in known:
-                    yield chunk, known[chunk], "longest"
-                    at = end
-                    break
-            else:
-                yield syllables[at], "??", "stuck"
-                at += 1
+            first, end = starts[at], at + 1
+            sizes = lengths.get(whole[first : first + 2], none)
+            if sizes:
+                for z in range(min(n, at + longest), at + 1, -1):
+                    if starts[z] - first in sizes and whole[first : starts[z]] in known:
+                        end = z
+                        break
+            chunk = whole[first : starts[end]]
+            meaning = known.get(chunk)
+            chunks.append(chunk)
+            meanings.append("??" if meaning is None else meaning)
+            reasons.append("stuck" if meaning is None else "longest")
+            at = end
+        return chunks, meanings, reasons
 
     return segmented(texts, lexicon, longest, parts_of)
 
@@ -177,10 +192,11 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
     syllables at most, so beyond that only the next run between connectors matters: the work grows with the text.
     """
     from bisect import bisect_left, bisect_right
+    from itertools import chain
 
     widest = max(connectors.values(), default=1)
 
-    def parts_of(syllables: list[str], known: dict[str, str]):
+    def parts_of(syllables: list[str], known: dict[str, str], lengths: dict[str, set[int]]):
         n, (whole, offset) = len(syllables), places(syllables)
 
         def run(a: int, z: int) -> str | None:
@@ -191,7 +207,7 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
         starts = [a for a, _ in spans]
         after = [starts[j] if (j := bisect_right(starts, z)) < len(starts) else n for _, z in spans]
         between = [k for k, ((_, z), stop) in enumerate(zip(spans, after, strict=True)) if run(z, stop)]
-        at = 0
+        at, chunks, meanings, reasons = 0, [], [], []
 
         def around():
             first = bisect_left(starts, at - widest)
@@ -211,10 +227,13 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
                     yield z, stop, "between connectors"
 
         while at < n:
-            tries = [(at, n, "rest"), *around(), *((at, e, "longest") for e in range(min(n, at + longest), at, -1))]
+            tries = chain([(at, n, "rest")], around(), ((at, e, "longest") for e in range(min(n, at + longest), at, -1)))
             hit = next(((z, chunk, why) for a, z, why in tries if (chunk := run(a, z))), None)
-            yield (hit[1], known[hit[1]], hit[2]) if hit else (syllables[at], "??", "stuck")
+            chunks.append(hit[1] if hit else syllables[at])
+            meanings.append(known[hit[1]] if hit else "??")
+            reasons.append(hit[2] if hit else "stuck")
             at = hit[0] if hit else at + 1
+        return chunks, meanings, reasons
 
     return segmented(texts, lexicon, longest, parts_of)
 
