@@ -70,7 +70,12 @@ class ItemIndex:
         self.sorted = np.take_along_axis(self.marks, self.order, axis=0)
 
     def candidates(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) with a block in which they differ in NEAR_BITS at most."""
+        """(window, item) with a block in which they differ in NEAR_BITS at most.
+
+        Tables are asked for every value that near; those shorter than the list of such values are read through instead.
+        """
+        if len(self.ids) <= len(NEAR):
+            return np.nonzero((np.bitwise_count(marks[:, None] ^ self.marks[None]) <= NEAR_BITS).any(axis=2))
         pairs = []
         for b in range(BLOCKS):
             asked = marks[:, b, None] ^ NEAR
