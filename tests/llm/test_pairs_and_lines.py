@@ -300,8 +300,14 @@ def test_hamming_blocks_find_all_within_radius():
 def test_hamming_blocks_leave_random_fingerprints():
     rng = np.random.default_rng(3)
     index = ItemIndex(30, list(range(200)), [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(200)], 0.8)
-    w, i = index.candidates(rng.integers(0, 1 << 16, (100, 4)).astype(np.uint16))
+    marks = rng.integers(0, 1 << 16, (100, 4)).astype(np.uint16)
+    w, i = index.candidates(marks)
     assert 0 < len(w) < 0.05 * 100 * 200
+    read = {(a, b) for a, b in zip(w.tolist(), i.tolist(), strict=True)}
+    large = ItemIndex(30, list(range(1500)), [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(1500)], 0.8)
+    w, i = large.candidates(marks)
+    assert {(a, b) for a, b in zip(w.tolist(), i.tolist(), strict=True)} == {(a, b) for a in range(100) for b in np.flatnonzero((np.bitwise_count(marks[a] ^ large.marks) <= 3).any(axis=1)).tolist()}
+    assert read == {(a, b) for a in range(100) for b in np.flatnonzero((np.bitwise_count(marks[a] ^ index.marks) <= 3).any(axis=1)).tolist()}
 
 
 def test_simhash_recall_near_the_threshold():
