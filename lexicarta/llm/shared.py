@@ -122,21 +122,13 @@ def worker_object(key, build):
     return _slot[key]
 
 
-def hash_word(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-_words = Table(hash_word)
-
-
 def word_hashes(text: str | None):
     """The hashes of the words of a text: lower-cased A-Z, cut at ASCII white space."""
     import numpy as np
+    import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingled(words, size: int):
