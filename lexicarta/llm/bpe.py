@@ -248,6 +248,7 @@ def bpe_encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
     row is the input row as a struct. ids are little-endian unsigned 32-bit integers of the whole text, special
     tokens' strings in it included, as the tokenizers library encodes without adding any; decoded is its
     decode() of them, special tokens kept. A null text counts as empty: no ids, an empty decoded text.
+    Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
 
     return map_rows(docs, lambda texts: loaded(path).encode(texts), "ids binary, decoded string", text)

@@ -154,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     Of each item the most similar window comes, the first of equals; a text shorter than the item is one window. Words are lower-cased A-Z and cut at ASCII white space.
     Items without an id, text or words match nothing, and neither do null texts; items of fewer words than a shingle
     count as one. Of items that repeat an id each row counts. A benchmark of more than PASS_WORDS words takes more
-    than one pass over the documents, each row meeting all items.
+    than one pass over the documents, each row meeting all items. Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0

@@ -330,7 +330,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     lang_pred is the language of the highest probability given the text, ties to the first by name, and score that
     probability; a null text or one without letters is `und` with score 0. Letters outside the vocabulary weigh
-    the same in every language.
+    the same in every language. Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     scorer = lambda: worker_object(("language", key), lambda: Scorer(sent.value))

@@ -84,6 +84,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, spans) of each row of docs: spans is an array of (kind, start, end, novelty), ends exclusive, in code points.
 
     Spans come by start, then kind as in KINDS; novelty is null of the fixed patterns. A null text has no spans.
+    Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
 
     def spans(texts):

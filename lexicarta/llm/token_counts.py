@@ -42,7 +42,10 @@ def token_length(encoding, text: str | None) -> int:
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(row, n_tokens) of each row: the whole text's tokens, a null or empty text having none; special strings are plain text."""
+    """(row, n_tokens) of each row: the whole text's tokens, a null or empty text having none; special strings are plain text.
+
+    Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
+    """
 
     def lengths(texts):
         encoding = encoder(path)

@@ -226,7 +226,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float
 
     score is the curve's value at the text's evidence, 0 to 1; predicted is 1 from the threshold on; passages are the
     significant segments as (first_word, last_word, evidence), words being runs of letters. Null and empty texts have no
-    words, so no evidence, and the score of that.
+    words, so no evidence, and the score of that. Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
 
     def score(texts):
