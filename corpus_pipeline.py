@@ -29,7 +29,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document of the smallest id; rows without an id stay."""
+    """Of each group of near copies (five words, similarity 0.8) the document of the smallest id; rows without an id stay.
+
+    Rows that repeat an id are one document: all of them stay or go.
+    """
     gone = jaccard_components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
