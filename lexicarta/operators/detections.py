@@ -189,16 +189,22 @@ def row_bucket_order(det: DataFrame, height: int = 60) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy("line", "x1", "event_id")))
 
 
+def in_bands(rows: DataFrame, starts: Column, *order: str) -> DataFrame:
+    """Rows with the number of their band: one starts wherever the condition on the rows before holds. A stream over each image in order."""
+    return rows.withColumn("band", F.sum(starts.cast("int")).over(Window.partitionBy("image").orderBy(*order)))
+
+
 def reading_order(det: DataFrame, tolerance: float = 0.4) -> DataFrame:
     """(image, event_id, line, place): lines grow from the top, a box joining the first whose mean height on the page is near.
 
-    Near is tolerance of the image's mean box height. The mean moves with each box, so an image is worked through in one task.
+    Near is tolerance of the image's mean box height. The mean moves with each box, so boxes are worked through in order; but
+    none joins a line across a gap of more than that, so a task holds what lies between two gaps.
     """
     import pandas as pd
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
-        near = tolerance * (rows["y2"] - rows["y1"]).mean()
-        rows = rows.assign(cy=(rows["y1"] + rows["y2"]) / 2, cx=(rows["x1"] + rows["x2"]) / 2).sort_values(["cy", "event_id"])
+        near = rows["near"].iloc[0]
+        rows = rows.sort_values(["cy", "event_id"])
         sums: list[float] = []
         sizes: list[int] = []
         line = []
@@ -211,9 +217,17 @@ def reading_order(det: DataFrame, tolerance: float = 0.4) -> DataFrame:
             sizes[at] += 1
             line.append(at)
         rows = rows.assign(line=line).sort_values(["line", "cx", "event_id"])
-        return rows.assign(place=range(1, len(rows) + 1))[["image", "event_id", "line", "place"]]
+        return rows.assign(place=range(1, len(rows) + 1))[["image", "band", "event_id", "line", "place"]]
 
-    return det.select("image", "event_id", "x1", "y1", "x2", "y2").groupBy("image").applyInPandas(order, "image long, event_id long, line int, place int")
+    boxes = det.select("image", "event_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    near = det.groupBy("image").agg((tolerance * F.avg(F.col("y2") - F.col("y1"))).alias("near"))
+    before = F.lag("cy").over(Window.partitionBy("image").orderBy("cy", "event_id"))
+    banded = in_bands(boxes.join(near, "image").withColumn("gap", F.coalesce(F.col("cy") - before > F.col("near"), F.lit(False))), F.col("gap"), "cy", "event_id").drop("gap")
+    local = banded.groupBy("image", "band").applyInPandas(order, "image long, band long, event_id long, line int, place int")
+    sizes = local.groupBy("image", "band").agg((F.max("line") + 1).alias("lines"), F.count(F.lit(1)).alias("boxes"))
+    above = Window.partitionBy("image").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("image", "band", F.coalesce(F.sum("lines").over(above), F.lit(0)).alias("lines"), F.coalesce(F.sum("boxes").over(above), F.lit(0)).alias("boxes"))
+    return local.join(offsets, ["image", "band"]).select("image", "event_id", (F.col("line") + F.col("lines")).cast("int").alias("line"), (F.col("place") + F.col("boxes")).cast("int").alias("place"))
 
 
 def assemble_text(ordered: DataFrame) -> DataFrame:
@@ -241,7 +255,10 @@ def iou_pairs(det: DataFrame, least: float = 0.4, cell: int = 64) -> DataFrame:
 
 
 def nms(det: DataFrame, iou: float = 0.4) -> DataFrame:
-    """Detections that stay when those overlapping a more confident one that stays, by iou or more, go."""
+    """Detections that stay when those overlapping a more confident one that stays, by iou or more, go.
+
+    Boxes above a line that no box crosses never meet those below, so a task holds what lies between two such lines.
+    """
     import numpy as np
     import pandas as pd
 
@@ -258,7 +275,9 @@ def nms(det: DataFrame, iou: float = 0.4) -> DataFrame:
                 left &= w * h / (area[i] + area - w * h + 1e-6) < iou
         return rows.iloc[stay][["image", "event_id", "conf"]]
 
-    return det.select("image", "event_id", "conf", "x1", "y1", "x2", "y2").groupBy("image").applyInPandas(keep, "image long, event_id long, conf double")
+    above = Window.partitionBy("image").orderBy("y1", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    boxes = det.select("image", "event_id", "conf", "x1", "y1", "x2", "y2").withColumn("free", F.coalesce(F.col("y1") >= F.max("y2").over(above), F.lit(False)))
+    return in_bands(boxes, F.col("free"), "y1", "event_id").drop("free").groupBy("image", "band").applyInPandas(keep, "image long, event_id long, conf double")
 
 
 def tile_grid(images: DataFrame, size: int = 640, overlap_px: int = 80) -> DataFrame:
