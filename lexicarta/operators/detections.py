@@ -189,16 +189,25 @@ def row_bucket_order(det: DataFrame, height: int = 60) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy("line", "x1", "event_id")))
 
 
-def in_bands(rows: DataFrame, starts: Column, *order: str) -> DataFrame:
-    """Rows with the number of their band: one starts wherever the condition on the rows before holds. A stream over each image in order."""
-    return rows.withColumn("band", F.sum(starts.cast("int")).over(Window.partitionBy("image").orderBy(*order)))
+#: Boxes of an image that a task works through at once, if it can be cut.
+BOXES = 20_000
 
 
-def reading_order(det: DataFrame, tolerance: float = 0.4) -> DataFrame:
+def in_bands(rows: DataFrame, free: Column, *order: str, boxes: int = BOXES) -> DataFrame:
+    """Rows with the number of their band of an image: one starts, after boxes rows at least, where the condition on the rows before holds.
+
+    A stream over each image in order; most images are one band.
+    """
+    stream = Window.partitionBy("image").orderBy(*order)
+    start = F.when(free, F.floor((F.row_number().over(stream) - 1) / boxes)).cast("long")
+    return rows.withColumn("band", F.coalesce(F.max(start).over(stream), F.lit(0).cast("long")))
+
+
+def reading_order(det: DataFrame, tolerance: float = 0.4, boxes_at_once: int = BOXES) -> DataFrame:
     """(image, event_id, line, place): lines grow from the top, a box joining the first whose mean height on the page is near.
 
     Near is tolerance of the image's mean box height. The mean moves with each box, so boxes are worked through in order; but
-    none joins a line across a gap of more than that, so a task holds what lies between two gaps.
+    none joins a line across a gap of more than that, so a larger image is cut at such gaps.
     """
     import pandas as pd
 
@@ -222,7 +231,7 @@ def reading_order(det: DataFrame, tolerance: float = 0.4) -> DataFrame:
     boxes = det.select("image", "event_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
     near = det.groupBy("image").agg((tolerance * F.avg(F.col("y2") - F.col("y1"))).alias("near"))
     before = F.lag("cy").over(Window.partitionBy("image").orderBy("cy", "event_id"))
-    banded = in_bands(boxes.join(near, "image").withColumn("gap", F.coalesce(F.col("cy") - before > F.col("near"), F.lit(False))), F.col("gap"), "cy", "event_id").drop("gap")
+    banded = in_bands(boxes.join(near, "image").withColumn("gap", F.coalesce(F.col("cy") - before > F.col("near"), F.lit(False))), F.col("gap"), "cy", "event_id", boxes=boxes_at_once).drop("gap")
     local = banded.groupBy("image", "band").applyInPandas(order, "image long, band long, event_id long, line int, place int")
     sizes = local.groupBy("image", "band").agg((F.max("line") + 1).alias("lines"), F.count(F.lit(1)).alias("boxes"))
     above = Window.partitionBy("image").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
@@ -254,10 +263,10 @@ def iou_pairs(det: DataFrame, least: float = 0.4, cell: int = 64) -> DataFrame:
     return pairs.select("image", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), F.round(overlap("a", "b"), 6).alias("iou")).where(F.col("iou") >= least)
 
 
-def nms(det: DataFrame, iou: float = 0.4) -> DataFrame:
+def nms(det: DataFrame, iou: float = 0.4, boxes_at_once: int = BOXES) -> DataFrame:
     """Detections that stay when those overlapping a more confident one that stays, by iou or more, go.
 
-    Boxes above a line that no box crosses never meet those below, so a task holds what lies between two such lines.
+    Boxes above a line that no box crosses never meet those below, so a larger image is cut at such lines.
     """
     import numpy as np
     import pandas as pd
@@ -277,7 +286,7 @@ def nms(det: DataFrame, iou: float = 0.4) -> DataFrame:
 
     above = Window.partitionBy("image").orderBy("y1", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     boxes = det.select("image", "event_id", "conf", "x1", "y1", "x2", "y2").withColumn("free", F.coalesce(F.col("y1") >= F.max("y2").over(above), F.lit(False)))
-    return in_bands(boxes, F.col("free"), "y1", "event_id").drop("free").groupBy("image", "band").applyInPandas(keep, "image long, event_id long, conf double")
+    return in_bands(boxes, F.col("free"), "y1", "event_id", boxes=boxes_at_once).drop("free").groupBy("image", "band").applyInPandas(keep, "image long, event_id long, conf double")
 
 
 def tile_grid(images: DataFrame, size: int = 640, overlap_px: int = 80) -> DataFrame:

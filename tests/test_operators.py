@@ -138,6 +138,13 @@ def test_reading_order_by_hand(boxes):
         assert [e for _, e in sorted(got[image])] == order
 
 
+def test_cut_images_give_the_same(boxes):
+    _, df = boxes
+    for f in (det_ops.nms, det_ops.reading_order):
+        whole = {tuple(r) for r in f(df).collect()}
+        assert {tuple(r) for r in f(df, boxes_at_once=3).collect()} == whole and {tuple(r) for r in f(df, boxes_at_once=1).collect()} == whole
+
+
 def test_file_names_and_components(spark):
     names = ["guh_a_t1_0A1B2C3D.jpg", "hsuhshuh_a_t1_0A1B2C3D.jpg", "plain.jpg", "a_b.png"]
     rows = spark.createDataFrame([(n,) for n in names], "file string").select("file", det_ops.class_from_filename(F.col("file")).alias("name"))
