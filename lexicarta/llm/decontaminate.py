@@ -2,10 +2,11 @@
 
 Windows of each item's length in words slide over each document. Those whose shingles could reach the similarity
 asked for (they hold enough shingles of any item; a window without can't) get a SimHash. Fingerprints are cut into
-blocks: two that differ in RADIUS bits at most differ in NEAR_BITS at most in some block, so sorted tables of the
-items' blocks, asked for all values that near, give every item within the radius, and one random pair in 23. The exact
-similarity of the shingles, weighted by how often each occurs, decides. A document of fewer words than an item is one window, and meets by the exact similarity
-alone every such item that it shares enough shingles with.
+blocks: two that differ in RADIUS bits at most differ in NEAR_BITS at most in some block, which one random pair in 29
+does, and then in half of that at most in one half of the block. Sorted tables of the items' halves, asked for all
+values that near, give every item within the radius. The exact similarity of the shingles, weighted by how often each
+occurs, decides. A document of fewer words than an item is one window, and meets by the exact similarity alone every
+such item that it shares enough shingles with.
 """
 
 import uuid
@@ -18,16 +19,19 @@ from pyspark.sql import functions as F
 from lexicarta.llm.shared import map_rows, shingled, word_hashes, worker_object
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of 64 bits are cut into BLOCKS of BITS, which may differ in NEAR_BITS each; RADIUS is what that guarantees.
+#: Fingerprints of 64 bits are two blocks of 32, which may differ in so many bits each; RADIUS is what that guarantees.
 #: At the least similarity two fingerprints differ in 9.7 bits, by a deviation of 2.9.
-BLOCKS, BITS, NEAR_BITS = 4, 16, 3
-RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
+NEAR_BITS = (10, 9)
+RADIUS = sum(NEAR_BITS) + len(NEAR_BITS) - 1
 #: Words of benchmark text in a pass over the documents: the bound on what a pass sends to the tasks.
 PASS_WORDS = 2_000_000
 #: Windows that get fingerprints at once.
 STEP = 512
 MATCHES = "array<struct<item_id:long,similarity:double,start_word:long,n_words:long>>"
-NEAR = np.array([sum(1 << b for b in bits) for n in range(NEAR_BITS + 1) for bits in combinations(range(BITS), n)], np.uint16)
+#: All 16-bit values with half of NEAR_BITS set at most.
+NEAR = np.array([sum(1 << b for b in bits) for n in range(max(NEAR_BITS) // 2 + 1) for bits in combinations(range(16), n)], np.uint16)
+#: Items up to which blocks are read through, which is quicker than asking tables for all of NEAR; cells compared at once.
+READ, CELLS = 1 << 17, 1 << 21
 
 
 def enough(n: float, similarity: float) -> int:
@@ -45,9 +49,9 @@ def signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def window_marks(shingles: np.ndarray, width: int) -> np.ndarray:
-    """The SimHash of each run of width shingles, as its BLOCKS."""
+    """The SimHash of each run of width shingles, as its two blocks."""
     sums = np.cumsum(np.concatenate([np.zeros((1, 64), np.int32), signs(shingles)]), axis=0)
-    return np.packbits(sums[width:] > sums[:-width], axis=1, bitorder="little").view(np.uint16)
+    return np.packbits(sums[width:] > sums[:-width], axis=1, bitorder="little").view(np.uint32)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -66,25 +70,31 @@ class ItemIndex:
         self.width = words - self.size + 1
         self.need = enough(self.width, similarity)
         self.marks = np.concatenate([window_marks(s, self.width) for s in self.sets])
-        self.order = np.argsort(self.marks, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.marks, self.order, axis=0)
+        halves = self.marks.view(np.uint16)
+        self.order = np.argsort(halves, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(halves, self.order, axis=0)
 
     def candidates(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) with a block in which they differ in NEAR_BITS at most.
-
-        Tables are asked for every value that near; those shorter than the list of such values are read through instead.
-        """
-        if len(self.ids) <= len(NEAR):
-            return np.nonzero((np.bitwise_count(marks[:, None] ^ self.marks[None]) <= NEAR_BITS).any(axis=2))
+        """(window, item) with a block in which they differ in NEAR_BITS at most."""
+        n = len(self.ids)
+        if n <= READ:
+            step, pairs = max(1, CELLS // n), []
+            for at in range(0, len(marks), step):
+                w, i = np.nonzero((np.bitwise_count(marks[at : at + step, None] ^ self.marks[None]) <= NEAR_BITS).any(axis=2))
+                pairs.append((w + at) * n + i)
+            return np.divmod(np.concatenate(pairs), n)
         pairs = []
-        for b in range(BLOCKS):
-            asked = marks[:, b, None] ^ NEAR
-            low, high = np.searchsorted(self.sorted[:, b], asked, "left"), np.searchsorted(self.sorted[:, b], asked, "right")
+        for half in range(self.sorted.shape[1]):
+            block, table = half // 2, self.sorted[:, half]
+            asked = marks.view(np.uint16)[:, half, None] ^ NEAR
+            low, high = np.searchsorted(table, asked, "left"), np.searchsorted(table, asked, "right")
             window, probe = np.nonzero(high > low)
             first, held = low[window, probe], (high - low)[window, probe]
-            place = np.repeat(first - (np.cumsum(held) - held), held) + np.arange(held.sum())
-            pairs.append(np.repeat(window, held) * len(self.ids) + self.order[place, b])
-        return np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
+            item = self.order[np.repeat(first - (np.cumsum(held) - held), held) + np.arange(held.sum()), half]
+            window = np.repeat(window, held)
+            near = np.bitwise_count(marks[window, block] ^ self.marks[item, block]) <= NEAR_BITS[block]
+            pairs.append(window[near] * n + item[near])
+        return np.divmod(np.unique(np.concatenate(pairs)), n)
 
     def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of fingerprints within the radius."""
