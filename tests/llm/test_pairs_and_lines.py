@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexicarta.llm import decontaminate as decontaminate_module
 from lexicarta.llm.decontaminate import RADIUS, ItemIndex, decontaminate, weighted_similarity, window_marks
 from lexicarta.llm.jaccard_join import PrefixTree, jaccard_components, jaccard_join
 from lexicarta.llm.knn_join import top_k
@@ -284,30 +285,33 @@ def test_decontaminate_documents_shorter_than_items(spark):
     assert {(m.start_word, m.n_words) for r in out for m in r.matches if r.row.doc_id == 3} == {(0, 9)}
 
 
-def test_hamming_blocks_find_all_within_radius():
-    rng = np.random.default_rng(2)
-    hashes = [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(20)]
-    index = ItemIndex(30, list(range(20)), hashes, 0.8)
+def random_index(n, seed):
+    rng = np.random.default_rng(seed)
+    return ItemIndex(30, list(range(n)), [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(n)], 0.8)
+
+
+@pytest.mark.parametrize("read", [1 << 17, 0])
+def test_hamming_blocks_find_all_within_radius(monkeypatch, read):
+    monkeypatch.setattr(decontaminate_module, "READ", read)
+    rng, index = np.random.default_rng(2), random_index(20, 2)
     for item in range(20):
-        for flips in (0, 7, 11, RADIUS):
+        for flips in (0, 7, 14, 20):
             bits = np.unpackbits(index.marks[item].view(np.uint8))
             bits[rng.permutation(64)[:flips]] ^= 1
-            w, i = index.near(np.packbits(bits).view(np.uint16)[None, :])
+            w, i = index.near(np.packbits(bits).view(np.uint32)[None, :])
             assert item in i.tolist()
-    assert len(window_marks(shingled(hashes[0], 5), 26)) == 1
+    assert RADIUS == 20 and len(window_marks(shingled(np.arange(30, dtype=np.uint64), 5), 26)) == 1
 
 
-def test_hamming_blocks_leave_random_fingerprints():
-    rng = np.random.default_rng(3)
-    index = ItemIndex(30, list(range(200)), [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(200)], 0.8)
-    marks = rng.integers(0, 1 << 16, (100, 4)).astype(np.uint16)
-    w, i = index.candidates(marks)
-    assert 0 < len(w) < 0.05 * 100 * 200
-    read = {(a, b) for a, b in zip(w.tolist(), i.tolist(), strict=True)}
-    large = ItemIndex(30, list(range(1500)), [rng.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(1500)], 0.8)
-    w, i = large.candidates(marks)
-    assert {(a, b) for a, b in zip(w.tolist(), i.tolist(), strict=True)} == {(a, b) for a in range(100) for b in np.flatnonzero((np.bitwise_count(marks[a] ^ large.marks) <= 3).any(axis=1)).tolist()}
-    assert read == {(a, b) for a in range(100) for b in np.flatnonzero((np.bitwise_count(marks[a] ^ index.marks) <= 3).any(axis=1)).tolist()}
+def test_hamming_blocks_leave_random_fingerprints(monkeypatch):
+    index, marks = random_index(400, 3), np.random.default_rng(4).integers(0, 1 << 32, (100, 2)).astype(np.uint32)
+    pairs = lambda: {(a, b) for a, b in zip(*(x.tolist() for x in index.candidates(marks)), strict=True)}
+    read = pairs()
+    assert 0 < len(read) < 0.05 * 100 * 400
+    monkeypatch.setattr(decontaminate_module, "CELLS", 1000)
+    assert pairs() == read
+    monkeypatch.setattr(decontaminate_module, "READ", 0)
+    assert pairs() == read
 
 
 def test_simhash_recall_near_the_threshold():
@@ -325,7 +329,7 @@ def test_simhash_recall_near_the_threshold():
                 if 0.8 <= weighted_similarity(shingled(near, 5), index.sets[item]) <= 0.85:
                     tried += 1
                     found += item in index.near(window_marks(shingled(near, 5), index.width))[1].tolist()
-    assert tried > 200 and found / tried >= 0.9
+    assert tried > 200 and found / tried >= 0.99
 
 
 def test_digest_columns(spark, tmp_path):
