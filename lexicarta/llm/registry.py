@@ -9,9 +9,12 @@ from lexicarta.llm.decontaminate import decontaminate
 from lexicarta.llm.jaccard_join import jaccard_components
 from lexicarta.llm.knn_join import top_k
 from lexicarta.llm.line_dedup import line_dedup
+from lexicarta.llm.merkle import leaf_of, manifest
+from lexicarta.llm.near_vectors import near_vectors
 from lexicarta.llm.oracles import ORACLES as ORACLES
+from lexicarta.llm.periodic_runs import looped, periodic_runs
 from lexicarta.llm.secrets import joined_spans, scan_secrets
-from lexicarta.llm.shared import table
+from lexicarta.llm.shared import ascii_lower, table
 from lexicarta.llm.token_counts import context_answers, length_histogram, token_lengths
 from lexicarta.llm.warc import derivatives, page_responses
 
@@ -87,6 +90,34 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), least=0.93)
+    return out.select("row.vec_id", "n_links", "component_id", "kept")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=looped)
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    return out.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    shown = F.when(tampered, leaf_of(*fields, ascii_lower(F.col("text"))))
+    leaves = docs.select("doc_id", "lang", leaf_of(*fields, "text").alias("leaf"), shown.alias("shown"))
+    out = manifest(leaves.withColumn("shown", F.coalesce("shown", "leaf")), group="lang", key="doc_id", leaf="leaf", shown="shown")
+    return out.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -98,4 +129,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
