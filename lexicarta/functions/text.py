@@ -1,10 +1,14 @@
 """Text functions as column expressions: script routing, cleaning, legacy encodings, repetition, tokens."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexicarta.functions.repeats import collapse_repeats
+
 NATIVE_LETTER, LATIN_LETTER = "[က-႟]", "[A-Za-z]"
 #: Consonants at which a syllable starts, and digits, which end one (fixed values).
 CONSONANTS = "ကခဂဃငစဆၡညယရလဝသမဘဖပနဒထတဟအဧ"
@@ -34,12 +38,6 @@ LEGACY_DROPPED = " \t\n-{}*"
 GRAMMAR = r"\b(v\.i\.|v\.t\.|v\.|n\.|adj\.|adv\.|prep\.|conj\.|pron\.|interj\.|part\.)\b"
 
 
-def substrings(text: Column, lengths: Column) -> Column:
-    """The distinct substrings of a text, of the lengths given."""
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
-    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text))), cut)))
-
-
 def clean_visible_text(text: Column) -> Column:
     """White space squeezed and stripped."""
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -98,46 +96,9 @@ def dedupe_block(text: Column) -> Column:
     return out.otherwise(text)
 
 
-def shared_ahead(text: str, at: int) -> list[int]:
-    """For each distance, how far the text from there on equals the text from at on (the Z function of what is left)."""
-    n = len(text) - at
-    z, left, right = [0] * n, 0, 0
-    for i in range(1, n):
-        k = min(right - i, z[i - left]) if i < right else 0
-        while i + k < n and text[at + k] == text[at + i + k]:
-            k += 1
-        z[i] = k
-        if i + k > right:
-            left, right = i, i + k
-    return z
-
-
-def collapse_repeats(text: str) -> str:
-    """From each place, the shortest stretch that is 4, 8 or 2 copies of two characters or more becomes one copy.
-
-    The rest of the text as a whole is tried before stretches of it, and a whole text that repeats, of any length, first.
-    The work grows with the square of the text.
-    """
-    text = text.strip()
-    for k in (8, 4, 2):
-        if text and len(text) % k == 0 and text[: len(text) // k] * k == text:
-            return text[: len(text) // k]
-    out, at, n = [], 0, len(text)
-    while at < n:
-        ahead = shared_ahead(text, at)
-
-        def copies(size: int, ahead: list[int] = ahead) -> int:
-            return next((size // k for k in (4, 8, 2) if size % k == 0 and size >= 2 * k and ahead[size // k] >= size - size // k), 0)
-
-        size = next((e for e in (n - at, *range(4, n - at + 1, 2)) if copies(e)), 0)
-        out.append(text[at : at + (copies(size) if size else 1)])
-        at += size or 1
-    return "".join(out)
-
-
 @F.pandas_udf(StringType())
 def dedupe_walk(text: pd.Series) -> pd.Series:
-    """Local repeats collapsed, of strings as short as dictionary keys."""
+    """Local repeats collapsed, in strings of any length."""
     return text.map(collapse_repeats, na_action="ignore")
 
 
@@ -147,6 +108,12 @@ def split_syllables(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{CONSONANTS}]{other}*|{other}+"), 0)
 
 
+def syllables_of(text: str) -> list[str]:
+    """split_syllables() of one text, for Python inside a task."""
+    other = f"(?![{CONSONANTS}{DIGITS}])[က-႟]"
+    return re.findall(f"[{CONSONANTS}](?:{other})*|(?:{other})+", text)
+
+
 def part_of_speech(text: Column) -> Column:
     """The first grammar label, null without one; as the label's last mark is followed by a word boundary, it is glued to a word."""
     return F.nullif(F.regexp_extract(text, GRAMMAR, 1), F.lit(""))

@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexicarta.functions.text import substrings
+from lexicarta.operators.containment import holding
+from lexicarta.operators.ranking import with_places
+from lexicarta.sources.files import written
 
 
 def box_convert(df: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
@@ -130,7 +132,7 @@ def holds_any(name: Column, keywords: list[str]) -> Column:
 
 def clean_classes(classes: DataFrame, labels: DataFrame, keywords: list[str]) -> tuple[DataFrame, DataFrame]:
     """Classes without those whose name holds a keyword, renumbered, and the labels that stay, with the new numbers."""
-    kept = classes.where(~holds_any(F.col("name"), keywords)).withColumn("new_idx", F.row_number().over(Window.orderBy("class_idx")) - 1)
+    kept = with_places(classes.where(~holds_any(F.col("name"), keywords)), ["class_idx"], name="new_idx").withColumn("new_idx", F.col("new_idx").cast("int"))
     moved = labels.join(kept.select("class_idx", "new_idx"), "class_idx")
     return kept, moved
 
@@ -168,14 +170,14 @@ def class_from_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
 def reuse_examples(missed: DataFrame, images: DataFrame, inside: bool = False) -> DataFrame:
     """(name, file, files): for each missed class the first file of its class, by exact class name; inside: whose name holds the class name.
 
-    Names inside of file names meet them on substrings of the lengths that missed names have.
+    Names inside of file names meet them in a trie of the missed names.
     """
-    if not inside:
-        named = images.select("file", class_from_filename(F.col("file")).alias("name"))
+    names = missed.select("name").distinct()
+    if inside:
+        met = holding(images.select("file"), "file", names, "name")
     else:
-        lengths = F.broadcast(missed.agg(F.collect_set(F.length("name")).alias("lengths")))  # one row of numbers
-        named = images.crossJoin(lengths).select("file", F.explode(substrings(F.col("file"), F.col("lengths"))).alias("name"))
-    return missed.select("name").distinct().join(named, "name").groupBy("name").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("files"))
+        met = names.join(images.select("file", class_from_filename(F.col("file")).alias("name")), "name")
+    return met.groupBy("name").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("files"))
 
 
 def x_order(det: DataFrame) -> DataFrame:
@@ -193,10 +195,19 @@ def row_bucket_order(det: DataFrame, height: int = 60) -> DataFrame:
 BOXES = 20_000
 
 
+def by_size(det: DataFrame, boxes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Detections of images of up to so many boxes, and those of larger ones, None if there are none."""
+    large = written(det.groupBy("image").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > boxes).select("image"), "large")
+    if large.isEmpty():
+        return det, None
+    large = F.broadcast(large)  # at most a row for each `boxes` rows of det
+    return det.join(large, "image", "left_anti"), det.join(large, "image", "left_semi")
+
+
 def in_bands(rows: DataFrame, free: Column, *order: str, boxes: int = BOXES) -> DataFrame:
     """Rows with the number of their band of an image: one starts, after boxes rows at least, where the condition on the rows before holds.
 
-    A stream over each image in order; most images are one band.
+    A stream over each image in order.
     """
     stream = Window.partitionBy("image").orderBy(*order)
     start = F.when(free, F.floor((F.row_number().over(stream) - 1) / boxes)).cast("long")
@@ -228,15 +239,21 @@ def reading_order(det: DataFrame, tolerance: float = 0.4, boxes_at_once: int = B
         rows = rows.assign(line=line).sort_values(["line", "cx", "event_id"])
         return rows.assign(place=range(1, len(rows) + 1))[["image", "band", "event_id", "line", "place"]]
 
-    boxes = det.select("image", "event_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
-    near = det.groupBy("image").agg((tolerance * F.avg(F.col("y2") - F.col("y1"))).alias("near"))
+    boxes = det.select("image", "event_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("y2") - F.col("y1")).alias("height"))
+    small, large = by_size(boxes, boxes_at_once)
+    with_near = lambda rows: rows.join(rows.groupBy("image").agg((tolerance * F.avg("height")).alias("near")), "image")
+    walked = lambda rows: rows.groupBy("image", "band").applyInPandas(order, "image long, band long, event_id long, line int, place int")
+    out = walked(with_near(small).withColumn("band", F.lit(0).cast("long"))).drop("band")
+    if large is None:
+        return out
     before = F.lag("cy").over(Window.partitionBy("image").orderBy("cy", "event_id"))
-    banded = in_bands(boxes.join(near, "image").withColumn("gap", F.coalesce(F.col("cy") - before > F.col("near"), F.lit(False))), F.col("gap"), "cy", "event_id", boxes=boxes_at_once).drop("gap")
-    local = banded.groupBy("image", "band").applyInPandas(order, "image long, band long, event_id long, line int, place int")
+    banded = in_bands(with_near(large).withColumn("gap", F.coalesce(F.col("cy") - before > F.col("near"), F.lit(False))), F.col("gap"), "cy", "event_id", boxes=boxes_at_once).drop("gap")
+    local = written(walked(banded), "bands")  # read twice
     sizes = local.groupBy("image", "band").agg((F.max("line") + 1).alias("lines"), F.count(F.lit(1)).alias("boxes"))
     above = Window.partitionBy("image").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("image", "band", F.coalesce(F.sum("lines").over(above), F.lit(0)).alias("lines"), F.coalesce(F.sum("boxes").over(above), F.lit(0)).alias("boxes"))
-    return local.join(offsets, ["image", "band"]).select("image", "event_id", (F.col("line") + F.col("lines")).cast("int").alias("line"), (F.col("place") + F.col("boxes")).cast("int").alias("place"))
+    moved = local.join(offsets, ["image", "band"]).select("image", "event_id", (F.col("line") + F.col("lines")).cast("int").alias("line"), (F.col("place") + F.col("boxes")).cast("int").alias("place"))
+    return out.unionByName(moved)
 
 
 def assemble_text(ordered: DataFrame) -> DataFrame:
@@ -253,20 +270,23 @@ def overlap(a: str, c: str) -> Column:
     return x * y / (area(a) + area(c) - x * y + F.lit(1e-6))
 
 
-def iou_pairs(det: DataFrame, least: float = 0.4, cell: int = 64) -> DataFrame:
-    """(image, a, b, iou): boxes of an image that overlap by least or more; boxes meet in the cells of a grid that they touch."""
+def iou_pairs(det: DataFrame, least: float = 0.4, cell: int = 64, exact: bool = False) -> DataFrame:
+    """(image, a, b, iou): boxes of an image that overlap by least or more; boxes meet in the cells of a grid that they touch.
+
+    The overlap has six decimals, and so it is compared; exact compares it as it is.
+    """
     box = F.struct("event_id", "x1", "y1", "x2", "y2")
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     cells = det.select("image", box.alias("box"), F.explode(span("x1", "x2")).alias("gx"), "y1", "y2").select("image", "box", "gx", F.explode(span("y1", "y2")).alias("gy"))
     a, c = cells.withColumnRenamed("box", "a"), cells.withColumnRenamed("box", "b")
     pairs = a.join(c, ["image", "gx", "gy"]).where("a.event_id < b.event_id").select("image", "a", "b").distinct()
-    return pairs.select("image", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), F.round(overlap("a", "b"), 6).alias("iou")).where(F.col("iou") >= least)
+    return pairs.select("image", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), (overlap("a", "b") if exact else F.round(overlap("a", "b"), 6)).alias("iou")).where(F.col("iou") >= least)
 
 
 def nms(det: DataFrame, iou: float = 0.4, boxes_at_once: int = BOXES) -> DataFrame:
-    """Detections that stay when those overlapping a more confident one that stays, by iou or more, go.
+    """(image, event_id, conf): detections that stay when those overlapping a more confident one that stays, by iou or more, go.
 
-    Boxes above a line that no box crosses never meet those below, so a larger image is cut at such lines.
+    Of equally confident ones the smaller event_id is the stronger. Images of up to boxes_at_once boxes are worked through by one task each, larger ones in rounds.
     """
     import numpy as np
     import pandas as pd
@@ -284,9 +304,54 @@ def nms(det: DataFrame, iou: float = 0.4, boxes_at_once: int = BOXES) -> DataFra
                 left &= w * h / (area[i] + area - w * h + 1e-6) < iou
         return rows.iloc[stay][["image", "event_id", "conf"]]
 
-    above = Window.partitionBy("image").orderBy("y1", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    boxes = det.select("image", "event_id", "conf", "x1", "y1", "x2", "y2").withColumn("free", F.coalesce(F.col("y1") >= F.max("y2").over(above), F.lit(False)))
-    return in_bands(boxes, F.col("free"), "y1", "event_id", boxes=boxes_at_once).drop("free").groupBy("image", "band").applyInPandas(keep, "image long, event_id long, conf double")
+    small, large = by_size(det.select("image", "event_id", "conf", "x1", "y1", "x2", "y2"), boxes_at_once)
+    out = small.groupBy("image").applyInPandas(keep, "image long, event_id long, conf double")
+    return out if large is None else out.unionByName(nms_in_rounds(large, iou, boxes_at_once))
+
+
+def nms_in_rounds(det: DataFrame, iou: float, boxes_at_once: int) -> DataFrame:
+    """nms() of images of any size: boxes are decided in rounds over the pairs that overlap.
+
+    A box goes once a stronger neighbour stays, and stays once all stronger neighbours are gone. A round decides in each band of an image (so many
+    boxes from the top) all that the band and earlier rounds determine, so rounds are as many as the bands that a chain of
+    decisions crosses. Pairs come from the cells of a grid; each round is a table in the shared folder.
+    """
+    import pandas as pd
+
+    boxes = with_places(det, ["y1", "event_id"], ["image"]).withColumn("band", F.expr(f"place div {boxes_at_once}"))
+    boxes = written(boxes.select("image", "band", "event_id", "conf", "x1", "y1", "x2", "y2"), "boxes")
+    close = iou_pairs(boxes, iou, exact=True)
+    own = lambda s: boxes.select("image", F.col("event_id").alias(s), F.col("conf").alias(f"{s}_conf"), F.col("band").alias(f"{s}_band"))
+    pairs = close.join(own("a"), ["image", "a"]).join(own("b"), ["image", "b"])
+    a_first = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a") < F.col("b")))
+    side = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
+    pairs = written(pairs.select("image", side("a", "b").alias("strong"), side("b", "a").alias("weak"), side("b_band", "a_band").alias("band")), "pairs")
+    left = written(boxes.select("image", "band", "event_id", "conf"), "undecided")
+    kept = None
+
+    def decide(rows: pd.DataFrame, over: pd.DataFrame) -> pd.DataFrame:
+        stronger: dict = {}
+        for weak, strong, stays in zip(over.weak, over.strong, over.stays, strict=True):
+            stronger.setdefault(weak, []).append((strong, stays))
+        rows = rows.sort_values(["conf", "event_id"], ascending=[False, True])
+        known: dict = {}
+        for i in rows.event_id:
+            states = [known.get(s) or ("kept" if stays else None) for s, stays in stronger.get(i, ())]
+            known[i] = "gone" if "kept" in states else None if None in states else "kept"
+        return rows.assign(state=[known[i] for i in rows.event_id])
+
+    while True:
+        waiting = left.select("image", F.col("event_id").alias("strong"), F.lit(False).alias("stays"))
+        decided = waiting if kept is None else waiting.unionByName(kept.select("image", F.col("event_id").alias("strong"), F.lit(True).alias("stays")))
+        over = pairs.join(decided, ["image", "strong"])  # those of strong ones that are gone count no more
+        over = over.join(left.select("image", F.col("event_id").alias("weak")), ["image", "weak"], "left_semi")
+        met = left.groupBy("image", "band").cogroup(over.groupBy("image", "band"))
+        states = written(met.applyInPandas(decide, "image long, band long, event_id long, conf double, state string"), "states")
+        stay = states.where("state = 'kept'").select("image", "event_id", "conf")
+        kept = stay if kept is None else kept.unionByName(stay)
+        left = states.where("state is null").drop("state")
+        if left.isEmpty():
+            return kept
 
 
 def tile_grid(images: DataFrame, size: int = 640, overlap_px: int = 80) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions import collation, text
+from lexicarta.operators.containment import holding
 
 ENTRY_TYPES = ["headword", "compound", "example"]
 #: Other names of segment kinds (fixed values).
@@ -273,15 +274,13 @@ def propagate_correction(df: DataFrame, fixes: DataFrame, key: str = "native") -
     """df with each fix (original, corrected, error_type) applied where the same context makes it safe: (pos, before, after, applied).
 
     A tone error spreads within consonant and vowel, a medial error within those and the tone, a consonant error within vowel,
-    tone and medials. Keys meet fixes on their own substrings, of the lengths that fixes have, so each row of the join is an answer.
+    tone and medials. Keys meet fixes in a trie of what fixes look for, so each row is an answer.
     """
-    lengths = F.broadcast(fixes.agg(F.sort_array(F.collect_set(F.length("original"))).alias("lengths")))  # one row of numbers
-    rows = df.where(F.length(key) > 0).select("pos", F.col(key).alias("before")).crossJoin(lengths)
-    rows = rows.select("pos", "before", collation.decompose(F.col("before")).alias("p"), F.explode(text.substrings(F.col("before"), F.col("lengths"))).alias("original"))
+    rows = df.where(F.length(key) > 0).select("pos", F.col(key).alias("before"), collation.decompose(F.col(key)).alias("p"))
     f = fixes.select("original", "corrected", "error_type", collation.decompose(F.col("original")).alias("o"))
     same = lambda *names: F.expr(" AND ".join(f"p.{n} = o.{n}" for n in names))
     safe = F.when(F.col("error_type") == "tone_error", same("consonant", "vowel")).when(F.col("error_type") == "medial_error", same("consonant", "vowel", "tone")).when(F.col("error_type") == "consonant_error", same("vowel", "tone", "medials")).otherwise(False)
-    met = rows.join(f, "original")
+    met = holding(rows, "before", f, "original")
     return met.select("pos", "before", "original", "error_type", safe.alias("applied"), F.when(safe, F.replace("before", F.col("original"), F.col("corrected"))).otherwise(F.col("before")).alias("after"))
 
 

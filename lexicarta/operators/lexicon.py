@@ -1,9 +1,12 @@
 """Lexicon work on lines and texts: roles, lookups, segmentation, composition, key/value batches."""
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions import text
+from lexicarta.functions.trie import Syllables, Trie, pieces
+from lexicarta.sources import files
 
 #: A small lexicon of our own: roles of words, particles that words ask for, and known terms. All are parameters.
 ROLES = {
@@ -92,7 +95,7 @@ def chunk_candidates(texts: DataFrame, longest: int) -> DataFrame:
 
 
 PARTS = "array<struct<chunk:string,meaning:string,reason:string>>"
-#: Bytes of a lexicon that is sent to the tasks; a larger one meets the texts in a join.
+#: Bytes of a lexicon's trie that is sent to the tasks; a larger lexicon meets the distinct runs of the texts in a join.
 MOST_SENT = 64 << 20
 
 
@@ -104,114 +107,112 @@ def distinct_chunks(syllables: Column, longest: int) -> Column:
 
 
 def with_hits(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
-    """texts (doc_id, syllables) with the runs of each that the lexicon (chunk, meaning) has, by a join: a lexicon of any size serves."""
-    chunks = texts.select("doc_id", F.explode(distinct_chunks(F.col("syllables"), longest)).alias("chunk"))
-    hits = chunks.join(lexicon.select("chunk", "meaning"), "chunk").groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "meaning")).alias("hits"))
-    return texts.join(hits, "doc_id", "left").select("doc_id", "syllables", "hits")
+    """texts (doc_id, syllables) with the runs of each that the lexicon (chunk, meaning) has, by a join: a lexicon of any size serves.
 
+    Rows meet their hits by what they say, each distinct text once, so ids may be null or repeat.
+    """
+    marks = [F.xxhash64("syllables").alias("h1"), F.xxhash64(F.lit(17), "syllables").alias("h2")]
+    keyed = texts.select("doc_id", "syllables", *marks)
+    once = keyed.groupBy("h1", "h2").agg(F.any_value("syllables").alias("syllables"))
+    chunks = once.select("h1", "h2", F.explode(distinct_chunks(F.col("syllables"), longest)).alias("chunk"))
+    hits = chunks.join(lexicon.select("chunk", "meaning"), "chunk").groupBy("h1", "h2").agg(F.collect_list(F.struct("chunk", "meaning")).alias("hits"))
+    return keyed.join(hits, ["h1", "h2"], "left").select("doc_id", "syllables", "hits")
+
+
+def entries_of(lexicon: DataFrame) -> DataFrame:
+    """(chunk, meaning) of a lexicon as a written table, worked out once: an entry that comes twice has its first meaning by order."""
+    known = lexicon.where("chunk <> '' and meaning is not null").groupBy("chunk").agg(F.min("meaning").alias("meaning"))
+    return files.written(known, "lexicon")
+
+
+def trie_bytes(entries: DataFrame) -> int:
+    """What the trie of a lexicon takes at most: 24 bytes a character, and the meanings."""
+    return entries.agg(F.sum(24 * F.char_length("chunk") + F.octet_length("meaning") + 60)).first()[0] or 0
+
+
+def trie_of(entries: DataFrame) -> Trie:
+    known = entries.toPandas()
+    return Trie(known.chunk.tolist(), known.meaning.tolist())
 
-def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, parts_of, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, parts) of texts (doc_id, syllables): parts_of(syllables, known, lengths) gives the chunks, meanings and reasons of the parts.
 
-    lengths has, for the first two characters of entries, how long such entries are. known holds the lexicon's entries, all of a small one and of a larger one those that the text has runs of. An entry
-    that comes twice counts with its first meaning by order.
+def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, pick, most_sent: int = MOST_SENT) -> DataFrame:
+    """(doc_id, parts) of texts (doc_id, syllables), a row for each, whatever its id; null or empty texts have no parts.
+
+    pick(syllables, trie) gives the parts of a batch: where they start and end, the entries that they are (-1 where none is)
+    and their reasons. The trie holds the whole lexicon if it takes most_sent bytes or less, else what the batch's texts have runs of.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    entries = lexicon.where(F.col("chunk").isNotNull() & F.col("meaning").isNotNull()).groupBy("chunk").agg(F.min("meaning").alias("meaning"))
-    small = (entries.agg(F.sum(F.octet_length("chunk") + F.octet_length("meaning") + 100)).first()[0] or 0) <= most_sent
-    found = dict(entries.toPandas().itertuples(index=False, name=None)) if small else {}
-    sent = texts.sparkSession.sparkContext.broadcast((found, lengths_of(found)))
+    entries = entries_of(lexicon)
+    small = trie_bytes(entries) <= most_sent
+    sent = texts.sparkSession.sparkContext.broadcast(trie_of(entries) if small else None)
     rows = texts.select("doc_id", "syllables") if small else with_hits(texts, entries, longest)
 
     def run(batches):
-        for b in batches:
-            columns: tuple[list, list, list] = ([], [], [])
-            ends = [0]
-            known, lengths = sent.value
-            hits = [None] * b.num_rows if small else b.column("hits").to_pylist()
-            for syllables, found in zip(b.column("syllables").to_pylist(), hits, strict=True):
-                if not small:
-                    known = {h["chunk"]: h["meaning"] for h in found or ()}
-                    lengths = lengths_of(known)
-                for column, values in zip(columns, parts_of(syllables or [], known, lengths), strict=True):
-                    column.extend(values)
-                ends.append(len(columns[0]))
-            flat = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["chunk", "meaning", "reason"])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "parts"])
+        for b in (piece for batch in batches for piece in pieces(batch, pc.fill_null(pc.list_value_length(batch.column("syllables")), 0).to_numpy())):
+            if small:
+                trie = sent.value
+            else:
+                found = {h["chunk"]: h["meaning"] for hits in b.column("hits").to_pylist() for h in hits or ()}
+                trie = Trie(list(found), list(found.values()))
+            syllables = Syllables(b.column("syllables"))
+            starts, ends, entry, reasons = pick(syllables, trie)
+            said = pa.array([*trie.meanings, "??"], pa.string()).take(pa.array(np.where(entry < 0, len(trie.meanings), entry)))
+            flat = pa.StructArray.from_arrays([syllables.chunks(starts, ends), said, reasons], ["chunk", "meaning", "reason"])
+            at = np.searchsorted(starts, syllables.rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "parts"])
 
     return rows.mapInArrow(run, f"doc_id long, parts {PARTS}")
 
 
-def lengths_of(known: dict[str, str]) -> dict[str, set[int]]:
-    out: dict[str, set[int]] = {}
-    for chunk in known:
-        out.setdefault(chunk[:2], set()).add(len(chunk))
-    return out
-
+def greedy_parts(syllables: Syllables, trie: Trie, longest: int):
+    """From the left, the longest run in the lexicon, of longest syllables at most, else one syllable."""
+    import pyarrow as pa
 
-def places(syllables: list[str]) -> tuple[str, list[int]]:
-    """The text, and where each syllable starts in it."""
-    at = [0]
-    for s in syllables:
-        at.append(at[-1] + len(s))
-    return "".join(syllables), at
+    step, entry = np.ones(syllables.n, np.int64), np.full(syllables.n, -1, np.int64)
+    for k, found in enumerate(syllables.matches(trie, longest), 1):
+        step[found >= 0], entry[found >= 0] = k, found[found >= 0]
+    steps, starts, at = step.tolist(), [], 0
+    while at < len(steps):
+        starts.append(at)
+        at += steps[at]
+    starts = np.array(starts, np.int64)
+    reasons = pa.array(["stuck", "longest"]).take(pa.array((entry[starts] >= 0).astype(np.int8)))
+    return starts, starts + step[starts], entry[starts], reasons
 
 
 def segment_greedy(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(doc_id, parts): from the left, the longest run in the lexicon, of longest syllables at most, else one syllable with `??`."""
+    return segmented(texts, lexicon, longest, lambda syllables, trie: greedy_parts(syllables, trie, longest))
 
-    def parts_of(syllables: list[str], known: dict[str, str], lengths: dict[str, set[int]]):
-        (whole, starts), at, n, none = places(syllables), 0, len(syllables), frozenset()
-        chunks, meanings, reasons = [], [], []
-        while at < n:
-            first, end = starts[at], at + 1
-            sizes = lengths.get(whole[first : first + 2], none)
-            if sizes:
-                for z in range(min(n, at + longest), at + 1, -1):
-                    if starts[z] - first in sizes and whole[first : starts[z]] in known:
-                        end = z
-                        break
-            chunk = whole[first : starts[end]]
-            meaning = known.get(chunk)
-            chunks.append(chunk)
-            meanings.append("??" if meaning is None else meaning)
-            reasons.append("stuck" if meaning is None else "longest")
-            at = end
-        return chunks, meanings, reasons
-
-    return segmented(texts, lexicon, longest, parts_of)
-
-
-def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], longest: int) -> DataFrame:
-    """(doc_id, parts) with connectors (and their numbers of syllables) first.
 
-    From each place, of runs in the lexicon come first the rest of the text, then runs around each later connector in turn, then
-    the longest. Runs around a connector end where it starts, where it ends, or where the next one starts after it. A run
-    between connectors starts behind its connector, and what stands before it is taken along. Runs are of longest
-    syllables at most, so beyond that only the next run between connectors matters: the work grows with the text.
-    """
+def connected_parts(syllables: Syllables, trie: Trie, connectors: dict[str, int], longest: int):
+    """The parts that segment() describes, of each text of a batch."""
     from bisect import bisect_left, bisect_right
     from itertools import chain
 
-    widest = max(connectors.values(), default=1)
-
-    def parts_of(syllables: list[str], known: dict[str, str], lengths: dict[str, set[int]]):
-        n, (whole, offset) = len(syllables), places(syllables)
-
-        def run(a: int, z: int) -> str | None:
-            chunk = whole[offset[a] : offset[z]] if a < z <= a + longest else None
-            return chunk if chunk in known else None
+    import pyarrow as pa
 
-        spans = [(i, i + k) for i in range(n) for k in range(min(widest, n - i), 0, -1) if connectors.get(whole[offset[i] : offset[i + k]]) == k]
+    widest = max(connectors.values(), default=1)
+    found = [m.tolist() for m in syllables.matches(trie, longest)]
+    names = Trie(list(connectors), list(connectors))
+    standing = [[i for i in np.flatnonzero(m >= 0).tolist() if connectors[names.meanings[m[i]]] == k] for k, m in enumerate(syllables.matches(names, widest), 1)]
+    every = sorted(((i, i + k) for k, places in enumerate(standing, 1) for i in places), key=lambda s: (s[0], -s[1]))
+    first_span = np.searchsorted([a for a, _ in every], syllables.rows).tolist() if every else [0] * len(syllables.rows)
+    out_starts, out_ends, out_entries, reasons = [], [], [], []
+
+    def run(a: int, z: int) -> int:
+        return found[z - a - 1][a] if a < z <= a + longest else -1
+
+    for row, (at, n) in enumerate(zip(syllables.rows[:-1].tolist(), syllables.rows[1:].tolist(), strict=True)):
+        spans = every[first_span[row] : first_span[row + 1]]
         starts = [a for a, _ in spans]
         after = [starts[j] if (j := bisect_right(starts, z)) < len(starts) else n for _, z in spans]
-        between = [k for k, ((_, z), stop) in enumerate(zip(spans, after, strict=True)) if run(z, stop)]
-        at, chunks, meanings, reasons = 0, [], [], []
+        between = [k for k, ((_, z), stop) in enumerate(zip(spans, after, strict=True)) if run(z, stop) >= 0]
 
-        def around():
-            first = bisect_left(starts, at - widest)
-            for k in range(first, len(spans)):
+        def around(at: int, spans=spans, starts=starts, after=after, between=between):
+            for k in range(bisect_left(starts, at - widest), len(spans)):
                 (a, z), stop = spans[k], after[k]
                 if a > at + longest:
                     later = bisect_left(between, k)
@@ -227,15 +228,52 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
                     yield z, stop, "between connectors"
 
         while at < n:
-            tries = chain([(at, n, "rest")], around(), ((at, e, "longest") for e in range(min(n, at + longest), at, -1)))
-            hit = next(((z, chunk, why) for a, z, why in tries if (chunk := run(a, z))), None)
-            chunks.append(hit[1] if hit else syllables[at])
-            meanings.append(known[hit[1]] if hit else "??")
-            reasons.append(hit[2] if hit else "stuck")
-            at = hit[0] if hit else at + 1
-        return chunks, meanings, reasons
+            tries = chain([(at, n, "rest")], around(at), ((at, e, "longest") for e in range(min(n, at + longest), at, -1)))
+            a, z, entry, why = next(((a, z, e, why) for a, z, why in tries if (e := run(a, z)) >= 0), (at, at + 1, -1, "stuck"))
+            out_starts.append(a)
+            out_ends.append(z)
+            out_entries.append(entry)
+            reasons.append(why)
+            at = z
+    return *(np.array(x, np.int64) for x in (out_starts, out_ends, out_entries)), pa.array(reasons, pa.string())
+
 
-    return segmented(texts, lexicon, longest, parts_of)
+def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], longest: int) -> DataFrame:
+    """(doc_id, parts) with connectors (and their numbers of syllables) first.
+
+    From each place, of runs in the lexicon come first the rest of the text, then runs around each later connector in turn, then
+    the longest. Runs around a connector end where it starts, where it ends, or where the next one starts after it. A run
+    between connectors starts behind its connector, and what stands before it is taken along. Runs are of longest
+    syllables at most, so beyond that only the next run between connectors matters: the work grows with the text.
+    """
+    return segmented(texts, lexicon, longest, lambda syllables, trie: connected_parts(syllables, trie, connectors, longest))
+
+
+def register_segment_text(spark: SparkSession, lexicon: DataFrame, connectors: dict[str, int], longest: int, name: str = "segment_text", most_sent: int = MOST_SENT) -> None:
+    """segment() as a table function for SQL: name(text) gives the parts (place, chunk, meaning, reason) of a native text, none of a null one.
+
+    `SELECT d.id, s.* FROM docs d, LATERAL segment_text(d.text) s`. The lexicon goes to each worker once; one whose trie takes more
+    than most_sent bytes is refused: such texts go through segment(), which joins.
+    """
+    entries = entries_of(lexicon)
+    if trie_bytes(entries) > most_sent:
+        raise ValueError("the lexicon is too large to be sent; use segment()")
+    sent = spark.sparkContext.broadcast(trie_of(entries))
+
+    class SegmentText:
+        def eval(self, native: str):
+            import pyarrow as pa
+
+            if native is None:
+                return
+            syllables = Syllables(pa.array([text.syllables_of(native)], pa.list_(pa.string())))
+            trie = sent.value
+            starts, ends, entry, reasons = connected_parts(syllables, trie, connectors, longest)
+            chunks = syllables.chunks(starts, ends).to_pylist()
+            for place, (chunk, e, why) in enumerate(zip(chunks, entry.tolist(), reasons.to_pylist(), strict=True)):
+                yield place, chunk, trie.meanings[e] if e >= 0 else "??", why
+
+    spark.udtf.register(name, F.udtf(SegmentText, returnType="place int, chunk string, meaning string, reason string", useArrow=True))
 
 
 def unresolved(parts: DataFrame) -> DataFrame:
@@ -368,54 +406,114 @@ def cache_latest(updates: DataFrame) -> DataFrame:
     return updates.groupBy("cache_key").agg(F.max_by("result", F.struct("updated_at", "result")).alias("result"), F.max("updated_at").alias("updated_at"))
 
 
+#: Where candidates stand in a page, in order: tag, class and attribute that an element must have (fixed values).
+SELECTORS = [
+    ("span", "translation__snippet", None), (None, None, ("data-element", "phraseTranslation")), (None, "translation", None),
+    ("li", None, None), ("p", None, None), ("h2", None, None), ("h3", None, None),
+]
+#: The element whose strong texts come first, and elements that never hold anything (fixed values).
+SUMMARY = "content-summary"
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+
+
 def html_candidates(pages: DataFrame, direction: str = "ksw-to-en", most: int = 8) -> DataFrame:
-    """(page_id, candidates): texts of marked, list, paragraph and heading elements that may be translations, the first ones."""
+    """(page_id, candidates) of pages (page_id, html, and query if there): the first texts that may be translations of the query.
+
+    First the strong texts of the page's summary but the query itself, then what each selector finds, one after the other and each in document
+    order; of pages with fewer than three such texts, then all their lines. Texts come once, stripped of bullets, and
+    in one script where both are mixed. A null page has none.
+    """
     import pandas as pd
     from pyspark.sql.types import ArrayType, StringType
 
     @F.pandas_udf(ArrayType(StringType()))
-    def texts(html: pd.Series) -> pd.Series:
-        return html.map(element_texts, na_action="ignore")
+    def texts(html: pd.Series, query: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else candidate_texts(h, q or "") for h, q in zip(html, query, strict=True)])
 
-    rows = pages.select("page_id", F.posexplode(texts("html")).alias("pos", "t"))
-    plain = F.regexp_replace(text.clean_visible_text(F.col("t")), r"^[ \-*•|]+|[ \-*•|]+$", "")
+    query = F.col("query") if "query" in pages.columns else F.lit("")
+    rows = pages.select("page_id", F.posexplode(texts("html", query)).alias("pos", "t"))
+    plain = F.btrim("t", F.lit(" -*•|"))
     mixed = plain.rlike(text.NATIVE_LETTER) & plain.rlike(text.LATIN_LETTER)
-    alone = F.btrim(F.regexp_replace(F.regexp_replace(plain, text.NATIVE_LETTER, " "), r"\s+", " "))
+    alone = text.clean_visible_text(F.btrim(F.regexp_replace(plain, text.NATIVE_LETTER, " "), F.lit(" -*•|·,;:")))
     kept = rows.withColumn("t", F.when(mixed, alone).otherwise(plain) if direction == "ksw-to-en" else plain).where(text.is_useful_result(F.col("t"), F.lit(direction)))
     first = kept.groupBy("page_id", "t").agg(F.min("pos").alias("pos"))
     return first.groupBy("page_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "t"))), 1, most)["t"].alias("candidates"))
 
 
-def element_texts(html: str) -> list[str]:
-    """Texts of the elements that hold candidates, in document order; of pages with fewer than three, all text lines."""
+class Element:
+    """An element of a page: its strings are those from one number on to another, in document order."""
+
+    def __init__(self, tag: str, marks: dict, start: int):
+        self.tag, self.marks, self.start, self.end = tag, marks, start, None
+
+    def fits(self, tag, of_class, mark) -> bool:
+        if tag and self.tag != tag or of_class and of_class not in (self.marks.get("class") or "").split():
+            return False
+        return not mark or self.marks.get(mark[0]) == mark[1]
+
+
+def page_tree(html: str) -> tuple[list[Element], list[str]]:
+    """The elements of a page and its visible strings, stripped, both in document order. An end tag closes all that is open inside of its element."""
     from html.parser import HTMLParser
 
-    class Collect(HTMLParser):
+    class Tree(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.open, self.done, self.lines, self.hidden = [], [], [], 0
+            self.elements, self.strings, self.open, self.held = [], [], [], []
+
+        def flush(self):
+            piece = "".join(self.held).strip()
+            if piece and not any(e.tag in ("script", "style", "template") for e in self.open):
+                self.strings.append(piece)
+            self.held.clear()
 
         def handle_starttag(self, tag, attrs):
-            marks = dict(attrs)
-            self.hidden += tag in ("script", "style")
-            if tag in ("li", "p", "h2", "h3") or "translation" in (marks.get("class") or "") or marks.get("data-element") == "phraseTranslation":
-                self.done.append([])
-                self.open.append((tag, self.done[-1]))
+            self.flush()
+            made = Element(tag, dict(reversed(attrs)), len(self.strings))
+            self.elements.append(made)
+            if tag in VOID:
+                made.end = made.start
+            else:
+                self.open.append(made)
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
 
         def handle_endtag(self, tag):
-            self.hidden -= tag in ("script", "style") and self.hidden > 0
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-            if at is not None:
-                del self.open[at:]
+            self.flush()
+            if any(e.tag == tag for e in self.open):
+                while (last := self.open.pop()).tag != tag:
+                    last.end = len(self.strings)
+                last.end = len(self.strings)
 
         def handle_data(self, data):
-            if self.hidden:
-                return
-            self.lines.append(data)
-            for _, parts in self.open:
-                parts.append(data)
-
-    c = Collect()
-    c.feed(html)
-    found = [" ".join(p) for p in c.done if any(x.strip() for x in p)]
-    return found if len(found) >= 3 else found + [x for x in c.lines if x.strip()]
+            self.held.append(data)
+
+        def handle_comment(self, data):
+            self.flush()
+
+        handle_decl = handle_pi = unknown_decl = handle_comment
+
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+    tree.flush()
+    for e in tree.open:
+        e.end = len(tree.strings)
+    return tree.elements, tree.strings
+
+
+def candidate_texts(html: str, query: str) -> list[str]:
+    """The texts of the summary and of the selectors' elements, squeezed, in order; of pages with fewer than three, all lines after them."""
+    elements, strings = page_tree(html)
+    squeezed = lambda parts: " ".join(" ".join(parts).split())
+    of = lambda e: squeezed(strings[e.start : e.end])
+    found: list[str] = []
+    at = next((k for k, e in enumerate(elements) if e.marks.get("id") == SUMMARY), None)
+    if at is not None:
+        inside = [e for e in elements[at + 1 :] if e.end <= elements[at].end and e.start >= elements[at].start and e.tag == "strong"]
+        found = [t for t in map(of, inside) if t and t.lower() != query.lower()]
+    for rule in SELECTORS:
+        found += [t for e in elements if e.fits(*rule) and (t := of(e))]
+    return found if len(found) >= 3 else found + [t for s in strings for line in s.splitlines() if (t := squeezed([line]))]

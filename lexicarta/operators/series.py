@@ -1,17 +1,19 @@
 """Operators over ordered rows: scores, indexes, runs, islands, paragraphs, collation order."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions import collation, text
+from lexicarta.operators.ranking import with_places
 
 
 def keyword_scores(docs: DataFrame, known: DataFrame, k: int = 14) -> DataFrame:
     """(doc_id, token, score, rank): the k best tokens of each of docs (doc_id, tokens, asked).
 
-    A token counts 1 each time, 4 more if asked for and 6 more if known; short ones, numbers and stopwords don't count.
+    A token counts 1 each time, 4 more if asked for and 6 more if known; short ones, numbers and stopwords don't count. Documents are dealt out
+    once, by id; counting and ranking stay where they lie.
     """
-    rows = docs.select("doc_id", "asked", F.explode("tokens").alias("token"))
+    rows = docs.repartition("doc_id").select("doc_id", "asked", F.explode("tokens").alias("token"))
     rows = rows.where((F.length("token") >= 3) & ~F.col("token").isin(text.STOPWORDS) & ~F.col("token").rlike("^[0-9]+$"))
     counted = rows.groupBy("doc_id", "token").agg(F.sum(F.lit(1) + F.when(F.array_contains("asked", F.col("token")), 4).otherwise(0)).alias("score"), F.count(F.lit(1)).alias("n"))
     scored = counted.join(known.select("token", F.lit(6).alias("bonus")), "token", "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0)) * F.col("n"))
@@ -35,6 +37,33 @@ def inverted_index(df: DataFrame, key: str, column: str, n: int = 3, least: int
     return rows.select(F.lower("word").alias("word"), key)
 
 
+def posting_lists(index: DataFrame, size: int = 1024) -> DataFrame:
+    """(word, chunk, n, first, gaps): the index (word, file, line_no) as ordered lists, size keys in a chunk.
+
+    first is a chunk's first key; gaps code the others: the step in file, and the step in line, or the line itself in another file. Keys
+    have their places in a word's list by range partitions, so a word of any frequency is as many chunks as it needs.
+    """
+    placed = with_places(index.select("word", "file", "line_no"), ["file", "line_no"], ["word"])
+    chunk = (F.col("place") / size).cast("long")
+    listed = placed.groupBy("word", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("file", "line_no"))).alias("keys"))
+
+    def gap(key: Column, i: Column) -> Column:
+        last = F.element_at("keys", i + 1)  # keys without the first, so this is the one before
+        return F.struct((key["file"] - last["file"]).alias("files"), F.when(key["file"] == last["file"], key["line_no"] - last["line_no"]).otherwise(key["line_no"]).alias("lines"))
+
+    return listed.select("word", "chunk", F.size("keys").alias("n"), F.get("keys", F.lit(0)).alias("first"), F.transform(F.slice("keys", 2, size), gap).alias("gaps"))
+
+
+def posting_keys(lists: DataFrame) -> DataFrame:
+    """(word, chunk, keys): posting lists decoded, keys as structs (file, line_no) in order."""
+
+    def add(keys: Column, g: Column) -> Column:
+        last = F.element_at(keys, -1)
+        return F.concat(keys, F.array(F.struct((last["file"] + g["files"]).alias("file"), F.when(g["files"] == 0, last["line_no"] + g["lines"]).otherwise(g["lines"]).alias("line_no"))))
+
+    return lists.select("word", "chunk", F.aggregate("gaps", F.array("first"), add).alias("keys"))
+
+
 def parse_stats(rows: DataFrame, column: str) -> DataFrame:
     """One row: lines, those whose column was parsed, and those skipped (null)."""
     return rows.agg(F.count(F.lit(1)).alias("lines"), F.count(column).alias("parsed"), F.count_if(F.col(column).isNull()).alias("skipped"))
@@ -75,9 +104,9 @@ def content_bounds(df: DataFrame, frac: float = 0.1) -> DataFrame:
 
 
 def collation_sort(df: DataFrame, column: str, tie: str) -> DataFrame:
-    """df in dictionary order of a column, ties by another, with the four ranks."""
+    """df with the four ranks of a column and its place, from 0, in dictionary order, ties by another column."""
     keyed = df.withColumn("key", collation.collation_key(F.col(column))).select("*", "key.*").drop("key")
-    return keyed.orderBy("consonant", "tone", "vowel", "medial", tie)
+    return with_places(keyed, ["consonant", "tone", "vowel", "medial", tie])
 
 
 def paragraphs(texts: DataFrame, least: int = 300, most: int = 50, mark: str = "း") -> DataFrame:

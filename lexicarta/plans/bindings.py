@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where the table comes in fewer pieces than there are cores, as a file of one row group does."""
+    d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary entries: a document's first word is the key, its lines are the definitions."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     text = F.coalesce("text", F.lit(""))
     return d.select(
         F.col("doc_id").alias("pos"),
@@ -34,7 +40,7 @@ ENTRIES = """entries AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, line_no, raw): the lines of each document."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
 
 
@@ -45,7 +51,7 @@ LINES = """lines AS (
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, word): runs of a-z of each lower-cased text."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "word"))
 
 

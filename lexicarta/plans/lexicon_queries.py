@@ -81,7 +81,7 @@ def lookup_sources(spark, d):
 
 def syllable_texts(spark, d):
     """(doc_id, syllables): each document as native syllables."""
-    return b.table(spark, d, "documents").select("doc_id", text.split_syllables(F.translate(F.lower("text"), b.LATIN, b.NATIVE)).alias("syllables"))
+    return b.documents(spark, d).select("doc_id", text.split_syllables(F.translate(F.lower("text"), b.LATIN, b.NATIVE)).alias("syllables"))
 
 
 SYL_SQL = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace({t}, '[^က-႟]+', ' ', 'g'), '([" + text.CONSONANTS + "])', ' \\1', 'g')), ' '), lambda x: x <> ''), ' ')"
@@ -125,6 +125,14 @@ def segment(spark, d):
     return parts.select("doc_id", F.to_json("parts").alias("parts"), text.short_gloss(F.col("parts.meaning")).alias("gloss"))
 
 
+@query("segment_text")
+def segment_text(spark, d):
+    """Each document's parts by the table function, in SQL."""
+    ops.register_segment_text(spark, lexicon(spark, d), CONNECTORS, 6)
+    native = b.documents(spark, d).select("doc_id", F.translate(F.lower("text"), b.LATIN, b.NATIVE).alias("native"))
+    return spark.sql("SELECT doc_id, place, chunk, meaning, reason FROM {native} d, LATERAL segment_text(d.native)", native=native)
+
+
 @query("segment_greedy")
 def segment_greedy(spark, d):
     return ops.segment_greedy(syllable_texts(spark, d), lexicon(spark, d), 6).select("doc_id", F.to_json("parts").alias("parts"))

@@ -48,7 +48,7 @@ s AS (SELECT doc_id, token, sum(1 + CASE WHEN list_contains(asked, token) THEN 4
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS INTEGER) AS rank FROM s)
 SELECT doc_id, token, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 14""")
 def keyword_scores(spark, d):
-    docs = b.table(spark, d, "documents").select("doc_id", text.split_tokens(F.col("text")).alias("tokens"))
+    docs = b.documents(spark, d).select("doc_id", text.split_tokens(F.col("text")).alias("tokens"))
     known = b.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("token")).select(F.lower("token").alias("token")).distinct()
     return series.keyword_scores(docs.withColumn("asked", F.slice("tokens", 1, 3)), known)
 
@@ -170,9 +170,9 @@ def sql_rank(col, chars, first=0):
 @query("collation_sort", "WITH " + b.VOCABULARY + BARE + PARTS + f""", k AS (SELECT word, {sql_rank('consonant', collation.CONSONANT)} AS c,
   CASE WHEN tone = '' THEN 0 ELSE {sql_rank('tone', collation.TONE, 1)} END AS t, {sql_rank('vowel', collation.VOWEL)} AS v,
   coalesce(list_min(list_transform(string_split(medials, ''), lambda m: CASE WHEN m = '' THEN 99 ELSE instr('{collation.MEDIAL}', m) - 1 END)), 99) AS m FROM p)
-SELECT word, CAST(c AS INTEGER) AS consonant, CAST(t AS INTEGER) AS tone, CAST(v AS INTEGER) AS vowel, CAST(m AS INTEGER) AS medial FROM k""")
+SELECT word, CAST(c AS INTEGER) AS consonant, CAST(t AS INTEGER) AS tone, CAST(v AS INTEGER) AS vowel, CAST(m AS INTEGER) AS medial, row_number() OVER (ORDER BY c, t, v, m, word) - 1 AS place FROM k""")
 def collation_sort(spark, d):
-    return series.collation_sort(marked(spark, d), "native", "word").select("word", "consonant", "tone", "vowel", "medial")
+    return series.collation_sort(marked(spark, d), "native", "word").select("word", "consonant", "tone", "vowel", "medial", "place")
 
 
 LEVELS = {"consonant": ("ကခဂဃငစဆၡညတထဒနပဖဘမယရလဝသဟအဧ", 0), "tone": ("ါၒၓးၔၕ", 1), "vowel": ("ံၢုူ့ဲိီ", 0)}
@@ -214,13 +214,31 @@ def page_lines(spark, d):
     return b.lines(spark, d).select("file", "line_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
 
 
-@query("inverted_index", "WITH " + b.LINES + """, w AS (
-  SELECT file, line_no, unnest(list_slice(list_filter(string_split(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 3)) AS word FROM lines)
-SELECT lower(word) AS word, count(*) AS n, min(file * 100000 + line_no) AS first_key, max(file * 100000 + line_no) AS last_key FROM w WHERE length(word) > 2 GROUP BY lower(word)""")
+INDEX = b.LINES + """, w AS (
+  SELECT file, line_no, unnest(list_slice(list_filter(string_split(regexp_replace(raw, '[^A-Za-z]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 3)) AS word FROM lines)"""
+
+
+def indexed(spark, d):
+    """(word, file, line_no) of the lines' first words."""
+    keyed = b.lines(spark, d).select(F.struct("file", "line_no").alias("key"), "raw")
+    return series.inverted_index(keyed, "key", "raw").select("word", "key.*")
+
+
+@query("inverted_index", "WITH " + INDEX + """
+SELECT lower(word) AS word, count(*) AS n, arg_min(file || ':' || line_no, [file, line_no]) AS first_key, arg_max(file || ':' || line_no, [file, line_no]) AS last_key FROM w WHERE length(word) > 2 GROUP BY lower(word)""")
 def inverted_index(spark, d):
-    keyed = b.lines(spark, d).select((F.col("file") * 100000 + F.col("line_no")).alias("key"), "raw")
-    index = series.inverted_index(keyed, "key", "raw")
-    return index.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    key = F.struct("file", "line_no")
+    shown = lambda k: F.concat_ws(":", k["file"].cast("string"), k["line_no"].cast("string"))
+    return indexed(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"), shown(F.min(key)).alias("first_key"), shown(F.max(key)).alias("last_key"))
+
+
+@query("posting_lists", "WITH " + INDEX + """, r AS (SELECT lower(word) AS word, file, line_no, row_number() OVER (PARTITION BY lower(word) ORDER BY file, line_no) - 1 AS place FROM w WHERE length(word) > 2)
+SELECT word, place // 256 AS chunk, count(*) AS n, string_agg(file || ':' || line_no, ' ' ORDER BY file, line_no) AS keys FROM r GROUP BY word, place // 256""")
+def posting_lists(spark, d):
+    """The index as delta-coded lists of 256 keys a chunk, decoded again."""
+    lists = series.posting_keys(series.posting_lists(indexed(spark, d), 256))
+    shown = F.transform("keys", lambda k: F.concat_ws(":", k["file"].cast("string"), k["line_no"].cast("string")))
+    return lists.select("word", "chunk", F.size("keys").cast("long").alias("n"), F.array_join(shown, " ").alias("keys"))
 
 
 @query("font_runs", "WITH " + b.NATIVE_WORDS + """, g AS (SELECT doc_id, pos, word, length(word) % 2 = 0 AS own FROM words),

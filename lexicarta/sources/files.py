@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a fresh folder: worked out once, whatever reads it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_entries(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """(file, pos, entry fields) of JSON arrays of entries, one in a file or, not whole, one in a line; broken ones give no rows."""
     raw = spark.read.option("wholetext", whole).text(path).select(F.col("_metadata.file_path").alias("file"), "value")

@@ -1,7 +1,9 @@
 """Operators of entries, lexicons, detections and files on small cases: long connectors, lexicons beyond the bound, corrections of any length."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,83 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         files.scratch(Elsewhere(), "x")
+
+
+def test_repeats_of_long_texts_by_both_ways(monkeypatch):
+    from lexicarta.functions import repeats
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab", "a", "b", "abc", "c"]) * rng.choice([1, 1, 2, 4, 8]) for _ in range(rng.randrange(0, 9))) for _ in range(600)]
+    short = [repeats.collapse_repeats(t) for t in texts]
+    monkeypatch.setattr(repeats, "SHORT", -1)
+    assert [repeats.collapse_repeats(t) for t in texts] == short
+    began = time.time()
+    for t in ("a" * 100_000 + "b", "".join(rng.choice("ab") for _ in range(100_000)), "".join(rng.choice("abcdefgh") for _ in range(100_000))):
+        repeats.collapse_repeats(t)
+    assert time.time() - began < 20
+
+
+def test_all_runs_by_hand():
+    from lexicarta.functions.repeats import all_runs
+
+    rng = random.Random(7)
+    for _ in range(300):
+        t = [rng.randrange(rng.choice([1, 2, 3])) for _ in range(rng.randrange(0, 40))]
+        want = set()
+        for p in range(1, len(t) // 2 + 1):
+            for s in range(len(t)):
+                e = s + p
+                while e < len(t) and t[e] == t[e - p]:
+                    e += 1
+                first = s == 0 or s + p - 1 >= len(t) or t[s - 1] != t[s + p - 1]
+                if e - s >= 2 * p and first and not any(all(t[i] == t[i + q] for i in range(s, e - q)) for q in range(1, p)):
+                    want.add((s, e, p))
+        assert set(zip(*(x.tolist() for x in all_runs(np.array(t, np.int64))))) == want
+
+
+def test_places_in_a_global_order(spark):
+    from lexicarta.operators.ranking import with_places
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.randrange(10**6), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v long, k int").repartition(7)
+    everyone = {r.k: r.place for r in with_places(df, ["v", "k"]).collect()}
+    assert everyone == {k: i for i, (_, _, k) in enumerate(sorted(rows, key=lambda r: r[1:]))}
+    grouped = {r.k: r.place for r in with_places(df, ["v", "k"], ["g"]).collect()}
+    for g in ("a", "b", None):
+        assert [grouped[k] for _, k in sorted((v, k) for x, v, k in rows if x == g)] == list(range(sum(x == g for x, _, _ in rows)))
+    assert with_places(df.limit(0), ["v"]).count() == 0
+
+
+def test_posting_lists_decode(spark):
+    rng = random.Random(9)
+    rows = sorted({(rng.choice("ab"), rng.randrange(4), rng.randrange(60)) for _ in range(200)})
+    lists = series.posting_lists(spark.createDataFrame(rows, "word string, file long, line_no int"), size=16)
+    got = [(r.word, r.chunk, tuple(k)) for r in series.posting_keys(lists).collect() for k in r["keys"]]
+    for word in "ab":
+        own = [(f, n) for w, f, n in rows if w == word]
+        assert [k for w, _, k in sorted(got) if w == word] == own and max(c for w, c, _ in got if w == word) == (len(own) - 1) // 16
+    assert all(r.n <= 16 and len(r.gaps) == r.n - 1 for r in lists.collect())
+
+
+def test_suppression_of_one_chain(spark):
+    n = 3000  # each box meets the next two; every third stays
+    rows = [(1, i, 1.0 - i / n, 10 * i, 7 * (i % 2), 10 * i + 34, 7 * (i % 2) + 40) for i in range(n)] + [(2, n + i, 0.5, 0, 0, 10, 10) for i in range(3)]
+    df = spark.createDataFrame(rows, "image long, event_id long, conf double, x1 int, y1 int, x2 int, y2 int")
+    whole = {r.event_id for r in detections.nms(df, 0.2).collect()}
+    assert {r.event_id for r in detections.nms(df, 0.2, boxes_at_once=700).collect()} == whole and len(whole) < n / 2
+
+
+def test_candidates_in_the_order_of_selectors(spark):
+    html = (
+        "<ul><li>first item</li></ul><div id='content-summary'><b>bold</b><strong>Query</strong><strong> sum <i>mary</i> </strong></div><strong>outside</strong>"
+        "<span class='x translation__snippet y'>snippet</span><span class='not-translation'>no class</span><div class='translation'>classed<br>twice</div>"
+        "<q data-element='phraseTranslation'>phrase &amp; one</q><h3>three</h3><p>para<p>nested</div><h2>two</h2><script>li = '<li>x</li>'</script><!-- <li>gone</li> -->"
+    )
+    rows = [(1, html, "query"), (2, "<p>only one</p>tail\nnext", "q"), (3, None, "q"), (4, "", None), (5, "<li>- က mixed; -</li><li>တ</li><li>home</li><li>" + "x" * 200 + "</li>", "")]
+    df = spark.createDataFrame(rows, "page_id int, html string, query string")
+    got = {r.page_id: r.candidates for r in lexicon.html_candidates(df, most=20).collect()}
+    assert got[1] == ["sum mary", "snippet", "phrase & one", "classed twice", "first item", "para nested two", "nested two", "two", "three"]
+    assert got[2] == ["only one", "tail", "next"] and got[5] == ["mixed"] and 3 not in got and 4 not in got
+    assert lexicon.html_candidates(df.where("page_id = 1"), most=2).first().candidates == ["sum mary", "snippet"]
+    assert lexicon.html_candidates(df.where("page_id = 1").drop("query"), most=1).first().candidates == ["Query"]
