@@ -191,8 +191,8 @@ def row_bucket_order(det: DataFrame, height: int = 60) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy("line", "x1", "event_id")))
 
 
-#: Boxes of an image that a task works through at once, if it can be cut.
-BOXES = 20_000
+#: Boxes of an image that a task works through at once, if it can be cut, and the side of the tiles in whose order boxes of larger images are dealt.
+BOXES, TILE = 20_000, 512
 
 
 def by_size(det: DataFrame, boxes: int) -> tuple[DataFrame, DataFrame | None]:
@@ -313,12 +313,13 @@ def nms_in_rounds(det: DataFrame, iou: float, boxes_at_once: int) -> DataFrame:
     """nms() of images of any size: boxes are decided in rounds over the pairs that overlap.
 
     A box goes once a stronger neighbour stays, and stays once all stronger neighbours are gone. A round decides in each band of an image (so many
-    boxes from the top) all that the band and earlier rounds determine, so rounds are as many as the bands that a chain of
+    boxes, tile by tile) all that the band and earlier rounds determine, so rounds are as many as the bands that a chain of
     decisions crosses. Pairs come from the cells of a grid; each round is a table in the shared folder.
     """
     import pandas as pd
 
-    boxes = with_places(det, ["y1", "event_id"], ["image"]).withColumn("band", F.expr(f"place div {boxes_at_once}"))
+    tile = [F.floor(F.col(c) / TILE) for c in ("y1", "x1")]
+    boxes = with_places(det.withColumns({"ty": tile[0], "tx": tile[1]}), ["ty", "tx", "x1", "event_id"], ["image"]).withColumn("band", F.expr(f"place div {boxes_at_once}"))
     boxes = written(boxes.select("image", "band", "event_id", "conf", "x1", "y1", "x2", "y2"), "boxes")
     close = iou_pairs(boxes, iou, exact=True)
     own = lambda s: boxes.select("image", F.col("event_id").alias(s), F.col("conf").alias(f"{s}_conf"), F.col("band").alias(f"{s}_band"))
