@@ -1,17 +1,19 @@
 """Secret scans: patterns, and dictionary-primed zstandard novelty.
 
 Beside the fixed patterns, each string of letters, digits and joining marks near a sensitive word, before or after it, is a candidate. Its
-novelty is what it adds, in compressed bytes, to a frame that has the text around it and a dictionary of common
-identifiers as its dictionary; strings that hardly compress against those are reported as well.
+novelty is what it adds, in compressed bytes a character, to the text around it, in a frame primed with a dictionary of identifiers: the
+words of a public vocabulary, the commonest nearest. Words of an identifier, cut at its marks, humps and digits, then cost a match each,
+and each letter of a random string costs itself. Strings that hardly compress against both are reported as well.
 """
 
+import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.llm.shared import map_rows
+from lexicarta.llm.shared import map_rows, worker_object
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns of the contract; letters of the assigned names come in either case.
@@ -21,17 +23,20 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Words that make a context sensitive, and what candidates look like.
 SENSITIVE = re.compile(r"(?ia)passw|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization")
 SHORTEST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
-#: Identifiers that code and configuration repeat, for the dictionary.
-IDENTIFIERS = (
-    "password passwd secret token api_key apikey access_key secret_key private_key client_id client_secret authorization bearer "
-    "username user_name localhost example.com https://www. http:// Content-Type application/json configuration environment "
-    "getElementById addEventListener setAttribute toString valueOf document window function return const require import "
-    "public static void String Integer Exception class extends implements interface self.assertEqual __init__ "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxx "
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+#: Dates, times and UUIDs, which are no secrets: what is left of a candidate without them counts.
+FORMS = re.compile(
+    r"(?:19|20)\d\d[-_/.]?[01]\d[-_/.]?[0-3]\d(?:[T_-]?[0-2]\d[-_.]?[0-5]\d(?:[-_.]?[0-5]\d)?Z?)?|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 )
-#: Code points between a sensitive word and a candidate at most, text around one in the dictionary, and novelty in bytes a character.
-REACH, AROUND, NOVELTY = 64, 256, 0.55
+#: Words of the vocabulary in the dictionary, those that stand in each frame before the text around, and the compressor's level.
+WORDS, CARRIED, LEVEL = 25_000, 60, 12
+#: Long candidates are measured in parts of so many characters, each against the same text around: a frame of random letters would soon expect them.
+PART = 64
+#: Series that people type, for the dictionary.
+SERIES = "abcdefghijklmnopqrstuvwxyz_0123456789_1234567890_qwertyuiop_asdfghjkl_zxcvbnm_00000000000000000000_xxxxxxxxxxxxxxxxxxxx_"
+#: Code points between a sensitive word and a candidate at most, text around one that counts, and novelty in bytes a character.
+#: At 1.0 about one in a hundred identifiers and paths is reported, and 99 of a hundred random keys of 20 characters or more.
+REACH, AROUND, NOVELTY = 64, 256, 1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -41,13 +46,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def novelty(candidate: str, around: str) -> float:
-    """Compressed bytes that the candidate adds, for each of its characters."""
-    import zstandard
+def identifier_words(path: str) -> list[str]:
+    """The words of a tokenizer's vocabulary, of 3 to 14 ASCII letters, commonest first."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    pieces = (p.removesuffix("</w>") for p in sorted(vocabulary, key=vocabulary.get))
+    return list(dict.fromkeys(p.lower() for p in pieces if 3 <= len(p) <= 14 and p.isascii() and p.isalpha()))[:WORDS]
 
-    known = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    size = lambda s: len(zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_checksum=False).compress(s))
-    return (size(candidate.encode()) - size(b"")) / len(candidate)
+
+def plain(s: str) -> str:
+    """A string as its words: cut at humps, before digits and at marks, in lower case."""
+    cut = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])", "_", s)
+    return re.sub(r"[^A-Za-z0-9]+", "_", cut).lower()
+
+
+class Novelty:
+    """What strings add to the text around them, in compressed bytes a character."""
+
+    def __init__(self, words: list[str]):
+        import zstandard
+
+        body = "_" + "_".join(reversed(words)) + "_" + SERIES
+        known = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=LEVEL)
+        self.frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.carrier = "_" + "_".join(words[:CARRIED]) + "_"
+
+    def size(self, text: str) -> int:
+        return len(self.frame.compress(text.encode()))
+
+    def of(self, candidate: str, around: str) -> float:
+        left = FORMS.sub("", candidate)
+        if len(left) < SHORTEST or not mixed(left):
+            return 0.0
+        before = f"{self.carrier}{plain(around)}_"
+        parts = range(0, max(1, len(left) - PART + 1), PART)  # the last one takes the rest
+        added = sum(self.size(f"{before}{plain(left[i : i + PART] if i < parts[-1] else left[i:])}_") for i in parts)
+        return (added - len(parts) * self.size(before)) / len(candidate)
 
 
 def mixed(s: str) -> bool:
@@ -55,43 +90,66 @@ def mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, novelty) of incompressible candidates that no base span covers.
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the stretches that spans (start, kind, end) cover together, in order."""
+    starts, ends = [], []
+    for a, _, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, novelty) of incompressible candidates that no base span meets.
 
     A candidate is an unbroken string of any length with a sensitive word within reach of either end, or inside, at most
-    one span each; only if it isn't novel as a whole (or meets a base span) is it tried from the words inside it on.
+    one span each; only if it isn't novel as a whole (or meets a base span) is it tried from each word inside it to the next.
     """
     words = [m.span() for m in SENSITIVE.finditer(text)]
     starts, out = [a for a, _ in words], []
+    covered, covered_to = merged(taken)
     for c in CANDIDATE.finditer(text) if words else ():
         first, end = c.span()
+        if end - first < SHORTEST:
+            continue
         n = bisect_right(starts, first)
         inside = starts[n : bisect_right(starts, end - SHORTEST)]
         after = bisect_right(starts, end - 1)
         if not inside and not (n and first <= words[n - 1][1] + REACH) and not (after < len(starts) and starts[after] <= end + REACH):
             continue
-        for at in (first, *inside):
-            if not mixed(text[at:end]) or any(a < end and at < b for a, _, b in taken):
+        for at, to in ((first, end), *zip(inside, [*inside[1:], end], strict=False)):
+            k = bisect_left(covered_to, at + 1)  # the first covered stretch that ends behind at
+            if to - at < SHORTEST or not mixed(text[at:to]) or k < len(covered) and covered[k] < to:
                 continue
-            worth = novelty(text[at:end], text[max(0, at - AROUND) : at] + text[end : end + AROUND])
+            worth = novelty.of(text[at:to], text[max(0, at - AROUND) : at] + " " + text[to : to + AROUND])
             if worth >= NOVELTY:
-                out.append((at, 3, end, worth))
+                out.append((at, 3, to, worth))
                 break
     return out
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(row, spans) of each row of docs: spans is an array of (kind, start, end, novelty), ends exclusive, in code points.
 
-    Spans come by start, then kind as in KINDS; novelty is null of the fixed patterns. A null text has no spans.
+    Spans come by start, then kind as in KINDS; novelty is null of the fixed patterns. A null text has no spans. vocabulary is the path of a
+    public tokenizer's file (JSON), for the dictionary of identifiers; word_bpe_49k.json if not given. Its words, WORDS at most, go to all tasks.
     Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    words = identifier_words(vocabulary)
 
     def spans(texts):
+        novelty = worker_object(("secrets", vocabulary), lambda: Novelty(words))
         out = []
         for t in texts:
             base = base_spans(t or "")
-            found = [(*s, None) for s in base] + novel_spans(t or "", base)
+            found = [(*s, None) for s in base] + novel_spans(t or "", base, novelty)
             out.append([{"kind": KINDS[k], "start": a, "end": b, "novelty": x} for a, k, b, x in sorted(found, key=lambda s: s[:3])])
         return [out]
 
