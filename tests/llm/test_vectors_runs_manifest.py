@@ -193,7 +193,7 @@ def test_runs_of_documents(spark):
 
 def test_runs_of_very_long_texts(spark):
     one, block = "a " * 400_000, " ".join(str(k) for k in range(1000)) + " "
-    df = spark.createDataFrame([(1, one), (2, block * 300), (3, " ".join(random.Random(1).choice("ab") for _ in range(200_000)))], "doc_id long, text string")
+    df = spark.createDataFrame([(1, one), (2, block * 300), (3, " ".join(random.Random(1).choices("ab", k=200_000)))], "doc_id long, text string")
     got = {r.row.doc_id: r for r in periodic_runs(df).collect()}
     assert [tuple(x) for x in got[1].runs] == [(0, 400_000, 1)] and got[1].collapsed == "a"
     assert [tuple(x) for x in got[2].runs] == [(0, 300_000, 1000)] and got[2].collapsed == block.strip()
