@@ -7,9 +7,9 @@
 3. Shingles get one global order, by how many of the sets left hold them, and sets keep those that others hold too.
    Their prefixes (the rarest shingles, one of which each linked pair has in common) go to groups: that of the
    smallest document with that shingle in its prefix. Large groups are cut into blocks, and pairs of blocks meet.
-4. In a task, sets in the global order (most frequent shingle first) form a prefix tree. Each set walks it, sharing
-   overlaps along common paths; a subtree is left when the shingles that remain can't reach the overlap asked for,
-   or all that it holds is already in the set's component.
+4. In a task, sets in the global order (most frequent shingle first) form a prefix tree. Each set walks it to the sets that share
+   enough of their rarest shingles with it, with overlaps shared along common paths; a subtree is left when the shingles
+   that remain can't reach the overlap asked for, and so are sets that are already in the set's component.
 5. The links found span each component; stars give the components.
 """
 
@@ -25,6 +25,10 @@ COUNTED = 1.35
 BLOCK = 2_000_000
 #: Bits of a shingle's hash below those of its frequency, in a number whose order is the global one.
 HASH_BITS = 57
+#: Of their rarest shingles, so many more than could differ are looked up, and as many must be shared.
+SHARED = 8
+#: Rows below a node that are compared at once.
+FEW = 256
 #: Ids that are broadcast at most (8 bytes each); more of them meet the texts in a sorted join.
 MOST_SENT = 1_000_000
 
@@ -78,6 +82,14 @@ class PrefixTree:
         self.width = len(names)
         self.common = np.array([self.prefix(a, b) for a, b in zip(self.rows, self.rows[1:], strict=False)], np.int64)
         self.nodes: dict = {}
+        # the rarest places of each row (its last ones), of which linked rows have some in common
+        spare = self.sizes * (100 - percent) // 100 - (self.sizes - self.lengths)
+        self.least_shared = np.minimum(SHARED, self.lengths - spare)
+        long = np.minimum(spare + self.least_shared, self.lengths)
+        row, place = np.repeat(np.arange(len(self.rows)), long), np.concatenate([r[len(r) - k :] for r, k in zip(self.rows, long, strict=True)] or [np.empty(0, np.int32)])
+        order = np.lexsort((row, place))
+        self.rare, self.holders = np.split(place, np.cumsum(long)[:-1]) if len(long) else [], row[order]
+        self.held_from = np.searchsorted(place[order], np.arange(self.width + 1))
 
     @staticmethod
     def prefix(a: np.ndarray, b: np.ndarray) -> int:
@@ -108,33 +120,73 @@ class PrefixTree:
         apart: the block of each set; only sets of different blocks meet.
         """
         n = len(self.rows)
-        group = np.arange(n)
+        root, members = np.arange(n), {i: np.array([i]) for i in range(n)}
         block = None if apart is None else np.asarray(apart)[self.at]
-        seen = np.zeros(self.width + 1, bool)
-        for i in range(n):
+        seen, alike = np.zeros(self.width + 1, bool), {}
+
+        def join(i: int, j: int) -> None:
+            """The smaller component takes the name of the larger."""
+            small, large = sorted((int(root[i]), int(root[j])), key=lambda c: len(members[c]))
+            root[members[small]] = large
+            members[large] = np.concatenate([members[large], members.pop(small)])
+
+        for i in range(n - 1):
             row, size = self.rows[i], int(self.sizes[i])
+            lists = []
+            for place in self.rare[i].tolist():
+                if place in alike and root[alike[place]] == root[i]:
+                    continue
+                own = self.holders[self.held_from[place] : self.held_from[place + 1]]
+                own = own[np.searchsorted(own, i, "right") :]
+                if not every and len(own):
+                    apart_from = own[root[own] != root[i]]
+                    if not len(apart_from):
+                        alike[place] = i  # from here on all holders are in one component, and stay so
+                    own = apart_from
+                lists.append(own)
+            others = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            if block is not None:
+                others = others[block[others] != block[i]]
+            if not len(others):
+                continue
+            held = np.bincount(others)
+            likely = np.flatnonzero(held)
+            likely = likely[held[likely] >= np.minimum(self.least_shared[likely], self.least_shared[i])]
+            if not len(likely):
+                continue
             seen[row] = True
-            stack = [(0, n, 0, 0)]
+            stack = [(0, n, 0, 0, likely)]
             while stack:
-                lo, hi, depth, overlap = stack.pop()
-                if hi <= i + 1 if every else (group[lo:hi] == group[i]).all():
+                lo, hi, depth, overlap, own = stack.pop()
+                if not every:
+                    own = own[root[own] != root[i]]
+                if len(own) <= FEW:
+                    for j, both in self.overlaps(own, depth, overlap, seen):
+                        if both >= self.needed(size, int(self.sizes[j])) and (every or root[i] != root[j]):
+                            yield self.at[i], self.at[j], both
+                            if not every:
+                                join(i, j)
                     continue
                 end, below = self.node(lo, hi)
-                path = self.rows[lo][depth:end]
-                overlap += int(np.count_nonzero(seen[path]))
-                if below is None:
-                    if lo != i and (block is None or block[lo] != block[i]) and overlap >= self.needed(size, int(self.sizes[lo])):
-                        yield self.at[i], self.at[lo], overlap
-                        if not every:
-                            group[group == group[lo]] = group[i]
-                    continue
+                overlap += int(np.count_nonzero(seen[self.rows[lo][depth:end]]))
                 # what remains of either can't exceed this; spans that don't reach the overlap asked for are left
                 ahead = len(row) - int(np.searchsorted(row, self.rows[lo][end - 1], "right")) if end else len(row)
                 starts, stops, least, longest = below
-                worth = np.flatnonzero(overlap + np.minimum(ahead, longest - end) >= self.needed(size, least))
-                stack.extend((a, b, end, overlap) for a, b in zip(starts[worth].tolist(), stops[worth].tolist(), strict=True))
+                worth = overlap + np.minimum(ahead, longest - end) >= self.needed(size, least)
+                child = np.searchsorted(starts, own, "right") - 1
+                for k in np.unique(child[worth[child]]).tolist():
+                    stack.append((int(starts[k]), int(stops[k]), end, overlap, own[child == k]))
             seen[row] = False
 
+    def overlaps(self, own: np.ndarray, depth: int, overlap: int, seen: np.ndarray):
+        """(row, overlap) of rows below a node: what they share up to it, and what each has from there on."""
+        if len(own):
+            tails = [self.rows[j][depth:] for j in own.tolist()]
+            counts = np.concatenate([[0], np.cumsum(seen[np.concatenate(tails)])])
+            ends = np.cumsum([len(t) for t in tails])
+            found = counts[ends] - counts[ends - np.array([len(t) for t in tails])] + overlap
+            yield from zip(own.tolist(), found.tolist(), strict=True)
+
 
 def links_of(groups: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b, n_a, n_b, both) of linked documents among the rows (leader, i, j, side, doc_id, n, shingles) of each (leader, i, j)."""

@@ -338,3 +338,38 @@ def test_digest_columns(spark, tmp_path):
     docs_of(spark, [(1, "a\nb"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.kept_sha256) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (2, hashlib.sha256(b"a\nb").hexdigest()), 2: (1, hashlib.sha256(b"").hexdigest())}
+
+
+def test_pages_of_one_template_are_told_apart_quickly():
+    """20,000 sets of 100 shingles, 70 of them the template's, of which no two link: slots hold one of 20 values."""
+    import time
+
+    rng = np.random.default_rng(2)
+    sets = [np.concatenate([np.arange(30) * 1000 + rng.integers(0, 20, 30), 10**6 + np.arange(70)]) for _ in range(20_000)]
+    began = time.time()
+    assert list(PrefixTree(sets, np.full(20_000, 100), 80).links()) == [] and time.time() - began < 60
+
+
+def test_links_span_components_whatever_is_shared():
+    rng = random.Random(4)
+    for _ in range(120):
+        percent, pool = rng.choice([50, 60, 80, 85]), rng.choice([12, 30, 60])
+        base = [rng.sample(range(pool), rng.randint(1, min(pool, 25))) for _ in range(6)]
+        sets = [np.array(sorted({*rng.choice(base), *rng.sample(range(pool), rng.randrange(0, 4))}), np.int64) for _ in range(rng.randint(1, 40))]
+        sizes = np.array([len(s) + rng.choice([0, 0, 1]) for s in sets])
+        both = lambda i, j: len(set(sets[i].tolist()) & set(sets[j].tolist()))
+        want = {(j, i) for i in range(len(sets)) for j in range(i) if 100 * both(i, j) >= percent * (sizes[i] + sizes[j] - both(i, j))}
+        side = np.array([rng.randrange(2) for _ in sets])
+        found = lambda *how: [tuple(sorted((i, j))) for i, j, _ in PrefixTree(sets, sizes, percent).links(*how)]
+        assert sorted(found(None, True)) == sorted(want) and sorted(found(side, True)) == sorted((a, b) for a, b in want if side[a] != side[b])
+        root = list(range(len(sets)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in want:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        names, spans = [top(x) for x in range(len(sets))], found()
+        assert set(spans) <= want and len(spans) == len(sets) - len(set(names))
