@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.llm.shared import map_rows, shingled, word_hashes, worker_object
+from lexicarta.llm.shared import map_rows, shingled, word_hashes, worker_object, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of 64 bits are two blocks of 32, which may differ in so many bits each; RADIUS is what that guarantees.
@@ -164,12 +164,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     Of each item the most similar window comes, the first of equals; a text shorter than the item is one window. Words are lower-cased A-Z and cut at ASCII white space.
     Items without an id, text or words match nothing, and neither do null texts; items of fewer words than a shingle
     count as one. Of items that repeat an id each row counts. A benchmark of more than PASS_WORDS words takes more
-    than one pass over the documents, each row meeting all items. Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
+    than one pass over the documents, each row meeting all items; each pass writes what it finds by the row's key. Each row gets its own result, with a null or repeated id too; an empty table gives an empty one.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     passes = -(-total // PASS_WORDS)
-    matched = docs.select(F.struct("*").alias("row"), F.array().cast(MATCHES).alias("matches"))
+    rows = docs.select(F.struct("*").alias("row"))
+    if passes > 1:
+        rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    found: list = []
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()  # about PASS_WORDS words
         sent = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part))
@@ -178,6 +181,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
             index = worker_object(key, lambda: Benchmark(sent.value, similarity))
             return [[index.matches(t) for t in texts]]
 
-        again = matched.select("row", "matches", F.col(f"row.{text}").alias("text"))
-        matched = map_rows(again, match, f"more {MATCHES}").select("row.row", F.concat("row.matches", "more").alias("matches"))
-    return matched
+        if passes == 1:
+            return map_rows(rows.select("row", F.col(f"row.{text}").alias("text")), match, f"matches {MATCHES}").select("row.row", "matches")
+        # a table a pass: no task ever holds the indexes of two
+        more = map_rows(rows.select("key", F.col(f"row.{text}").alias("text")), match, f"more {MATCHES}")
+        found.append(written(more.select("row.key", F.explode("more").alias("m")), "matches"))
+    none = F.array().cast(MATCHES)
+    if not found:
+        return rows.select("row", none.alias("matches"))
+    together = found[0]
+    for more in found[1:]:
+        together = together.unionByName(more)
+    listed = together.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("matches"))
+    return rows.join(listed, "key", "left").select("row", F.coalesce("matches", none).alias("matches"))

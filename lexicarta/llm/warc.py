@@ -68,17 +68,21 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
     The metadata block is of warc-fields: the source's status line, each of its header lines, its body's length and
     digest. The conversion block is the visible text. record is the whole record, headers and block, as written in
-    a WARC file. Repeated rows give repeated records; null bodies were made empty by page_responses.
+    a WARC file. A null or empty body is an empty one: its conversion block is empty, its length 0. Null or empty headers give
+    no status, header and media lines. Repeated rows give repeated records, and an empty table none. WARC-Source-Payload-Digest is no field of
+    the standard: it names the digest of the payload that a record was made from.
     """
+    blank = F.lit("")
+    responses = responses.withColumns({"body": F.coalesce("body", blank), "http_headers": F.coalesce("http_headers", blank)})
     lines = F.split("http_headers", CRLF)
-    status = F.element_at(lines, 1)
+    status = F.nullif(F.element_at(lines, 1), blank)
     fields = F.array_join(F.transform(F.filter(lines, lambda h, i: (i > 0) & (h != "")), lambda h: F.concat(F.lit("sourceHeader: "), h)), CRLF)
     media = F.nullif(F.regexp_extract("http_headers", r"(?i)\r\nContent-Type:\s*([^\r\n]*)", 1), F.lit(""))
     base = responses.select(
         "*",
         sha1_digest(F.col("body")).alias("payload_digest"),
         status.alias("status"),
-        fields.alias("fields"),
+        F.nullif(fields, blank).alias("fields"),
         media.alias("media"),
         visible_text(F.col("body")).alias("text"),
     )

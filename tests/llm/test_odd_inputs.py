@@ -161,3 +161,14 @@ def test_words_are_the_same_by_both_patterns():
     for _ in range(200):
         text = "".join(chr(rng.choice(points)) for _ in range(60))
         assert language_id.words_of(text) == language_id.word_pattern().findall(text.lower())
+
+
+def test_warc_of_null_bodies_and_headers(spark):
+    rows = [(1, "<urn:x>", "http://a/", "2024-01-01T00:00:00Z", None, None), (2, "<urn:y>", "http://b/", "2024-01-01T00:00:00Z", "HTTP/1.1 204 No Content\r\n\r\n", None), (3, "<urn:z>", "http://c/", "2024-01-01T00:00:00Z", "", "<p>x</p>")]
+    out = derivatives(spark.createDataFrame(rows, "page_id long, record_id string, target_uri string, date string, http_headers string, body string")).collect()
+    got = {(r.page_id, r.record_type): r for r in out}
+    none = "sha1:" + hashlib.sha1(b"").hexdigest()
+    assert got[1, "metadata"].block == f"sourceLength: 0\r\nsourceDigest: {none}\r\n"
+    assert got[2, "metadata"].block == f"sourceStatus: HTTP/1.1 204 No Content\r\nsourceLength: 0\r\nsourceDigest: {none}\r\n"
+    assert got[1, "conversion"].block == "" and got[3, "conversion"].block == "x" and got[1, "conversion"].content_length == 0
+    assert len(out) == 6 and all(r.record and "\r\n\r\n" in r.record and f"Content-Length: {r.content_length}\r\n" in r.record for r in out)

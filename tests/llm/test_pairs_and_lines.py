@@ -373,3 +373,19 @@ def test_links_span_components_whatever_is_shared():
             root[max(top(a), top(b))] = min(top(a), top(b))
         names, spans = [top(x) for x in range(len(sets))], found()
         assert set(spans) <= want and len(spans) == len(sets) - len(set(names))
+
+
+def test_decontamination_in_several_passes(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(40)]
+    benchmark = spark.createDataFrame([*items, (3, items[3][1]), (None, "x y z"), (50, None)], "item_id long, text string")
+    texts = [" ".join([*rng.choices(words, k=20), items[rng.randrange(40)][1], *rng.choices(words, k=5), items[rng.randrange(40)][1]]) for _ in range(30)]
+    rows = [*enumerate(texts), (None, texts[0]), (5, texts[6]), (5, texts[5]), (90, None), (91, "")]
+    run = lambda: sorted(((r.row.doc_id, r.row.text, [tuple(m) for m in r.matches]) for r in decontaminate(docs_of(spark, rows), benchmark).collect()), key=str)
+    once = run()
+    monkeypatch.setattr(decontaminate_module, "PASS_WORDS", 300)
+    assert run() == once and len(once) == len(rows) and sum(len(m) >= 2 for _, _, m in once) > 20
+    assert all([i for i, *_ in m] == sorted(i for i, *_ in m) for _, _, m in once)
+    plans = decontaminate(docs_of(spark, rows), benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plans  # each pass is a table of its own
