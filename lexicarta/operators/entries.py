@@ -335,3 +335,61 @@ def ledger_quality(ledger: DataFrame) -> DataFrame:
 def append_entries(df: DataFrame, new: DataFrame) -> DataFrame:
     """Entries with new ones behind them, repeats and all; columns that one side lacks are null there."""
     return df.unionByName(new, allowMissingColumns=True)
+
+
+def page_from_file(name: Column, offset: int = 0) -> Column:
+    """The first number in a file's name, moved by an offset; null without one, or if it is too large for a page."""
+    return F.nullif(F.regexp_extract(name, "[0-9]+", 0), F.lit("")).try_cast("int") + offset
+
+
+def safe_name(name: Column) -> Column:
+    """A file's name with one underscore for whatever isn't a letter, a digit, a dot or a joining mark."""
+    return F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_")
+
+
+def mime_type(extension: Column, kinds: dict[str, str], default: str = "application/octet-stream") -> Column:
+    """The type that an extension stands for, in any case, or the default."""
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(extension)), F.lit(default))
+
+
+def page_retention(df: DataFrame, last: int = 518) -> tuple[DataFrame, DataFrame]:
+    """Entries up to a page, with those of no page, and the others."""
+    keep = F.coalesce("page", F.lit(0)) <= last
+    return df.where(keep), df.where(~keep)
+
+
+def find_illegal_chars(df: DataFrame, banned: list[str]) -> DataFrame:
+    """(pos, karen, page) of entries whose key holds a banned string."""
+    found = F.lit(False)
+    for b in banned:
+        found = found | F.contains("karen", F.lit(b))
+    return df.where(found).select("pos", "karen", "page")
+
+
+def needs_review(df: DataFrame, n: int = 20) -> DataFrame:
+    """(pos, karen, reason, total): the first n flagged entries, and how many there are."""
+    flagged = df.where("flag")
+    total = F.broadcast(flagged.agg(F.count(F.lit(1)).alias("total")))  # one row
+    return flagged.orderBy("pos").limit(n).crossJoin(total).select("pos", "karen", F.lit("flagged").alias("reason"), "total")
+
+
+def truncated_definition(df: DataFrame) -> DataFrame:
+    """(pos, karen) of entries with a definition of more than five characters that doesn't end in a dot."""
+    return df.where(F.exists("definitions", lambda x: (F.length(x) > 5) & ~F.endswith(x, F.lit(".")))).select("pos", "karen")
+
+
+def skip_processed(items: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Items (key, ...) whose key isn't in a ledger (key)."""
+    return items.join(ledger.select("key").distinct(), "key", "left_anti")
+
+
+def dedupe_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """(columns, pos, n): rows that are equal in columns, nested ones too, as one, with the first place and their number."""
+    return df.groupBy(*columns).agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+
+
+def match_dictionary_lines(df: DataFrame, lines: DataFrame) -> DataFrame:
+    """(pos, karen, meaning): entries with what lines (file, line_no, karen, meaning) say of their key; the last line of a key counts."""
+    last = lines.groupBy("karen").agg(F.max_by("meaning", F.struct("file", "line_no")).alias("meaning"))
+    return df.join(last, "karen").select("pos", "karen", "meaning")

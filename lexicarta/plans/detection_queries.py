@@ -389,15 +389,16 @@ def scan_labels(spark, d):
     return files.read_labels(spark, path)
 
 
-@query("class_index_map", "SELECT replace(p_name, ' ', '_') AS name, count(*) AS n, min(p_partkey % 50) AS dataset FROM part GROUP BY 1")
+@query("class_index_map", """
+WITH p AS (SELECT DISTINCT p_partkey % 50 AS dataset, replace(p_name, ' ', '_') AS name FROM part)
+SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY name) - 1 AS INTEGER) AS class_idx, name FROM p""")
 def class_index_map(spark, d):
     """Dataset files of class lists, written from parts and read again; a class's number is its place in its file."""
     path = files.scratch(spark, "classes")
-    p = b.table(spark, d, "part").select(F.translate("p_name", " ", "_").alias("name"), (F.col("p_partkey") % 50).alias("dataset"))
-    listed = p.groupBy("name").agg(F.min("dataset").alias("dataset"), F.count(F.lit(1)).alias("n"))
-    listed.select(F.concat(F.lit("  - "), "name").alias("value")).write.text(path)
-    read = files.read_classes(spark, path).where("class_idx >= 0").select("name").distinct()
-    return read.join(listed, "name").select("name", "n", "dataset")
+    p = b.table(spark, d, "part").select((F.col("p_partkey") % 50).alias("dataset"), F.concat(F.lit("  - "), F.translate("p_name", " ", "_")).alias("name"))
+    listed = p.groupBy("dataset").agg(F.array_join(F.sort_array(F.collect_set("name")), "\n").alias("value"))
+    listed.repartition("dataset").select("dataset", F.concat(F.lit("names:\n"), "value").alias("value")).write.partitionBy("dataset").text(path)
+    return files.read_classes(spark, path).select(F.regexp_extract("file", "dataset=([0-9]+)", 1).cast("long").alias("dataset"), "class_idx", "name")
 
 
 @query("scan_detections", DET + """

@@ -161,15 +161,14 @@ def view_entries(spark, d):
 @query("page_from_file", """
 SELECT page_id, CASE WHEN m = '' THEN NULL ELSE TRY_CAST(m AS INTEGER) + 2 END AS page FROM (SELECT page_id, coalesce(regexp_extract(url, '[0-9]+', 0), '') AS m FROM pages)""")
 def page_from_file(spark, d):
-    return b.table(spark, d, "pages").select("page_id", (F.expr("try_cast(nullif(regexp_extract(url, '[0-9]+', 0), '') as int)") + 2).alias("page"))
+    return b.table(spark, d, "pages").select("page_id", ops.page_from_file(F.col("url"), 2).alias("page"))
 
 
 @query("safe_name", """
 SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS name, CASE lower(regexp_extract(url, '\\.([a-z]+)/', 1)) WHEN 'com' THEN 'image/jpeg' WHEN 'net' THEN 'image/png' ELSE 'application/octet-stream' END AS mime FROM pages""")
 def safe_name(spark, d):
-    kinds = F.create_map(*[F.lit(x) for x in ("com", "image/jpeg", "net", "image/png")])
-    ext = F.lower(F.regexp_extract("url", r"\.([a-z]+)/", 1))
-    return b.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[^A-Za-z0-9._-]+", "_").alias("name"), F.coalesce(F.try_element_at(kinds, ext), F.lit("application/octet-stream")).alias("mime"))
+    mime = ops.mime_type(F.regexp_extract("url", r"\.([a-z]+)/", 1), {"com": "image/jpeg", "net": "image/png"})
+    return b.table(spark, d, "pages").select("page_id", ops.safe_name(F.col("url")).alias("name"), mime.alias("mime"))
 
 
 @query("parse_model_output", WITH + """
@@ -240,14 +239,13 @@ def search_entries(spark, d):
 
 @query("page_retention", WITH + "SELECT pos, page, coalesce(page, 0) <= 518 AS kept FROM entries")
 def page_retention(spark, d):
-    e = b.entries(spark, d)
-    keep = F.coalesce("page", F.lit(0)) <= 518
-    return e.where(keep).select("pos", "page", F.lit(True).alias("kept")).unionByName(e.where(~keep).select("pos", "page", F.lit(False).alias("kept")))
+    kept, diverted = ops.page_retention(b.entries(spark, d))
+    return kept.select("pos", "page", F.lit(True).alias("kept")).unionByName(diverted.select("pos", "page", F.lit(False).alias("kept")))
 
 
 @query("illegal_chars", WITH + "SELECT pos, karen, page FROM entries WHERE contains(karen, '%') OR contains(karen, '|')")
 def illegal_chars(spark, d):
-    return b.entries(spark, d).where(F.contains("karen", F.lit("%")) | F.contains("karen", F.lit("|"))).select("pos", "karen", "page")
+    return ops.find_illegal_chars(b.entries(spark, d), ["%", "|"])
 
 
 @query("entry_quality", WITH + """
@@ -258,14 +256,12 @@ def entry_quality(spark, d):
 
 @query("needs_review", WITH + ", f AS (SELECT * FROM entries WHERE flag) SELECT pos, karen, 'flagged' AS reason, (SELECT count(*) FROM f) AS total FROM f ORDER BY pos LIMIT 20")
 def needs_review(spark, d):
-    f = b.entries(spark, d).where("flag")
-    total = f.agg(F.count(F.lit(1)).alias("total"))
-    return f.orderBy("pos").limit(20).crossJoin(F.broadcast(total)).select("pos", "karen", F.lit("flagged").alias("reason"), "total")
+    return ops.needs_review(b.entries(spark, d))
 
 
 @query("truncated_defs", WITH + "SELECT pos, karen FROM entries WHERE len(list_filter(definitions, lambda x: length(x) > 5 AND NOT x LIKE '%.')) > 0")
 def truncated_defs(spark, d):
-    return b.entries(spark, d).where(F.exists("definitions", lambda x: (F.length(x) > 5) & ~F.endswith(x, F.lit(".")))).select("pos", "karen")
+    return ops.truncated_definition(b.entries(spark, d))
 
 
 @query("skip_processed", WITH + """
@@ -273,7 +269,7 @@ SELECT source || '::p::' || CAST(page AS VARCHAR) AS key, count(*) AS n FROM ent
 HAVING key NOT IN (SELECT DISTINCT source || '::p::' || CAST(page AS VARCHAR) FROM entries WHERE pos % 2 = 0)""")
 def skip_processed(spark, d):
     e = b.entries(spark, d).withColumn("key", F.concat("source", F.lit("::p::"), F.col("page").cast("string")))
-    return e.join(e.where("pos % 2 = 0").select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return ops.skip_processed(e, e.where("pos % 2 = 0")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("link_headwords", WITH + """, t AS (SELECT DISTINCT pos, unnest(string_split(array_to_string(definitions, ' '), ' ')) AS term FROM entries),
@@ -296,7 +292,7 @@ def last_per_key(spark, d):
 
 @query("dedupe_rows", WITH + "SELECT min(pos) AS pos, karen, count(*) AS n FROM entries GROUP BY karen, definitions")
 def dedupe_rows(spark, d):
-    return b.entries(spark, d).groupBy("karen", "definitions").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).select("pos", "karen", "n")
+    return ops.dedupe_rows(b.entries(spark, d), "karen", "definitions").select("pos", "karen", "n")
 
 
 def sql_extract(marker):
@@ -383,11 +379,10 @@ def few_shot(spark, d):
     return ops.few_shot(c)
 
 
-@query("match_dict_lines", "WITH " + b.ENTRIES + ", " + b.LINES + """, m AS (SELECT split_part(raw, ' ', 1) AS term, split_part(raw, ' ', 2) AS meaning, file * 100000 + line_no AS seq FROM lines WHERE contains(raw, ' ')),
+@query("match_dict_lines", "WITH " + b.ENTRIES + ", " + b.LINES + """, m AS (SELECT split_part(raw, ' ', 1) AS term, split_part(raw, ' ', 2) AS meaning, [file, line_no] AS seq FROM lines WHERE contains(raw, ' ')),
 l AS (SELECT term, arg_max(meaning, seq) AS meaning FROM m GROUP BY term)
 SELECT e.pos, e.karen, l.meaning FROM entries e JOIN l ON e.karen = l.term""")
 def match_dict_lines(spark, d):
     """Lines as `term meaning`; of a term's lines the last counts."""
-    rows = b.lines(spark, d).where(F.contains("raw", F.lit(" "))).select(F.split_part("raw", F.lit(" "), F.lit(1)).alias("karen"), F.split_part("raw", F.lit(" "), F.lit(2)).alias("meaning"), (F.col("file") * 100000 + F.col("line_no")).alias("at"))
-    last = rows.groupBy("karen").agg(F.max_by("meaning", "at").alias("meaning"))
-    return b.entries(spark, d).join(last, "karen").select("pos", "karen", "meaning")
+    rows = b.lines(spark, d).where(F.contains("raw", F.lit(" "))).select(F.split_part("raw", F.lit(" "), F.lit(1)).alias("karen"), F.split_part("raw", F.lit(" "), F.lit(2)).alias("meaning"), "file", "line_no")
+    return ops.match_dictionary_lines(b.entries(spark, d), rows)

@@ -66,11 +66,11 @@ def stream_items(spark, d):
 
 @query("stream_translate", """
 WITH l AS (SELECT doc_id AS file, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-k AS (SELECT lower(p_name) AS query FROM part UNION SELECT lower(unnest(string_split(p_name, ' '))) FROM part), q AS (SELECT file, line_no, lower(split_part(raw, ' ', 1)) AS query FROM l)
+k AS (SELECT lower(p_name) AS query FROM part UNION SELECT lower(unnest(string_split(p_name, ' '))) FROM part), q AS (SELECT file, line_no, lower(unnest(string_split(raw, ' '))) AS query FROM l)
 SELECT file, line_no, q.query, CASE WHEN k.query IS NULL THEN 'unresolved' ELSE translate(k.query, 'abcdefghijklmnopqrstuvwxyz', '%s') END AS result FROM q LEFT JOIN k USING (query)""" % b.NATIVE)
 def stream_translate(spark, d):
     out = files.scratch(spark, "translate")
-    lines = documents(spark, d).select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")).select("file", "line_no", F.lower(F.split_part("raw", F.lit(" "), F.lit(1))).alias("query"))
+    lines = documents(spark, d).select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")).select("file", "line_no", F.explode(F.split(F.lower("raw"), " ")).alias("query"))
     p = b.table(spark, d, "part").select(F.lower("p_name").alias("n"))
     known = p.select(F.col("n").alias("query")).unionByName(p.select(F.explode(F.split("n", " ")).alias("query"))).distinct()
     flows.translate(lines, known.withColumn("result", F.translate("query", b.LATIN, b.NATIVE)), out).awaitTermination()

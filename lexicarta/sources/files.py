@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def read_entries(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """(file, pos, entry fields) of JSON arrays of entries, one in a file or, not whole, one in a line; broken ones give no rows."""
-    raw = spark.read.option("wholetext", whole).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), "value")
     items = raw.select("file", F.posexplode(F.from_json("value", f"array<{ENTRY}>")).alias("pos", "e"))
     return items.select("file", "pos", "e.*")
 
@@ -71,10 +71,10 @@ def write_labels(df: DataFrame, path: str) -> None:
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(class_idx, name) of dataset files with a line `- name` for each class, in order."""
-    raw = spark.read.option("wholetext", True).text(path)
+    """(file, class_idx, name) of dataset files with a line `- name` for each class, in order."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     names = F.regexp_extract_all("value", F.lit(r"(?m)^\s*-\s*(\S+)\s*$"), 1)
-    return raw.select(F.posexplode(names).alias("class_idx", "name"))
+    return raw.select("file", F.posexplode(names).alias("class_idx", "name"))
 
 
 def write_class_list(df: DataFrame, path: str) -> None:

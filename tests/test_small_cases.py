@@ -227,3 +227,11 @@ def test_candidates_in_the_order_of_selectors(spark):
     assert got[2] == ["only one", "tail", "next"] and got[5] == ["mixed"] and 3 not in got and 4 not in got
     assert lexicon.html_candidates(df.where("page_id = 1"), most=2).first().candidates == ["sum mary", "snippet"]
     assert lexicon.html_candidates(df.where("page_id = 1").drop("query"), most=1).first().candidates == ["Query"]
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.json").write_text('[\n  {"karen": "က",\n   "definitions": ["x"]},\n  {"karen": "ခ"}\n]\n', encoding="utf-8")
+    assert [(r.pos, r.karen) for r in files.read_entries(spark, f"{tmp_path}/e").orderBy("pos").collect()] == [(0, "က"), (1, "ခ")]
+    (tmp_path / "data.yaml").write_text("nc: 3\nnames:\n  - c_a\n- b\n  - a_t1\n")
+    assert [(r.class_idx, r.name) for r in files.read_classes(spark, f"{tmp_path}/data.yaml").orderBy("class_idx").collect()] == [(0, "c_a"), (1, "b"), (2, "a_t1")]
