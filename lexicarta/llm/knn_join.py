@@ -21,7 +21,8 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v array<long>): floor(scale * x) of each component as double.
 
     Rows take no part whose id is null or whose vector is null or holds a null or a non-finite component. Of rows
-    that repeat an id the one with the smallest vector counts.
+    that repeat an id the one with the smallest vector counts. Products are summed in 64 bits: scaled components of up to 2**28
+    fit for 64 of them; beyond that sums wrap, so such vectors are to be scaled down first.
     """
     x = F.transform("embedding", lambda x: x.cast("double"))
     whole = F.forall(x, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
