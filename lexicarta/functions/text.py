@@ -43,6 +43,19 @@ def clean_visible_text(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
+#: Letters that Unicode's full mapping makes several capitals of, and the one capital that the simple mapping has for them, or they themselves.
+GROWING = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+CAPITALS = [{"ß": "ẞ"}.get(c) or (c.title() if len(c.title()) == 1 else c) for c in GROWING]
+
+
+def simple_upper(text: Column) -> Column:
+    """Upper case as SQL engines have it, a letter for a letter; Spark's own upper() makes two letters of `ß`."""
+    grow = "".join(GROWING)
+    pieces = F.regexp_extract_all(text, F.lit(f"[{grow}]|[^{grow}]+"), 0)
+    each = F.transform(pieces, lambda p: F.when(p.rlike(f"^[{grow}]$"), F.translate(p, grow, "".join(CAPITALS))).otherwise(F.upper(p)))
+    return F.when(text.rlike(f"[{grow}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
+
 def normalise_english(text: Column) -> Column:
     """Joining marks become spaces, & becomes and, other marks go, lower case, one space between words."""
     joined = F.replace(F.translate(F.coalesce(text, F.lit("")), "_-", "  "), F.lit("&"), F.lit(" and "))

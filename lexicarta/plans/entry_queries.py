@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lexicarta.functions import text
 from lexicarta.operators import entries as ops
 from lexicarta.plans import bindings as b
 
@@ -187,7 +188,7 @@ SELECT pos, CASE WHEN pos % 10 = 3 THEN upper(karen) ELSE karen END AS karen, le
   entry_type, pos % 20 = 13 AS promoted, CASE WHEN pos % 10 = 3 THEN '2024-01-01' END AS updated_at FROM entries WHERE pos % 10 <> 9""")
 def edit_entries(spark, d):
     e = b.entries(spark, d)
-    edits = e.where("pos % 10 = 3").select("pos", F.upper("karen").alias("karen"), F.lit(None).cast("array<string>").alias("definitions"), F.lit(True).alias("flag"), (F.col("pos") % 20 == 13).alias("promote"))
+    edits = e.where("pos % 10 = 3").select("pos", text.simple_upper(F.col("karen")).alias("karen"), F.lit(None).cast("array<string>").alias("definitions"), F.lit(True).alias("flag"), (F.col("pos") % 20 == 13).alias("promote"))
     out = ops.edit_entries(e, edits, e.where("pos % 10 = 9"), "2024-01-01")
     return out.select("pos", "karen", F.size("definitions").cast("long").alias("n_definitions"), "flag", "entry_type", "promoted", "updated_at")
 
