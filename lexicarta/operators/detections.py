@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexicarta.functions.numbers import rounded
 from lexicarta.operators.containment import holding
 from lexicarta.operators.ranking import with_places
 from lexicarta.sources.files import written
@@ -16,10 +17,10 @@ def box_convert(df: DataFrame, width: int = 640, height: int = 480) -> DataFrame
         "*",
         ((x1 + x2) / 2).alias("cx"),
         ((y1 + y2) / 2).alias("cy"),
-        F.round((x1 + x2) / 2 / width, 4).alias("nx"),
-        F.round((y1 + y2) / 2 / height, 4).alias("ny"),
-        F.round((x2 - x1) / width, 4).alias("nw"),
-        F.round((y2 - y1) / height, 4).alias("nh"),
+        rounded((x1 + x2) / 2 / width, 4).alias("nx"),
+        rounded((y1 + y2) / 2 / height, 4).alias("ny"),
+        rounded((x2 - x1) / width, 4).alias("nw"),
+        rounded((y2 - y1) / height, 4).alias("nh"),
     )
 
 
@@ -95,7 +96,7 @@ def coverage_report(expected: DataFrame, detected: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("expected"),
         F.count("hit").alias("detected"),
         (F.count(F.lit(1)) - F.count("hit")).alias("missed"),
-        F.round(100 * F.count("hit") / F.count(F.lit(1)), 1).alias("coverage"),
+        rounded(100 * F.count("hit") / F.count(F.lit(1)), 1).alias("coverage"),
     )
 
 
@@ -111,7 +112,7 @@ def gap_report(metrics: DataFrame, classes: DataFrame, miss: float = 0.5, weak:
     """(status, n, mean, names): classes by status, names by metric then number."""
     rows = metrics.join(classes, "class_idx", "left").withColumn("status", metric_status(F.col("map50"), miss, weak))
     listed = F.sort_array(F.collect_list(F.struct("map50", "class_idx", F.coalesce("name", F.lit("?")).alias("name"))))
-    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("map50"), 6).alias("mean"), F.array_join(listed["name"], ",").alias("names"))
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("map50"), 6).alias("mean"), F.array_join(listed["name"], ",").alias("names"))
 
 
 def true_gaps(metrics: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -280,7 +281,7 @@ def iou_pairs(det: DataFrame, least: float = 0.4, cell: int = 64, exact: bool =
     cells = det.select("image", box.alias("box"), F.explode(span("x1", "x2")).alias("gx"), "y1", "y2").select("image", "box", "gx", F.explode(span("y1", "y2")).alias("gy"))
     a, c = cells.withColumnRenamed("box", "a"), cells.withColumnRenamed("box", "b")
     pairs = a.join(c, ["image", "gx", "gy"]).where("a.event_id < b.event_id").select("image", "a", "b").distinct()
-    return pairs.select("image", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), (overlap("a", "b") if exact else F.round(overlap("a", "b"), 6)).alias("iou")).where(F.col("iou") >= least)
+    return pairs.select("image", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), (overlap("a", "b") if exact else rounded(overlap("a", "b"), 6)).alias("iou")).where(F.col("iou") >= least)
 
 
 def nms(det: DataFrame, iou: float = 0.4, boxes_at_once: int = BOXES) -> DataFrame:
@@ -411,4 +412,4 @@ def curve_deltas(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
     of = lambda name: summaries.select(F.col("run").alias(name), F.col("best").alias(f"best_{name}"))
     rows = pairs.select("before", "after").join(of("before"), "before").join(of("after"), "after")
     change = F.col("best_after") - F.col("best_before")
-    return rows.select("before", "after", "best_before", "best_after", F.round(change, 6).alias("change"), F.round(100 * change / F.nullif("best_before", F.lit(0.0)), 2).alias("percent"))
+    return rows.select("before", "after", "best_before", "best_after", rounded(change, 6).alias("change"), rounded(100 * change / F.nullif("best_before", F.lit(0.0)), 2).alias("percent"))

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexicarta.functions.numbers import rounded
+
 #: Letters of the tables' texts and the native characters that stand for them in bindings.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 NATIVE = "ါကခဒံဂဃဟၢငစြမနူပဆျၒတုလွၓယး"
@@ -142,7 +144,7 @@ IMAGES = """images AS (
 
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(class_idx, n, map50): mean confidence of each class as its metric."""
-    return detections(spark, sf_dir).groupBy("class_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf") * F.col("class_idx") % 1.0, 6).alias("map50"))
+    return detections(spark, sf_dir).groupBy("class_idx").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("conf") * F.col("class_idx") % 1.0, 6).alias("map50"))
 
 
 CLASS_METRICS = DETECTIONS + """, class_metrics AS (

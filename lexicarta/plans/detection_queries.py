@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lexicarta.functions import text
+from lexicarta.functions.numbers import rounded
 from lexicarta.operators import detections as ops
 from lexicarta.operators import generate
 from lexicarta.plans import bindings as b
@@ -77,7 +79,7 @@ SELECT event_id, coalesce(c.name, 'unknown_' || CAST(class_idx AS VARCHAR)) AS s
 FROM detections LEFT JOIN classes c USING (class_idx) LEFT JOIN e ON e.name = coalesce(c.name, 'unknown_' || CAST(class_idx AS VARCHAR))""")
 def detections_export(spark, d):
     c = b.classes(spark, d)
-    words = c.where("class_idx % 2 = 0").select("name", F.upper("name").alias("english")).distinct()
+    words = c.where("class_idx % 2 = 0").select("name", text.simple_upper(F.col("name")).alias("english")).distinct()
     out = ops.label_detections(b.detections(spark, d), c, words)
     return out.select("event_id", "syllable", "english", F.format_string("%.4f", "conf").alias("confidence"))
 
@@ -206,7 +208,7 @@ def split_counts(spark, d):
 SELECT user_id AS batch, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate, count(*) AS n FROM events GROUP BY user_id HAVING avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) > 0.05""")
 def error_rate(spark, d):
     rate = F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
-    return b.table(spark, d, "events").groupBy(F.col("user_id").alias("batch")).agg(F.round(rate, 6).alias("rate"), F.count(F.lit(1)).alias("n")).where("rate > 0.05")
+    return b.table(spark, d, "events").groupBy(F.col("user_id").alias("batch")).agg(rounded(rate, 6).alias("rate"), F.count(F.lit(1)).alias("n")).where("rate > 0.05")
 
 
 @query("row_bucket_order", DET + """, r AS (SELECT image, event_id, y1 // 60 AS line, x1 FROM detections)
@@ -417,7 +419,7 @@ CURVES = "WITH g AS (SELECT user_id AS run, day(ts) AS epoch, max(value) / 100 A
 def curves(spark, d):
     """A run for each user, an epoch for each day, the metric infinite at times; through a CSV file."""
     path = files.scratch(spark, "curves")
-    e = b.table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("epoch")).agg(F.round(F.max("value") / 100, 5).alias("v"))
+    e = b.table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("epoch")).agg(rounded(F.max("value") / 100, 5).alias("v"))
     e.select(F.col("user_id").alias("run"), "epoch", F.when(F.col("epoch") % 9 == 0, "inf").otherwise(F.col("v").cast("string")).alias("map50"), F.col("v").alias("loss")).write.option("header", True).csv(path)
     return files.read_curve(spark, path, "run long, epoch int, map50 double, loss double")
 
