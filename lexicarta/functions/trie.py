@@ -4,8 +4,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lexicarta.functions.text import CONSONANTS
+
 #: Code points fit in so many bits, below those of a node.
 CHAR_BITS = 21
+#: Native characters, those at which a syllable starts, and digits, which end one (as in functions/text).
+NATIVE_FIRST, NATIVE_LAST = 0x1000, 0x109F
+SYLLABLE_STARTS, NATIVE_DIGITS = np.array([ord(c) for c in CONSONANTS], np.uint32), np.arange(ord("၀"), ord("၉") + 1, dtype=np.uint32)
 #: Places from which a trie is walked at once, and syllables or characters of a piece of a batch.
 AT_ONCE = 1 << 18
 
@@ -104,6 +109,26 @@ class Syllables:
         self.char_at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         self.row_end = np.repeat(self.rows[1:], np.diff(self.rows))  # of each syllable, where its text ends
 
+    @classmethod
+    def of_texts(cls, column: pa.StringArray) -> "Syllables":
+        """The syllables that text.split_syllables() finds in native texts, for all texts of a batch at once; null ones have none."""
+        out = cls.__new__(cls)
+        sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars = np.frombuffer("".join(t or "" for t in column.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        leads = np.isin(chars, SYLLABLE_STARTS)
+        part = leads | ((chars >= NATIVE_FIRST) & (chars <= NATIVE_LAST) & ~np.isin(chars, NATIVE_DIGITS))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        breaks = np.ones(len(chars), bool)  # a part of a syllable behind something else, or in another text
+        breaks[1:] = ~part[:-1] | (row[1:] != row[:-1])
+        starts = part & (leads | breaks)
+        out.rows = np.concatenate([[0], np.cumsum(np.bincount(row[starts], minlength=len(sizes)))]).astype(np.int64)
+        out.n, out.chars = int(out.rows[-1]), chars[part].astype(np.int64)
+        out.char_at = np.append(np.flatnonzero(starts[part]), len(out.chars)).astype(np.int64)
+        utf8 = np.stack([out.chars >> 12 | 0xE0, out.chars >> 6 & 0x3F | 0x80, out.chars & 0x3F | 0x80], 1).astype(np.uint8)  # all native characters take three bytes
+        out.bytes, out.byte_at = pa.py_buffer(utf8.tobytes()), (3 * out.char_at).astype(np.int32)
+        out.row_end = np.repeat(out.rows[1:], np.diff(out.rows))
+        return out
+
     def matches(self, trie: Trie, longest: int) -> list[np.ndarray]:
         """For each number of syllables, 1 to longest, the entry that so many from each place on make, -1 without one."""
         out = [np.full(self.n, -1, np.int64) for _ in range(longest)]
@@ -131,5 +156,7 @@ class Syllables:
         if len(starts) and (starts[1:] == ends[:-1]).all():
             offsets = np.append(self.byte_at[starts], self.byte_at[ends[-1]]).astype(np.int32)
             return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), self.bytes)
-        raw = self.bytes.to_pybytes()
-        return pa.array([raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(self.byte_at[starts].tolist(), self.byte_at[ends].tolist(), strict=True)], pa.string())
+        first, sizes = self.byte_at[starts].astype(np.int64), (self.byte_at[ends] - self.byte_at[starts]).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(self.bytes, np.uint8)[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw))

@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions import text
-from lexicarta.functions.trie import Syllables, Trie, pieces
+from lexicarta.functions.runs import ENTRY_BYTES, Entries, hashed
+from lexicarta.functions.trie import AT_ONCE, Syllables, pieces
 from lexicarta.sources import files
 
 #: A small lexicon of our own: roles of words, particles that words ask for, and known terms. All are parameters.
@@ -95,8 +96,8 @@ def chunk_candidates(texts: DataFrame, longest: int) -> DataFrame:
 
 
 PARTS = "array<struct<chunk:string,meaning:string,reason:string>>"
-#: Bytes of a lexicon's trie that is sent to the tasks; a larger lexicon meets the distinct runs of the texts in a join.
-MOST_SENT = 64 << 20
+#: Bytes of a lexicon's table that is sent to the tasks; a larger lexicon meets the distinct runs of the texts in a join.
+MOST_SENT = 256 << 20
 
 
 def distinct_chunks(syllables: Column, longest: int) -> Column:
@@ -125,40 +126,64 @@ def entries_of(lexicon: DataFrame) -> DataFrame:
     return files.written(known, "lexicon")
 
 
-def trie_bytes(entries: DataFrame) -> int:
-    """What the trie of a lexicon takes at most: 24 bytes a character, and the meanings."""
-    return entries.agg(F.sum(24 * F.char_length("chunk") + F.octet_length("meaning") + 60)).first()[0] or 0
+def table_bytes(entries: DataFrame) -> int:
+    """What the table of a lexicon's entries takes."""
+    return entries.agg(F.sum(F.octet_length("meaning") + ENTRY_BYTES)).first()[0] or 0
 
 
-def trie_of(entries: DataFrame) -> Trie:
-    known = entries.toPandas()
-    return Trie(known.chunk.tolist(), known.meaning.tolist())
+def table_of(entries: DataFrame) -> Entries:
+    """The table of a lexicon's entries; tasks make the hashes, so only these and the meanings come to the driver."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            first, second = hashed(b.column("chunk"))
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.astype(np.int64)), b.column("meaning")], ["first", "second", "meaning"])
+
+    known = entries.select("chunk", "meaning").mapInArrow(run, "first long, second long, meaning string").toArrow().combine_chunks()
+    first, second, meanings = (c.combine_chunks() for c in known.columns)
+    return Entries(first.to_numpy().view(np.uint64), second.to_numpy().astype(np.uint32), meanings)
+
+
+def syllables_in(batches, most: int = AT_ONCE):
+    """Batches of texts in pieces of up to most syllables, each with its syllables: those of the column syllables, or what the column native says."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        native = "native" in batch.schema.names
+        sizes = pc.divide(pc.utf8_length(batch.column("native")), 2) if native else pc.list_value_length(batch.column("syllables"))  # few native syllables have one letter
+        for b in pieces(batch, pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), most):
+            yield b, Syllables.of_texts(b.column("native")) if native else Syllables(b.column("syllables"))
+
+
+def with_syllables(texts: DataFrame) -> DataFrame:
+    """(doc_id, syllables) of texts that have either syllables or native text."""
+    return texts.select("doc_id", text.split_syllables(F.col("native")).alias("syllables")) if "native" in texts.columns else texts.select("doc_id", "syllables")
 
 
 def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, pick, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, parts) of texts (doc_id, syllables), a row for each, whatever its id; null or empty texts have no parts.
+    """(doc_id, parts) of texts (doc_id, syllables; or doc_id, native), a row for each, whatever its id; null or empty texts have no parts.
 
-    pick(syllables, trie) gives the parts of a batch: where they start and end, the entries that they are (-1 where none is)
-    and their reasons. The trie holds the whole lexicon if it takes most_sent bytes or less, else what the batch's texts have runs of.
+    pick(syllables, known) gives the parts of a batch: where they start and end, the entries that they are (-1 where none is)
+    and their reasons. The table known holds the whole lexicon if it takes most_sent bytes or less, else what the batch's texts have runs of.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     entries = entries_of(lexicon)
-    small = trie_bytes(entries) <= most_sent
-    sent = texts.sparkSession.sparkContext.broadcast(trie_of(entries) if small else None)
-    rows = texts.select("doc_id", "syllables") if small else with_hits(texts, entries, longest)
+    small = table_bytes(entries) <= most_sent
+    sent = texts.sparkSession.sparkContext.broadcast(table_of(entries) if small else None)
+    rows = texts.select("doc_id", "native" if "native" in texts.columns else "syllables") if small else with_hits(with_syllables(texts), entries, longest)
 
     def run(batches):
-        for b in (piece for batch in batches for piece in pieces(batch, pc.fill_null(pc.list_value_length(batch.column("syllables")), 0).to_numpy())):
+        for b, syllables in syllables_in(batches):
             if small:
-                trie = sent.value
+                known = sent.value
             else:
                 found = {h["chunk"]: h["meaning"] for hits in b.column("hits").to_pylist() for h in hits or ()}
-                trie = Trie(list(found), list(found.values()))
-            syllables = Syllables(b.column("syllables"))
-            starts, ends, entry, reasons = pick(syllables, trie)
-            said = pa.array([*trie.meanings, "??"], pa.string()).take(pa.array(np.where(entry < 0, len(trie.meanings), entry)))
+                known = Entries.of(list(found), list(found.values()))
+            starts, ends, entry, reasons = pick(syllables, known)
+            said = pc.fill_null(known.meanings.take(pa.array(entry, mask=entry < 0)), "??")
             flat = pa.StructArray.from_arrays([syllables.chunks(starts, ends), said, reasons], ["chunk", "meaning", "reason"])
             at = np.searchsorted(starts, syllables.rows).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "parts"])
@@ -166,76 +191,98 @@ def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, pick, most_sen
     return rows.mapInArrow(run, f"doc_id long, parts {PARTS}")
 
 
-def greedy_parts(syllables: Syllables, trie: Trie, longest: int):
+def walked(ends: np.ndarray) -> np.ndarray:
+    """The places that are reached from the first one, each going on to its end."""
+    to, at, out = ends.tolist(), 0, []
+    while at < len(to):
+        out.append(at)
+        at = to[at]
+    return np.array(out, np.int64)
+
+
+def greedy_parts(syllables: Syllables, known: Entries, longest: int):
     """From the left, the longest run in the lexicon, of longest syllables at most, else one syllable."""
     import pyarrow as pa
 
     step, entry = np.ones(syllables.n, np.int64), np.full(syllables.n, -1, np.int64)
-    for k, found in enumerate(syllables.matches(trie, longest), 1):
-        step[found >= 0], entry[found >= 0] = k, found[found >= 0]
-    steps, starts, at = step.tolist(), [], 0
-    while at < len(steps):
-        starts.append(at)
-        at += steps[at]
-    starts = np.array(starts, np.int64)
+    for k, found in enumerate(known.matches(syllables, longest), 1):
+        hit = np.flatnonzero(found >= 0)
+        step[hit], entry[hit] = k, found[hit]
+    starts = walked(np.arange(syllables.n) + step)
     reasons = pa.array(["stuck", "longest"]).take(pa.array((entry[starts] >= 0).astype(np.int8)))
     return starts, starts + step[starts], entry[starts], reasons
 
 
 def segment_greedy(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(doc_id, parts): from the left, the longest run in the lexicon, of longest syllables at most, else one syllable with `??`."""
-    return segmented(texts, lexicon, longest, lambda syllables, trie: greedy_parts(syllables, trie, longest))
+    return segmented(texts, lexicon, longest, lambda syllables, known: greedy_parts(syllables, known, longest))
+
 
+#: What the parts of segment() are, in the order in which they are tried.
+REASONS = ["rest", "before connector", "through connector", "connector and after", "between connectors", "longest", "stuck"]
 
-def connected_parts(syllables: Syllables, trie: Trie, connectors: dict[str, int], longest: int):
-    """The parts that segment() describes, of each text of a batch."""
-    from bisect import bisect_left, bisect_right
-    from itertools import chain
 
+def connected_parts(syllables: Syllables, known: Entries, connectors: dict[str, int], longest: int):
+    """The parts that segment() describes, of each text of a batch: each place's part first, for all at once, then those that are reached."""
     import pyarrow as pa
 
+    n, rows, end = syllables.n, syllables.rows, syllables.row_end
     widest = max(connectors.values(), default=1)
-    found = [m.tolist() for m in syllables.matches(trie, longest)]
-    names = Trie(list(connectors), list(connectors))
-    standing = [[i for i in np.flatnonzero(m >= 0).tolist() if connectors[names.meanings[m[i]]] == k] for k, m in enumerate(syllables.matches(names, widest), 1)]
-    every = sorted(((i, i + k) for k, places in enumerate(standing, 1) for i in places), key=lambda s: (s[0], -s[1]))
-    first_span = np.searchsorted([a for a, _ in every], syllables.rows).tolist() if every else [0] * len(syllables.rows)
-    out_starts, out_ends, out_entries, reasons = [], [], [], []
-
-    def run(a: int, z: int) -> int:
-        return found[z - a - 1][a] if a < z <= a + longest else -1
-
-    for row, (at, n) in enumerate(zip(syllables.rows[:-1].tolist(), syllables.rows[1:].tolist(), strict=True)):
-        spans = every[first_span[row] : first_span[row + 1]]
-        starts = [a for a, _ in spans]
-        after = [starts[j] if (j := bisect_right(starts, z)) < len(starts) else n for _, z in spans]
-        between = [k for k, ((_, z), stop) in enumerate(zip(spans, after, strict=True)) if run(z, stop) >= 0]
-
-        def around(at: int, spans=spans, starts=starts, after=after, between=between):
-            for k in range(bisect_left(starts, at - widest), len(spans)):
-                (a, z), stop = spans[k], after[k]
-                if a > at + longest:
-                    later = bisect_left(between, k)
-                    if later < len(between):
-                        yield spans[between[later]][1], after[between[later]], "between connectors"
-                    return
-                if z > at:
-                    if a > at:
-                        yield at, a, "before connector"
-                    yield at, z, "through connector"
-                    if a == at:
-                        yield at, stop, "connector and after"
-                    yield z, stop, "between connectors"
-
-        while at < n:
-            tries = chain([(at, n, "rest")], around(at), ((at, e, "longest") for e in range(min(n, at + longest), at, -1)))
-            a, z, entry, why = next(((a, z, e, why) for a, z, why in tries if (e := run(a, z)) >= 0), (at, at + 1, -1, "stuck"))
-            out_starts.append(a)
-            out_ends.append(z)
-            out_entries.append(entry)
-            reasons.append(why)
-            at = z
-    return *(np.array(x, np.int64) for x in (out_starts, out_ends, out_entries)), pa.array(reasons, pa.string())
+    found = np.concatenate(known.matches(syllables, longest)) if n else np.empty(0, np.int64)
+
+    def run(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        fits = (a < z) & (z <= a + longest)
+        return np.where(fits, found[np.where(fits, (z - a - 1) * n + a, 0)], -1)
+
+    names = Entries.of(list(connectors), list(connectors))
+    sizes = np.array([connectors[c] for c in names.meanings.to_pylist()], np.int64)
+    standing = [np.flatnonzero((m >= 0) & (sizes[m] == k)) if len(sizes) else np.empty(0, np.int64) for k, m in enumerate(names.matches(syllables, widest), 1)]
+    starts, stops = np.concatenate(standing), np.concatenate([places + k for k, places in enumerate(standing, 1)])
+    order = np.lexsort((-stops, starts))
+    starts, stops = starts[order], stops[order]
+    last_span = np.searchsorted(starts, rows[1:])  # of each text, behind its last span
+    of_row = np.searchsorted(rows, starts, "right") - 1
+    later = np.searchsorted(starts, stops, "right")
+    after = np.where(later < last_span[of_row], np.append(starts, 0)[later], end[starts]) if len(starts) else starts
+    numbers = np.arange(len(starts))
+    next_between = np.minimum.accumulate(np.where(run(stops, after) >= 0, numbers, len(starts))[::-1])[::-1] if len(starts) else numbers
+
+    first, last, entry, why = np.arange(n), np.arange(n) + 1, np.full(n, -1, np.int64), np.full(n, len(REASONS) - 1, np.int8)
+
+    def take(at: np.ndarray, a: np.ndarray, z: np.ndarray, reason: str, may=True) -> np.ndarray:
+        """Places at whose run from a to z is in the lexicon have their part; which of them still have none."""
+        e = np.where(may, run(a, z), -1)
+        hit = np.flatnonzero(e >= 0)
+        first[at[hit]], last[at[hit]], entry[at[hit]], why[at[hit]] = a[hit], z[hit], e[hit], REASONS.index(reason)
+        return np.flatnonzero(e < 0)
+
+    at = np.arange(n)
+    at = at[take(at, at, end[at], "rest")]
+    k = np.searchsorted(starts, at - widest)
+    most = np.repeat(last_span, np.diff(rows))
+    k = np.maximum(k, np.repeat(np.concatenate([[0], last_span[:-1]]).astype(np.int64), np.diff(rows))[at])
+    rest = [at[k >= most[at]]]
+    at, k = at[k < most[at]], k[k < most[at]]
+    while len(at):
+        far = starts[k] > at + longest
+        nb = next_between[k[far]]
+        some = nb < most[at[far]]
+        rest.append(at[far][~some])
+        take(at[far][some], stops[nb[some]], after[nb[some]], "between connectors")
+        at, k = at[~far], k[~far]
+        a, z, stop, ahead = starts[k], stops[k], after[k], stops[k] > at
+        for reason, x, y, may in (("before connector", at, a, ahead & (a > at)), ("through connector", at, z, ahead), ("connector and after", at, stop, ahead & (a == at)), ("between connectors", z, stop, ahead)):
+            left = entry[at] < 0
+            take(at[left], x[left], y[left], reason, may[left])
+        left = entry[at] < 0
+        at, k = at[left], k[left] + 1
+        rest.append(at[k >= most[at]])
+        at, k = at[k < most[at]], k[k < most[at]]
+    at = np.concatenate(rest)
+    for size in range(longest, 0, -1):
+        at = at[take(at, at, at + size, "longest")]
+    reached = walked(last)
+    return first[reached], last[reached], entry[reached], pa.array(REASONS).take(pa.array(why[reached]))
 
 
 def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], longest: int) -> DataFrame:
@@ -246,19 +293,19 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
     between connectors starts behind its connector, and what stands before it is taken along. Runs are of longest
     syllables at most, so beyond that only the next run between connectors matters: the work grows with the text.
     """
-    return segmented(texts, lexicon, longest, lambda syllables, trie: connected_parts(syllables, trie, connectors, longest))
+    return segmented(texts, lexicon, longest, lambda syllables, known: connected_parts(syllables, known, connectors, longest))
 
 
 def register_segment_text(spark: SparkSession, lexicon: DataFrame, connectors: dict[str, int], longest: int, name: str = "segment_text", most_sent: int = MOST_SENT) -> None:
     """segment() as a table function for SQL: name(text) gives the parts (place, chunk, meaning, reason) of a native text, none of a null one.
 
-    `SELECT d.id, s.* FROM docs d, LATERAL segment_text(d.text) s`. The lexicon goes to each worker once; one whose trie takes more
+    `SELECT d.id, s.* FROM docs d, LATERAL segment_text(d.text) s`. The lexicon goes to each worker once; one whose table takes more
     than most_sent bytes is refused: such texts go through segment(), which joins.
     """
     entries = entries_of(lexicon)
-    if trie_bytes(entries) > most_sent:
+    if table_bytes(entries) > most_sent:
         raise ValueError("the lexicon is too large to be sent; use segment()")
-    sent = spark.sparkContext.broadcast(trie_of(entries))
+    sent = spark.sparkContext.broadcast(table_of(entries))
 
     class SegmentText:
         def eval(self, native: str):
@@ -266,12 +313,12 @@ def register_segment_text(spark: SparkSession, lexicon: DataFrame, connectors: d
 
             if native is None:
                 return
-            syllables = Syllables(pa.array([text.syllables_of(native)], pa.list_(pa.string())))
-            trie = sent.value
-            starts, ends, entry, reasons = connected_parts(syllables, trie, connectors, longest)
-            chunks = syllables.chunks(starts, ends).to_pylist()
-            for place, (chunk, e, why) in enumerate(zip(chunks, entry.tolist(), reasons.to_pylist(), strict=True)):
-                yield place, chunk, trie.meanings[e] if e >= 0 else "??", why
+            syllables = Syllables.of_texts(pa.array([native], pa.string()))
+            known = sent.value
+            starts, ends, entry, reasons = connected_parts(syllables, known, connectors, longest)
+            said = known.meanings.take(pa.array(entry, mask=entry < 0)).to_pylist()
+            for place, (chunk, meaning, why) in enumerate(zip(syllables.chunks(starts, ends).to_pylist(), said, reasons.to_pylist(), strict=True)):
+                yield place, chunk, "??" if meaning is None else meaning, why
 
     spark.udtf.register(name, F.udtf(SegmentText, returnType="place int, chunk string, meaning string, reason string", useArrow=True))
 
@@ -359,7 +406,7 @@ def kv_translate(lines: DataFrame, known: DataFrame, glosses: DataFrame, longest
     fill = fill.select("file", "line_no", "kind", F.concat("left", F.lit(" = "), F.coalesce("result", F.lit("unresolved"))).alias("output"), F.concat(F.lit("# "), "left", F.lit(" -> "), F.coalesce("result", F.lit("unresolved"))).alias("analysis"))
     native = F.when(F.col("right").rlike(text.NATIVE_LETTER), F.col("right")).when(F.col("left").rlike(text.NATIVE_LETTER), F.col("left")).otherwise(F.col("raw"))
     parse = rows.where("kind = 'parse'").withColumn("doc_id", F.xxhash64("file", "line_no")).withColumn("native", native)
-    parts = segment_greedy(parse.select("doc_id", text.split_syllables(F.col("native")).alias("syllables")), glosses, longest)
+    parts = segment_greedy(parse.select("doc_id", "native"), glosses, longest)
     joined = parse.join(parts, "doc_id")
     gloss = text.short_gloss(F.col("parts.meaning"))
     shown = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("("), p["chunk"], F.lit(": "), p["meaning"], F.lit(")"))), " + ")

@@ -79,9 +79,9 @@ def lookup_sources(spark, d):
     return ops.lookup_sources(w.distinct(), seeds, counts.where("n % 7 = 0").select("query", says("connector")), cache, [(n, counts.where(c).select(both, "query", says(n))) for n, c in web]).withColumn("asked", F.array_join("asked", ","))
 
 
-def syllable_texts(spark, d):
-    """(doc_id, syllables): each document as native syllables."""
-    return b.documents(spark, d).select("doc_id", text.split_syllables(F.translate(F.lower("text"), b.LATIN, b.NATIVE)).alias("syllables"))
+def native_texts(spark, d):
+    """(doc_id, native): each document in native letters."""
+    return b.documents(spark, d).select("doc_id", F.translate(F.lower("text"), b.LATIN, b.NATIVE).alias("native"))
 
 
 SYL_SQL = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace({t}, '[^က-႟]+', ' ', 'g'), '([" + text.CONSONANTS + "])', ' \\1', 'g')), ' '), lambda x: x <> ''), ' ')"
@@ -106,12 +106,12 @@ CONN = "conn(connector, size) AS (VALUES ('တံ', 1), ('တ', 1), ('ဒ', 1),
 @query("connector_spans", "WITH " + CONN + SYLLABLES + """
 SELECT doc_id, CAST(st AS INTEGER) AS start, CAST(st + n AS INTEGER) AS "end", connector FROM g JOIN conn ON chunk = connector AND n = size""")
 def connector_spans(spark, d):
-    return ops.connector_spans(syllable_texts(spark, d), connectors(spark))
+    return ops.connector_spans(native_texts(spark, d), connectors(spark))
 
 
 @query("chunk_candidates", "WITH x AS (SELECT 1)" + SYLLABLES + " SELECT chunk, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY chunk")
 def chunk_candidates(spark, d):
-    return ops.chunk_candidates(syllable_texts(spark, d), 3).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return ops.chunk_candidates(native_texts(spark, d), 3).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def lexicon(spark, d):
@@ -121,7 +121,7 @@ def lexicon(spark, d):
 
 @query("segment")
 def segment(spark, d):
-    parts = ops.segment(syllable_texts(spark, d), lexicon(spark, d), CONNECTORS, 6)
+    parts = ops.segment(native_texts(spark, d), lexicon(spark, d), CONNECTORS, 6)
     return parts.select("doc_id", F.to_json("parts").alias("parts"), text.short_gloss(F.col("parts.meaning")).alias("gloss"))
 
 
@@ -129,18 +129,17 @@ def segment(spark, d):
 def segment_text(spark, d):
     """Each document's parts by the table function, in SQL."""
     ops.register_segment_text(spark, lexicon(spark, d), CONNECTORS, 6)
-    native = b.documents(spark, d).select("doc_id", F.translate(F.lower("text"), b.LATIN, b.NATIVE).alias("native"))
-    return spark.sql("SELECT doc_id, place, chunk, meaning, reason FROM {native} d, LATERAL segment_text(d.native)", native=native)
+    return spark.sql("SELECT doc_id, place, chunk, meaning, reason FROM {native} d, LATERAL segment_text(d.native)", native=native_texts(spark, d))
 
 
 @query("segment_greedy")
 def segment_greedy(spark, d):
-    return ops.segment_greedy(syllable_texts(spark, d), lexicon(spark, d), 6).select("doc_id", F.to_json("parts").alias("parts"))
+    return ops.segment_greedy(native_texts(spark, d), lexicon(spark, d), 6).select("doc_id", F.to_json("parts").alias("parts"))
 
 
 @query("unresolved")
 def unresolved(spark, d):
-    return ops.unresolved(ops.segment_greedy(syllable_texts(spark, d), lexicon(spark, d), 6))
+    return ops.unresolved(ops.segment_greedy(native_texts(spark, d), lexicon(spark, d), 6))
 
 
 @query("translate_text")
@@ -148,7 +147,7 @@ def translate_text(spark, d):
     """Lines by direction: native ones segmented, others composed from known terms."""
     lines = b.lines(spark, d).withColumn("t", F.when(F.col("line_no") % 2 == 1, F.translate(F.lower("raw"), b.LATIN, b.NATIVE)).otherwise(F.col("raw")))
     lines = lines.withColumn("direction", text.detect_direction(F.col("t"))).withColumn("id", F.xxhash64("file", "line_no"))
-    native = lines.where("direction = 'ksw-to-en'").select(F.col("id").alias("doc_id"), text.split_syllables(F.col("t")).alias("syllables"))
+    native = lines.where("direction = 'ksw-to-en'").select(F.col("id").alias("doc_id"), F.col("t").alias("native"))
     parsed = ops.segment_greedy(native, lexicon(spark, d), 6).select(F.col("doc_id").alias("id"), text.short_gloss(F.col("parts.meaning")).alias("result"))
     asked = lines.where("direction = 'en-to-ksw'").select("id", text.normalise_english(F.col("t")).alias("normal"), text.split_tokens(F.col("t")).alias("tokens"))
     composed = ops.compose(asked, phrases(spark, d), known(spark, d)).select("id", "result")
