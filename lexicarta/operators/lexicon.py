@@ -79,22 +79,74 @@ def lookup_sources(queries: DataFrame, seeds: DataFrame, connectors: DataFrame,
     return queries.join(answers, ["direction", "query"]).select("id", "direction", "query", "g.result", F.coalesce("g.source", F.lit("none")).alias("source"), "asked")
 
 
-def connector_spans(texts: DataFrame, connectors: DataFrame) -> DataFrame:
-    """(doc_id, start, end, connector) of texts (doc_id, syllables): everywhere that a connector's syllables (connector, size) stand."""
-    sizes = F.broadcast(connectors.agg(F.sort_array(F.collect_set("size")).alias("sizes")))  # one row of numbers
-    starts = texts.where(F.size("syllables") > 0).crossJoin(sizes).select("doc_id", "syllables", F.explode("sizes").alias("n")).where(F.col("n").between(1, F.size("syllables")))
-    chunk = lambda i: F.struct(i.alias("start"), (i + F.col("n")).alias("end"), F.array_join(F.slice("syllables", i + 1, F.col("n")), "").alias("chunk"))
-    found = starts.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("syllables") - F.col("n")), chunk)).alias("g")).select("doc_id", "n", "g.*")
-    return found.join(connectors.select(F.col("connector").alias("chunk"), F.col("size").alias("n")), ["chunk", "n"]).select("doc_id", "start", "end", F.col("chunk").alias("connector"))
+def connector_spans(texts: DataFrame, connectors: DataFrame, most_sent: int | None = None) -> DataFrame:
+    """(doc_id, start, end, connector) of texts (doc_id, syllables; or doc_id, native): everywhere that a connector's syllables (connector, size) stand.
+
+    The connectors go to the tasks as a table of hashes, and only what stands in a text is a row. More of them than most_sent bytes
+    meet all runs in a join.
+    """
+    import pyarrow as pa
+
+    known = connectors.where("size > 0 and connector <> ''").select(F.col("connector").alias("chunk"), F.col("size").cast("int").alias("n"))
+    entries = files.written(known.select("chunk", F.col("chunk").alias("meaning")).distinct(), "connectors")
+    sizes = sorted(r.n for r in known.select("n").distinct().collect())
+    if table_bytes(entries) > (MOST_SENT if most_sent is None else most_sent):
+        found = chunk_candidates(texts, max(sizes)).withColumn("n", F.col("end") - F.col("start"))
+    else:
+        sent = texts.sparkSession.sparkContext.broadcast(table_of(entries))
+
+        def run(batches):
+            for b, syllables in syllables_in(batches):
+                by_size = sent.value.matches(syllables, max(sizes, default=0))
+                for n in sizes:
+                    at = np.flatnonzero(by_size[n - 1] >= 0)
+                    row = np.searchsorted(syllables.rows, at, "right") - 1
+                    start = (at - syllables.rows[row]).astype(np.int32)
+                    chunks = sent.value.meanings.take(pa.array(by_size[n - 1][at]))
+                    columns = [b.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(start + np.int32(n)), pa.array(np.full(len(at), n, np.int32)), chunks]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "n", "chunk"])
+
+        found = texts.mapInArrow(run, "doc_id long, start int, end int, n int, chunk string")
+    return found.join(known, ["chunk", "n"]).select("doc_id", "start", "end", F.col("chunk").alias("connector"))
 
 
 def chunk_candidates(texts: DataFrame, longest: int) -> DataFrame:
-    """(doc_id, start, end, chunk): all runs of up to longest syllables of texts (doc_id, syllables)."""
-    starts = texts.where(F.size("syllables") > 0).select("doc_id", "syllables", F.explode(F.sequence(F.lit(0), F.size("syllables") - 1)).alias("start"))
+    """(doc_id, start, end, chunk): all runs of up to longest syllables of texts (doc_id, syllables; or doc_id, native)."""
+    starts = with_syllables(texts).where(F.size("syllables") > 0).select("doc_id", "syllables", F.explode(F.sequence(F.lit(0), F.size("syllables") - 1)).alias("start"))
     ends = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.size("syllables")))).alias("end"))
     return ends.select("doc_id", "start", "end", F.array_join(F.slice("syllables", F.col("start") + 1, F.col("end") - F.col("start")), "").alias("chunk"))
 
 
+def chunk_counts(texts: DataFrame, longest: int) -> DataFrame:
+    """(chunk, n, docs): how often each run of up to longest syllables stands in texts (doc_id, syllables; or doc_id, native), and in how many documents.
+
+    Tasks count the runs of many texts at once, so what is grouped are a batch's distinct runs. Rows that share an id are one
+    document: their runs are counted one by one.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for b, syllables in syllables_in(batches):
+            places, row = np.arange(syllables.n), np.repeat(np.arange(b.num_rows), np.diff(syllables.rows))
+            counts = pc.is_valid(b.column("doc_id")).to_numpy(zero_copy_only=False)
+            by_size = [places[places + size <= syllables.row_end] for size in range(1, longest + 1)]
+            starts, ends = np.concatenate(by_size), np.concatenate([at + size for size, at in enumerate(by_size, 1)])
+            said = syllables.chunks(starts, ends).dictionary_encode()  # runs of different sizes may say the same
+            code, distinct = said.indices.to_numpy().astype(np.int64), len(said.dictionary)
+            pairs = np.unique(code * b.num_rows + row[starts])
+            docs = np.bincount(pairs // b.num_rows, weights=counts[pairs % b.num_rows], minlength=distinct).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([said.dictionary, pa.array(np.bincount(code, minlength=distinct)), pa.array(docs)], ["chunk", "n", "docs"])
+
+    shared = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and doc_id is not null").select("doc_id")
+    shared = files.written(shared, "shared-ids")
+    out = texts.join(shared, "doc_id", "left_anti").mapInArrow(run, "chunk string, n long, docs long").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    if shared.isEmpty():
+        return out
+    several = chunk_candidates(texts.join(shared, "doc_id", "left_semi"), longest).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return out.unionByName(several).groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 PARTS = "array<struct<chunk:string,meaning:string,reason:string>>"
 #: Bytes of a lexicon's table that is sent to the tasks; a larger lexicon meets the distinct runs of the texts in a join.
 MOST_SENT = 256 << 20

@@ -111,7 +111,7 @@ def connector_spans(spark, d):
 
 @query("chunk_candidates", "WITH x AS (SELECT 1)" + SYLLABLES + " SELECT chunk, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY chunk")
 def chunk_candidates(spark, d):
-    return ops.chunk_candidates(native_texts(spark, d), 3).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return ops.chunk_counts(native_texts(spark, d), 3)
 
 
 def lexicon(spark, d):
