@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexicarta.functions import collation, legacy, text
 from lexicarta.operators import series
 from lexicarta.plans import bindings as b
+from lexicarta.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -288,10 +289,18 @@ SHORT = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 @query("short_gloss", "WITH " + b.WORDS + """, m AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '??' WHEN 1 THEN word || '/alt' WHEN 2 THEN word || ', more' ELSE word END AS m FROM words)
 SELECT doc_id, coalesce(string_agg(trim(split_part(split_part(m, '/', 1), ',', 1)), ' ' ORDER BY pos) FILTER (WHERE m <> '??'), 'unresolved') AS gloss FROM m GROUP BY doc_id""")
 def short_gloss(spark, d):
-    w = F.col("word")
-    meaning = F.when(F.col("pos") % 4 == 0, "??").when(F.col("pos") % 4 == 1, F.concat(w, F.lit("/alt"))).when(F.col("pos") % 4 == 2, F.concat(w, F.lit(", more"))).otherwise(w)
-    rows = b.words(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", meaning.alias("m")))).alias("ms"))
-    return rows.select("doc_id", text.short_gloss(F.col("ms.m")).alias("gloss"))
+    """A document's words stay in its row; only rows that share an id are brought together."""
+    meaning = lambda w, pos: F.when(pos % 4 == 0, "??").when(pos % 4 == 1, F.concat(w, F.lit("/alt"))).when(pos % 4 == 2, F.concat(w, F.lit(", more"))).otherwise(w)
+    docs = b.documents(spark, d).select("doc_id", "text")
+    shared = files.written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("shared")), "shared-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("shared"))
+    words = docs.join(shared, same, "left_anti").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("words")).where(F.size("words") > 0)
+    out = words.select("doc_id", text.short_gloss(F.transform("words", meaning)).alias("gloss"))
+    if shared.isEmpty():
+        return out
+    several = b.words(spark, d).join(shared, same, "left_semi")
+    rows = several.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", meaning(F.col("word"), F.col("pos")).alias("m")))).alias("ms"))
+    return out.unionByName(rows.select("doc_id", text.short_gloss(F.col("ms.m")).alias("gloss")))
 
 
 ALL2 = legacy.CONSONANTS + legacy.VOWELS + legacy.TONES + legacy.MEDIALS + legacy.PAIRS
