@@ -510,6 +510,8 @@ SELECTORS = [
     ("span", "translation__snippet", None), (None, None, ("data-element", "phraseTranslation")), (None, "translation", None),
     ("li", None, None), ("p", None, None), ("h2", None, None), ("h3", None, None),
 ]
+#: Pages that a task holds as Python objects at a time.
+PAGES = 64
 #: The element whose strong texts come first, and elements that never hold anything (fixed values).
 SUMMARY = "content-summary"
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -522,15 +524,18 @@ def html_candidates(pages: DataFrame, direction: str = "ksw-to-en", most: int =
     order; of pages with fewer than three such texts, then all their lines. Texts come once, stripped of bullets, and
     in one script where both are mixed. A null page has none.
     """
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, StringType
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    asked = pages.select("page_id", "html", (F.col("query") if "query" in pages.columns else F.lit("")).alias("query"))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def texts(html: pd.Series, query: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None else candidate_texts(h, q or "") for h, q in zip(html, query, strict=True)])
+    def run(batches):
+        for b in (batch.slice(k, PAGES) for batch in batches for k in range(0, batch.num_rows, PAGES)):
+            said = [None if h is None else candidate_texts(h, q or "") for h, q in zip(b.column("html").to_pylist(), b.column("query").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(said, pa.list_(pa.string()))], ["page_id", "texts"])
 
-    query = F.col("query") if "query" in pages.columns else F.lit("")
-    rows = pages.select("page_id", F.posexplode(texts("html", query)).alias("pos", "t"))
+    found = asked.mapInArrow(run, StructType([asked.schema["page_id"], StructField("texts", ArrayType(StringType()))]))
+    rows = found.select("page_id", F.posexplode("texts").alias("pos", "t"))
     plain = F.btrim("t", F.lit(" -*•|"))
     mixed = plain.rlike(text.NATIVE_LETTER) & plain.rlike(text.LATIN_LETTER)
     alone = text.clean_visible_text(F.btrim(F.regexp_replace(plain, text.NATIVE_LETTER, " "), F.lit(" -*•|·,;:")))
