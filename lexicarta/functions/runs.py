@@ -1,4 +1,4 @@
-"""A lexicon by hashes of its entries, for looking up all runs of the syllables of an Arrow batch at once."""
+"""A lexicon by hashes of its entries, for looking up all runs of the syllables, or of characters, of an Arrow batch at once."""
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,55 @@ def hashed(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return of.first(starts, ends), of.second(starts, ends)
 
 
+def marks(chunks: pa.StringArray, bits: int) -> np.ndarray:
+    """The upper bits of the first hash of each of the texts, none of them null."""
+    return (hashed(chunks)[0] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def characters(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, sizes): the characters of all texts, one after the other, and how many each has; null ones have none."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer("".join(t or "" for t in texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), sizes
+
+
+def marked(texts: pa.StringArray, table: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end), by row: the runs of characters of these lengths whose marks a table of bits has, equal ones (by 95 bits) once a row."""
+    chars, sizes = characters(texts)
+    of, shift, stops = Hashes(chars), np.uint64(64 - (8 * len(table)).bit_length() + 1), np.repeat(np.cumsum(sizes), sizes)
+    rows, out = np.repeat(np.arange(len(sizes)), sizes), []
+    places = np.arange(len(chars))
+    for length in sorted(lengths):
+        places = places[places + length <= stops[places]]
+        if not len(places):
+            break
+        first = of.first(places, places + length)
+        mark = (first >> shift).astype(np.int64)
+        hit = np.flatnonzero(table[mark >> 3] >> (mark & 7).astype(np.uint8) & 1)
+        start = places[hit]
+        first, second, row = first[hit], of.second(start, start + length), rows[start]
+        order = np.lexsort((second, first, row))
+        first, second, row = first[order], second[order], row[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (row[1:] != row[:-1])
+        out.append(np.stack([row[fresh], start[order[fresh]], start[order[fresh]] + length]))
+    found = np.concatenate(out, 1) if out else np.empty((3, 0), np.int64)
+    row, start, end = found[:, np.argsort(found[0], kind="stable")]
+    return row, start, end
+
+
+def strings(texts: pa.StringArray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """(row, string) of runs of characters of texts."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    chars = characters(texts)[0][np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+    at = np.concatenate([[0], np.cumsum(width)])[offsets].astype(np.int32)
+    raw = chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return row, pa.StringArray.from_buffers(len(row), pa.py_buffer(at.tobytes()), pa.py_buffer(raw))
+
+
 class Entries:
     """A lexicon's entries in the order of their first hash, with an index by its upper bits; meanings are in the same order.
 

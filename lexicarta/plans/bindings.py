@@ -72,7 +72,8 @@ NATIVE_WORDS = WORDS + f""", native_words AS (SELECT *, translate(word, '{LATIN}
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, native, n): distinct words and how often they occur."""
-    return native_words(spark, sf_dir).groupBy("word", "native").agg(F.count(F.lit(1)).alias("n"))
+    counts = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("word", F.translate("word", LATIN, NATIVE).alias("native"), "n")
 
 
 VOCABULARY = NATIVE_WORDS + """, vocabulary AS (SELECT word, native, count(*) AS n FROM native_words GROUP BY word, native)"""

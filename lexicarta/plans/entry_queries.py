@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexicarta.functions import text
 from lexicarta.operators import entries as ops
 from lexicarta.plans import bindings as b
+from lexicarta.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -349,7 +350,7 @@ m AS (SELECT k.native AS before, o.original, o.corrected, o.error_type, CASE err
   FROM k JOIN o ON contains(k.native, o.original))
 SELECT before, original, error_type, applied, CASE WHEN applied THEN replace(before, original, corrected) ELSE before END AS after FROM m""")
 def propagate_correction(spark, d):
-    v = b.vocabulary(spark, d)
+    v = files.written(b.vocabulary(spark, d), "vocabulary")  # read as texts and as fixes
     k = F.col("n") % 4
     kind = F.when(k == 0, "tone_error").when(k == 1, "medial_error").when(k == 2, "consonant_error").otherwise("other")
     fixes = v.select(F.col("native").alias("original"), F.concat("native", F.lit("း")).alias("corrected"), kind.alias("error_type"))
