@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lexicarta.sources import files
 
 
 def grid_label(class_id: Column, levels: list[tuple[str, int]]) -> Column:
@@ -43,24 +46,52 @@ def union_syllables(base: DataFrame, medial: DataFrame, contraction: DataFrame)
     return base.unionByName(medial, allowMissingColumns=True).unionByName(contraction, allowMissingColumns=True)
 
 
-def sample_paragraphs(ids: DataFrame, words: DataFrame, seed: int) -> DataFrame:
-    """(id, text) of each id: 2 to 4 lines of 4 to 9 words drawn with replacement.
+#: Bytes of words that are sent to the tasks, as measured.
+MOST_SENT = 512 << 20
+
+
+def sample_paragraphs(ids: DataFrame, words: DataFrame, seed: int, most_sent: int = MOST_SENT) -> DataFrame:
+    """(id, text) of each row of ids: 2 to 4 lines of 4 to 9 words drawn with replacement.
 
     All distinct words are numbered in a fixed order, by a hash's bucket and the word; each drawn number is a hash of
-    the seed, the id, the line and the place, modulo their count.
+    the seed, the id, the line and the place, modulo their count. Words of up to most_sent bytes are sent to the ids, and
+    nothing is shuffled for a draw; more of them meet the draws of ids, which then must differ, in a join.
     """
     buckets = 4096
     full = lambda *xs: F.xxhash64(F.lit(seed), *xs)
     h = lambda *xs: F.pmod(full(*xs), F.lit(2**31))
-    lines = ids.select("id", F.explode(F.sequence(F.lit(1), (2 + h("id") % 3).cast("int"))).alias("line"))
-    places = lines.select("id", "line", F.explode(F.sequence(F.lit(1), (4 + h("id", "line") % 6).cast("int"))).alias("place"))
-    pool = words.where(F.col("native").isNotNull()).select(F.col("native").alias("word")).distinct().withColumn("bucket", (h("word") % buckets).cast("int"))
+    pool = files.written(words.where(F.col("native").isNotNull()).select(F.col("native").alias("word")).distinct().withColumn("bucket", (h("word") % buckets).cast("int")), "words")
     sizes = pool.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # at most a row for each bucket
     below = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("below"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
     numbered = pool.withColumn("at", place).join(F.broadcast(below), "bucket").select((F.col("below") + F.col("at") - 1).alias("number"), "word")
-    total = F.broadcast(sizes.agg(F.sum("n").alias("total")))
-    drawn = places.crossJoin(total).withColumn("number", F.pmod(full("id", "line", "place"), F.col("total")))
-    rows = drawn.join(numbered, "number")
-    text = rows.groupBy("id", "line").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "word")))["word"], " ").alias("t"))
-    return text.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line", "t")))["t"], "\n").alias("text"))
+    total, held = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word") + 4), F.lit(0))).first()
+    number = lambda line, at: F.pmod(full("id", line, at), F.lit(total))
+    if not 0 < total or held > most_sent:
+        lines = ids.select("id", F.explode(F.sequence(F.lit(1), (2 + h("id") % 3).cast("int"))).alias("line"))
+        places = lines.select("id", "line", F.explode(F.sequence(F.lit(1), (4 + h("id", "line") % 6).cast("int"))).alias("place"))
+        rows = places.where(F.lit(total > 0)).withColumn("number", number("line", "place") if total else F.lit(0)).join(numbered, "number")
+        drawn = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line", "place", "word"))).alias("drawn"))
+        line = lambda k: F.array_join(F.transform(F.filter("drawn", lambda x: x["line"] == k), lambda x: x["word"]), " ")
+        return drawn.select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.array_max("drawn.line")), line), "\n").alias("text"))
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = numbered.toArrow().sort_by("number").column("word").combine_chunks()
+    sent = ids.sparkSession.sparkContext.broadcast(table)
+
+    def joined(lists, texts, by):
+        """The texts of each list, joined."""
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), by)
+
+    def run(batches):
+        for b in batches:
+            lines = b.column("drawn").flatten()
+            said = joined(lines, sent.value.take(lines.flatten()), " ")
+            yield pa.RecordBatch.from_arrays([b.column("id"), joined(b.column("drawn"), said, "\n")], ["id", "text"])
+
+    draws = lambda line: F.transform(F.sequence(F.lit(1), (4 + h("id", line) % 6).cast("int")), lambda at: number(line, at))
+    drawn = ids.select("id", F.transform(F.sequence(F.lit(1), (2 + h("id") % 3).cast("int")), draws).alias("drawn"))
+    return drawn.mapInArrow(run, StructType([drawn.schema["id"], StructField("text", StringType())]))
