@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexicarta.functions import collation, text
 from lexicarta.operators.containment import holding
+from lexicarta.sources import files
 
 ENTRY_TYPES = ["headword", "compound", "example"]
 #: Other names of segment kinds (fixed values).
@@ -230,10 +231,19 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def link_headwords(df: DataFrame, terms: DataFrame, *more: str) -> DataFrame:
-    """(pos, term, target, *more): terms (pos, term, *more) and the place of the entry with that key, promoted or headword ones first, then the lowest."""
+#: Bytes of headwords that are sent to the terms, as measured, and what one takes there besides its letters.
+MOST_SENT, HEADWORD_BYTES = 64 << 20, 100
+
+
+def link_headwords(df: DataFrame, terms: DataFrame, *more: str, most_sent: int = MOST_SENT) -> DataFrame:
+    """(pos, term, target, *more): terms (pos, term, *more) and the place of the entry with that key, promoted or headword ones first, then the lowest.
+
+    Keys of up to most_sent bytes are sent to the terms, which then aren't shuffled; more of them meet the terms in a join.
+    """
     best = df.groupBy("karen").agg(F.min(F.struct(F.when(F.col("entry_type") == "headword", 0).otherwise(1).alias("prio"), "pos")).alias("best"))
-    return terms.join(best.select(F.col("karen").alias("term"), F.col("best.pos").alias("target")), "term").select("pos", "term", "target", *more)
+    known = files.written(best.where("karen is not null").select(F.col("karen").alias("term"), F.col("best.pos").alias("target")), "headwords")
+    held = known.agg(F.sum(F.octet_length("term") + HEADWORD_BYTES)).first()[0] or 0
+    return terms.join(F.broadcast(known) if held <= most_sent else known.hint("merge"), "term").select("pos", "term", "target", *more)
 
 
 #: Fields that an entry may have tagged itself; those that no relation is named after are cross references (fixed values).

@@ -108,8 +108,8 @@ def inject_labels(spark, d):
 
 
 def terms_of(e):
-    """(pos, term): the words of all definitions."""
-    return e.select("pos", F.explode(F.split(F.array_join("definitions", " "), " ")).alias("term")).distinct()
+    """(pos, term): the words of all definitions, each once an entry."""
+    return e.select("pos", F.explode(F.array_distinct(F.split(F.array_join("definitions", " "), " "))).alias("term"))
 
 
 def segments(definition):
@@ -279,7 +279,7 @@ best AS (SELECT karen, min(pos) AS target FROM entries GROUP BY karen)
 SELECT t.pos, t.term, best.target FROM t JOIN best ON t.term = best.karen""")
 def link_headwords(spark, d):
     e = b.entries(spark, d)
-    return ops.link_headwords(e, terms_of(e))
+    return ops.link_headwords(e, terms_of(e)).distinct()  # positions may repeat
 
 
 @query("first_headword", WITH + ", r AS (SELECT *, row_number() OVER (PARTITION BY karen ORDER BY flag DESC, pos) AS n FROM entries) SELECT karen, pos, flag FROM r WHERE n = 1")
