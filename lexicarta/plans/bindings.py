@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.functions.numbers import rounded
+from lexicarta.sources import files
 
 #: Letters of the tables' texts and the native characters that stand for them in bindings.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -57,6 +58,28 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "word"))
 
 
+def distinct_words(spark: SparkSession, sf_dir: str, sides: bool = False) -> DataFrame:
+    """(doc_id, word) or, with sides, (doc_id, even, word): the different words of a document, or those at its even and at its odd places, once for a doc_id.
+
+    They are made distinct in their row; only those of ids that repeat are shuffled for it.
+    """
+    d = documents(spark, sf_dir)
+    repeated = files.written(table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
+
+    def of(df: DataFrame) -> DataFrame:
+        ws = df.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("ws"))
+        if not sides:
+            return ws.select("doc_id", F.explode(F.array_distinct("ws")).alias("word"))
+        at = lambda k: F.array_distinct(F.filter("ws", lambda _, i: i % 2 == k)).alias("ws")
+        side = F.explode(F.array(F.struct(F.lit(True).alias("even"), at(0)), F.struct(F.lit(False).alias("even"), at(1))))
+        return ws.select("doc_id", side.alias("side")).select("doc_id", "side.even", F.explode("side.ws").alias("word"))
+
+    if repeated.isEmpty():
+        return of(d)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return of(d.join(repeated, same, "left_anti")).unionByName(of(d.join(repeated, same, "left_semi")).distinct())
+
+
 WORDS = """words AS (
   SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS word
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents))"""

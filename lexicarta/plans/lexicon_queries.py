@@ -34,6 +34,11 @@ def known(spark, d):
     return w.withColumn("native", F.translate("token", b.LATIN, b.NATIVE))
 
 
+def word_counts(spark, d):
+    """(query, n): words and how often they occur, worked out once for all sources."""
+    return files.written(b.words(spark, d).groupBy(F.col("word").alias("query")).agg(F.count(F.lit(1)).alias("n")), "counts")
+
+
 R = ops.ROLES
 ROLE_SQL = f"""list_filter([CASE WHEN token IN ({listed(ops.CONNECTORS)}) THEN 'connector' END, CASE WHEN token IN ({listed(R['action'])}) OR token LIKE '%ing' OR token LIKE '%ed' THEN 'action' END,
   CASE WHEN token IN ({listed(R['property'])}) THEN 'property' END, CASE WHEN token IN ({listed(R['music'])}) THEN 'music' END, CASE WHEN token IN ({listed(R['interface'])}) THEN 'interface' END,
@@ -54,12 +59,12 @@ cache AS (SELECT word, 'cache-' || word AS r FROM words GROUP BY word HAVING cou
 SELECT doc_id AS id, q.word AS query, coalesce(seed.r, cache.r, nullif(web.r, '')) AS result, CASE WHEN seed.r IS NOT NULL THEN 'seed' WHEN cache.r IS NOT NULL THEN 'cache' WHEN web.r <> '' THEN 'web' ELSE 'none' END AS source
 FROM q LEFT JOIN seed ON q.word = seed.token LEFT JOIN cache ON q.word = cache.word LEFT JOIN web ON q.word = web.word""")
 def lookup_cascade(spark, d):
-    w = b.words(spark, d)
-    counts = w.groupBy(F.col("word").alias("query")).agg(F.count(F.lit(1)).alias("n"))
+    queries = b.distinct_words(spark, d).select(F.col("doc_id").alias("id"), F.col("word").alias("query"))
+    counts = word_counts(spark, d)
     seed = known(spark, d).select(F.col("token").alias("query"), F.concat(F.lit("seed-"), "token").alias("result"))
     cache = counts.where("n % 2 = 0").select("query", F.concat(F.lit("cache-"), "query").alias("result"))
     web = counts.select("query", F.when(F.length("query") > 6, "").otherwise(F.concat(F.lit("web-"), "query")).alias("result"))
-    return ops.lookup_cascade(w.select(F.col("doc_id").alias("id"), F.col("word").alias("query")).distinct(), [("seed", seed), ("cache", cache), ("web", web)])
+    return ops.lookup_cascade(queries, [("seed", seed), ("cache", cache), ("web", web)])
 
 
 @query("lookup_sources", "WITH " + b.WORDS + ", " + KNOWN + """, q AS (SELECT DISTINCT doc_id, CASE WHEN pos % 2 = 0 THEN 'en-to-ksw' ELSE 'ksw-to-en' END AS direction, word FROM words), c AS (SELECT word, count(*) AS n, length(word) AS size FROM words GROUP BY word),
@@ -67,8 +72,8 @@ l AS (SELECT q.*, CASE WHEN direction = 'en-to-ksw' AND k.token IS NOT NULL THEN
 w AS (SELECT *, CASE WHEN local <> '' THEN local WHEN size < 4 THEN 'one' WHEN size < 7 THEN 'two' WHEN size < 9 THEN 'three' ELSE 'none' END AS source FROM l)
 SELECT doc_id AS id, direction, word AS query, CASE source WHEN 'none' THEN NULL ELSE source || '-' || word END AS result, source, CASE WHEN local <> '' THEN '' WHEN size < 7 THEN 'one,two' ELSE 'one,two,three' END AS asked FROM w""")
 def lookup_sources(spark, d):
-    w = b.words(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("pos") % 2 == 0, "en-to-ksw").otherwise("ksw-to-en").alias("direction"), F.col("word").alias("query"))
-    counts = w.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    queries = b.distinct_words(spark, d, sides=True).select(F.col("doc_id").alias("id"), F.when(F.col("even"), "en-to-ksw").otherwise("ksw-to-en").alias("direction"), F.col("word").alias("query"))
+    counts = word_counts(spark, d)
     says = lambda name: F.concat(F.lit(f"{name}-"), "query").alias("result")
     seeds = known(spark, d).select(F.col("token").alias("query")).select("query", says("seed"))
     keyed = counts.where("n % 3 = 0").crossJoin(F.broadcast(spark.createDataFrame([("en-to-ksw",), ("ksw-to-en",)], "direction string")))  # two rows
@@ -76,7 +81,7 @@ def lookup_sources(spark, d):
     both = F.explode(F.array(F.lit("en-to-ksw"), F.lit("ksw-to-en"))).alias("direction")
     size = F.length("query")
     web = [("one", size < 4), ("two", (size < 7)), ("three", size < 9)]
-    return ops.lookup_sources(w.distinct(), seeds, counts.where("n % 7 = 0").select("query", says("connector")), cache, [(n, counts.where(c).select(both, "query", says(n))) for n, c in web]).withColumn("asked", F.array_join("asked", ","))
+    return ops.lookup_sources(queries, seeds, counts.where("n % 7 = 0").select("query", says("connector")), cache, [(n, counts.where(c).select(both, "query", says(n))) for n, c in web]).withColumn("asked", F.array_join("asked", ","))
 
 
 def native_texts(spark, d):
