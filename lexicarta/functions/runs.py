@@ -1,12 +1,14 @@
 """A lexicon by hashes of its entries, for looking up all runs of the syllables, or of characters, of an Arrow batch at once."""
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
 #: Bases of the two hashes of a run, Σ code * base^place: one modulo 2^64, one modulo a prime (fixed values).
 BASE, PRIME_BASE, PRIME = 0x9E3779B97F4A7C15, 1_220_703_123, (1 << 31) - 1
 INVERSE, PRIME_INVERSE = pow(BASE, -1, 1 << 64), pow(PRIME_BASE, -1, PRIME)
-#: Bytes of a table for an entry, besides its meaning: both hashes, an offset, and its share of the index.
+#: Bytes of a table for an entry, besides its meaning: both hashes, an offset, and its share of the index and of the marks.
 ENTRY_BYTES = 48
 
 
@@ -17,6 +19,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)[:n]
 
 
+@lru_cache(maxsize=8)
+def known_powers(base: int, bits: int, of_prime: bool = False) -> np.ndarray:
+    """The first 2^bits powers of a base, kept from batch to batch: modulo PRIME or 2^64."""
+    return prime_powers(base, 1 << bits) if of_prime else powers(base, 1 << bits)
+
+
+def first_powers(base: int, n: int, of_prime: bool = False) -> np.ndarray:
+    """base^0 to base^(n - 1)."""
+    return known_powers(base, max(20, n.bit_length()), of_prime)[:n]
+
+
 def prime_powers(base: int, n: int) -> np.ndarray:
     """base^0 to base^(n - 1), modulo PRIME."""
     step = 1024
@@ -35,8 +48,8 @@ class Hashes:
     def __init__(self, chars: np.ndarray):
         codes, self.codes = chars.astype(np.uint64), chars
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, len(codes)), out=self.sums[1:])
-        self.back = powers(INVERSE, len(codes) + 1)
+        np.cumsum(codes * first_powers(BASE, len(codes)), out=self.sums[1:])
+        self.back = first_powers(INVERSE, len(codes) + 1)
         self.prime = None
 
     def first(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -46,8 +59,8 @@ class Hashes:
         if self.prime is None:
             n, p = len(self.codes), np.uint64(PRIME)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.codes.astype(np.uint64) * prime_powers(PRIME_BASE, n) % p, out=sums[1:])
-            self.prime = sums, prime_powers(PRIME_INVERSE, n + 1)
+            np.cumsum(self.codes.astype(np.uint64) * first_powers(PRIME_BASE, n, True) % p, out=sums[1:])
+            self.prime = sums, first_powers(PRIME_INVERSE, n + 1, True)
         sums, back = self.prime
         return ((sums[ends] - sums[starts]) % np.uint64(PRIME) * back[starts] % np.uint64(PRIME)).astype(np.uint32)
 
@@ -114,7 +127,8 @@ def strings(texts: pa.StringArray, row: np.ndarray, start: np.ndarray, end: np.n
 class Entries:
     """A lexicon's entries in the order of their first hash, with an index by its upper bits; meanings are in the same order.
 
-    A run is an entry if 95 bits of hashes agree. What an entry takes doesn't depend on how long it is.
+    A run is an entry if 95 bits of hashes agree. What an entry takes doesn't depend on how long it is. A bit at the uppermost bits of
+    each first hash, of 16 or more for an entry, tells most runs that are none from a table that stays in a processor's cache.
     """
 
     def __init__(self, first: np.ndarray, second: np.ndarray, meanings: pa.StringArray):
@@ -124,31 +138,42 @@ class Entries:
         bits = max(4, int(4 * len(first)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.index = np.searchsorted(self.first >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.mark_shift = self.shift - np.uint64(2)
+        marked = np.zeros(1 << (bits + 2), bool)
+        marked[(self.first >> self.mark_shift).astype(np.int64)] = True
+        self.marks = np.packbits(marked, bitorder="little")
 
     @classmethod
     def of(cls, chunks: list[str], meanings: list[str]) -> "Entries":
         return cls(*hashed(pa.array(chunks, pa.string())), pa.array(meanings, pa.string()))
 
-    def find(self, first: np.ndarray, second) -> np.ndarray:
-        """The entries of runs with these hashes, -1 without one; second(which) gives the second hashes of some of them."""
-        out = np.full(len(first), -1, np.int64)
-        bucket = (first >> self.shift).astype(np.int64)
+    def hits(self, first: np.ndarray, second=None) -> tuple[np.ndarray, np.ndarray]:
+        """(which, entry): the runs with these hashes that are entries; second(which) gives the second hashes of some of them. Without it the first decides."""
+        mark = (first >> self.mark_shift).view(np.int64)
+        alive = np.flatnonzero(self.marks[mark >> 3] >> (mark & 7).astype(np.uint8) & 1)
+        wanted, bucket = first[alive], mark[alive] >> 2
         at, stop = self.index[bucket], self.index[bucket + 1]
-        alive = np.flatnonzero(at < stop)
-        at, stop, wanted = at[alive], stop[alive], first[alive]
+        out = []
         while len(alive):
             same = np.flatnonzero(self.first[at] == wanted)
-            good = same[self.second[at[same]] == second(alive[same])]
-            out[alive[good]] = at[good]
+            good = same if second is None else same[self.second[at[same]] == second(alive[same])]
+            out.append((alive[good], at[good].astype(np.int64)))
             at = at + 1
             at[good] = stop[good]
             keep = np.flatnonzero(at < stop)
             alive, at, stop, wanted = alive[keep], at[keep], stop[keep], wanted[keep]
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+    def find(self, first: np.ndarray, second) -> np.ndarray:
+        """The entries of runs with these hashes, -1 without one."""
+        out = np.full(len(first), -1, np.int64)
+        which, entry = self.hits(first, second)
+        out[which] = entry
         return out
 
     def matches(self, syllables, longest: int) -> list[np.ndarray]:
         """For each number of syllables, 1 to longest, the entry that so many from each place on make, -1 without one."""
-        of, n, out = Hashes(syllables.chars), syllables.n, []
+        of, n, out = syllables.hashes, syllables.n, []
         sums, back, places = of.sums[syllables.char_at], of.back[syllables.char_at], np.arange(n)
         for k in range(1, longest + 1):
             found = np.full(n, -1, np.int64)
@@ -158,3 +183,22 @@ class Entries:
                 found[inside] = self.find((sums[inside + k] - sums[inside]) * back[inside], lambda which, s=starts, e=ends: of.second(s[which], e[which]))
             out.append(found)
         return out
+
+    def held(self, syllables, longest: int, surely: bool) -> np.ndarray:
+        """A row of longest + 1 booleans for each place and one behind the last: whether so many syllables from there on, one more than the column's number, make an entry.
+
+        The last column holds nothing. Not surely, the first hash alone decides.
+        """
+        of, n, char_at = syllables.hashes, syllables.n, syllables.char_at
+        sums, back = of.sums[char_at], of.back[char_at]
+        out = np.zeros((n + 1, longest + 1), bool)
+        for k in range(1, min(longest, n) + 1 if len(self.first) else 0):
+            second = (lambda which, k=k: of.second(char_at[which], char_at[which + k])) if surely else None
+            which, _ = self.hits((sums[k:] - sums[:-k]) * back[:-k], second)
+            out[which[which + k <= syllables.row_end[which]], k - 1] = True
+        return out
+
+    def at(self, syllables, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entries that the runs from syllable to syllable make by both hashes, -1 without one."""
+        a, z = syllables.char_at[starts], syllables.char_at[ends]
+        return self.find(syllables.hashes.first(a, z), lambda which: syllables.hashes.second(a[which], z[which]))

@@ -1,9 +1,12 @@
 """A lexicon as a compact trie, and where its entries stand in the texts of an Arrow batch, for all places at once."""
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lexicarta.functions.runs import Hashes
 from lexicarta.functions.text import CONSONANTS
 
 #: Code points fit in so many bits, below those of a node.
@@ -11,6 +14,9 @@ CHAR_BITS = 21
 #: Native characters, those at which a syllable starts, and digits, which end one (as in functions/text).
 NATIVE_FIRST, NATIVE_LAST = 0x1000, 0x109F
 SYLLABLE_STARTS, NATIVE_DIGITS = np.array([ord(c) for c in CONSONANTS], np.uint32), np.arange(ord("၀"), ord("၉") + 1, dtype=np.uint32)
+#: Of each native character, and of any other behind them: 0 outside of syllables, 1 in one, 2 at its start.
+KINDS = np.ones(NATIVE_LAST - NATIVE_FIRST + 2, np.uint8)
+KINDS[NATIVE_DIGITS - NATIVE_FIRST], KINDS[SYLLABLE_STARTS - NATIVE_FIRST], KINDS[-1] = 0, 2, 0
 #: Places from which a trie is walked at once, and syllables or characters of a piece of a batch.
 AT_ONCE = 1 << 18
 
@@ -115,8 +121,8 @@ class Syllables:
         out = cls.__new__(cls)
         sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         chars = np.frombuffer("".join(t or "" for t in column.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        leads = np.isin(chars, SYLLABLE_STARTS)
-        part = leads | ((chars >= NATIVE_FIRST) & (chars <= NATIVE_LAST) & ~np.isin(chars, NATIVE_DIGITS))
+        kinds = KINDS[np.minimum(chars - np.uint32(NATIVE_FIRST), np.uint32(len(KINDS) - 1))]
+        leads, part = kinds == 2, kinds > 0
         row = np.repeat(np.arange(len(sizes)), sizes)
         breaks = np.ones(len(chars), bool)  # a part of a syllable behind something else, or in another text
         breaks[1:] = ~part[:-1] | (row[1:] != row[:-1])
@@ -129,6 +135,10 @@ class Syllables:
         out.row_end = np.repeat(out.rows[1:], np.diff(out.rows))
         return out
 
+    @cached_property
+    def hashes(self) -> Hashes:
+        return Hashes(self.chars)
+
     def matches(self, trie: Trie, longest: int) -> list[np.ndarray]:
         """For each number of syllables, 1 to longest, the entry that so many from each place on make, -1 without one."""
         out = [np.full(self.n, -1, np.int64) for _ in range(longest)]

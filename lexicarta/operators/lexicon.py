@@ -1,5 +1,7 @@
 """Lexicon work on lines and texts: roles, lookups, segmentation, composition, key/value batches."""
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,6 +152,8 @@ def chunk_counts(texts: DataFrame, longest: int) -> DataFrame:
 PARTS = "array<struct<chunk:string,meaning:string,reason:string>>"
 #: Bytes of a lexicon's table that is sent to the tasks; a larger lexicon meets the distinct runs of the texts in a join.
 MOST_SENT = 256 << 20
+#: Bytes of an Arrow batch of texts for the table function.
+BATCH_BYTES = 4 << 20
 
 
 def distinct_chunks(syllables: Column, longest: int) -> Column:
@@ -213,6 +217,17 @@ def with_syllables(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", text.split_syllables(F.col("native")).alias("syllables")) if "native" in texts.columns else texts.select("doc_id", "syllables")
 
 
+def parts_of(syllables: Syllables, known: Entries, pick):
+    """The parts of each text of a batch, as a list array: pick(syllables, known) says where they start and end, the entries that they are and their reasons."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    starts, ends, entry, reasons = pick(syllables, known)
+    said = pc.fill_null(known.meanings.take(pa.array(entry, mask=entry < 0)), "??")
+    flat = pa.StructArray.from_arrays([syllables.chunks(starts, ends), said, reasons], ["chunk", "meaning", "reason"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, syllables.rows), pa.int32()), flat)
+
+
 def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, pick, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, parts) of texts (doc_id, syllables; or doc_id, native), a row for each, whatever its id; null or empty texts have no parts.
 
@@ -220,7 +235,6 @@ def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, pick, most_sen
     and their reasons. The table known holds the whole lexicon if it takes most_sent bytes or less, else what the batch's texts have runs of.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     entries = entries_of(lexicon)
     small = table_bytes(entries) <= most_sent
@@ -234,11 +248,7 @@ def segmented(texts: DataFrame, lexicon: DataFrame, longest: int, pick, most_sen
             else:
                 found = {h["chunk"]: h["meaning"] for hits in b.column("hits").to_pylist() for h in hits or ()}
                 known = Entries.of(list(found), list(found.values()))
-            starts, ends, entry, reasons = pick(syllables, known)
-            said = pc.fill_null(known.meanings.take(pa.array(entry, mask=entry < 0)), "??")
-            flat = pa.StructArray.from_arrays([syllables.chunks(starts, ends), said, reasons], ["chunk", "meaning", "reason"])
-            at = np.searchsorted(starts, syllables.rows).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), parts_of(syllables, known, pick)], ["doc_id", "parts"])
 
     return rows.mapInArrow(run, f"doc_id long, parts {PARTS}")
 
@@ -274,17 +284,44 @@ def segment_greedy(texts: DataFrame, lexicon: DataFrame, longest: int) -> DataFr
 REASONS = ["rest", "before connector", "through connector", "connector and after", "between connectors", "longest", "stuck"]
 
 
-def connected_parts(syllables: Syllables, known: Entries, connectors: dict[str, int], longest: int):
-    """The parts that segment() describes, of each text of a batch: each place's part first, for all at once, then those that are reached."""
+#: Syllables from one place to the next from which parts are followed, and rounds after which all places that are left are decided at once.
+STRIDE, ROUNDS = 32, 256
+
+
+def followed(rows: np.ndarray, decide) -> np.ndarray:
+    """The places that are reached from the starts of the rows; decide(at) says where the parts of places end.
+
+    What a place's part is doesn't depend on how it was reached. So parts are followed from many places at once, until they come to a
+    place that is decided: ways from near places soon meet, and most places are on none.
+    """
+    n = int(rows[-1])
+    last, done = np.arange(n) + 1, np.zeros(n + 1, bool)
+    done[n] = True
+    at = np.unique(np.concatenate([rows[:-1][rows[:-1] < n], np.arange(0, n, STRIDE)]))
+    for left in range(ROUNDS, -1, -1):
+        done[at] = True
+        last[at] = decide(at)
+        at = np.unique(last[at]) if left > 1 else np.arange(n)
+        at = at[~done[at]]
+        if not len(at):
+            break
+    return walked(last)
+
+
+def connected_parts(syllables: Syllables, known: Entries, connectors: dict[str, int], longest: int, surely: bool = False):
+    """The parts that segment() describes, of each text of a batch: parts of many places at once, of those that are reached.
+
+    The first hashes of runs decide; should the second one of a part say otherwise, all is done again with both, surely.
+    """
     import pyarrow as pa
 
     n, rows, end = syllables.n, syllables.rows, syllables.row_end
     widest = max(connectors.values(), default=1)
-    found = np.concatenate(known.matches(syllables, longest)) if n else np.empty(0, np.int64)
+    held = known.held(syllables, longest, surely).ravel()
+    width, stuck = longest + 1, len(REASONS) - 1
 
     def run(a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        fits = (a < z) & (z <= a + longest)
-        return np.where(fits, found[np.where(fits, (z - a - 1) * n + a, 0)], -1)
+        return held[a * width + np.minimum((z - a - 1).view(np.uint64), np.uint64(longest)).view(np.int64)]
 
     names = Entries.of(list(connectors), list(connectors))
     sizes = np.array([connectors[c] for c in names.meanings.to_pylist()], np.int64)
@@ -293,48 +330,55 @@ def connected_parts(syllables: Syllables, known: Entries, connectors: dict[str,
     order = np.lexsort((-stops, starts))
     starts, stops = starts[order], stops[order]
     last_span = np.searchsorted(starts, rows[1:])  # of each text, behind its last span
+    first_span = np.concatenate([[0], last_span[:-1]]).astype(np.int64)
     of_row = np.searchsorted(rows, starts, "right") - 1
     later = np.searchsorted(starts, stops, "right")
     after = np.where(later < last_span[of_row], np.append(starts, 0)[later], end[starts]) if len(starts) else starts
     numbers = np.arange(len(starts))
-    next_between = np.minimum.accumulate(np.where(run(stops, after) >= 0, numbers, len(starts))[::-1])[::-1] if len(starts) else numbers
+    next_between = np.minimum.accumulate(np.where(run(stops, after), numbers, len(starts))[::-1])[::-1] if len(starts) else numbers
 
-    first, last, entry, why = np.arange(n), np.arange(n) + 1, np.full(n, -1, np.int64), np.full(n, len(REASONS) - 1, np.int8)
+    first, last, why = np.arange(n), np.arange(n) + 1, np.full(n, stuck, np.int8)
 
-    def take(at: np.ndarray, a: np.ndarray, z: np.ndarray, reason: str, may=True) -> np.ndarray:
+    def take(at: np.ndarray, a: np.ndarray, z: np.ndarray, reason: str) -> np.ndarray:
         """Places at whose run from a to z is in the lexicon have their part; which of them still have none."""
-        e = np.where(may, run(a, z), -1)
-        hit = np.flatnonzero(e >= 0)
-        first[at[hit]], last[at[hit]], entry[at[hit]], why[at[hit]] = a[hit], z[hit], e[hit], REASONS.index(reason)
-        return np.flatnonzero(e < 0)
-
-    at = np.arange(n)
-    at = at[take(at, at, end[at], "rest")]
-    k = np.searchsorted(starts, at - widest)
-    most = np.repeat(last_span, np.diff(rows))
-    k = np.maximum(k, np.repeat(np.concatenate([[0], last_span[:-1]]).astype(np.int64), np.diff(rows))[at])
-    rest = [at[k >= most[at]]]
-    at, k = at[k < most[at]], k[k < most[at]]
-    while len(at):
-        far = starts[k] > at + longest
-        nb = next_between[k[far]]
-        some = nb < most[at[far]]
-        rest.append(at[far][~some])
-        take(at[far][some], stops[nb[some]], after[nb[some]], "between connectors")
-        at, k = at[~far], k[~far]
-        a, z, stop, ahead = starts[k], stops[k], after[k], stops[k] > at
-        for reason, x, y, may in (("before connector", at, a, ahead & (a > at)), ("through connector", at, z, ahead), ("connector and after", at, stop, ahead & (a == at)), ("between connectors", z, stop, ahead)):
-            left = entry[at] < 0
-            take(at[left], x[left], y[left], reason, may[left])
-        left = entry[at] < 0
-        at, k = at[left], k[left] + 1
-        rest.append(at[k >= most[at]])
-        at, k = at[k < most[at]], k[k < most[at]]
-    at = np.concatenate(rest)
-    for size in range(longest, 0, -1):
-        at = at[take(at, at, at + size, "longest")]
-    reached = walked(last)
-    return first[reached], last[reached], entry[reached], pa.array(REASONS).take(pa.array(why[reached]))
+        has = run(a, z)
+        hit = at[has]
+        first[hit], last[hit], why[hit] = a[has], z[has], REASONS.index(reason)
+        return np.flatnonzero(~has)
+
+    def decide(places: np.ndarray) -> np.ndarray:
+        at = places[take(places, places, end[places], "rest")]
+        row = np.searchsorted(rows, at, "right") - 1
+        k, most = np.maximum(np.searchsorted(starts, at - widest), first_span[row]), last_span[row]
+        rest = []
+        while len(at):
+            near = k < most
+            rest.append(at[~near])
+            at, k, most = at[near], k[near], most[near]
+            far = starts[k] > at + longest
+            nb = next_between[k[far]]
+            some = nb < most[far]
+            rest.append(at[far][~some])
+            take(at[far][some], stops[nb[some]], after[nb[some]], "between connectors")
+            at, k, most = at[~far], k[~far], most[~far]
+            a, z, stop, ahead = starts[k], stops[k], after[k], stops[k] > at
+            for reason, x, y, may in (("before connector", at, a, ahead & (a > at)), ("through connector", at, z, ahead), ("connector and after", at, stop, ahead & (a == at)), ("between connectors", z, stop, ahead)):
+                left = np.flatnonzero((why[at] == stuck) & may)
+                take(at[left], x[left], y[left], reason)
+            left = why[at] == stuck
+            at, k, most = at[left], k[left] + 1, most[left]
+        at = np.concatenate(rest) if rest else at
+        for size in range(longest, 0, -1):
+            at = at[take(at, at, at + size, "longest")]
+        return last[places]
+
+    reached = followed(rows, decide)
+    first, last, why = first[reached], last[reached], why[reached]
+    part, entry = np.flatnonzero(why != stuck), np.full(len(reached), -1, np.int64)
+    entry[part] = known.at(syllables, first[part], last[part])
+    if not surely and (entry[part] < 0).any():
+        return connected_parts(syllables, known, connectors, longest, surely=True)
+    return first, last, entry, pa.array(REASONS).take(pa.array(why))
 
 
 def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], longest: int) -> DataFrame:
@@ -348,31 +392,39 @@ def segment(texts: DataFrame, lexicon: DataFrame, connectors: dict[str, int], lo
     return segmented(texts, lexicon, longest, lambda syllables, known: connected_parts(syllables, known, connectors, longest))
 
 
+def at_most(spark: SparkSession, key: str, size: int) -> None:
+    """Lowers a bound of the session on bytes to size; one that is lower already stays."""
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > size:
+        spark.conf.set(key, str(size))
+
+
 def register_segment_text(spark: SparkSession, lexicon: DataFrame, connectors: dict[str, int], longest: int, name: str = "segment_text", most_sent: int = MOST_SENT) -> None:
     """segment() as a table function for SQL: name(text) gives the parts (place, chunk, meaning, reason) of a native text, none of a null one.
 
-    `SELECT d.id, s.* FROM docs d, LATERAL segment_text(d.text) s`. The lexicon goes to each worker once; one whose table takes more
-    than most_sent bytes is refused: such texts go through segment(), which joins.
+    `SELECT d.id, s.* FROM docs d, LATERAL segment_text(d.text) s`. name_parts(text) gives them as an array, for all texts of an Arrow batch
+    at once; the batches of the session are held to BATCH_BYTES, as a batch's parts are several times its texts. The lexicon goes to
+    each worker once; one whose table takes more than most_sent bytes is refused: such texts go through segment(), which joins.
     """
+    import pyarrow as pa
+
     entries = entries_of(lexicon)
     if table_bytes(entries) > most_sent:
         raise ValueError("the lexicon is too large to be sent; use segment()")
     sent = spark.sparkContext.broadcast(table_of(entries))
 
-    class SegmentText:
-        def eval(self, native: str):
-            import pyarrow as pa
-
-            if native is None:
-                return
-            syllables = Syllables.of_texts(pa.array([native], pa.string()))
-            known = sent.value
-            starts, ends, entry, reasons = connected_parts(syllables, known, connectors, longest)
-            said = known.meanings.take(pa.array(entry, mask=entry < 0)).to_pylist()
-            for place, (chunk, meaning, why) in enumerate(zip(syllables.chunks(starts, ends).to_pylist(), said, reasons.to_pylist(), strict=True)):
-                yield place, chunk, "??" if meaning is None else meaning, why
-
-    spark.udtf.register(name, F.udtf(SegmentText, returnType="place int, chunk string, meaning string, reason string", useArrow=True))
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            pick = lambda syllables, known: connected_parts(syllables, known, connectors, longest)
+            texts = pa.record_batch([column.cast(pa.string())], ["native"])
+            done = [parts_of(syllables, sent.value, pick) for _, syllables in syllables_in([texts])]
+            yield pa.concat_arrays(done or [parts_of(Syllables.of_texts(pa.array([], pa.string())), sent.value, pick)])
+
+    at_most(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.udf.register(f"{name}_parts", F.arrow_udf(parts, PARTS))
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(native STRING) RETURNS TABLE (place INT, chunk STRING, meaning STRING, reason STRING)
+        RETURN SELECT place, part.chunk, part.meaning, part.reason FROM posexplode({name}_parts(native)) AS t(place, part)""")
 
 
 def unresolved(parts: DataFrame) -> DataFrame:

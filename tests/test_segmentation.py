@@ -129,3 +129,40 @@ def test_a_lexicon_whose_trie_took_more_than_was_sent(spark):
     lexicon.register_segment_text(spark, many, {}, 13, name="segment_many")
     got = spark.sql("SELECT meaning FROM segment_many('ကကကကကကကခဂဃငစဆ') ORDER BY place").collect()
     assert [r.meaning for r in got] == ["123456"]
+
+
+def test_a_table_function_takes_texts_by_batches(spark, words):
+    """Each text was a call of its own before."""
+    lexicon.register_segment_text(spark, words, CONNECTORS, 4)
+    df = spark.createDataFrame([(i, "ကခ ဂိ" * (i % 5)) for i in range(50)], "doc_id long, native string")
+    rows = spark.sql("SELECT doc_id, s.* FROM {df} d, LATERAL segment_text(d.native) s", df=df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDTF" not in plan
+    assert {r.doc_id for r in rows.collect()} == {i for i in range(50) if i % 5}
+    assert spark.sql("SELECT * FROM {df} d, LATERAL segment_text(d.native) s", df=df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stride, rounds, surely", [(1, 256, False), (32, 1, False), (3, 2, True), (32, 256, True), (32, 256, False)])
+def test_parts_of_reached_places_are_those_of_all(stride, rounds, surely, monkeypatch):
+    rng = random.Random(21)
+    known = sorted({"".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    texts = [[rng.choice(SYLLABLES) for _ in range(rng.choice([0, 1, 5, 40, 400]))] for _ in range(60)] + [["ခ"] * 300]
+    s, table = Syllables(pa.array(texts, pa.list_(pa.string()))), Entries.of(known, known)
+    say = lambda parts: [p.tolist() if isinstance(p, np.ndarray) else p.to_pylist() for p in parts]
+    monkeypatch.setattr(lexicon, "STRIDE", 1)
+    want = say(lexicon.connected_parts(s, table, CONNECTORS, 4, surely=True))
+    seen, whole = [], lexicon.followed
+    monkeypatch.setattr(lexicon, "followed", lambda rows, decide: whole(rows, lambda at: (seen.append(len(at)), decide(at))[1]))
+    monkeypatch.setattr(lexicon, "STRIDE", stride)
+    monkeypatch.setattr(lexicon, "ROUNDS", rounds)
+    assert say(lexicon.connected_parts(s, table, CONNECTORS, 4, surely=surely)) == want
+    assert sum(seen) <= s.n and (sum(seen) < s.n) == (stride == 32 and rounds == 256)
+
+
+def test_second_hashes_decide_of_parts():
+    """An entry that has the first hash of a run and another second one is none."""
+    table = Entries.of(["ကခ", "ဂိ"], ["a", "b"])
+    table.second[table.meanings.to_pylist().index("a")] ^= 1
+    s = Syllables(pa.array([["က", "ခ", "ဂိ"]], pa.list_(pa.string())))
+    starts, ends, entry, reasons = lexicon.connected_parts(s, table, {}, 4)
+    assert ends.tolist() == [1, 2, 3] and reasons.to_pylist() == ["stuck", "stuck", "rest"] and entry.tolist()[:2] == [-1, -1]
