@@ -10,6 +10,8 @@ BASE, PRIME_BASE, PRIME = 0x9E3779B97F4A7C15, 1_220_703_123, (1 << 31) - 1
 INVERSE, PRIME_INVERSE = pow(BASE, -1, 1 << 64), pow(PRIME_BASE, -1, PRIME)
 #: Bytes of a table for an entry, besides its meaning: both hashes, an offset, and its share of the index and of the marks.
 ENTRY_BYTES = 48
+#: Places whose runs are looked up at once.
+PLACES = 1 << 15
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -88,6 +90,22 @@ def characters(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(t or "" for t in texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), sizes
 
 
+def letter_runs(texts: pa.StringArray) -> pa.StringArray:
+    """The runs of a-z of texts, one after the other, each as often as it occurs; null texts have none."""
+    texts = texts.drop_null()
+    if not len(texts) or texts.buffers()[2] is None:
+        return pa.array([], pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    letter = raw - np.uint8(ord("a")) < 26
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    rows = (offsets[:-1] - offsets[0])[offsets[:-1] < offsets[-1]]
+    start[rows] = letter[rows]
+    at = np.append(np.flatnonzero(start[letter]), np.count_nonzero(letter)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(raw[letter].tobytes()))
+
+
 def marked(texts: pa.StringArray, table: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end), by row: the runs of characters of these lengths whose marks a table of bits has, equal ones (by 95 bits) once a row."""
     chars, sizes = characters(texts)
@@ -171,17 +189,27 @@ class Entries:
         out[which] = entry
         return out
 
+    def standing(self, syllables, k: int, surely: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(place, entry): where k syllables of a text are an entry. Not surely, the first hash alone decides.
+
+        Places are taken some at a time, so that what is worked out for them stays in a processor's cache.
+        """
+        of, char_at, out = syllables.hashes, syllables.char_at, []
+        for lo in range(0, syllables.n - k + 1 if len(self.first) else 0, PLACES):
+            hi = min(lo + PLACES, syllables.n - k + 1)
+            sums = of.sums[char_at[lo : hi + k]]
+            second = (lambda which, lo=lo: of.second(char_at[lo + which], char_at[lo + which + k])) if surely else None
+            which, entry = self.hits((sums[k:] - sums[:-k]) * of.back[char_at[lo:hi]], second)
+            inside = np.flatnonzero(lo + which + k <= syllables.row_end[lo + which])
+            out.append((lo + which[inside], entry[inside]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
     def matches(self, syllables, longest: int) -> list[np.ndarray]:
         """For each number of syllables, 1 to longest, the entry that so many from each place on make, -1 without one."""
-        of, n, out = syllables.hashes, syllables.n, []
-        sums, back, places = of.sums[syllables.char_at], of.back[syllables.char_at], np.arange(n)
-        for k in range(1, longest + 1):
-            found = np.full(n, -1, np.int64)
-            if k <= n and len(self.first):
-                inside = np.flatnonzero(places[: n - k + 1] + k <= syllables.row_end[: n - k + 1])
-                starts, ends = syllables.char_at[inside], syllables.char_at[inside + k]
-                found[inside] = self.find((sums[inside + k] - sums[inside]) * back[inside], lambda which, s=starts, e=ends: of.second(s[which], e[which]))
-            out.append(found)
+        out = [np.full(syllables.n, -1, np.int64) for _ in range(longest)]
+        for k, found in enumerate(out, 1):
+            places, entry = self.standing(syllables, k)
+            found[places] = entry
         return out
 
     def held(self, syllables, longest: int, surely: bool) -> np.ndarray:
@@ -189,13 +217,9 @@ class Entries:
 
         The last column holds nothing. Not surely, the first hash alone decides.
         """
-        of, n, char_at = syllables.hashes, syllables.n, syllables.char_at
-        sums, back = of.sums[char_at], of.back[char_at]
-        out = np.zeros((n + 1, longest + 1), bool)
-        for k in range(1, min(longest, n) + 1 if len(self.first) else 0):
-            second = (lambda which, k=k: of.second(char_at[which], char_at[which + k])) if surely else None
-            which, _ = self.hits((sums[k:] - sums[:-k]) * back[:-k], second)
-            out[which[which + k <= syllables.row_end[which]], k - 1] = True
+        out = np.zeros((syllables.n + 1, longest + 1), bool)
+        for k in range(1, longest + 1):
+            out[self.standing(syllables, k, surely)[0], k - 1] = True
         return out
 
     def at(self, syllables, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -130,7 +130,8 @@ class Syllables:
         out.rows = np.concatenate([[0], np.cumsum(np.bincount(row[starts], minlength=len(sizes)))]).astype(np.int64)
         out.n, out.chars = int(out.rows[-1]), chars[part].astype(np.int64)
         out.char_at = np.append(np.flatnonzero(starts[part]), len(out.chars)).astype(np.int64)
-        utf8 = np.stack([out.chars >> 12 | 0xE0, out.chars >> 6 & 0x3F | 0x80, out.chars & 0x3F | 0x80], 1).astype(np.uint8)  # all native characters take three bytes
+        low = (chars[part] - np.uint32(NATIVE_FIRST)).astype(np.uint8)
+        utf8 = np.stack([np.full_like(low, 0xE0 | NATIVE_FIRST >> 12), low >> 6 | 0x80, low & 0x3F | 0x80], 1)  # all native characters take three bytes
         out.bytes, out.byte_at = pa.py_buffer(utf8.tobytes()), (3 * out.char_at).astype(np.int32)
         out.row_end = np.repeat(out.rows[1:], np.diff(out.rows))
         return out

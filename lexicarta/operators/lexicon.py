@@ -325,7 +325,10 @@ def connected_parts(syllables: Syllables, known: Entries, connectors: dict[str,
 
     names = Entries.of(list(connectors), list(connectors))
     sizes = np.array([connectors[c] for c in names.meanings.to_pylist()], np.int64)
-    standing = [np.flatnonzero((m >= 0) & (sizes[m] == k)) if len(sizes) else np.empty(0, np.int64) for k, m in enumerate(names.matches(syllables, widest), 1)]
+    standing = []
+    for k in range(1, widest + 1):
+        places, name = names.standing(syllables, k)
+        standing.append(places[sizes[name] == k])
     starts, stops = np.concatenate(standing), np.concatenate([places + k for k, places in enumerate(standing, 1)])
     order = np.lexsort((-stops, starts))
     starts, stops = starts[order], stops[order]

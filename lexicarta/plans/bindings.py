@@ -4,11 +4,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.functions.numbers import rounded
+from lexicarta.functions.runs import letter_runs
+from lexicarta.functions.trie import pieces
 from lexicarta.sources import files
 
 #: Letters of the tables' texts and the native characters that stand for them in bindings.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 NATIVE = "ါကခဒံဂဃဟၢငစြမနူပဆျၒတုလွၓယး"
+#: Bytes of texts whose words a task counts at once.
+COUNTED_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +97,20 @@ def native_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 NATIVE_WORDS = WORDS + f""", native_words AS (SELECT *, translate(word, '{LATIN}', '{NATIVE}') AS native FROM words)"""
 
 
+def counted_words(batches):
+    """(word, n) of batches of lower-cased texts: the different words of some texts, and how often they occur there."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        for b in pieces(batch, pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), COUNTED_BYTES):
+            counts = letter_runs(b.column(0).cast(pa.string())).value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, native, n): distinct words and how often they occur."""
-    counts = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, native, n): distinct words and how often they occur. Tasks count the words of some texts at once, so few rows are left to add up."""
+    counts = documents(spark, sf_dir).select(F.lower("text")).mapInArrow(counted_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.select("word", F.translate("word", LATIN, NATIVE).alias("native"), "n")
 
 
